@@ -1,0 +1,24 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded check proves it small: the check reads
+at most ``max_rows + 1`` rows (``limit`` stops the scan early), so it costs a
+tiny job even when the side turns out to be large.  Beyond the bound the plain
+DataFrame is returned and Spark plans a shuffle join (AQE may still switch to a
+broadcast at run time, from measured sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Lookup tables (departments, rules, per-partition offsets) stay far below this.
+DEFAULT_MAX_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    return F.broadcast(df) if is_small(df, max_rows) else df
