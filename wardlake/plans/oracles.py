@@ -167,5 +167,446 @@ SELECT provider, total_revenue, CAST(total_revenue AS DOUBLE) * 100 / SUM(total_
 """)
 
 
+ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+def iso(c: str) -> str:
+    return ISO.format(c=c)
+
+
+TX_OUT = ("id, patient_id, appointment_id, " + iso("date") + " AS date, CAST(amount AS DOUBLE) AS amount, type, "
+          "CAST(insurance_coverage AS DOUBLE) AS insurance_coverage, payment_type, department")
+
+UPSERT = """, tgt AS (SELECT * FROM transactions WHERE type <> 'Emergency Services'),
+src AS (
+  SELECT id, patient_id, appointment_id,
+    CASE WHEN type = 'Pharmacy' THEN date + (CASE WHEN CAST(right(id, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END) * INTERVAL 1 DAY
+         ELSE date END AS date,
+    CAST(amount + 10 AS DECIMAL(10,2)) AS amount, type, insurance_coverage, 'Cash' AS payment_type,
+    'CHANGED' AS department
+  FROM transactions WHERE type IN ('Emergency Services', 'Pharmacy'))
+"""
+
+TX_N = ("(CAST(split_part(substr(id, 3), '-', 1) AS BIGINT) * 10 + CAST(split_part(id, '-', 2) AS BIGINT))")
+
+# -- §2.1 -----------------------------------------------------------------------
+
+q("scan_patients", f"""
+SELECT id, name, age, gender, blood_group AS "bloodGroup", city, state,
+  {iso('registration_date')} AS "registrationDate", insurance_provider AS "insuranceProvider", category
+FROM patients ORDER BY id
+""")
+
+q("scan_appointments", f"""
+SELECT id, patient_id AS "patientId", doctor_id AS "doctorId", department, {iso('appointment_date')} AS "appointmentDate",
+  duration, status, CAST(revenue_generated AS DOUBLE) AS "revenueGenerated"
+FROM appointments ORDER BY id
+""")
+
+q("scan_doctors", """
+SELECT id, name, department, experience, consultation_fee AS "consultationFee", utilization FROM doctors ORDER BY id
+""")
+
+q("scan_departments", """
+SELECT id, name, beds_total AS "bedsTotal", beds_occupied AS "bedsOccupied",
+  CAST(kpi_satisfaction AS DOUBLE) AS "kpiSatisfaction", avg_wait_time AS "avgWaitTime"
+FROM departments ORDER BY name
+""")
+
+_SCAN_TX = f"""
+SELECT id, patient_id AS "patientId", appointment_id AS "appointmentId", {iso('date')} AS date,
+  CAST(amount AS DOUBLE) AS amount, type, CAST(insurance_coverage AS DOUBLE) AS "insuranceCoverage",
+  payment_type AS "paymentType", department
+FROM transactions ORDER BY id
+"""
+q("scan_transactions", _SCAN_TX)
+q("export_csv_frame", _SCAN_TX)
+
+q("insert_ignore", UPSERT + f"""
+, res AS (
+  SELECT * FROM tgt
+  UNION ALL
+  SELECT * FROM (SELECT * FROM src s WHERE NOT EXISTS (SELECT 1 FROM tgt t WHERE t.id = s.id)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY date, patient_id, appointment_id NULLS FIRST, amount,
+      type, insurance_coverage, payment_type, department) = 1))
+SELECT {TX_OUT} FROM res
+""")
+
+q("merge_upsert", UPSERT + f"""
+, res AS (
+  SELECT t.id, t.patient_id, t.appointment_id,
+    CASE WHEN t.date < s.date THEN s.date ELSE t.date END AS date,
+    CASE WHEN t.date < s.date THEN s.amount ELSE t.amount END AS amount,
+    t.type,
+    CASE WHEN t.date < s.date THEN s.insurance_coverage ELSE t.insurance_coverage END AS insurance_coverage,
+    CASE WHEN t.date < s.date THEN s.payment_type ELSE t.payment_type END AS payment_type,
+    t.department
+  FROM tgt t LEFT JOIN src s ON t.id = s.id
+  UNION ALL
+  SELECT * FROM src s WHERE NOT EXISTS (SELECT 1 FROM tgt t WHERE t.id = s.id))
+SELECT {TX_OUT} FROM res
+""")
+
+q("merge_stats", UPSERT + """
+SELECT COUNT(*) AS source_rows, COUNT(t.id) AS matched,
+  COUNT(*) FILTER (WHERE t.date < s.date) AS updated, COUNT(*) FILTER (WHERE t.id IS NULL) AS inserted
+FROM src s LEFT JOIN tgt t ON s.id = t.id
+""")
+
+q("adhoc_sql", """
+SELECT department, CAST(SUM(amount) AS DOUBLE) AS total_revenue, COUNT(*) AS transaction_count
+FROM transactions GROUP BY department ORDER BY SUM(amount) DESC, department LIMIT 1000
+""")
+
+q("adhoc_sql_capped", """
+SELECT id, CAST(amount AS DOUBLE) AS amount FROM transactions WHERE id IS NOT NULL AND amount > 0
+ORDER BY amount DESC, id LIMIT 1000
+""")
+
+q("adhoc_row_count", """
+SELECT COUNT(*) AS row_count FROM transactions WHERE type = 'Pharmacy'
+""")
+
+q("preset_top_earners", _Q["top_earners"][len(FIXTURE_CTE):])
+q("preset_geriatric_inpatients", """
+SELECT id, name, age, gender, blood_group, city FROM patients
+WHERE age > 75 AND category = 'Inpatient' ORDER BY age DESC, id LIMIT 10
+""")
+
+# -- §2.2 -----------------------------------------------------------------------
+
+q("out_of_pocket", """
+SELECT id, CAST(amount - insurance_coverage AS DOUBLE) AS out_of_pocket FROM transactions
+""")
+
+q("utilization_band", """
+SELECT id, utilization, CASE WHEN utilization > 85 THEN 'high' ELSE 'normal' END AS band FROM doctors
+""")
+
+q("time_buckets", """
+SELECT id, strftime(date, '%Y-%m') AS month, strftime(date, '%Y-%m-%d') AS day FROM transactions
+""")
+
+q("round_half_up", """
+SELECT id, CAST(FLOOR(insurance_coverage - amount + 0.5) AS BIGINT) AS rounded,
+  FLOOR((CAST(ROUND((insurance_coverage - amount) * 100) AS BIGINT) + 20) / 40.0) / 10 AS rounded_1dp
+FROM transactions
+""")
+
+q("entity_key", """
+SELECT id, printf('PT%06d', CAST(substr(id, 3) AS BIGINT)) AS key,
+  printf('PT%06d', CAST(substr(id, 3) AS BIGINT) * 1000) AS key_wide FROM patients
+""")
+
+q("api_shape_transactions", f"SELECT {TX_OUT} FROM transactions")
+
+_GROWTH = """
+, m AS (
+  SELECT strftime(registration_date, '%Y-%m') AS ts, COUNT(*) AS p, 0 AS a, 0 AS t FROM patients
+    WHERE registration_date IS NOT NULL GROUP BY 1
+  UNION ALL SELECT strftime(appointment_date, '%Y-%m'), 0, COUNT(*), 0 FROM appointments
+    WHERE appointment_date IS NOT NULL GROUP BY 1
+  UNION ALL SELECT strftime(date, '%Y-%m'), 0, 0, COUNT(*) FROM transactions WHERE date IS NOT NULL GROUP BY 1),
+g AS (SELECT ts, SUM(p) AS p, SUM(a) AS a, SUM(t) AS t FROM m GROUP BY ts),
+c AS (SELECT ts AS "timestamp",
+  CAST(SUM(p) OVER w AS {T}) AS "patientsCount", CAST(SUM(a) OVER w AS {T}) AS "appointmentsCount",
+  CAST(SUM(t) OVER w AS {T}) AS "transactionsCount"
+  FROM g WINDOW w AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT * FROM (SELECT * FROM c ORDER BY "timestamp" DESC LIMIT 12) ORDER BY "timestamp"
+"""
+q("growth_history", _GROWTH.replace("{T}", "BIGINT"))
+q("growth_history_json", _GROWTH.replace("{T}", "INTEGER"))
+
+# -- §2.3 -----------------------------------------------------------------------
+
+q("filter_patients", """
+SELECT id, name, state, category FROM patients WHERE state = 'ASIA' AND category = 'Inpatient'
+""")
+
+q("search_patients", """
+SELECT id, name FROM patients WHERE lower(name) LIKE '%customer#00000_2%' OR lower(id) LIKE '%customer#00000_2%'
+""")
+
+q("filter_appointments", """
+SELECT id, status, department FROM appointments WHERE status = 'Completed' AND department = 'NATION_3'
+""")
+
+q("filter_transactions", """
+SELECT id, type, payment_type FROM transactions WHERE type = 'Pharmacy' AND payment_type = 'Cash'
+""")
+
+q("silver_patients", """
+SELECT id, name, age FROM patients WHERE id IS NOT NULL AND name IS NOT NULL AND age > 0 AND age < 120
+""")
+
+q("silver_transactions", f"""
+SELECT {TX_OUT} FROM transactions WHERE id IS NOT NULL AND amount > 0
+""")
+
+q("experienced_doctors", """
+SELECT name, department, consultation_fee FROM doctors WHERE experience > 15
+""")
+
+q("geriatric_inpatients", """
+SELECT id, name, age, gender, blood_group, city FROM patients
+WHERE age > 75 AND category = 'Inpatient' ORDER BY age DESC, id LIMIT 10
+""")
+
+q("inpatient_count", """
+SELECT COUNT(*) FILTER (WHERE category = 'Inpatient') AS inpatients FROM patients
+""")
+
+q("doctor_sample", """
+SELECT id, name, department, consultation_fee, experience FROM doctors ORDER BY id LIMIT 10
+""")
+
+# -- §2.4 -----------------------------------------------------------------------
+
+q("tx_with_patient", """
+SELECT t.id, t.patient_id, p.insurance_provider FROM transactions t JOIN patients p ON t.patient_id = p.id
+""")
+
+q("doctor_appointments_left", """
+SELECT d.id, COUNT(a.id) AS appointments,
+  CAST(COALESCE(SUM(CASE WHEN a.status = 'Completed' THEN a.revenue_generated ELSE 0 END), 0) AS DOUBLE) AS revenue
+FROM doctors d LEFT JOIN appointments a ON d.id = a.doctor_id GROUP BY d.id
+""")
+
+q("doctor_appointments_inner", """
+SELECT d.id, a.id AS appointment_id, CAST(a.revenue_generated AS DOUBLE) AS revenue
+FROM doctors d JOIN appointments a ON d.id = a.doctor_id WHERE a.status = 'Completed'
+""")
+
+q("dept_cost_lookup", """
+SELECT t.department, CAST(COALESCE(NULLIF(c.cost, 0), 15000) AS BIGINT) AS cost
+FROM (SELECT DISTINCT department FROM transactions) t
+LEFT JOIN (SELECT name, MAX(25000 + beds_occupied * 450 + avg_wait_time * 150) AS cost
+           FROM departments GROUP BY name) c ON t.department = c.name
+""")
+
+q("provider_lookup_default", """
+SELECT t.id, COALESCE(p.insurance_provider, 'Self-Pay') AS insurance_provider
+FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
+""")
+
+q("anti_existing", """
+SELECT id FROM patients p WHERE NOT EXISTS (SELECT 1 FROM appointments a WHERE a.patient_id = p.id)
+""")
+
+# -- §2.6 -----------------------------------------------------------------------
+
+q("page_patients", f"""
+SELECT id, name, age, gender, blood_group AS "bloodGroup", city, state,
+  {iso('registration_date')} AS "registrationDate", insurance_provider AS "insuranceProvider", category
+FROM patients WHERE category = 'Inpatient' AND (lower(name) LIKE '%customer#%' OR lower(id) LIKE '%customer#%')
+ORDER BY id DESC LIMIT 10 OFFSET 10
+""")
+
+q("page_appointments", f"""
+SELECT id, patient_id AS "patientId", doctor_id AS "doctorId", department, {iso('appointment_date')} AS "appointmentDate",
+  duration, status, CAST(revenue_generated AS DOUBLE) AS "revenueGenerated"
+FROM appointments WHERE status = 'Completed' ORDER BY appointment_date DESC, id DESC LIMIT 10 OFFSET 20
+""")
+
+q("page_transactions", f"""
+SELECT id, patient_id AS "patientId", appointment_id AS "appointmentId", {iso('date')} AS date,
+  CAST(amount AS DOUBLE) AS amount, type, CAST(insurance_coverage AS DOUBLE) AS "insuranceCoverage",
+  payment_type AS "paymentType", department
+FROM transactions WHERE type = 'Lab Fee' ORDER BY date DESC, id DESC LIMIT 10 OFFSET 10
+""")
+
+q("page_info", """
+SELECT total, 2 AS page, 10 AS "limit", CAST(GREATEST(1, CEIL(total / 10)) AS BIGINT) AS total_pages,
+  CAST(11 AS BIGINT) AS first_row, CAST(LEAST(20, total) AS BIGINT) AS last_row
+FROM (SELECT COUNT(*) AS total FROM transactions WHERE type = 'Lab Fee')
+""")
+
+q("page_totals", """
+SELECT CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS page_amount,
+  CAST(COALESCE(SUM(insurance_coverage), 0) AS DOUBLE) AS page_coverage
+FROM (SELECT * FROM transactions WHERE type = 'Lab Fee' ORDER BY date DESC, id DESC LIMIT 10 OFFSET 10)
+""")
+
+q("recent_rows", f"""
+SELECT id, {iso('date')} AS date FROM transactions ORDER BY date DESC, id DESC LIMIT 250
+""")
+
+q("top_k", _Q["dept_profitability"][len(FIXTURE_CTE):].replace("SELECT r.department", "SELECT * FROM (SELECT r.department", 1)
+  + ") ORDER BY profit DESC, department LIMIT 5")
+
+q("latest_periods_ascending", """
+SELECT * FROM (SELECT strftime(appointment_date, '%Y-%m') AS month, COUNT(*) AS appointments
+  FROM appointments GROUP BY 1 ORDER BY month DESC LIMIT 6) ORDER BY month
+""")
+
+# -- §2.7 -----------------------------------------------------------------------
+
+q("appointment_revenue", """
+SELECT a.id, CAST(CASE WHEN a.status = 'Cancelled' THEN 0 ELSE d.consultation_fee END AS DOUBLE) AS revenue_generated
+FROM appointments a LEFT JOIN doctors d ON a.doctor_id = d.id
+""")
+
+q("billable_appointments", """
+SELECT id, status FROM appointments WHERE status IN ('Completed', 'Rescheduled')
+""")
+
+q("consultation_charges", f"""
+, ch AS (
+  SELECT printf('TX%06d', CAST(substr(a.id, 3) AS BIGINT)) AS id, a.patient_id, a.id AS appointment_id,
+    a.appointment_date AS date, a.revenue_generated AS amount, 'Consultation' AS type,
+    CASE WHEN p.insurance_provider = 'Self-Pay' THEN 0
+      ELSE FLOOR(a.revenue_generated * (CASE WHEN CAST(substr(a.id, 3) AS BIGINT) % 2 = 0 THEN 70 ELSE 85 END) / 100 + 0.5)
+    END AS insurance_coverage,
+    CASE WHEN p.insurance_provider = 'Self-Pay' THEN 'Cash' ELSE 'Insurance' END AS payment_type,
+    a.department
+  FROM appointments a LEFT JOIN patients p ON a.patient_id = p.id
+  WHERE a.status IN ('Completed', 'Rescheduled'))
+SELECT {TX_OUT} FROM ch
+""")
+
+q("ancillary_coverage", f"""
+SELECT t.id,
+  CAST(CASE WHEN p.insurance_provider = 'Self-Pay' THEN 0
+       ELSE FLOOR(t.amount * (60 + {TX_N.replace('id', 't.id')} % 31) / 100 + 0.5) END AS DOUBLE) AS insurance_coverage,
+  CASE WHEN p.insurance_provider = 'Self-Pay' THEN
+    CASE {TX_N.replace('id', 't.id')} % 3 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Credit Card' ELSE 'Debit Card' END
+  ELSE 'Insurance' END AS payment_type
+FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
+WHERE t.type <> 'Consultation'
+""")
+
+q("route_department", """
+SELECT t.id, t.type, CASE WHEN t.type = 'Emergency Services' THEN 'Emergency' WHEN t.type = 'Lab Fee' THEN 'Radiology'
+  ELSE d.department END AS department
+FROM transactions t LEFT JOIN doctors d ON d.id = 'DR' || split_part(t.id, '-', 4)
+""")
+
+q("appointment_link", """
+SELECT id, type, CASE WHEN type = 'Consultation' THEN 'AP' || split_part(substr(id, 3), '-', 1) END AS appointment_id
+FROM transactions
+""")
+
+# -- §2.8 -----------------------------------------------------------------------
+
+q("check_unique_key", """
+SELECT id, COUNT(*) AS occurrences FROM transactions GROUP BY id HAVING COUNT(*) > 1
+""")
+
+q("check_not_null", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM transactions"
+    for c in ["id", "patient_id", "appointment_id", "date", "amount", "type", "insurance_coverage",
+              "payment_type", "department"]))
+
+q("check_domain", """
+SELECT 'gender' AS "column", CAST(gender AS VARCHAR) AS value, COUNT(*) AS "rows" FROM patients
+  WHERE gender IS NOT NULL AND gender NOT IN ('Male', 'Female', 'Other') GROUP BY gender
+UNION ALL SELECT 'category', category, COUNT(*) FROM patients
+  WHERE category IS NOT NULL AND category NOT IN ('Inpatient', 'Outpatient', 'ER') GROUP BY category
+UNION ALL SELECT 'blood_group', blood_group, COUNT(*) FROM patients
+  WHERE blood_group IS NOT NULL AND blood_group NOT IN ('A+', 'A-', 'B+', 'B-', 'AB+', 'AB-', 'O+', 'O-') GROUP BY blood_group
+UNION ALL SELECT 'insurance_provider', insurance_provider, COUNT(*) FROM patients
+  WHERE insurance_provider IS NOT NULL
+    AND insurance_provider NOT IN ('HealthShield', 'AuraCare', 'MedLife', 'ApexPay', 'Self-Pay')
+  GROUP BY insurance_provider
+""")
+
+q("check_domain_rows", """
+SELECT id, type FROM transactions WHERE type IS NOT NULL AND type NOT IN ('Consultation', 'Lab Fee', 'Pharmacy')
+""")
+
+q("check_foreign_key", """
+SELECT 'appointments' AS child, 'patient_id' AS fk, 'patients' AS parent, COUNT(*) AS orphans FROM appointments c
+  WHERE c.patient_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM patients p WHERE p.id = c.patient_id)
+UNION ALL SELECT 'appointments', 'doctor_id', 'doctors', COUNT(*) FROM appointments c
+  WHERE c.doctor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM doctors p WHERE p.id = c.doctor_id)
+UNION ALL SELECT 'transactions', 'patient_id', 'patients', COUNT(*) FROM transactions c
+  WHERE c.patient_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM patients p WHERE p.id = c.patient_id)
+UNION ALL SELECT 'transactions', 'appointment_id', 'appointments', COUNT(*) FROM transactions c
+  WHERE c.appointment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM appointments p WHERE p.id = c.appointment_id)
+""")
+
+q("fill_defaults", """
+SELECT id, CAST(COALESCE(CASE WHEN status = 'Scheduled' THEN NULL ELSE duration END, 30) AS INT) AS duration
+FROM appointments
+""")
+
+q("dedupe_latest", UPSERT + f"""
+, allrows AS (SELECT * FROM tgt UNION ALL SELECT * FROM src),
+best AS (SELECT * FROM allrows QUALIFY row_number() OVER (PARTITION BY id ORDER BY date DESC NULLS LAST,
+  patient_id DESC NULLS LAST, appointment_id DESC NULLS LAST, amount DESC NULLS LAST, type DESC NULLS LAST,
+  insurance_coverage DESC NULLS LAST, payment_type DESC NULLS LAST, department DESC NULLS LAST) = 1)
+SELECT {TX_OUT} FROM best
+""")
+
+_PASS = """
+, pr AS (
+  SELECT 'patients' AS "table", COUNT(*) AS bronze_rows,
+    COUNT(*) FILTER (WHERE id IS NOT NULL AND name IS NOT NULL AND age > 0 AND age < 120) AS silver_rows FROM patients
+  UNION ALL
+  SELECT 'transactions', COUNT(*), COUNT(*) FILTER (WHERE id IS NOT NULL AND amount > 0) FROM transactions),
+rate AS (SELECT "table", bronze_rows, silver_rows,
+  CASE WHEN bronze_rows > 0 THEN CAST(silver_rows AS DOUBLE) * 100 / bronze_rows ELSE 100.0 END AS pass_rate FROM pr)
+"""
+q("silver_pass_rate", _PASS + "SELECT * FROM rate")
+q("threshold_band", _PASS + """SELECT "table", pass_rate,
+  CASE WHEN pass_rate >= 90 THEN 'green' WHEN pass_rate >= 70 THEN 'orange' ELSE 'red' END AS band FROM rate""")
+
+# -- §2.9 -----------------------------------------------------------------------
+
+q("append_with_keys", r"""
+SELECT printf('PT%06d', (SELECT MAX(CAST(regexp_extract(id, '(\d+)$', 1) AS BIGINT)) FROM patients)
+    + row_number() OVER (ORDER BY name, id)) AS id, name
+FROM patients WHERE age > 110
+""")
+
+# -- §2.10 ----------------------------------------------------------------------
+
+q("metrics_snapshot", """
+SELECT 'healthcare_simulator_patients_total' AS metric, 'counter' AS kind, CAST(COUNT(*) AS DOUBLE) AS value FROM patients
+UNION ALL SELECT 'healthcare_simulator_appointments_total', 'counter', CAST(COUNT(*) AS DOUBLE) FROM appointments
+UNION ALL SELECT 'healthcare_simulator_transactions_total', 'counter', CAST(COUNT(*) AS DOUBLE) FROM transactions
+UNION ALL SELECT 'healthcare_simulator_silver_integrity_percentage', 'gauge',
+  CAST(s AS DOUBLE) * 100 / b FROM (
+    SELECT (SELECT COUNT(*) FROM patients) + (SELECT COUNT(*) FROM transactions) AS b,
+      (SELECT COUNT(*) FROM patients WHERE id IS NOT NULL AND name IS NOT NULL AND age > 0 AND age < 120)
+      + (SELECT COUNT(*) FROM transactions WHERE id IS NOT NULL AND amount > 0) AS s)
+""")
+
+q("metric_last_value", f"""
+SELECT metric, {iso('ts')} AS ts, value FROM metric_samples WHERE value IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY metric ORDER BY ts DESC, value DESC) = 1
+""")
+
+q("metric_series", f"""
+SELECT {iso('ts')} AS ts, value FROM metric_samples
+WHERE metric = 'error' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00'
+""")
+
+q("threshold_alerts", f"""
+, rules AS (SELECT rule, metric, CAST(less_than AS DOUBLE) AS less_than, CAST(lookback_seconds AS INT) AS lookback_seconds,
+    no_data_alerts, severity, service FROM (VALUES
+  ('click low', 'click', 5.0, 3600, true, 'warning', 'web'),
+  ('purchase low', 'purchase', 20.0, 1800, true, 'critical', 'shop'),
+  ('heartbeat missing', 'heartbeat', 1.0, 60, true, 'critical', 'app'),
+  ('signup quiet', 'signup', 1.0, 600, false, 'info', 'growth'))
+  AS v(rule, metric, less_than, lookback_seconds, no_data_alerts, severity, service)),
+s AS (SELECT r.rule, m.ts, m.value FROM metric_samples m JOIN rules r ON m.metric = r.metric
+  WHERE m.value IS NOT NULL AND m.ts <= TIMESTAMP '2024-01-15 12:00:00'
+    AND m.ts >= TIMESTAMP '2024-01-15 12:00:00' - r.lookback_seconds * INTERVAL 1 SECOND),
+latest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY rule ORDER BY ts DESC, value DESC) = 1)
+SELECT r.rule, r.metric, {iso('l.ts')} AS ts, l.value, r.less_than, r.severity, r.service,
+  CASE WHEN l.value IS NULL THEN (CASE WHEN r.no_data_alerts THEN 'Alerting' ELSE 'NoData' END)
+       WHEN l.value < r.less_than THEN 'Alerting' ELSE 'Normal' END AS state
+FROM rules r LEFT JOIN latest l ON r.rule = l.rule
+""")
+
+q("status_text", """
+SELECT metric, up, CASE WHEN up >= 1 THEN 'UP' ELSE 'DOWN' END AS status FROM (
+  SELECT metric, CASE WHEN COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'
+    AND ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 1 HOUR) > 0 THEN 1 ELSE 0 END AS up
+  FROM metric_samples GROUP BY metric)
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

@@ -128,3 +128,473 @@ def _insurer_total(h: Hospital) -> DataFrame:
 @register("insurer_share")
 def _insurer_share(h: Hospital) -> DataFrame:
     return gold.insurer_share(gold.insurance_utilization(h.transactions, h.patients))
+
+
+# -- helpers for the registered forms -----------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .. import schemas as S  # noqa: E402
+from ..functions import scalars as X  # noqa: E402
+from ..operators import billing, joins, metrics, quality, registers, upsert  # noqa: E402
+from ..sources import tables  # noqa: E402
+from ..streaming.growth import growth_history  # noqa: E402
+from . import presets  # noqa: E402
+
+
+def _tx_out(df: DataFrame) -> DataFrame:
+    """Transactions with money as double and the date as ISO text (comparable)."""
+    return df.select("id", "patient_id", "appointment_id", X.iso_timestamp("date").alias("date"),
+                     F.col("amount").cast("double").alias("amount"), "type",
+                     F.col("insurance_coverage").cast("double").alias("insurance_coverage"),
+                     "payment_type", "department")
+
+
+def upsert_fixture(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Target: charges except Emergency Services.  Source: Emergency Services and
+    Pharmacy charges with Pharmacy dates moved a day (+1 for an even last id
+    digit, -1 for odd), amount + 10, paid Cash, department CHANGED."""
+    target = tx.where(F.col("type") != "Emergency Services")
+    even = (F.substring("id", -1, 1).cast("int") % 2) == 0
+    shift = F.when(F.col("type") != "Pharmacy", F.lit(0)).when(even, F.lit(1)).otherwise(F.lit(-1))
+    source = tx.where(F.col("type").isin("Emergency Services", "Pharmacy")).withColumns({
+        "date": F.col("date") + F.make_dt_interval(days=shift),
+        "amount": (F.col("amount") + 10).cast(S.MONEY),
+        "payment_type": F.lit("Cash"),
+        "department": F.lit("CHANGED"),
+    })
+    return target, source
+
+
+def _tx_number(id_col: str = "id"):
+    """Charge number of a fixture charge id TX<order>-<line>-...: order*10 + line."""
+    parts = F.split(F.substring(F.col(id_col), 3, 1 << 30), "-")
+    return parts.getItem(0).cast("bigint") * 10 + parts.getItem(1).cast("bigint")
+
+
+# -- §2.1 scans, sinks, upserts ----------------------------------------------
+
+@register("scan_patients")
+def _scan_patients(h: Hospital) -> DataFrame:
+    return tables.scan_patients(h.patients)
+
+
+@register("scan_appointments")
+def _scan_appointments(h: Hospital) -> DataFrame:
+    return tables.scan_appointments(h.appointments)
+
+
+@register("scan_doctors")
+def _scan_doctors(h: Hospital) -> DataFrame:
+    return tables.scan_doctors(h.doctors)
+
+
+@register("scan_departments")
+def _scan_departments(h: Hospital) -> DataFrame:
+    return tables.scan_departments(h.departments, order="name")
+
+
+@register("scan_transactions")
+def _scan_transactions(h: Hospital) -> DataFrame:
+    return tables.scan_transactions(h.transactions)
+
+
+@register("export_csv_frame")
+def _export_csv_frame(h: Hospital) -> DataFrame:
+    """The exported transaction CSV columns (camelCase, money as numbers)."""
+    df = tables.csv_frame(h.transactions, "transactions")
+    return df.withColumn("date", X.iso_timestamp("date"))
+
+
+@register("insert_ignore")
+def _insert_ignore(h: Hospital) -> DataFrame:
+    target, source = upsert_fixture(h.transactions)
+    return _tx_out(upsert.insert_ignore(target, source, order_col="date"))
+
+
+@register("merge_upsert")
+def _merge_upsert(h: Hospital) -> DataFrame:
+    target, source = upsert_fixture(h.transactions)
+    return _tx_out(upsert.merge_upsert(target, source))
+
+
+@register("merge_stats")
+def _merge_stats(h: Hospital) -> DataFrame:
+    target, source = upsert_fixture(h.transactions)
+    return upsert.merge_stats(target, source)
+
+
+@register("adhoc_sql")
+def _adhoc_sql(h: Hospital) -> DataFrame:
+    """The department revenue preset through register_views + adhoc_sql."""
+    spark = h.transactions.sparkSession
+    presets.register_views(spark, h.as_dict())
+    res = presets.adhoc_sql(spark, presets.PRESETS["department_revenue_summary"])
+    return res.rows.select("department", F.col("total_revenue").cast("double").alias("total_revenue"),
+                           "transaction_count")
+
+
+@register("adhoc_sql_capped")
+def _adhoc_sql_capped(h: Hospital) -> DataFrame:
+    """A query with more rows than the cap: the first 1000 rows in its order."""
+    spark = h.transactions.sparkSession
+    presets.register_views(spark, h.as_dict())
+    res = presets.adhoc_sql(spark, "SELECT id, CAST(amount AS DOUBLE) AS amount FROM silver_transactions "
+                                   "ORDER BY amount DESC, id")
+    return res.rows
+
+
+@register("adhoc_row_count")
+def _adhoc_row_count(h: Hospital) -> DataFrame:
+    spark = h.transactions.sparkSession
+    presets.register_views(spark, h.as_dict())
+    res = presets.adhoc_sql(spark, "select id from bronze_transactions where type = 'Pharmacy'")
+    return res.full.agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@register("preset_top_earners")
+def _preset_top_earners(h: Hospital) -> DataFrame:
+    spark = h.transactions.sparkSession
+    presets.register_views(spark, h.as_dict())
+    return presets.run_preset(spark, "top_earners").withColumn(
+        "total_earned", F.col("total_earned").cast("double"))
+
+
+@register("preset_geriatric_inpatients")
+def _preset_geriatric(h: Hospital) -> DataFrame:
+    spark = h.transactions.sparkSession
+    presets.register_views(spark, h.as_dict())
+    return presets.run_preset(spark, "geriatric_inpatients")
+
+
+# -- §2.2 scalar expressions ---------------------------------------------------
+
+@register("out_of_pocket")
+def _out_of_pocket(h: Hospital) -> DataFrame:
+    return h.transactions.select("id", X.out_of_pocket().cast("double").alias("out_of_pocket"))
+
+
+@register("utilization_band")
+def _utilization_band(h: Hospital) -> DataFrame:
+    return h.doctors.select("id", "utilization", X.utilization_band().alias("band"))
+
+
+@register("time_buckets")
+def _time_buckets(h: Hospital) -> DataFrame:
+    return h.transactions.select("id", X.month_bucket("date").alias("month"), X.day_bucket("date").alias("day"))
+
+
+@register("round_half_up")
+def _round_half_up(h: Hospital) -> DataFrame:
+    d = F.col("insurance_coverage") - F.col("amount")
+    return h.transactions.select("id", X.round_half_up(d).alias("rounded"),
+                                 X.round_half_up(d / 4, 1).alias("rounded_1dp"))
+
+
+@register("entity_key")
+def _entity_key(h: Hospital) -> DataFrame:
+    n = X.entity_number("id", "PT")
+    return h.patients.select("id", X.entity_key("PT", n).alias("key"),
+                             X.entity_key("PT", n * 1000).alias("key_wide"))
+
+
+@register("api_shape_transactions")
+def _api_shape(h: Hospital) -> DataFrame:
+    df = X.to_api_types(X.to_api_names(h.transactions, "transactions"), "transactions")
+    return X.to_storage_names(df, "transactions")
+
+
+@register("growth_history_json")
+def _growth_history_json(h: Hospital) -> DataFrame:
+    """pack -> parse round trip of the history JSON."""
+    packed = X.pack_growth_history(growth_history(h.patients, h.appointments, h.transactions))
+    return X.parse_growth_history(packed)
+
+
+# -- §2.3 filters ----------------------------------------------------------------
+
+@register("filter_patients")
+def _filter_patients(h: Hospital) -> DataFrame:
+    return registers.filter_patients(h.patients, state="ASIA", category="Inpatient").select(
+        "id", "name", "state", "category")
+
+
+@register("search_patients")
+def _search_patients(h: Hospital) -> DataFrame:
+    return registers.search_patients(h.patients, "CUSTOMER#00000_2").select("id", "name")
+
+
+@register("filter_appointments")
+def _filter_appointments(h: Hospital) -> DataFrame:
+    return registers.filter_appointments(h.appointments, status="Completed", department="NATION_3").select(
+        "id", "status", "department")
+
+
+@register("filter_transactions")
+def _filter_transactions(h: Hospital) -> DataFrame:
+    return registers.filter_transactions(h.transactions, type="Pharmacy", payment_type="Cash").select(
+        "id", "type", "payment_type")
+
+
+@register("silver_patients")
+def _silver_patients(h: Hospital) -> DataFrame:
+    return quality.silver_patients(h.patients, lineage=False).select("id", "name", "age")
+
+
+@register("silver_transactions")
+def _silver_transactions(h: Hospital) -> DataFrame:
+    return _tx_out(quality.silver_transactions(h.transactions, lineage=False))
+
+
+@register("experienced_doctors")
+def _experienced_doctors(h: Hospital) -> DataFrame:
+    return registers.experienced_doctors(h.doctors)
+
+
+@register("geriatric_inpatients")
+def _geriatric_inpatients(h: Hospital) -> DataFrame:
+    return registers.geriatric_inpatients(h.patients)
+
+
+@register("inpatient_count")
+def _inpatient_count(h: Hospital) -> DataFrame:
+    return registers.inpatient_count(h.patients)
+
+
+@register("doctor_sample")
+def _doctor_sample(h: Hospital) -> DataFrame:
+    return registers.doctor_sample(h.doctors)
+
+
+# -- §2.4 joins ------------------------------------------------------------------
+
+@register("tx_with_patient")
+def _tx_with_patient(h: Hospital) -> DataFrame:
+    return joins.tx_with_patient(h.transactions, h.patients).select("id", "patient_id", "insurance_provider")
+
+
+@register("doctor_appointments_left")
+def _doctor_appointments_left(h: Hospital) -> DataFrame:
+    return joins.doctor_appointments_left(h.doctors, h.appointments).select(
+        "id", "appointments", F.col("revenue").cast("double").alias("revenue"))
+
+
+@register("doctor_appointments_inner")
+def _doctor_appointments_inner(h: Hospital) -> DataFrame:
+    return joins.doctor_appointments_inner(h.doctors, h.appointments).select(
+        "id", "appointment_id", F.col("revenue_generated").cast("double").alias("revenue"))
+
+
+@register("dept_cost_lookup")
+def _dept_cost_lookup(h: Hospital) -> DataFrame:
+    depts = h.transactions.select("department").distinct()
+    return joins.dept_cost_lookup(depts, h.departments)
+
+
+@register("provider_lookup_default")
+def _provider_lookup_default(h: Hospital) -> DataFrame:
+    return joins.provider_lookup_default(h.transactions, h.patients).select("id", "insurance_provider")
+
+
+@register("anti_existing")
+def _anti_existing(h: Hospital) -> DataFrame:
+    """Patients without any appointment."""
+    return joins.anti_existing(h.patients.select("id"), h.appointments.select(F.col("patient_id").alias("id")), "id")
+
+
+# -- §2.6 paging and top-k ---------------------------------------------------------
+
+@register("page_patients")
+def _page_patients(h: Hospital) -> DataFrame:
+    return registers.page_patients(h.patients, page_no=2, limit=10, category="Inpatient", search="customer#")
+
+
+@register("page_appointments")
+def _page_appointments(h: Hospital) -> DataFrame:
+    return registers.page_appointments(h.appointments, page_no=3, limit=10, status="Completed")
+
+
+@register("page_transactions")
+def _page_transactions(h: Hospital) -> DataFrame:
+    return registers.page_transactions(h.transactions, page_no=2, limit=10, type="Lab Fee")
+
+
+@register("page_info")
+def _page_info(h: Hospital) -> DataFrame:
+    return registers.page_info(registers.filter_transactions(h.transactions, type="Lab Fee"), page_no=2, limit=10)
+
+
+@register("page_totals")
+def _page_totals(h: Hospital) -> DataFrame:
+    pg = registers.page(registers.filter_transactions(h.transactions, type="Lab Fee"),
+                        [F.col("date").desc(), F.col("id").desc()], 2, 10)
+    return gold.page_totals(pg)
+
+
+@register("recent_rows")
+def _recent_rows(h: Hospital) -> DataFrame:
+    return registers.recent_rows(h.transactions, "date").select("id", X.iso_timestamp("date").alias("date"))
+
+
+@register("top_k")
+def _top_k(h: Hospital) -> DataFrame:
+    return registers.top_k(gold.dept_profitability(h.transactions, h.departments), "profit", 5, "department")
+
+
+@register("latest_periods_ascending")
+def _latest_periods(h: Hospital) -> DataFrame:
+    per = h.appointments.groupBy(X.month_bucket("appointment_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("appointments"))
+    return registers.latest_periods_ascending(per, "month", 6)
+
+
+# -- §2.7 billing -------------------------------------------------------------------
+
+@register("appointment_revenue")
+def _appointment_revenue(h: Hospital) -> DataFrame:
+    return billing.appointment_revenue(h.appointments, h.doctors).select(
+        "id", F.col("revenue_generated").cast("double").alias("revenue_generated"))
+
+
+@register("billable_appointments")
+def _billable_appointments(h: Hospital) -> DataFrame:
+    return billing.billable_appointments(h.appointments).select("id", "status")
+
+
+@register("consultation_charges")
+def _consultation_charges(h: Hospital) -> DataFrame:
+    return _tx_out(billing.consultation_charges(h.appointments, h.patients))
+
+
+@register("ancillary_coverage")
+def _ancillary_coverage(h: Hospital) -> DataFrame:
+    anc = h.transactions.where(F.col("type") != "Consultation")
+    out = billing.ancillary_coverage(anc, h.patients, _tx_number())
+    return out.select("id", F.col("insurance_coverage").cast("double").alias("insurance_coverage"), "payment_type")
+
+
+@register("route_department")
+def _route_department(h: Hospital) -> DataFrame:
+    doc_id = F.concat(F.lit("DR"), F.split(F.col("id"), "-").getItem(3))
+    tx = h.transactions.select("id", "type", doc_id.alias("doctor_id"))
+    d = h.doctors.select(F.col("id").alias("doctor_id"), F.col("department").alias("doctor_department"))
+    return tx.join(d, "doctor_id", "left").select("id", "type", billing.route_department().alias("department"))
+
+
+@register("appointment_link")
+def _appointment_link(h: Hospital) -> DataFrame:
+    ap_id = F.concat(F.lit("AP"), F.split(F.substring(F.col("id"), 3, 1 << 30), "-").getItem(0))
+    return h.transactions.select("id", "type", billing.appointment_link("type", ap_id).alias("appointment_id"))
+
+
+# -- §2.8 quality ----------------------------------------------------------------------
+
+@register("check_unique_key")
+def _check_unique_key(h: Hospital) -> DataFrame:
+    return quality.check_unique_key(h.transactions)
+
+
+@register("check_not_null")
+def _check_not_null(h: Hospital) -> DataFrame:
+    return quality.check_not_null(h.transactions, S.storage_columns("transactions"))
+
+
+@register("check_domain")
+def _check_domain(h: Hospital) -> DataFrame:
+    return quality.check_domains(h.patients, "patients")
+
+
+@register("check_domain_rows")
+def _check_domain_rows(h: Hospital) -> DataFrame:
+    return quality.check_domain(h.transactions, "type", ["Consultation", "Lab Fee", "Pharmacy"])
+
+
+@register("check_foreign_key")
+def _check_foreign_key(h: Hospital) -> DataFrame:
+    return quality.check_all_foreign_keys(h.as_dict())
+
+
+@register("fill_defaults")
+def _fill_defaults(h: Hospital) -> DataFrame:
+    ap = h.appointments.withColumn("duration", F.when(F.col("status") == "Scheduled", F.lit(None))
+                                   .otherwise(F.col("duration")).cast("int"))
+    return quality.fill_defaults(ap, "appointments").select("id", "duration")
+
+
+@register("dedupe_latest")
+def _dedupe_latest(h: Hospital) -> DataFrame:
+    target, source = upsert_fixture(h.transactions)
+    both = target.unionByName(source)
+    return _tx_out(quality.dedupe_latest(both, "id", "date"))
+
+
+@register("silver_pass_rate")
+def _silver_pass_rate(h: Hospital) -> DataFrame:
+    p = quality.silver_pass_rate(h.patients, quality.silver_patients_rule()).withColumn("table", F.lit("patients"))
+    t = quality.silver_pass_rate(h.transactions, quality.silver_transactions_rule()).withColumn(
+        "table", F.lit("transactions"))
+    return p.unionByName(t)
+
+
+# -- §2.9 incremental ------------------------------------------------------------------
+
+@register("growth_history")
+def _growth_history(h: Hospital) -> DataFrame:
+    return growth_history(h.patients, h.appointments, h.transactions)
+
+
+@register("append_with_keys")
+def _append_with_keys(h: Hospital) -> DataFrame:
+    """Patients older than 110 re-registered as new patients, numbered after the
+    highest existing patient number in name order."""
+    spark = h.patients.sparkSession
+    batch = h.patients.where(F.col("age") > 110).select("id", "name")
+    out = upsert.append_with_keys(spark, h.patients, batch, "PT", 6, order_by=["name", "id"])
+    return out.select("id", "name")
+
+
+# -- §2.10 metrics ------------------------------------------------------------------------
+
+ALERT_NOW = "2024-01-15 12:00:00"
+ALERT_RULES = [
+    ("click low", "click", 5.0, 3600, True, "warning", "web"),
+    ("purchase low", "purchase", 20.0, 1800, True, "critical", "shop"),
+    ("heartbeat missing", "heartbeat", 1.0, 60, True, "critical", "app"),
+    ("signup quiet", "signup", 1.0, 600, False, "info", "growth"),
+]
+
+
+@register("metrics_snapshot")
+def _metrics_snapshot(h: Hospital) -> DataFrame:
+    return metrics.metrics_snapshot(h.as_dict())
+
+
+@register("metric_last_value")
+def _metric_last_value(h: Hospital) -> DataFrame:
+    return metrics.metric_last_value(h.metric_samples).withColumn("ts", X.iso_timestamp("ts"))
+
+
+@register("metric_series")
+def _metric_series(h: Hospital) -> DataFrame:
+    return metrics.metric_series(h.metric_samples, "error", "2024-01-10 00:00:00", "2024-01-12 00:00:00") \
+        .withColumn("ts", X.iso_timestamp("ts"))
+
+
+@register("threshold_alerts")
+def _threshold_alerts(h: Hospital) -> DataFrame:
+    rules = metrics.rules_frame(h.metric_samples.sparkSession, ALERT_RULES)
+    return metrics.threshold_alerts(h.metric_samples, rules, ALERT_NOW).withColumn("ts", X.iso_timestamp("ts"))
+
+
+@register("threshold_band")
+def _threshold_band(h: Hospital) -> DataFrame:
+    return _silver_pass_rate(h).select("table", "pass_rate", metrics.threshold_band("pass_rate").alias("band"))
+
+
+@register("status_text")
+def _status_text(h: Hospital) -> DataFrame:
+    """Per metric: 1 when it has a sample in the hour before ALERT_NOW -> UP/DOWN."""
+    now = F.lit(ALERT_NOW).cast("timestamp")
+    recent = F.count_if((F.col("ts") <= now) & (F.col("ts") > now - F.expr("INTERVAL 1 HOUR")))
+    up = h.metric_samples.groupBy("metric").agg(F.when(recent > 0, 1).otherwise(0).alias("up"))
+    return up.select("metric", "up", metrics.status_text("up").alias("status"))
