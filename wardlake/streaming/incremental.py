@@ -27,10 +27,12 @@ POINTER = "_committed"
 
 
 def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str = "parquet",
-                  api_names: bool = False) -> DataFrame:
+                  api_names: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of landing files for ``table`` with the declared schema."""
     schema = S.api_schema(table) if api_names else S.bronze_schema(table)
     reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         reader = (reader.option("header", True).option("nullValue", "NULL").option("escape", '"')
                   .option("timestampFormat", CSV_TIMESTAMP))
@@ -43,10 +45,10 @@ def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str =
 
 def stream_bronze_append(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str,
                          checkpoint: str, fmt: str = "parquet", api_names: bool = False,
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Pick up new landing files and append them to Bronze (exactly once through
     the checkpoint's file log)."""
-    df = bronze_stream(spark, landing_dir, table, fmt, api_names)
+    df = bronze_stream(spark, landing_dir, table, fmt, api_names, max_files_per_trigger)
     w = (df.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", f"{bronze_dir.rstrip('/')}/{table}"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
