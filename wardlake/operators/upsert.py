@@ -53,20 +53,20 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys=("id",), order_col:
     src = source.select(*cols)
     if dedupe_source:
         src = dedupe_latest(src, keys, order_col)
-    t = target.select(*keys, F.struct(*[F.col(c) for c in cols]).alias("_t"))
-    s = src.select(*keys, F.struct(*[F.col(c) for c in cols]).alias("_s"))
+    rest = [c for c in cols if c not in keys]
+    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in rest], F.lit(True).alias("_t_in"))
+    s = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in rest], F.lit(True).alias("_s_in"))
     j = t.join(s, keys, "full_outer")
-    matched = F.col("_t").isNotNull() & F.col("_s").isNotNull()
-    newer = matched & (F.col(f"_t.{order_col}") < F.col(f"_s.{order_col}"))
+    t_missing = F.col("_t_in").isNull()
+    newer = F.col("_s_in") & (F.col(f"_t_{order_col}") < F.col(f"_s_{order_col}"))
     out = []
     for c in cols:
         if c in keys:
             out.append(F.col(c))
         elif c in update_cols:
-            out.append(F.when(F.col("_t").isNull(), F.col(f"_s.{c}"))
-                       .when(newer, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c))
+            out.append(F.when(t_missing | newer, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c))
         else:
-            out.append(F.when(F.col("_t").isNull(), F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c))
+            out.append(F.when(t_missing, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c))
     return j.select(*out)
 
 
