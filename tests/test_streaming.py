@@ -82,3 +82,17 @@ def test_pipeline_counts_stream(spark, tmp_dir):
     q.stop()
     assert got == {"transactions": 2, "other": 1}
     assert spark.sql("SELECT 1").count() == 1 and F is not None
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_dir):
+    silver = os.path.join(tmp_dir, "silver")
+    rows = [tx_row(f"T{i}", amount=i + 1) for i in range(40)]
+    inc.silver_upsert_batch(spark, frame(spark, "transactions", rows), 0, silver, n_buckets=8)
+    first = sorted(os.listdir(os.path.join(silver, "data", "v=0")))
+    assert len([d for d in first if d.startswith("bucket=")]) == 8
+    upd = frame(spark, "transactions", [tx_row("T3", date="2024-02-01 00:00:00", amount=500)])
+    inc.silver_upsert_batch(spark, upd, 1, silver, n_buckets=8)
+    second = [d for d in os.listdir(os.path.join(silver, "data", "v=1")) if d.startswith("bucket=")]
+    assert len(second) == 1
+    got = {r.id: float(r.amount) for r in inc.read_silver(spark, silver).collect()}
+    assert len(got) == 40 and got["T3"] == 500.0 and got["T4"] == 5.0

@@ -3,9 +3,10 @@
 * ``stream_bronze_append``: new landing files -> typed Bronze rows (append).
 * ``stream_silver_upsert``: each micro-batch of Bronze transactions passes the
   Silver rule, is reduced to its newest row per id and MERGEd into Silver.
-  Silver is a sequence of immutable versions ``v=<batch_id>`` plus a pointer
-  naming the committed one: a re-run of a batch (after a failure) rewrites the
-  same version, so every batch is applied exactly once.  Late data: an older
+  Silver is bucketed by an id hash; a batch rewrites only the buckets it
+  touches, as version ``v=<batch_id>``, then a manifest and a committed-version
+  pointer: a re-run of a batch (after a failure) rewrites the same folders, so
+  every batch is applied exactly once.  Late data: an older
   row for a known id loses to the kept one (the merge's date guard); an unseen
   id is inserted however late it comes.
 * ``stream_pipeline_counts``: running row counts per table (complete mode).
@@ -64,28 +65,81 @@ def committed_version(spark: SparkSession, silver_dir: str) -> int | None:
     return None if row is None or row[0] is None else int(row[0])
 
 
+MANIFEST_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+
+
+def _manifest(spark: SparkSession, base: str, version: int | None) -> DataFrame:
+    if version is None:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/_manifest/v={version}")
+
+
+def bucket_of(key_cols, n_buckets: int):
+    """Id-hash bucket of a row (stable across runs and engines' partitioning)."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key_cols]), F.lit(n_buckets)).cast("int")
+
+
+def _bucket_paths(base: str, manifest_rows) -> list[str]:
+    return [f"{base}/data/v={v}/bucket={b}" for b, v in manifest_rows]
+
+
 def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions") -> DataFrame:
+    """The committed Silver table: for every bucket, its latest version."""
+    base = silver_dir.rstrip("/")
     v = committed_version(spark, silver_dir)
+    schema = S.bronze_schema(table)
     if v is None:
-        return spark.createDataFrame([], S.bronze_schema(table))
-    return spark.read.schema(S.bronze_schema(table)).parquet(f"{silver_dir.rstrip('/')}/v={v}")
+        return spark.createDataFrame([], schema)
+    # the manifest has one small row per bucket (bounded by n_buckets, not by data)
+    paths = _bucket_paths(base, [(r.bucket, r.version) for r in _manifest(spark, base, v).collect()])
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{base}/data").parquet(*paths).select(*schema.names)
 
 
 def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, silver_dir: str,
                         table: str = "transactions", order_col: str = "date", keys=("id",),
-                        update_cols=("amount", "insurance_coverage", "payment_type", "date")) -> None:
+                        update_cols=("amount", "insurance_coverage", "payment_type", "date"),
+                        n_buckets: int = 64) -> None:
     """Apply one micro-batch: Silver rule -> newest per id -> MERGE into the
-    committed version -> write version ``batch_id`` -> move the pointer."""
+    committed Silver, rewriting only the id-hash buckets the batch touches.
+
+    Layout: ``data/v=<batch>/bucket=<k>`` parquet folders, a manifest
+    ``_manifest/v=<batch>`` naming each bucket's current version, and the
+    committed-version pointer.  A batch reads the touched buckets' current
+    versions, writes their merged rows as version ``batch_id`` (overwrite:
+    a replay rewrites the same folders), then a new manifest, then moves the
+    pointer.  Cost per batch is proportional to the touched buckets, not to
+    the whole table; untouched buckets are never read or rewritten."""
     base = silver_dir.rstrip("/")
+    keys = list(keys)
     current = committed_version(spark, silver_dir)
     if current is not None and current >= batch_id:
         return  # already applied (a replayed batch after the pointer moved)
     rule = SILVER_RULES.get(table)
     clean = batch.where(rule()) if rule else batch
-    clean = dedupe_latest(clean, list(keys), order_col)
-    target = read_silver(spark, silver_dir, table)
-    merged = merge_upsert(target, clean, keys, order_col, update_cols, dedupe_source=False)
-    merged.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+    clean = dedupe_latest(clean.select(*S.bronze_schema(table).names), keys, order_col)
+    clean = clean.withColumn("bucket", bucket_of(keys, n_buckets))
+    touched = {r.bucket for r in clean.select("bucket").distinct().collect()}  # <= n_buckets ints
+    if not touched:
+        return
+    man = {r.bucket: r.version for r in _manifest(spark, base, current).collect()}  # <= n_buckets rows
+    schema = S.bronze_schema(table)
+    old_paths = _bucket_paths(base, [(b, man[b]) for b in sorted(touched) if b in man])
+    if old_paths:
+        target = (spark.read.schema(T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())]))
+                  .option("basePath", f"{base}/data")
+                  .parquet(*old_paths))
+        target = target.withColumn("bucket", bucket_of(keys, n_buckets)).select(*schema.names, "bucket")
+    else:
+        target = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())]))
+    merged = merge_upsert(target, clean.select(*schema.names, "bucket"), keys, order_col, update_cols,
+                          dedupe_source=False)
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
+    new_man = dict(man)
+    new_man.update({b: batch_id for b in touched})
+    spark.createDataFrame(sorted(new_man.items()), MANIFEST_SCHEMA).coalesce(1) \
+        .write.mode("overwrite").json(f"{base}/_manifest/v={batch_id}")
     spark.createDataFrame([(batch_id,)], T.StructType([T.StructField("version", T.LongType())])) \
         .coalesce(1).write.mode("overwrite").json(f"{base}/{POINTER}")
 
