@@ -96,3 +96,21 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_dir):
     assert len(second) == 1
     got = {r.id: float(r.amount) for r in inc.read_silver(spark, silver).collect()}
     assert len(got) == 40 and got["T3"] == 500.0 and got["T4"] == 5.0
+
+
+def test_growth_history_stream(spark, tmp_dir):
+    from tests.helpers import ap_row, pt_row
+    from wardlake.streaming.growth import read_growth_history, stream_growth_history
+    landing, hist, ck = (os.path.join(tmp_dir, x) for x in ("landing", "hist", "ck"))
+    _write(frame(spark, "patients", [pt_row("P1"), pt_row("P2")]), f"{landing}/pt/f1")
+    _write(frame(spark, "appointments", [ap_row("A1")]), f"{landing}/ap/f1")
+    _write(frame(spark, "transactions", [tx_row("T1"), tx_row("T2"), tx_row("T3")]), f"{landing}/tx/f1")
+    streams = {"patients": inc.bronze_stream(spark, f"{landing}/pt/*", "patients"),
+               "appointments": inc.bronze_stream(spark, f"{landing}/ap/*", "appointments"),
+               "transactions": inc.bronze_stream(spark, f"{landing}/tx/*", "transactions")}
+    stream_growth_history(spark, streams, hist, ck, month="2024-05").awaitTermination()
+    _write(frame(spark, "patients", [pt_row("P3")]), f"{landing}/pt/f2")
+    streams["patients"] = inc.bronze_stream(spark, f"{landing}/pt/*", "patients")
+    stream_growth_history(spark, streams, hist, ck, month="2024-06").awaitTermination()
+    rows = [tuple(r) for r in read_growth_history(spark, hist).collect()]
+    assert rows == [("2024-05", 2, 1, 3), ("2024-06", 3, 1, 3)]

@@ -157,3 +157,19 @@ def test_scans_api_shape(spark):
     assert [r.id for r in tables.scan_departments(deps).collect()] == ["D1", "D2"]
     snap = tables.jdbc_snapshot(spark, "/root/testdata/sf0.001/orders.parquet", "orders", ["o_orderkey", "o_custkey"])
     assert snap.columns == ["o_orderkey", "o_custkey"] and snap.count() > 0
+
+
+def test_write_bronze_layout_and_register(spark, tmp_dir):
+    from wardlake.operators import registers
+    txs = frame(spark, "transactions", [tx_row("T1", date="2024-01-05 00:00:00"),
+                                        tx_row("T2", date="2024-02-05 00:00:00")])
+    path = os.path.join(tmp_dir, "bz")
+    tables.write_bronze(txs, "transactions", path, month_partitions=True)
+    assert sorted(d for d in os.listdir(path) if d.startswith("month=")) == ["month=2024-01", "month=2024-02"]
+    back = spark.read.parquet(path).where("month = '2024-02'")
+    assert [r.id for r in back.collect()] == ["T2"]
+    pts = frame(spark, "patients", [pt_row(f"PT{i}", state="OH" if i % 2 else "TX") for i in range(5)])
+    reg = registers.patient_register(pts, 1, 2, state="OH")
+    assert reg["info"].first().total == 2 and reg["page"].count() == 2
+    assert [r.state for r in reg["states"].collect()] == ["OH", "TX"]
+    assert reg["categories"].count() == 3

@@ -68,7 +68,10 @@ def provider_lookup_default(tx: DataFrame, pt: DataFrame) -> DataFrame:
             .withColumn("insurance_provider", F.coalesce("insurance_provider", F.lit(S.SELF_PAY))))
 
 
-def anti_existing(a: DataFrame, b: DataFrame, keys) -> DataFrame:
-    """Rows of ``a`` with no key match in ``b``."""
+def anti_existing(a: DataFrame, b: DataFrame, keys, distinct_right: bool = True) -> DataFrame:
+    """Rows of ``a`` with no key match in ``b``.  The right side is reduced to
+    its distinct keys first (partial aggregation), so a large right side with
+    repeated keys ships each key once per task, not once per row."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return a.join(b.select(*keys), keys, "left_anti")
+    right = b.select(*keys)
+    return a.join(right.distinct() if distinct_right else right, keys, "left_anti")

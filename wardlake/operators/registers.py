@@ -111,6 +111,21 @@ def page_patients(pt: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_S
     return to_api_types(to_api_names(out.select(*S.storage_columns("patients")), "patients"), "patients")
 
 
+def patient_register(pt: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE,
+                     state: str | None = None, category: str | None = None,
+                     search: str | None = None) -> dict[str, DataFrame]:
+    """Everything the patient register shows: the page, the page info (total
+    after filters), the distinct states (of all patients) and the categories."""
+    filtered = search_patients(filter_patients(pt, state, category), search)
+    spark = pt.sparkSession
+    return {
+        "page": page_patients(pt, page_no, limit, state, category, search),
+        "info": page_info(filtered, page_no, limit),
+        "states": pt.select("state").distinct().orderBy("state"),
+        "categories": spark.createDataFrame([(c,) for c in S.CATEGORIES], "category string"),
+    }
+
+
 def page_appointments(ap: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE,
                       status: str | None = None, department: str | None = None) -> DataFrame:
     df = filter_appointments(ap, status, department)

@@ -10,6 +10,7 @@ month's totals into the kept history after each micro-batch.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -50,3 +51,58 @@ def update_growth_history(history: DataFrame, month: str, counts: DataFrame,
     cur = counts.select(F.lit(month).alias("timestamp"), *[F.col(c).cast("bigint").alias(c) for c in COUNT_COLUMNS])
     kept = history.where(F.col("timestamp") != F.lit(month)).select("timestamp", *COUNT_COLUMNS)
     return kept.unionByName(cur).orderBy(F.col("timestamp").desc()).limit(months).orderBy("timestamp")
+
+
+def stream_growth_history(spark, streams: dict, history_dir: str, checkpoint: str,
+                          month: str | None = None, available_now: bool = True):
+    """Keep the growth history current as rows arrive.
+
+    ``streams`` maps 'patients' / 'appointments' / 'transactions' to streaming
+    frames of new rows.  Each micro-batch counts its rows per table (one small
+    aggregate), adds them to the latest totals in the history, upserts the
+    current month and keeps the last 12 months.  The history is written as
+    version ``v=<batch_id>`` with a committed pointer, so a replayed batch
+    rewrites the same version."""
+    from pyspark.sql import types as T
+
+    from .incremental import POINTER, committed_version
+
+    base = history_dir.rstrip("/")
+    col_of = {"patients": "patientsCount", "appointments": "appointmentsCount",
+              "transactions": "transactionsCount"}
+    tagged = None
+    for name, df in streams.items():
+        t = df.select(F.lit(col_of[name]).alias("counter"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    schema = T.StructType([T.StructField("timestamp", T.StringType())]
+                          + [T.StructField(c, T.LongType()) for c in COUNT_COLUMNS])
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        cur = committed_version(s, base)
+        if cur is not None and cur >= batch_id:
+            return
+        hist = (s.read.schema(schema).parquet(f"{base}/v={cur}") if cur is not None
+                else s.createDataFrame([], schema))
+        latest = hist.orderBy(F.col("timestamp").desc()).limit(1)
+        added = batch.groupBy().agg(*[F.count_if(F.col("counter") == c).alias(c) for c in COUNT_COLUMNS])
+        prev = latest.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS])
+        totals = prev.unionByName(added).agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+        month_text = month or datetime.now(timezone.utc).strftime("%Y-%m")
+        new = update_growth_history(hist, month_text, totals)
+        new.coalesce(1).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        s.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").json(
+            f"{base}/{POINTER}")
+
+    w = tagged.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def read_growth_history(spark, history_dir: str) -> DataFrame:
+    from .incremental import committed_version
+    v = committed_version(spark, history_dir)
+    if v is None:
+        return spark.createDataFrame([], "timestamp string, patientsCount long, appointmentsCount long, "
+                                         "transactionsCount long")
+    return spark.read.parquet(f"{history_dir.rstrip('/')}/v={v}").orderBy("timestamp")
