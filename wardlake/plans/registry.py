@@ -15,10 +15,13 @@ from ..sources.fixtures import Hospital, load_hospital
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# the same queries over any Hospital (e.g. one read from materialized Bronze)
+BUILDERS: dict[str, Callable[[Hospital], DataFrame]] = {}
 
 
 def register(name: str):
     def deco(fn: Callable[[Hospital], DataFrame]) -> Callable[[Hospital], DataFrame]:
+        BUILDERS[name] = fn
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(load_hospital(spark, sf_dir))
         run.__name__ = name

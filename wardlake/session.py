@@ -22,6 +22,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # concurrent table loads share the cores instead of queueing behind the largest
+    "spark.scheduler.mode": "FAIR",
 }
 
 

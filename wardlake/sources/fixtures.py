@@ -193,6 +193,28 @@ def _build_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
     )
 
 
+def materialize_bronze(spark: SparkSession, sf_dir: str, bronze_dir: str,
+                       max_records_per_file: int = 250_000) -> DataFrame:
+    """Ingest: write the five hospital tables derived from ``sf_dir`` as Bronze
+    Parquet under ``bronze_dir`` (tables in parallel, rows sorted by time within
+    each file).  Returns the refresh report (one row per table)."""
+    from .tables import bronze_full_refresh
+    h = load_hospital(spark, sf_dir)
+    return bronze_full_refresh(spark, h.as_dict(), bronze_dir, sort_by_time=True,
+                               max_records_per_file=max_records_per_file)
+
+
+def load_bronze_hospital(spark: SparkSession, bronze_dir: str, sf_dir: str) -> Hospital:
+    """The hospital tables read back from materialized Bronze (metric samples
+    still come from the events table)."""
+    from .tables import read_bronze
+    ensure_utc(spark)
+    b = read_bronze(spark, bronze_dir)
+    return Hospital(departments=b["departments"], doctors=b["doctors"], patients=b["patients"],
+                    appointments=b["appointments"], transactions=b["transactions"],
+                    metric_samples=metric_samples(read_table(spark, sf_dir, "events")))
+
+
 # The same mapping as SQL text, for DuckDB oracles: ``FIXTURE_CTE + "SELECT ..."``.
 FIXTURE_CTE = """WITH departments AS (
  SELECT concat('DEP_', lpad(CAST(n_nationkey AS VARCHAR), 4, '0')) AS id, n_name AS name,

@@ -143,20 +143,32 @@ REPORT_SCHEMA = T.StructType([
 
 
 def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
-                        parallel: int = 5, partition_by: dict[str, list[str]] | None = None) -> DataFrame:
+                        parallel: int = 5, partition_by: dict[str, list[str]] | None = None,
+                        sort_by_time: bool = False, max_records_per_file: int | None = None) -> DataFrame:
     """Truncate-and-reload every Bronze table.  Tables load concurrently; one
     table's failure does not stop the others.  A table succeeds only when the
     rows read back from Bronze equal the source rows; the source rows are
     counted by an ``Observation`` in the same pass that writes them (the source
-    is read once)."""
+    is read once).  ``sort_by_time`` range-clusters tables with a time column
+    by that column."""
     from pyspark.sql import Observation
 
     def one(name: str):
         t0 = time.time()
         try:
             obs = Observation(f"bronze_{name}")
-            df = to_bronze(sources[name], name).observe(obs, F.count(F.lit(1)).alias("rows"))
+            df = to_bronze(sources[name], name)
+            ts = S.TIMESTAMP_COLUMNS.get(name) or []
+            if sort_by_time and ts:
+                # cluster by time: each file holds one time range (tight min/max
+                # statistics, so time filters skip files and row groups); the
+                # range shuffle also spreads the write over all cores
+                df = df.repartitionByRange(ts[0]).sortWithinPartitions(ts[0])
+            # observed last, so the range-boundary sampling pass is not counted
+            df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
             w = df.write.mode("overwrite")
+            if max_records_per_file:
+                w = w.option("maxRecordsPerFile", max_records_per_file)
             if partition_by and partition_by.get(name):
                 w = w.partitionBy(*partition_by[name])
             w.parquet(f"{out_dir.rstrip('/')}/{name}")
@@ -174,7 +186,7 @@ def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_
 
 
 def write_bronze(df: DataFrame, table: str, path: str, mode: str = "overwrite",
-                 month_partitions: bool = False) -> None:
+                 month_partitions: bool = False, max_records_per_file: int | None = None) -> None:
     """Write a Bronze table with a scan-friendly layout: rows sorted within each
     file by the table's time column (tight Parquet min/max statistics, so date
     filters skip row groups), optionally partitioned by month of that column
@@ -187,6 +199,10 @@ def write_bronze(df: DataFrame, table: str, path: str, mode: str = "overwrite",
             w_df = w_df.withColumn("month", F.date_format(ts[0], "yyyy-MM"))
         w_df = w_df.sortWithinPartitions(*(["month"] if month_partitions else []), ts[0])
     w = w_df.write.mode(mode)
+    if max_records_per_file:
+        # splits a large task's output into several files (later scans read them
+        # in parallel) without a shuffle
+        w = w.option("maxRecordsPerFile", max_records_per_file)
     if ts and month_partitions:
         w = w.partitionBy("month")
     w.parquet(path)
