@@ -69,21 +69,24 @@ def test_append_with_keys_consecutive(spark):
 
 
 def test_csv_roundtrip_quotes_and_nulls(spark, tmp_dir):
-    rows = [tx_row("T1", ap=None, dept='Card, "Main"'), tx_row("T2", ap="AP1", dept="Line\nBreak")]
+    rows = [tx_row("T1", ap=None, dept='Card, "Main"'), tx_row("T2", ap="AP1", dept="Line\nBreak", amount=123.4),
+            tx_row("T3", ap="AP2", dept="  padded  ", amount=0.05)]
     df = frame(spark, "transactions", rows)
     path = os.path.join(tmp_dir, "csv")
     tables.export_csv(df, "transactions", path, single_file=True)
     text = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.endswith(".csv"))
     header = text.splitlines()[0]
     assert header == "id,patientId,appointmentId,date,amount,type,insuranceCoverage,paymentType,department"
-    assert "T1,PT1,NULL,2024-01-05T10:00:00.000Z,100.0,Pharmacy,0.0,Insurance,\"Card, \"\"Main\"\"\"" in text
+    assert "T1,PT1,NULL,2024-01-05T10:00:00.000Z,100,Pharmacy,0,Insurance,\"Card, \"\"Main\"\"\"" in text
+    assert ",123.4,Pharmacy," in text and ",0.05,Pharmacy," in text and ",  padded  " in text
     back = tables.read_export_csv(spark, path, "transactions").orderBy("id").collect()
     assert back[0].appointment_id is None and back[0].department == 'Card, "Main"'
     assert back[1].department == "Line\nBreak" and back[1].date == ts("2024-01-05 10:00:00")
     bronze = os.path.join(tmp_dir, "bronze")
     tables.load_bronze_csv(spark, path, "transactions", bronze)
     again = tables.load_bronze_csv(spark, path, "transactions", bronze)
-    assert again.count() == 4  # append
+    assert again.count() == 6  # append
+    assert back[2].department == "  padded  "
 
 
 def test_json_export_keeps_nulls(spark, tmp_dir):

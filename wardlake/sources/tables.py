@@ -84,6 +84,20 @@ def csv_frame(df: DataFrame, table: str) -> DataFrame:
                             if isinstance(f.dataType, T.DecimalType)})
 
 
+def number_text(col) -> F.Column:
+    """A decimal as the shortest number text (150.00 -> 150, 123.40 -> 123.4),
+    the way the exported files print numbers; exact, never in E-notation."""
+    txt = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
+    return F.regexp_replace(F.regexp_replace(txt, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def csv_text_frame(df: DataFrame, table: str) -> DataFrame:
+    """The CSV columns with decimals already rendered as number text."""
+    out = to_api_names(df.select(*S.storage_columns(table)), table)
+    return out.withColumns({f.name: number_text(f.name) for f in out.schema.fields
+                            if isinstance(f.dataType, T.DecimalType)})
+
+
 def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, single_file: bool = False,
                mode: str = "overwrite") -> None:
     """CSV with header and fixed column order; values are quoted only when they
@@ -92,13 +106,15 @@ def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, singl
 
     ``ordered`` sorts by id (a range-partitioned sort); ``single_file`` writes one
     part (only for small tables)."""
-    out = csv_frame(df, table)
+    out = csv_text_frame(df, table)
     if ordered:
         out = out.orderBy("id")
     if single_file:
         out = out.coalesce(1)
     (out.write.mode(mode).option("header", True).option("nullValue", "NULL")
      .option("quote", '"').option("escape", '"').option("timestampFormat", CSV_TIMESTAMP)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", "")
      .csv(path))
 
 
@@ -144,13 +160,15 @@ REPORT_SCHEMA = T.StructType([
 
 def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
                         parallel: int = 5, partition_by: dict[str, list[str]] | None = None,
-                        sort_by_time: bool = False, max_records_per_file: int | None = None) -> DataFrame:
+                        sort_by_time: bool = False, max_records_per_file: int | None = None,
+                        cluster: str = "sort") -> DataFrame:
     """Truncate-and-reload every Bronze table.  Tables load concurrently; one
     table's failure does not stop the others.  A table succeeds only when the
     rows read back from Bronze equal the source rows; the source rows are
     counted by an ``Observation`` in the same pass that writes them (the source
-    is read once).  ``sort_by_time`` range-clusters tables with a time column
-    by that column."""
+    is read once).  ``sort_by_time`` sorts rows of tables with a time column by
+    that column inside each file; ``cluster="range"`` also range-partitions them
+    by it (one time range per file)."""
     from pyspark.sql import Observation
 
     def one(name: str):
@@ -160,10 +178,13 @@ def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_
             df = to_bronze(sources[name], name)
             ts = S.TIMESTAMP_COLUMNS.get(name) or []
             if sort_by_time and ts:
-                # cluster by time: each file holds one time range (tight min/max
-                # statistics, so time filters skip files and row groups); the
-                # range shuffle also spreads the write over all cores
-                df = df.repartitionByRange(ts[0]).sortWithinPartitions(ts[0])
+                if cluster == "range":
+                    # global clustering: each file holds one time range, so time
+                    # filters skip whole files (costs a sampling pass + a shuffle)
+                    df = df.repartitionByRange(ts[0])
+                # rows sorted by time inside every file: tight row-group min/max
+                # statistics, so time filters skip row groups (no shuffle)
+                df = df.sortWithinPartitions(ts[0])
             # observed last, so the range-boundary sampling pass is not counted
             df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
             w = df.write.mode("overwrite")
