@@ -90,20 +90,22 @@ def append_with_keys(spark: SparkSession, target: DataFrame, batch: DataFrame, p
     Positions are assigned without a single-partition window: each partition
     counts its rows (one small aggregate, at most #partitions rows), a running
     sum over those counts gives each partition its offset, and rows add their
-    index inside the partition.  The batch is checkpointed first (reliable, to
-    the shared checkpoint folder) so both passes see the same partitions even
-    if an executor is lost in between.
+    index inside the partition.  The tagged batch (partition id and in-partition
+    position stored as columns) is written once as a table under the shared
+    checkpoint folder, which cuts the lineage: both passes read the same stored
+    positions even if an executor is lost in between.
 
     ``order_by`` numbers the batch in that (unique) order: a range-partitioned
     distributed sort puts partition i's rows before partition i+1's, so the
     same offsets give the global position.  Without it, rows are numbered in
     arrival (partition) order, as the reference numbers inserts."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
+    from ..session import scratch_path
     if order_by is not None:
         batch = batch.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
-    b = batch.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    b = b.checkpoint(eager=True)
+    tagged = batch.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    stage = scratch_path(spark, "append-batch")
+    tagged.write.mode("overwrite").parquet(stage)
+    b = spark.read.parquet(stage)
     counts = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     offsets = broadcast_if_small(offsets)

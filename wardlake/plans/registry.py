@@ -548,10 +548,10 @@ def _growth_history(h: Hospital) -> DataFrame:
 
 @register("append_with_keys")
 def _append_with_keys(h: Hospital) -> DataFrame:
-    """Patients older than 110 re-registered as new patients, numbered after the
-    highest existing patient number in name order."""
+    """Every patient re-registered as a new batch, numbered after the highest
+    existing patient number in (name, id) order."""
     spark = h.patients.sparkSession
-    batch = h.patients.where(F.col("age") > 110).select("id", "name")
+    batch = h.patients.select("id", "name")
     out = upsert.append_with_keys(spark, h.patients, batch, "PT", 6, order_by=["name", "id"])
     return out.select("id", "name")
 
