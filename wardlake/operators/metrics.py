@@ -87,7 +87,9 @@ def threshold_alerts(samples: DataFrame, rules: DataFrame, now) -> DataFrame:
     j = s.join(r.select("rule", "metric", "lookback_seconds"), "metric").where(
         F.col("ts") >= now_c - F.make_dt_interval(secs=F.col("lookback_seconds")))
     latest = j.groupBy("rule").agg(F.max(F.struct("ts", "value")).alias("_b"))
-    out = r.join(latest, "rule", "left").select(
+    # at most one row per rule, and the rules passed the size check above: the
+    # bound is structural, so this side is broadcast without a second check
+    out = r.join(F.broadcast(latest), "rule", "left").select(
         "rule", "metric", F.col("_b.ts").alias("ts"), F.col("_b.value").alias("value"),
         "less_than", "severity", "service", "no_data_alerts")
     state = (F.when(F.col("value").isNull(),
