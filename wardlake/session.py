@@ -71,3 +71,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-use folder under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
+               max_shuffle_partitions: int = 65536) -> dict[str, str]:
+    """Settings sized for a run over ``input_bytes`` of Parquet on
+    ``total_cores`` executor cores.
+
+    Scan splits and post-shuffle partitions target ``partition_bytes`` (fits an
+    executor task's memory with room for sort/aggregate buffers); the initial
+    shuffle partition count covers the input at that size (AQE coalesces small
+    ones and splits skewed ones at run time).  The planner's broadcast limit
+    stays small: dimensions beyond it are joined by sort-merge."""
+    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    parts = min(parts, max_shuffle_partitions)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Apply the runtime-settable entries of ``conf`` to a running session."""
+    for k, v in conf.items():
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
