@@ -203,3 +203,22 @@ def test_growth_history_twelve_months(spark):
     assert len(h2) == 12 and h2[-1].timestamp == "2024-02" and h2[0].timestamp == "2023-03"
     packed = X.pack_growth_history(growth_history(pts, aps, txs))
     assert X.parse_growth_history(packed).count() == 12
+
+
+def test_scale_conf_and_checkpoint_dir(spark):
+    from wardlake.session import apply_conf, checkpoint_dir, scale_conf
+    c = scale_conf(10 * 2**30, 8)
+    assert c["spark.sql.shuffle.partitions"] == "40"
+    assert scale_conf(100 * 10**12, 8000)["spark.sql.shuffle.partitions"] == "65536"
+    apply_conf(spark, {"spark.sql.shuffle.partitions": "4"})
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    d = checkpoint_dir(spark)
+    assert d and checkpoint_dir(spark) == d
+
+
+def test_pack_growth_history_is_bounded(spark):
+    rows = [(f"20{y:02d}-{m:02d}", 1, 2, 3) for y in range(20, 23) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "timestamp string, patientsCount int, appointmentsCount int, "
+                                     "transactionsCount int")
+    back = X.parse_growth_history(X.pack_growth_history(df)).collect()
+    assert len(back) == 12 and back[0].timestamp == "2022-01" and back[-1].timestamp == "2022-12"

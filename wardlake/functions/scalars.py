@@ -114,8 +114,11 @@ def parse_growth_history(df: DataFrame, json_col: str = "record_growth_history")
             .select("h.timestamp", "h.patientsCount", "h.appointmentsCount", "h.transactionsCount"))
 
 
-def pack_growth_history(df: DataFrame, json_col: str = "record_growth_history") -> DataFrame:
-    """Month rows -> one JSON array ordered by month (the history is at most a
-    few months long; it is the one place a list is built)."""
+def pack_growth_history(df: DataFrame, json_col: str = "record_growth_history",
+                        keep_months: int = 12) -> DataFrame:
+    """Month rows -> one JSON array ordered by month.  Only the latest
+    ``keep_months`` months are packed (a top-k first), so the one list built
+    here is bounded by the history length, never by the input."""
     st = F.struct("timestamp", "patientsCount", "appointmentsCount", "transactionsCount")
-    return df.agg(F.to_json(F.array_sort(F.collect_list(st))).alias(json_col))
+    latest = df.orderBy(F.col("timestamp").desc()).limit(keep_months)
+    return latest.agg(F.to_json(F.array_sort(F.collect_list(st))).alias(json_col))
