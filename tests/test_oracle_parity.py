@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from tests.conftest import SF_MID, SF_SMALL
 from tests.oracle_compare import compare, duck
 
-MID = {"merge_upsert", "merge_stats", "insert_ignore", "dedupe_latest"}
+MID = {"merge_upsert", "merge_stats", "insert_ignore", "dedupe_latest", "stream_silver_upsert"}
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 

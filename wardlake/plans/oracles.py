@@ -608,5 +608,33 @@ SELECT metric, up, CASE WHEN up >= 1 THEN 'UP' ELSE 'DOWN' END AS status FROM (
 """)
 
 
+# -- streaming forms -------------------------------------------------------------
+
+q("stream_bronze_append", f"SELECT {TX_OUT} FROM transactions")
+
+q("stream_silver_upsert", UPSERT + f"""
+, st AS (SELECT * FROM tgt WHERE id IS NOT NULL AND amount > 0),
+ss AS (SELECT * FROM src WHERE id IS NOT NULL AND amount > 0),
+res AS (
+  SELECT t.id, t.patient_id, t.appointment_id,
+    CASE WHEN t.date < s.date THEN s.date ELSE t.date END AS date,
+    CASE WHEN t.date < s.date THEN s.amount ELSE t.amount END AS amount,
+    t.type,
+    CASE WHEN t.date < s.date THEN s.insurance_coverage ELSE t.insurance_coverage END AS insurance_coverage,
+    CASE WHEN t.date < s.date THEN s.payment_type ELSE t.payment_type END AS payment_type,
+    t.department
+  FROM st t LEFT JOIN ss s ON t.id = s.id
+  UNION ALL
+  SELECT * FROM ss s WHERE NOT EXISTS (SELECT 1 FROM st t WHERE t.id = s.id))
+SELECT {TX_OUT} FROM res
+""")
+
+q("stream_pipeline_counts", """
+SELECT 'patients' AS "table", COUNT(*) AS "rows" FROM patients
+UNION ALL SELECT 'appointments', COUNT(*) FROM appointments
+UNION ALL SELECT 'transactions', COUNT(*) FROM transactions
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

@@ -601,3 +601,61 @@ def _status_text(h: Hospital) -> DataFrame:
     recent = F.count_if((F.col("ts") <= now) & (F.col("ts") > now - F.expr("INTERVAL 1 HOUR")))
     up = h.metric_samples.groupBy("metric").agg(F.when(recent > 0, 1).otherwise(0).alias("up"))
     return up.select("metric", "up", metrics.status_text("up").alias("status"))
+
+
+# -- streaming forms: run the stream over landing files written from the given
+#    tables (two arrivals, two availableNow runs on one checkpoint), return the
+#    table it produced -------------------------------------------------------------
+
+def _raw(name: str):
+    def deco(fn: QueryFn) -> QueryFn:
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+@_raw("stream_bronze_append")
+def _q_stream_bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
+    from ..streaming import incremental as inc
+    tx = load_hospital(spark, sf_dir).transactions
+    base = scratch_path(spark, "stream-bronze")
+    first = F.col("type").isin("Consultation", "Lab Fee")
+    for i, part in enumerate([tx.where(first), tx.where(~first)]):
+        tables.to_bronze(part, "transactions").write.mode("overwrite").parquet(f"{base}/landing/a{i}")
+        inc.stream_bronze_append(spark, f"{base}/landing/*", "transactions", f"{base}/bronze",
+                                 f"{base}/ck").awaitTermination()
+    return _tx_out(spark.read.schema(S.bronze_schema("transactions")).parquet(f"{base}/bronze/transactions"))
+
+
+@_raw("stream_silver_upsert")
+def _q_stream_silver_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival 1: the upsert target rows; arrival 2: the changed / new rows.
+    Silver after both micro-batches."""
+    from ..session import scratch_path
+    from ..streaming import incremental as inc
+    target, source = upsert_fixture(load_hospital(spark, sf_dir).transactions)
+    base = scratch_path(spark, "stream-silver")
+    for i, part in enumerate([target, source]):
+        tables.to_bronze(part, "transactions").write.mode("overwrite").parquet(f"{base}/landing/a{i}")
+        src = inc.bronze_stream(spark, f"{base}/landing/*", "transactions")
+        inc.stream_silver_upsert(spark, src, f"{base}/silver", f"{base}/ck").awaitTermination()
+    return _tx_out(inc.read_silver(spark, f"{base}/silver"))
+
+
+@_raw("stream_pipeline_counts")
+def _q_stream_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
+    from ..streaming import incremental as inc
+    h = load_hospital(spark, sf_dir)
+    base = scratch_path(spark, "stream-counts")
+    streams = {}
+    for name in ("patients", "appointments", "transactions"):
+        tables.to_bronze(getattr(h, name), name).write.mode("overwrite").parquet(f"{base}/landing/{name}")
+        streams[name] = inc.bronze_stream(spark, f"{base}/landing/{name}", name)
+    view = f"wardlake_counts_{abs(hash(base)) % 10**8}"
+    q = inc.stream_pipeline_counts(streams, view, checkpoint=f"{base}/ck")
+    q.processAllAvailable()
+    q.stop()
+    # the memory sink holds one row per table; copy it out of the session view
+    return spark.sql(f"SELECT `table`, `rows` FROM {view}")
