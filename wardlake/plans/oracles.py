@@ -636,5 +636,17 @@ UNION ALL SELECT 'transactions', COUNT(*) FROM transactions
 """)
 
 
+q("export_csv_text", f"""
+SELECT id, patient_id AS "patientId", appointment_id AS "appointmentId", {iso('date')} AS date,
+  regexp_replace(regexp_replace(CAST(amount AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS amount, type,
+  regexp_replace(regexp_replace(CAST(insurance_coverage AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')
+    AS "insuranceCoverage",
+  payment_type AS "paymentType", department
+FROM transactions
+""")
+
+_Q["jdbc_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

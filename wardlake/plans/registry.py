@@ -659,3 +659,18 @@ def _q_stream_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.stop()
     # the memory sink holds one row per table; copy it out of the session view
     return spark.sql(f"SELECT `table`, `rows` FROM {view}")
+
+
+@register("export_csv_text")
+def _export_csv_text(h: Hospital) -> DataFrame:
+    """The exported transaction CSV values as written (number text, ISO time)."""
+    df = tables.csv_text_frame(h.transactions, "transactions")
+    return df.withColumn("date", X.iso_timestamp("date"))
+
+
+@_raw("jdbc_snapshot")
+def _q_jdbc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relational snapshot with an explicit column list and no filter (the
+    orders table, read through the snapshot reader's non-JDBC path)."""
+    return tables.jdbc_snapshot(spark, f"{sf_dir.rstrip('/')}/orders.parquet", "orders",
+                                ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
