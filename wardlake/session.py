@@ -55,13 +55,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir``; sets a scratch folder only when
-    it is unset (local tests)."""
+    it is unset and the session is local (tests); on a cluster an unset folder
+    is an error, never a machine-local fallback."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not (sc.master or "").startswith("local"):
+        # a machine-local folder is invisible to other executors
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by the cluster")
     path = tempfile.mkdtemp(prefix="wardlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -110,7 +110,9 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
     versions, writes their merged rows as version ``batch_id`` (overwrite:
     a replay rewrites the same folders), then a new manifest, then moves the
     pointer.  Cost per batch is proportional to the touched buckets, not to
-    the whole table; untouched buckets are never read or rewritten."""
+    the whole table; untouched buckets are never read or rewritten.  Size
+    ``n_buckets`` so a bucket is about a gigabyte (table bytes / 1 GB): a batch
+    of k new or changed ids rewrites at most k buckets."""
     base = silver_dir.rstrip("/")
     keys = list(keys)
     current = committed_version(spark, silver_dir)
