@@ -9,9 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import gold
+from .. import schemas as S
+from ..functions import scalars as X
+from ..operators import billing, gold, joins, metrics, quality, registers, upsert
+from ..sources import tables
 from ..sources.fixtures import Hospital, load_hospital
+from ..streaming.growth import growth_history
+from . import presets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -135,15 +141,6 @@ def _insurer_share(h: Hospital) -> DataFrame:
 
 # -- helpers for the registered forms -----------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from .. import schemas as S  # noqa: E402
-from ..functions import scalars as X  # noqa: E402
-from ..operators import billing, joins, metrics, quality, registers, upsert  # noqa: E402
-from ..sources import tables  # noqa: E402
-from ..streaming.growth import growth_history  # noqa: E402
-from . import presets  # noqa: E402
-
 
 def _tx_out(df: DataFrame) -> DataFrame:
     """Transactions with money as double and the date as ISO text (comparable)."""
