@@ -222,3 +222,11 @@ def test_pack_growth_history_is_bounded(spark):
                                      "transactionsCount int")
     back = X.parse_growth_history(X.pack_growth_history(df)).collect()
     assert len(back) == 12 and back[0].timestamp == "2022-01" and back[-1].timestamp == "2022-12"
+
+
+def test_top_earners_idle_doctors(spark):
+    docs = frame(spark, "doctors", [doc_row("DR1"), doc_row("DR2", name="Dr B")])
+    aps = frame(spark, "appointments", [ap_row("AP1", doctor="DR1", revenue=150)])
+    assert [r.name for r in gold.top_earners(docs, aps).collect()] == ["Dr A"]
+    both = gold.top_earners(docs, aps, include_idle=True).collect()
+    assert [(r.name, r.total_earned) for r in both] == [("Dr A", 150.0), ("Dr B", 0.0)]

@@ -183,11 +183,16 @@ def coverage_analysis(tx: DataFrame, pt: DataFrame) -> DataFrame:
                     _money(F.col("s_cov")).alias("total_covered"))
 
 
-def top_earners(doc: DataFrame, ap: DataFrame, n: int = 5) -> DataFrame:
-    """Completed revenue per doctor, the ``n`` largest (ties by doctor id)."""
+def top_earners(doc: DataFrame, ap: DataFrame, n: int = 5, include_idle: bool = False) -> DataFrame:
+    """Completed revenue per doctor, the ``n`` largest (ties by doctor id).
+    ``include_idle`` keeps doctors without Completed appointments (earning 0),
+    as the sandbox form does; the SQL form joins inner."""
     per_doc = (ap.where(F.col("status") == "Completed")
                .groupBy(F.col("doctor_id").alias("id")).agg(F.sum("revenue_generated").alias("earned")))
-    j = doc.select("id", "name", "department", "experience").join(per_doc, "id", "inner")
+    j = doc.select("id", "name", "department", "experience").join(per_doc, "id",
+                                                                 "left" if include_idle else "inner")
+    if include_idle:
+        j = j.withColumn("earned", F.coalesce("earned", F.lit(0).cast("decimal(20,2)")))
     return (j.orderBy(F.col("earned").desc(), "id").limit(n)
             .select("name", "department", "experience", _money(F.col("earned")).alias("total_earned")))
 
