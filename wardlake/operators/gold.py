@@ -21,11 +21,6 @@ def _money(col) -> F.Column:
     return F.col(col).cast("double") if isinstance(col, str) else col.cast("double")
 
 
-def _avg(col: str) -> F.Column:
-    # exact sum / count; equals SQL AVG and does not depend on summation order
-    return F.sum(col).cast("double") / F.count(col)
-
-
 def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """Rows per table: (table, rows)."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
@@ -46,35 +41,32 @@ def pipeline_rollup(frames: dict[str, DataFrame]) -> DataFrame:
 def kpi_summary(frames: dict[str, DataFrame]) -> DataFrame:
     """Dashboard KPIs in one row.  Each input is reduced to a one-row partial
     result; the partials are unioned and folded (no cross join)."""
-    cols = ["total_patients", "active_patients", "total_appointments", "revenue_total",
-            "util_sum", "util_n", "sat_sum", "sat_n"]
+    cols = {"total_patients": "bigint", "active_patients": "bigint", "total_appointments": "bigint",
+            "revenue_total": "double", "util_sum": "double", "util_n": "bigint",
+            "sat_sum": "double", "sat_n": "bigint"}
 
     def part(df: DataFrame, **exprs) -> DataFrame:
-        return df.agg(*[exprs[c].alias(c) if c in exprs else F.lit(None).cast("double").alias(c)
-                        for c in cols])
+        return df.agg(*[(exprs[c] if c in exprs else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
 
     pt, ap, tx = frames["patients"], frames["appointments"], frames["transactions"]
     doc, dep = frames["doctors"], frames["departments"]
     one = F.lit(1)
     parts = [
-        part(pt, total_patients=F.count(one).cast("double"),
-             active_patients=F.count(F.when(F.col("category") == "Inpatient", one)).cast("double")),
-        part(ap, total_appointments=F.count(one).cast("double")),
-        part(tx, revenue_total=F.coalesce(F.sum("amount"), F.lit(0)).cast("double")),
-        part(doc, util_sum=F.sum("utilization").cast("double"), util_n=F.count("utilization").cast("double")),
-        part(dep, sat_sum=F.sum("kpi_satisfaction").cast("double"), sat_n=F.count("kpi_satisfaction").cast("double")),
+        part(pt, total_patients=F.count(one),
+             active_patients=F.count(F.when(F.col("category") == "Inpatient", one))),
+        part(ap, total_appointments=F.count(one)),
+        part(tx, revenue_total=F.coalesce(F.sum("amount"), F.lit(0))),
+        part(doc, util_sum=F.sum("utilization"), util_n=F.count("utilization")),
+        part(dep, sat_sum=F.sum("kpi_satisfaction"), sat_n=F.count("kpi_satisfaction")),
     ]
     folded = reduce(DataFrame.unionByName, parts).agg(*[F.max(c).alias(c) for c in cols])
 
     def avg1(s, n):
-        avg = F.when(F.col(n) > 0, F.col(s) / F.col(n)).otherwise(F.lit(0.0))
+        avg = F.when(F.col(n) > 0, F.col(s) / F.col(n).cast("double")).otherwise(F.lit(0.0))
         return F.floor(avg * 10 + 0.5) / 10
 
     return folded.select(
-        F.col("total_patients").cast("bigint").alias("total_patients"),
-        F.col("active_patients").cast("bigint").alias("active_patients"),
-        F.col("total_appointments").cast("bigint").alias("total_appointments"),
-        F.col("revenue_total").alias("revenue_total"),
+        "total_patients", "active_patients", "total_appointments", "revenue_total",
         avg1("util_sum", "util_n").cast("double").alias("avg_doctor_utilization"),
         avg1("sat_sum", "sat_n").cast("double").alias("patient_satisfaction"),
     )
