@@ -114,3 +114,15 @@ def test_growth_history_stream(spark, tmp_dir):
     stream_growth_history(spark, streams, hist, ck, month="2024-06").awaitTermination()
     rows = [tuple(r) for r in read_growth_history(spark, hist).collect()]
     assert rows == [("2024-05", 2, 1, 3), ("2024-06", 3, 1, 3)]
+
+
+def test_bucketed_insert_ignore(spark, tmp_dir):
+    silver = os.path.join(tmp_dir, "silver")
+    inc.silver_upsert_batch(spark, frame(spark, "transactions", [tx_row("T1", amount=10)]), 0, silver,
+                            n_buckets=4, op="insert_ignore")
+    b = frame(spark, "transactions", [tx_row("T1", amount=99, date="2030-01-01 00:00:00"),
+                                      tx_row("T2", amount=5, date="2024-01-02 00:00:00"),
+                                      tx_row("T2", amount=6, date="2024-01-01 00:00:00")])
+    inc.silver_upsert_batch(spark, b, 1, silver, n_buckets=4, op="insert_ignore")
+    got = {r.id: float(r.amount) for r in inc.read_silver(spark, silver).collect()}
+    assert got == {"T1": 10.0, "T2": 6.0}

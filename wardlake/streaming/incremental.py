@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators.quality import SILVER_RULES, dedupe_latest
-from ..operators.upsert import merge_upsert
+from ..operators.upsert import dedupe_first, insert_ignore, merge_upsert
 from ..sources.tables import CSV_TIMESTAMP
 
 POINTER = "_committed"
@@ -100,7 +100,7 @@ def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions
 def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, silver_dir: str,
                         table: str = "transactions", order_col: str = "date", keys=("id",),
                         update_cols=("amount", "insurance_coverage", "payment_type", "date"),
-                        n_buckets: int = 64) -> None:
+                        n_buckets: int = 64, op: str = "merge", apply_rule: bool = True) -> None:
     """Apply one micro-batch: Silver rule -> newest per id -> MERGE into the
     committed Silver, rewriting only the id-hash buckets the batch touches.
 
@@ -112,15 +112,21 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
     pointer.  Cost per batch is proportional to the touched buckets, not to
     the whole table; untouched buckets are never read or rewritten.  Size
     ``n_buckets`` so a bucket is about a gigabyte (table bytes / 1 GB): a batch
-    of k new or changed ids rewrites at most k buckets."""
+    of k new or changed ids rewrites at most k buckets.  The same call serves
+    batch jobs (any increasing ``batch_id``); ``op="insert_ignore"`` applies
+    insert-if-absent instead of the MERGE; ``apply_rule=False`` skips the
+    Silver rule (for non-Silver tables)."""
     base = silver_dir.rstrip("/")
     keys = list(keys)
     current = committed_version(spark, silver_dir)
     if current is not None and current >= batch_id:
         return  # already applied (a replayed batch after the pointer moved)
-    rule = SILVER_RULES.get(table)
+    rule = SILVER_RULES.get(table) if apply_rule else None
     clean = batch.where(rule()) if rule else batch
-    clean = dedupe_latest(clean.select(*S.bronze_schema(table).names), keys, order_col)
+    if op == "insert_ignore":
+        clean = dedupe_first(clean.select(*S.bronze_schema(table).names), keys, order_col)
+    else:
+        clean = dedupe_latest(clean.select(*S.bronze_schema(table).names), keys, order_col)
     clean = clean.withColumn("bucket", bucket_of(keys, n_buckets))
     touched = {r.bucket for r in clean.select("bucket").distinct().collect()}  # <= n_buckets ints
     if not touched:
@@ -135,8 +141,11 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
         target = target.withColumn("bucket", bucket_of(keys, n_buckets)).select(*schema.names, "bucket")
     else:
         target = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())]))
-    merged = merge_upsert(target, clean.select(*schema.names, "bucket"), keys, order_col, update_cols,
-                          dedupe_source=False)
+    if op == "insert_ignore":
+        merged = insert_ignore(target, clean.select(*schema.names, "bucket"), keys, order_col)
+    else:
+        merged = merge_upsert(target, clean.select(*schema.names, "bucket"), keys, order_col, update_cols,
+                              dedupe_source=False)
     merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
     new_man = dict(man)
     new_man.update({b: batch_id for b in touched})
