@@ -126,3 +126,15 @@ def test_bucketed_insert_ignore(spark, tmp_dir):
     inc.silver_upsert_batch(spark, b, 1, silver, n_buckets=4, op="insert_ignore")
     got = {r.id: float(r.amount) for r in inc.read_silver(spark, silver).collect()}
     assert got == {"T1": 10.0, "T2": 6.0}
+
+
+def test_csv_landing_stream_to_bronze(spark, tmp_dir):
+    from wardlake.sources import tables
+    landing, bronze, ck = (os.path.join(tmp_dir, x) for x in ("landing", "bronze", "ck"))
+    rows = [tx_row("T1", ap=None, dept='Card, "Main"'), tx_row("T2", ap="AP1", dept="Line\nBreak", amount=12.5)]
+    tables.export_csv(frame(spark, "transactions", rows), "transactions", f"{landing}/e1", single_file=True)
+    inc.stream_bronze_append(spark, f"{landing}/*", "transactions", bronze, ck, fmt="csv",
+                             api_names=True).awaitTermination()
+    got = {r.id: r for r in spark.read.parquet(f"{bronze}/transactions").collect()}
+    assert got["T1"].appointment_id is None and got["T1"].department == 'Card, "Main"'
+    assert got["T2"].department == "Line\nBreak" and float(got["T2"].amount) == 12.5

@@ -36,7 +36,7 @@ def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str =
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         reader = (reader.option("header", True).option("nullValue", "NULL").option("escape", '"')
-                  .option("timestampFormat", CSV_TIMESTAMP))
+                  .option("timestampFormat", CSV_TIMESTAMP).option("multiLine", True))
     df = reader.load(landing_dir)
     if api_names:
         inv = {v: k for k, v in S.API_NAMES[table].items()}
