@@ -648,5 +648,8 @@ FROM transactions
 _Q["jdbc_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
 
 
+q("stream_gold_dept_totals", _Q["gold_dept_profitability"][len(FIXTURE_CTE):])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

@@ -671,3 +671,24 @@ def _q_jdbc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders table, read through the snapshot reader's non-JDBC path)."""
     return tables.jdbc_snapshot(spark, f"{sf_dir.rstrip('/')}/orders.parquet", "orders",
                                 ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+
+
+@_raw("stream_gold_dept_totals")
+def _q_stream_gold_dept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold department totals maintained by a streaming aggregation over two
+    arrivals of charges; equals the batch Gold view."""
+    from ..session import scratch_path
+    from ..streaming import incremental as inc
+    tx = load_hospital(spark, sf_dir).transactions
+    base = scratch_path(spark, "stream-gold")
+    view = f"wardlake_gold_{abs(hash(base)) % 10**8}"
+    first = F.col("type").isin("Consultation", "Lab Fee")
+    tables.to_bronze(tx.where(first), "transactions").write.mode("overwrite").parquet(f"{base}/landing/a0")
+    q = inc.stream_gold_dept_totals(inc.bronze_stream(spark, f"{base}/landing/*", "transactions"), view,
+                                    checkpoint=f"{base}/ck")
+    q.processAllAvailable()
+    tables.to_bronze(tx.where(~first), "transactions").write.mode("overwrite").parquet(f"{base}/landing/a1")
+    q.processAllAvailable()
+    q.stop()
+    return spark.sql(f"SELECT department, CAST(total_revenue AS DOUBLE) AS total_revenue, transaction_count "
+                     f"FROM {view}")

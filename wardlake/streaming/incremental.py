@@ -179,3 +179,15 @@ def stream_pipeline_counts(streams: dict[str, DataFrame], query_name: str = "pip
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
     return w.start()
+
+
+def stream_gold_dept_totals(bronze_tx: DataFrame, query_name: str = "gold_dept_live",
+                            checkpoint: str | None = None) -> StreamingQuery:
+    """The Gold department summary kept current as charges arrive: a stateful
+    streaming aggregation (state = one row per department) in complete mode."""
+    agg = bronze_tx.groupBy("department").agg(F.sum("amount").alias("total_revenue"),
+                                               F.count(F.lit(1)).alias("transaction_count"))
+    w = agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    return w.start()
