@@ -146,7 +146,9 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
     else:
         merged = merge_upsert(target, clean.select(*schema.names, "bucket"), keys, order_col, update_cols,
                               dedupe_source=False)
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
+    # one writer task per bucket: one file per touched bucket, not one per
+    # (task, bucket) pair -- bucket size is the unit of work by design
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
     new_man = dict(man)
     new_man.update({b: batch_id for b in touched})
     spark.createDataFrame(sorted(new_man.items()), MANIFEST_SCHEMA).coalesce(1) \
