@@ -176,3 +176,20 @@ def test_write_bronze_layout_and_register(spark, tmp_dir):
     assert reg["info"].first().total == 2 and reg["page"].count() == 2
     assert [r.state for r in reg["states"].collect()] == ["OH", "TX"]
     assert reg["categories"].count() == 3
+
+
+def test_medallion_bundles_and_sync(spark, tmp_dir):
+    from tests.conftest import SF_SMALL
+    from wardlake.plans import medallion
+    from wardlake.sources.fixtures import load_hospital
+    h = load_hospital(spark, SF_SMALL)
+    m = medallion.medallion_metrics(h.as_dict())
+    assert set(m) == {"bronze_count", "silver", "insurance_utilization", "department_profitability",
+                      "monthly_revenue_trend", "doctor_performance"}
+    s = m["silver"].first()
+    assert 0 <= s.silver_clean_percentage <= 100 and s.silver_rows <= s.bronze_rows
+    assert medallion.summary_stats(h.as_dict())["appointment_trends"].count() == 10
+    out = medallion.sync(spark, h.as_dict(), os.path.join(tmp_dir, "bz"))
+    assert out["status"].first().overall_status == "SUCCESS"
+    assert {"silver_patients", "gold_dept_profitability"} <= {r.view for r in out["views"].collect()}
+    assert spark.sql("SELECT COUNT(*) FROM silver_transactions").first()[0] > 0
