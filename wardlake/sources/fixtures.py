@@ -194,10 +194,12 @@ def _build_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
 
 
 def materialize_bronze(spark: SparkSession, sf_dir: str, bronze_dir: str,
-                       max_records_per_file: int = 250_000, cluster: str = "sort") -> DataFrame:
+                       max_records_per_file: int = 2_000_000, cluster: str = "sort") -> DataFrame:
     """Ingest: write the five hospital tables derived from ``sf_dir`` as Bronze
     Parquet under ``bronze_dir`` (tables in parallel, rows sorted by time within
-    each file).  Returns the refresh report (one row per table)."""
+    each file).  The file cap defaults to about 128 MB of charges per file;
+    small local runs pass a lower cap to get several files per table.  Returns
+    the refresh report (one row per table)."""
     from .tables import bronze_full_refresh
     h = load_hospital(spark, sf_dir)
     return bronze_full_refresh(spark, h.as_dict(), bronze_dir, sort_by_time=True,
