@@ -167,21 +167,35 @@ class Hospital:
 _PLANS: dict[tuple[str, int, str], Hospital] = {}
 
 
-def load_hospital(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Hospital:
+def load_hospital(spark: SparkSession, sf_dir: str, fresh: bool = False, spread: bool = False) -> Hospital:
     """The hospital tables over ``sf_dir``.  The lazy plans are memoised per
     session and folder (file listing, schema reads and plan analysis cost the
-    driver about a second per build); ``fresh=True`` re-lists the files."""
+    driver about a second per build); ``fresh=True`` re-lists the files.
+    ``spread=True`` gives the two fact inputs at least the session's default
+    parallelism (see ``spread_input``)."""
     ensure_utc(spark)
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), spread)
     if not fresh and key in _PLANS:
         return _PLANS[key]
-    _PLANS[key] = h = _build_hospital(spark, sf_dir)
+    _PLANS[key] = h = _build_hospital(spark, sf_dir, spread)
     return h
 
 
-def _build_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
+def spread_input(df: DataFrame) -> DataFrame:
+    """A parallelism floor for heavy one-pass jobs (ingestion): when a table
+    comes in fewer files than the session has cores, spread its rows with a
+    round-robin repartition.  Large inputs (many files) pass through untouched,
+    so at scale this adds no shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if len(df.inputFiles()) < par else df
+
+
+def _build_hospital(spark: SparkSession, sf_dir: str, spread: bool = False) -> Hospital:
     t = {n: read_table(spark, sf_dir, n) for n in
          ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")}
+    if spread:
+        t["lineitem"] = spread_input(t["lineitem"])
+        t["orders"] = spread_input(t["orders"])
     doc_keyed = doctors(t["supplier"], t["nation"], keep_key=True)
     return Hospital(
         departments=departments(t["nation"]),
@@ -201,7 +215,7 @@ def materialize_bronze(spark: SparkSession, sf_dir: str, bronze_dir: str,
     small local runs pass a lower cap to get several files per table.  Returns
     the refresh report (one row per table)."""
     from .tables import bronze_full_refresh
-    h = load_hospital(spark, sf_dir)
+    h = load_hospital(spark, sf_dir, spread=True)
     return bronze_full_refresh(spark, h.as_dict(), bronze_dir, sort_by_time=True,
                                max_records_per_file=max_records_per_file, cluster=cluster)
 
