@@ -651,5 +651,16 @@ _Q["jdbc_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
 q("stream_gold_dept_totals", _Q["gold_dept_profitability"][len(FIXTURE_CTE):])
 
 
+q("stream_growth_history", """
+SELECT '2024-05' AS "timestamp",
+  (SELECT COUNT(*) FROM patients WHERE category = 'Inpatient') AS "patientsCount",
+  (SELECT COUNT(*) FROM appointments WHERE status = 'Completed') AS "appointmentsCount",
+  (SELECT COUNT(*) FROM transactions WHERE type IN ('Consultation', 'Lab Fee')) AS "transactionsCount"
+UNION ALL
+SELECT '2024-06', (SELECT COUNT(*) FROM patients), (SELECT COUNT(*) FROM appointments),
+  (SELECT COUNT(*) FROM transactions)
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

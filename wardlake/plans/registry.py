@@ -692,3 +692,24 @@ def _q_stream_gold_dept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.stop()
     return spark.sql(f"SELECT department, CAST(total_revenue AS DOUBLE) AS total_revenue, transaction_count "
                      f"FROM {view}")
+
+
+@_raw("stream_growth_history")
+def _q_stream_growth_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth history kept by the stream over two arrivals (labelled months
+    2024-05 and 2024-06): each month holds the running totals after its batch."""
+    from ..session import scratch_path
+    from ..streaming import incremental as inc
+    from ..streaming.growth import read_growth_history, stream_growth_history
+    h = load_hospital(spark, sf_dir)
+    base = scratch_path(spark, "stream-growth")
+    splits = {"patients": F.col("category") == "Inpatient", "appointments": F.col("status") == "Completed",
+              "transactions": F.col("type").isin("Consultation", "Lab Fee")}
+    for i, month in enumerate(["2024-05", "2024-06"]):
+        streams = {}
+        for name, cond in splits.items():
+            part = getattr(h, name).where(cond if i == 0 else ~cond)
+            tables.to_bronze(part, name).write.mode("overwrite").parquet(f"{base}/landing/{name}/a{i}")
+            streams[name] = inc.bronze_stream(spark, f"{base}/landing/{name}/*", name)
+        stream_growth_history(spark, streams, f"{base}/history", f"{base}/ck", month=month).awaitTermination()
+    return read_growth_history(spark, f"{base}/history")
