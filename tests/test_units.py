@@ -230,3 +230,13 @@ def test_top_earners_idle_doctors(spark):
     assert [r.name for r in gold.top_earners(docs, aps).collect()] == ["Dr A"]
     both = gold.top_earners(docs, aps, include_idle=True).collect()
     assert [(r.name, r.total_earned) for r in both] == [("Dr A", 150.0), ("Dr B", 0.0)]
+
+
+def test_spread_input_only_for_few_files(spark, tmp_path):
+    from wardlake.sources.fixtures import spread_input
+    one = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert spread_input(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(spark.sparkContext.defaultParallelism + 2).write.parquet(many)
+    df = spark.read.parquet(many)
+    assert spread_input(df) is df
