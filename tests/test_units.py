@@ -240,3 +240,10 @@ def test_spread_input_only_for_few_files(spark, tmp_path):
     spark.range(1000).repartition(spark.sparkContext.defaultParallelism + 2).write.parquet(many)
     df = spark.read.parquet(many)
     assert spread_input(df) is df
+
+
+def test_empty_insurer_is_self_pay_in_left_lookup(spark):
+    txs = frame(spark, "transactions", [tx_row("T1", patient="PT1", amount=10)])
+    pts = frame(spark, "patients", [pt_row("PT1", insurer="")])
+    assert joins.provider_lookup_default(txs, pts).first().insurance_provider == "Self-Pay"
+    assert gold.provider_billing_local(txs, pts).first().insurance_provider == "Self-Pay"

@@ -92,7 +92,9 @@ def _by_insurer(tx: DataFrame, pt: DataFrame, how: str = "inner", where=None) ->
     p = pt.select(F.col("id").alias("patient_id"), "insurance_provider")
     j = _per_patient(tx, where).join(p, "patient_id", how)
     if how == "left":
-        j = j.withColumn("insurance_provider", F.coalesce("insurance_provider", F.lit("Self-Pay")))
+        # a missing patient or an empty insurer counts as Self-Pay
+        j = j.withColumn("insurance_provider",
+                         F.coalesce(F.nullif(F.col("insurance_provider"), F.lit("")), F.lit("Self-Pay")))
     return j.groupBy("insurance_provider").agg(
         F.sum("n_id").cast("bigint").alias("n_id"), F.sum("n_rows").cast("bigint").alias("n_rows"),
         F.sum("n_amount").cast("bigint").alias("n_amount"),

@@ -61,11 +61,12 @@ def dept_cost_lookup(df: DataFrame, dep: DataFrame, dept_col: str = "department"
 
 
 def provider_lookup_default(tx: DataFrame, pt: DataFrame) -> DataFrame:
-    """Left lookup of the patient's insurer; a charge whose patient is missing is
-    Self-Pay."""
+    """Left lookup of the patient's insurer; a charge whose patient is missing
+    (or whose insurer is empty) is Self-Pay."""
     p = pt.select(F.col("id").alias("patient_id"), "insurance_provider")
     return (tx.join(p, "patient_id", "left")
-            .withColumn("insurance_provider", F.coalesce("insurance_provider", F.lit(S.SELF_PAY))))
+            .withColumn("insurance_provider",
+                        F.coalesce(F.nullif(F.col("insurance_provider"), F.lit("")), F.lit(S.SELF_PAY))))
 
 
 def anti_existing(a: DataFrame, b: DataFrame, keys, distinct_right: bool = True) -> DataFrame:

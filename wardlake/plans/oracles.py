@@ -143,7 +143,7 @@ GROUP BY pt.insurance_provider
 """)
 
 q("provider_billing_local", """
-SELECT COALESCE(p.insurance_provider, 'Self-Pay') AS insurance_provider, COUNT(*) AS trans_count,
+SELECT COALESCE(NULLIF(p.insurance_provider, ''), 'Self-Pay') AS insurance_provider, COUNT(*) AS trans_count,
   CAST(FLOOR(SUM(t.amount) / COUNT(*) + 0.5) AS BIGINT) AS avg_claim_cost,
   CAST(SUM(t.insurance_coverage) AS DOUBLE) AS total_insured_payout
 FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
@@ -385,7 +385,7 @@ LEFT JOIN (SELECT name, MAX(25000 + beds_occupied * 450 + avg_wait_time * 150) A
 """)
 
 q("provider_lookup_default", """
-SELECT t.id, COALESCE(p.insurance_provider, 'Self-Pay') AS insurance_provider
+SELECT t.id, COALESCE(NULLIF(p.insurance_provider, ''), 'Self-Pay') AS insurance_provider
 FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
 """)
 
