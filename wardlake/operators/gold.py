@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import completed_revenue, day_bucket, month_bucket, round_half_up
+from ..functions.scalars import day_bucket, month_bucket, round_half_up
 from .joins import dept_cost_lookup, doctor_appointments_left
 
 
