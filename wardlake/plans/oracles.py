@@ -662,5 +662,48 @@ SELECT '2024-06', (SELECT COUNT(*) FROM patients), (SELECT COUNT(*) FROM appoint
 """)
 
 
+q("month_bucket", "SELECT id, strftime(date, '%Y-%m') AS month FROM transactions")
+q("day_bucket", "SELECT id, strftime(appointment_date, '%Y-%m-%d') AS day FROM appointments")
+q("to_api_names", """
+SELECT id, name, department, experience, consultation_fee AS "consultationFee", utilization FROM doctors
+""")
+q("to_api_types", """
+SELECT id, name, beds_total, beds_occupied, CAST(kpi_satisfaction AS DOUBLE) AS kpi_satisfaction, avg_wait_time
+FROM departments
+""")
+q("with_lineage", """
+SELECT id, true AS lineage_set FROM patients WHERE id IS NOT NULL AND name IS NOT NULL AND age > 0 AND age < 120
+""")
+q("conditional_value", """
+SELECT id, CAST(CASE WHEN status = 'Completed' THEN revenue_generated ELSE 0 END AS DOUBLE) AS completed_revenue
+FROM appointments
+""")
+q("null_to_zero", """
+SELECT d.id, CAST(COALESCE(s.s, 0) AS DOUBLE) AS revenue FROM doctors d LEFT JOIN (
+  SELECT doctor_id, SUM(revenue_generated) AS s FROM appointments WHERE status = 'Completed' GROUP BY doctor_id) s
+ON d.id = s.doctor_id
+""")
+q("pack_growth_history", _GROWTH.replace("{T}", "BIGINT").replace(
+    'SELECT * FROM (SELECT * FROM c ORDER BY "timestamp" DESC LIMIT 12) ORDER BY "timestamp"',
+    'SELECT CAST(to_json(list(struct_pack("timestamp" := "timestamp", "patientsCount" := "patientsCount", '
+    '"appointmentsCount" := "appointmentsCount", "transactionsCount" := "transactionsCount") '
+    'ORDER BY "timestamp")) AS VARCHAR) AS record_growth_history '
+    'FROM (SELECT * FROM c ORDER BY "timestamp" DESC LIMIT 12)'))
+q("load_bronze_csv", f"SELECT {TX_OUT} FROM transactions")
+q("bronze_full_refresh", """
+SELECT 'bronze_departments' AS "table", true AS success, COUNT(*) AS "rows" FROM departments
+UNION ALL SELECT 'bronze_doctors', true, COUNT(*) FROM doctors
+UNION ALL SELECT 'bronze_patients', true, COUNT(*) FROM patients
+UNION ALL SELECT 'bronze_appointments', true, COUNT(*) FROM appointments
+UNION ALL SELECT 'bronze_transactions', true, COUNT(*) FROM transactions
+""")
+q("sync_status", """
+SELECT CAST(5 AS BIGINT) AS tables, CAST(5 AS BIGINT) AS succeeded,
+  (SELECT COUNT(*) FROM departments) + (SELECT COUNT(*) FROM doctors) + (SELECT COUNT(*) FROM patients)
+  + (SELECT COUNT(*) FROM appointments) + (SELECT COUNT(*) FROM transactions) AS rows_synced,
+  'SUCCESS' AS overall_status
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

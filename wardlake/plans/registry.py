@@ -713,3 +713,77 @@ def _q_stream_growth_history(spark: SparkSession, sf_dir: str) -> DataFrame:
             streams[name] = inc.bronze_stream(spark, f"{base}/landing/{name}/*", name)
         stream_growth_history(spark, streams, f"{base}/history", f"{base}/ck", month=month).awaitTermination()
     return read_growth_history(spark, f"{base}/history")
+
+
+# -- column expressions, sinks and refresh under the correctness gate ------------
+
+@register("month_bucket")
+def _month_bucket(h: Hospital) -> DataFrame:
+    return h.transactions.select("id", X.month_bucket("date").alias("month"))
+
+
+@register("day_bucket")
+def _day_bucket(h: Hospital) -> DataFrame:
+    return h.appointments.select("id", X.day_bucket("appointment_date").alias("day"))
+
+
+@register("to_api_names")
+def _to_api_names(h: Hospital) -> DataFrame:
+    return X.to_api_names(h.doctors, "doctors")
+
+
+@register("to_api_types")
+def _to_api_types(h: Hospital) -> DataFrame:
+    return X.to_api_types(h.departments, "departments")
+
+
+@register("with_lineage")
+def _with_lineage(h: Hospital) -> DataFrame:
+    out = quality.silver_patients(h.patients)  # adds _silver_processed_at
+    return out.select("id", F.col("_silver_processed_at").isNotNull().alias("lineage_set"))
+
+
+@register("conditional_value")
+def _conditional_value(h: Hospital) -> DataFrame:
+    return h.appointments.select("id", X.completed_revenue().cast("double").alias("completed_revenue"))
+
+
+@register("null_to_zero")
+def _null_to_zero(h: Hospital) -> DataFrame:
+    """Doctors' Completed revenue, 0 for doctors without any."""
+    per = (h.appointments.where(F.col("status") == "Completed")
+           .groupBy(F.col("doctor_id").alias("id")).agg(F.sum("revenue_generated").alias("s")))
+    return h.doctors.select("id").join(per, "id", "left").select(
+        "id", X.null_to_zero("s").cast("double").alias("revenue"))
+
+
+@register("pack_growth_history")
+def _pack_growth_history(h: Hospital) -> DataFrame:
+    return X.pack_growth_history(growth_history(h.patients, h.appointments, h.transactions))
+
+
+@_raw("load_bronze_csv")
+def _q_load_bronze_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export the charges as CSV, load the CSV into Bronze (append), read back."""
+    from ..session import scratch_path
+    tx = load_hospital(spark, sf_dir).transactions
+    base = scratch_path(spark, "csv-roundtrip")
+    tables.export_csv(tx, "transactions", f"{base}/landing", ordered=False)
+    return _tx_out(tables.load_bronze_csv(spark, f"{base}/landing", "transactions", f"{base}/bronze"))
+
+
+@_raw("bronze_full_refresh")
+def _q_bronze_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh all five Bronze tables; the per-table report without durations."""
+    from ..session import scratch_path
+    h = load_hospital(spark, sf_dir)
+    rep = tables.bronze_full_refresh(spark, h.as_dict(), scratch_path(spark, "refresh"))
+    return rep.select("table", "success", "rows")
+
+
+@_raw("sync_status")
+def _q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
+    h = load_hospital(spark, sf_dir)
+    rep = tables.bronze_full_refresh(spark, h.as_dict(), scratch_path(spark, "refresh"))
+    return metrics.sync_status(rep)
