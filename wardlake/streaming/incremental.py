@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,9 +128,13 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
         clean = dedupe_first(clean.select(*S.bronze_schema(table).names), keys, order_col)
     else:
         clean = dedupe_latest(clean.select(*S.bronze_schema(table).names), keys, order_col)
-    clean = clean.withColumn("bucket", bucket_of(keys, n_buckets))
+    # the de-duplicated batch feeds both the touched-bucket list and the merge:
+    # keep it (memory, spilling to disk) instead of computing it twice; a lost
+    # executor's blocks are recomputed from the replayable micro-batch
+    clean = clean.withColumn("bucket", bucket_of(keys, n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
     touched = {r.bucket for r in clean.select("bucket").distinct().collect()}  # <= n_buckets ints
     if not touched:
+        clean.unpersist()
         return
     man = {r.bucket: r.version for r in _manifest(spark, base, current).collect()}  # <= n_buckets rows
     schema = S.bronze_schema(table)
@@ -151,6 +156,7 @@ def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, si
     merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
     new_man = dict(man)
     new_man.update({b: batch_id for b in touched})
+    clean.unpersist()
     spark.createDataFrame(sorted(new_man.items()), MANIFEST_SCHEMA).coalesce(1) \
         .write.mode("overwrite").json(f"{base}/_manifest/v={batch_id}")
     spark.createDataFrame([(batch_id,)], T.StructType([T.StructField("version", T.LongType())])) \
