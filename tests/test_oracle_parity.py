@@ -8,10 +8,11 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_MID, SF_SMALL
 from tests.oracle_compare import compare, duck
+from wardlake.plans.oracles import oracle_sql
+from wardlake.plans.registry import QUERIES
 
 MID = {"merge_upsert", "merge_stats", "insert_ignore", "dedupe_latest", "stream_silver_upsert"}
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
