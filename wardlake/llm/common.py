@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: Odd base of the polynomial hash (64-bit golden ratio), fixed so that hashes of
 #: different tasks agree.
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -18,6 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: rows are kept in the cluster's shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def crc_bucket(id_col: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from . import decontam, line_frequency
+from .decontam import op10_decontaminate
+from .lang_bitmask import op6_language_id
+from .license_rules import op8_license_scan
+from .line_frequency import op9_quality_rules
+from .mixing import op7_mix_sources
 from .secrets_markov import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op6_language_id": op6_language_id,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_license_scan": op8_license_scan,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": line_frequency.ORACLE,
+    "op10_decontaminate": decontam.ORACLE,
+}
