@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +140,24 @@ def text_bytes(batch, name: str = "text") -> list[bytes]:
 
 def utf8(col: Column) -> Column:
     return col.cast("string").cast("binary")
+
+
+def grouped(batches, key: int = 0):
+    """From batches sorted by a key column, one table per key; a group that is cut
+    by a batch border is put together again."""
+    rest = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        if rest and rest[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            yield pa.Table.from_batches([*rest, batch.slice(a, b - a)])
+            rest = []
+        last = cuts[-1] if len(cuts) else 0
+        rest.append(batch.slice(last))
+    if rest:
+        yield pa.Table.from_batches(rest)
