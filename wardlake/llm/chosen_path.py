@@ -280,6 +280,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
                       (alone | (F.col("row") == F.col("top.class"))).alias("first"))
 
 
+def firsts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group."""
+    gone = join(docs).where(~F.col("first")).select(F.col("row").alias("gone"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc)
+    return rows.join(gone, rows["row"] == gone["gone"], "left_anti").select([F.col(f"doc.`{c}`") for c in docs.columns])
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = join(documents(spark, sf_dir))
     return found.select("doc_id", F.col("group").alias("class_id"), "n_links", "n_copies", F.col("first").alias("kept"))

@@ -26,6 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, text_bytes, utf8
 
@@ -101,16 +102,19 @@ def _scan_batch(texts: list[bytes], number: dict[bytes, int], automata) -> list[
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
-         max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+         max_broadcast_bytes: int = 32 << 20, carry: bool = False) -> DataFrame:
     """doc_id, row (number of the input row), n_words, hits (ranges of word
-    positions, merged), spans (the same as byte offsets of the text), items."""
+    positions, merged), spans (the same as byte offsets of the text), items; with
+    ``carry`` also doc, a struct of all columns of the input row."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8(F.col("text")).alias("data")) \
         .where("data IS NOT NULL")
     size = items.agg(F.sum(F.length("data") + 16)).first()[0] or 0
     parts = max(1, -(-size // max_broadcast_bytes))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                        F.monotonically_increasing_id().alias("row"), utf8(F.col("text")).alias("text"))
+                        F.monotonically_increasing_id().alias("row"), utf8(F.col("text")).alias("text"),
+                        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * carry)
+    schema = T.StructType([*T.StructType.fromDDL(HITS).fields, *texts.schema.fields[3:]])
     scans = []
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "data"), F.lit(parts)) == part)
@@ -132,9 +136,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
                              pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(i for i in ids if i is not None) for _, _, ids in got], pa.list_(pa.string())),
-                ], names=["doc_id", "row", "n_words", "hits", "spans", "items"])
+                    *batch.columns[3:],
+                ], names=["doc_id", "row", "n_words", "hits", "spans", "items", *batch.schema.names[3:]])
 
-        scans.append(texts.mapInArrow(find, HITS))
+        scans.append(texts.mapInArrow(find, schema))
     if parts == 1:
         return scans[0]
     every = scans[0]
@@ -143,8 +148,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
     together = lambda c: F.sort_array(F.flatten(F.collect_set(c)))  # noqa: E731  one entry per part
     return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
                                     together("hits").alias("hits"), together("spans").alias("spans"),
-                                    F.array_distinct(together("items")).alias("items")) \
-        .select("doc_id", "row", "n_words", "hits", "spans", "items")
+                                    F.array_distinct(together("items")).alias("items"),
+                                    *[F.first("doc").alias("doc")] * carry).select(schema.names)
 
 
 def hit_words(hits):
@@ -159,6 +164,13 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    found = scan(docs, benchmark, carry=True)
+    bad = contaminated(hit_words(F.col("hits")), F.col("n_words"))
+    return found.where(~bad).select([F.col(f"doc.`{c}`") for c in docs.columns])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
     n_hit = hit_words(F.col("hits"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_bucket, documents, mix64
 
@@ -169,28 +170,35 @@ def fit(samples: DataFrame) -> Filters:
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """Adds lang_pred and score to the rows of ``docs``, whose text column must be
-    named ``text``; other columns pass through."""
+    """The rows of ``docs`` as a struct ``doc``, with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((filters.langs, filters.masks, filters.default))
     at = docs.columns.index("text")
 
     def run(batches):
         model = Filters(*shared.value)
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array([x for x, _ in got], pa.string()),
-                                   pa.array([x for _, x in got], pa.float64())],
-                                  names=[*batch.schema.names, "lang_pred", "score"])
+            got = [model.predict(t) for t in batch.column(0).field(at).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([x for x, _ in got], pa.string()),
+                                   pa.array([x for _, x in got], pa.float64())], names=["doc", "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, filters: Filters, min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` with an identified language (texts without a letter or
+    without a known n-gram go); a missing lang is filled."""
+    found = predict(docs, filters).where((F.col("lang_pred") != "und") & (F.col("score") > min_score))
+    return found.select([F.coalesce(F.col("doc.lang"), F.col("lang_pred")).alias(c) if c == "lang"
+                         else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str, train_docs: int = 20_000) -> DataFrame:
     docs = documents(spark, sf_dir)
     filters = fit(labelled(docs, train_docs))
     found = predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), filters)
-    return found.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+    doc_id = F.col("doc.doc_id")
+    return found.select(doc_id, F.coalesce(crc_bucket(doc_id, 4) == 2, F.lit(False)).alias("held_out"),
                         "lang_pred", "score")

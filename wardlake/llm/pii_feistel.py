@@ -230,26 +230,35 @@ def rewritten(text: Column, found: Column, secret: str, reverse: bool = False) -
 
 
 def pseudonymise(docs: DataFrame, secret: str, reverse: bool = False) -> DataFrame:
-    """``docs`` (a text column named ``text``; the others pass through) with the text
-    rewritten and ``found``, the array of (kind, val), added."""
+    """The rows of ``docs`` as a struct ``doc``, with the rewritten text and found,
+    the array of (kind, val) of its candidates."""
     text = F.col("text")
-    step = docs.withColumn("found", F.when(text.rlike(ANY), values(text)).otherwise(
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    step = docs.select(doc, text.cast("string").alias("text"))
+    step = step.withColumn("found", F.when(text.rlike(ANY), values(text)).otherwise(
         F.array().cast("array<struct<kind:string,val:string>>")))
     some = F.exists("found", lambda v: v["kind"].isNotNull())
     return step.withColumn("text", F.when(some, rewritten(text, F.col("found"), secret, reverse)).otherwise(text))
 
 
+def replaced(docs: DataFrame, secret: str, reverse: bool = False) -> DataFrame:
+    """``docs`` with its text rewritten, and n_chars where there is such a column."""
+    out = pseudonymise(docs, secret, reverse)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text") != F.col("doc.text"), F.length("text").cast(
+        docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select([new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
+
+
 def restore(docs: DataFrame, secret: str) -> DataFrame:
-    """The inverse of ``pseudonymise`` with the same secret."""
-    return pseudonymise(docs, secret, reverse=True)
+    """The inverse of ``replaced`` with the same secret."""
+    return replaced(docs, secret, reverse=True)
 
 
 def op4_pseudonymise(spark: SparkSession, sf_dir: str, secret: str = "pseudonyms of the registered query") -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("text"))
-    out = pseudonymise(docs, secret)
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), secret)
 
     def count(kind):
         return F.size(F.filter("found", lambda v: v["kind"] == kind)).cast("bigint")
 
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", "text", *counts)
+    return out.select("doc.doc_id", "text", *counts)

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from . import decontam, line_frequency
+from .chosen_path import op5_ngram_jaccard
 from .decontam import op10_decontaminate
+from .hmm_lm import op3_hmm_score
 from .lang_bitmask import op6_language_id
 from .license_rules import op8_license_scan
 from .line_frequency import op9_quality_rules
 from .mixing import op7_mix_sources
+from .pfp_dedup import op2_remove_repeats
+from .pii_feistel import op4_pseudonymise
 from .secrets_markov import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_remove_repeats": op2_remove_repeats,
+    "op3_hmm_score": op3_hmm_score,
+    "op4_pseudonymise": op4_pseudonymise,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_license_scan": op8_license_scan,
