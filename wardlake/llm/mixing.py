@@ -3,10 +3,10 @@
 1. Sizes: words per document.  2. Targets: weights 5, 2, 1 (repeating, sources in
 code-point order, null last) share 150 % of all words; a target stops at twice
 its source and the excess is reshared.  3. Per source, documents are counted by
-exact size.  Whole copies cover ``target // source size``; for the rest a
-proportional number of documents of each size is set, and a bounded-knapsack
-dynamic program over the size counts fits the remaining budget exactly where a
-subset sum allows it.  4. Documents of each size are chosen by a seeded hash.
+exact size, each for as many takes as it may have; a proportional number of each size is
+set, and a bounded-knapsack dynamic program over the size counts fits the remaining
+budget exactly where a subset sum allows it.  4. The takes of a size are dealt
+evenly, and a seeded hash chooses the documents that get one more.
 
 What is gathered: one row per source on the driver (sizes and targets), and per
 source the histogram of sizes (as many rows as there are different sizes) in one
@@ -74,19 +74,20 @@ def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
 
 
 def subset_sum(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each size to take so that the sum is as near to the budget
-    as a sum not above it can be (bounded knapsack, exact)."""
-    last = np.full(budget + 1, -1, np.int32)  # item that first reached a sum
-    reach = np.zeros(budget + 1, bool)
+    """How many of each size to take so that the sum is nearest to the budget
+    (bounded knapsack, exact; of two equally near sums the smaller)."""
+    top = budget + min((s for s, c in zip(sizes, counts) if c), default=0)
+    last = np.full(top + 1, -1, np.int32)  # item that first reached a sum
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
     for k, (size, count) in enumerate(zip(sizes, counts)):
-        count = min(count, budget // size)
+        count = min(count, top // size)
         piece = 1
         while count > 0 and not reach[budget]:
             piece = min(piece, count)
             w = size * piece
-            if w <= budget:
+            if w <= top:
                 new = np.zeros_like(reach)
                 new[w:] = reach[:-w]
                 new &= ~reach
@@ -96,7 +97,8 @@ def subset_sum(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             count -= piece
             piece *= 2
     take = [0] * len(sizes)
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         k, piece = items[last[at]]
         take[k] += piece
@@ -104,34 +106,35 @@ def subset_sum(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def fit_source(sizes: list[int], counts: list[int], target: float, dp_words: int = DP_WORDS) -> tuple[int, list[int]]:
-    """(whole copies, documents of each size that are taken once more)."""
-    total = sum(s * c for s, c in zip(sizes, counts))
-    if total == 0 or target <= 0:
-        return 0, [0] * len(sizes)
-    copies = min(MOST, int(target // total))
-    budget = 0 if copies == MOST else int(round(target)) - copies * total
-    budget = max(0, min(budget, total))
-    share = budget / total
-    take = [int(c * share) for c in counts]
+def fit_source(sizes: list[int], counts: list[int], target: float, dp_words: int = DP_WORDS) -> list[int]:
+    """How often documents of each size are taken in all, each at most MOST times."""
+    pieces = [MOST * c for c in counts]
+    total = sum(s * p for s, p in zip(sizes, pieces))
+    budget = min(int(round(target)), total)
+    if budget <= 0:
+        return [0] * len(sizes)
+    take = [p * budget // total for p in pieces]
     left = budget - sum(s * t for s, t in zip(sizes, take))
-    # large documents first, until what is left is the program's; it may use every size
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if left <= dp_words:
-            break
-        more = min(counts[i] - take[i], (left - dp_words // 2) // sizes[i])
-        if more > 0:
-            take[i] += more
-            left -= more * sizes[i]
-    if left > dp_words:  # sizes above the program's range are used up; the rest fits by greedy steps
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            more = min(counts[i] - take[i], left // sizes[i])
-            take[i] += more
-            left -= more * sizes[i]
-    fit = [i for i in range(len(sizes)) if 0 < sizes[i] <= left and counts[i] > take[i]] if left <= dp_words else []
-    for i, t in zip(fit, subset_sum([sizes[i] for i in fit], [counts[i] - take[i] for i in fit], left) if fit else []):
+    largest_first = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for i in largest_first:  # down to what the program can fit, it may use every size
+        more = min(pieces[i] - take[i], max(0, left - dp_words // 2) // sizes[i])
+        take[i] += more
+        left -= more * sizes[i]
+    for i in largest_first:  # or up to it
+        less = min(take[i], max(0, dp_words - left) // sizes[i])
+        take[i] -= less
+        left += less * sizes[i]
+    fit = [i for i in range(len(sizes)) if pieces[i] > take[i]]
+    if left <= dp_words:
+        more = subset_sum([sizes[i] for i in fit], [pieces[i] - take[i] for i in fit], left)
+    else:  # the small sizes are used up: the nearest that the large ones leave
+        more = [0] * len(fit)
+        for j, i in sorted(enumerate(fit), key=lambda x: -sizes[x[1]]):
+            more[j] = min(pieces[i] - take[i], (left + sizes[i] // 2) // sizes[i])
+            left = max(0, left - more[j] * sizes[i])
+    for i, t in zip(fit, more):
         take[i] += t
-    return copies, take
+    return take
 
 
 def mix(docs: DataFrame, seed: int = 17, dp_words: int = DP_WORDS) -> DataFrame:
@@ -153,11 +156,12 @@ def mix(docs: DataFrame, seed: int = 17, dp_words: int = DP_WORDS) -> DataFrame:
         group = group.sort_values("size")
         target = float(group["target"].iloc[0])
         words = group[group["size"] > 0]
-        copies, take = fit_source([int(x) for x in words["size"]], [int(x) for x in words["n"]], target, dp_words)
-        more = dict(zip(words["size"], take))
+        taken = dict(zip(words["size"], fit_source([int(x) for x in words["size"]], [int(x) for x in words["n"]],
+                                                   target, dp_words)))
+        share = [divmod(taken.get(s, 0), n) for s, n in zip(group["size"], group["n"])]
         return pd.DataFrame({"source_key": group["source_key"], "size": group["size"],
-                             "source_size": group["source_size"], "target": group["target"], "copies": copies,
-                             "more": [more.get(s, 0) for s in group["size"]]})
+                             "source_size": group["source_size"], "target": group["target"],
+                             "copies": [c for c, _ in share], "more": [m for _, m in share]})
 
     planned = hist.join(goals, "source_key").groupBy("source_key").applyInPandas(
         plan, "source_key string, size bigint, source_size bigint, target double, copies bigint, more bigint")

@@ -39,8 +39,8 @@ PATTERNS = {
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)",
 }
 ANY = "|".join([PATTERNS[k] for k in KINDS])
-#: First day and number of days (319 * 229) of the date range 1900-01-01 .. 2099-12-31 (73,049 days).
-FIRST_DAY, DAY_PARTS = "1900-01-01", (319, 229)
+#: First day and the parts of the number of days: 487 * 150 days from 1900-01-01 to 2100-01-01.
+FIRST_DAY, DAY_PARTS = "1900-01-01", (487, 150)
 
 
 # ---- the permutation -------------------------------------------------------------

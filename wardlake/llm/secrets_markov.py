@@ -7,7 +7,8 @@ functions: no Python on the executors, no shuffle on the scan itself.
 
 Labelled samples: *random* are digests in the usual key alphabets (hex, base64,
 upper-case base32) and the values that the fixed patterns found in the training
-documents; *ordinary* are the other tokens of these documents.  The training
+documents; *ordinary* are these documents' other tokens that have the form of a
+name (letters and separators, a short number at the end).  The training
 documents are those whose id hash falls under ``train_docs / number of rows``
 (a bounded sample in expectation; this bounds only the fit, the scan covers
 every text).  The model is a table of ``len(ALPHABET) ** 2`` ratios.
@@ -45,6 +46,10 @@ MIN_TOKEN = 16
 TOKEN = r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_TOKEN
 
 
+#: Form of an ordinary identifier among the training tokens.
+ORDINARY = r"^[A-Za-z][A-Za-z_./-]*[0-9]{0,3}[.]?$"
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of the fixed patterns, by kind; null text has none."""
     def gated(pattern, keep=None):
@@ -69,7 +74,8 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     value = F.regexp_extract(F.col("s.val"), r"([A-Za-z0-9+/_.=-]+)$", 1)
     rand = docs.select(F.explode(hits).alias("s")).select(F.lit(1).alias("label"), value.alias("value"))
     plain = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS_16 + "|" + HEX_32, " ")
-    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=.-]{6,}"), F.lit(0))).alias("value"))
+    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=.-]{6,}"), F.lit(0))).alias("value")) \
+        .where(F.col("value").rlike(ORDINARY))
     return rand.unionByName(words.select(F.lit(0).alias("label"), "value"))
 
 
@@ -82,22 +88,23 @@ def digest_samples(spark: SparkSession, n: int = 400) -> DataFrame:
         F.lit(1).alias("label"), "value")
 
 
-def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
+def train(samples: DataFrame, alpha: float = 0.5, backoff: float = 20.0) -> list[float]:
     """log P(next | char, random) - log P(next | char, ordinary) for each pair of
-    ALPHABET characters, row by row; add-``alpha`` smoothed pair counts."""
-    k = len(ALPHABET)
+    ALPHABET characters, row by row.  Pair counts back off to single characters
+    (add-``alpha``) with the weight of ``backoff`` observations."""
     pos = F.sequence(F.lit(1), F.length("value") - 1)
     pairs = samples.where(F.length("value") >= 2).select(
         "label", F.explode(F.transform(pos, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in
               pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
-    table = []
-    for a in ALPHABET:
-        rows = [[counts.get((label, a + b), 0) for b in ALPHABET] for label in (1, 0)]
-        tot = [sum(r) + alpha * k for r in rows]
-        table += [math.log((r1 + alpha) / tot[0]) - math.log((r0 + alpha) / tot[1])
-                  for r1, r0 in zip(*rows)]
-    return table
+    logs = []
+    for label in (1, 0):
+        c = [[counts.get((label, a + b), 0) for b in ALPHABET] for a in ALPHABET]
+        single = [sum(row[j] for row in c) + alpha for j in range(len(ALPHABET))]
+        total = sum(single)
+        logs.append([math.log((n + backoff * single[j] / total) / (sum(row) + backoff))
+                     for row in c for j, n in enumerate(row)])
+    return [r - o for r, o in zip(*logs)]
 
 
 def llr(token: Column, table: list[float]) -> Column:
