@@ -70,23 +70,66 @@ def test_append_with_keys_consecutive(spark):
 
 def test_csv_roundtrip_quotes_and_nulls(spark, tmp_dir):
     rows = [tx_row("T1", ap=None, dept='Card, "Main"'), tx_row("T2", ap="AP1", dept="Line\nBreak", amount=123.4),
-            tx_row("T3", ap="AP2", dept="  padded  ", amount=0.05)]
+            tx_row("T3", ap="AP2", dept="  padded  ", amount=0.05), tx_row("T4", ap="AP2", dept="NULL"),
+            tx_row("T5", ap="AP2", dept=""), tx_row("T6", ap="AP2", dept=None)]
     df = frame(spark, "transactions", rows)
     path = os.path.join(tmp_dir, "csv")
-    tables.export_csv(df, "transactions", path, single_file=True)
+    tables.export_csv(df, "transactions", path)
     text = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.endswith(".csv"))
     header = text.splitlines()[0]
     assert header == "id,patientId,appointmentId,date,amount,type,insuranceCoverage,paymentType,department"
     assert "T1,PT1,NULL,2024-01-05T10:00:00.000Z,100,Pharmacy,0,Insurance,\"Card, \"\"Main\"\"\"" in text
     assert ",123.4,Pharmacy," in text and ",0.05,Pharmacy," in text and ",  padded  " in text
-    back = tables.read_export_csv(spark, path, "transactions").orderBy("id").collect()
-    assert back[0].appointment_id is None and back[0].department == 'Card, "Main"'
-    assert back[1].department == "Line\nBreak" and back[1].date == ts("2024-01-05 10:00:00")
+    back = tables.read_export_csv(spark, path, "transactions", multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in df.orderBy("id").collect()]
+    plain = df.where("id <> 'T2'")  # without line breaks the files can be split
+    tables.export_csv(plain, "transactions", path)
+    assert sorted(map(str, tables.read_export_csv(spark, path, "transactions").collect())) == sorted(map(str, plain.collect()))
     bronze = os.path.join(tmp_dir, "bronze")
     tables.load_bronze_csv(spark, path, "transactions", bronze)
-    again = tables.load_bronze_csv(spark, path, "transactions", bronze)
-    assert again.count() == 6  # append
-    assert back[2].department == "  padded  "
+    assert tables.load_bronze_csv(spark, path, "transactions", bronze).count() == 10  # append
+
+
+def test_csv_keeps_silver_rows(spark, tmp_dir):
+    """A patient called NULL and one with an empty name are valid before and after."""
+    from wardlake.operators.quality import silver_patients
+    pts = frame(spark, "patients", [pt_row("PT1", name="NULL"), pt_row("PT2", name="")])
+    path = os.path.join(tmp_dir, "csv")
+    tables.export_csv(pts, "patients", path)
+    back = tables.read_export_csv(spark, path, "patients")
+    assert {r.name for r in silver_patients(back).collect()} == {"NULL", ""}
+    out = os.path.join(tmp_dir, "json")
+    tables.export_json(pts, "patients", out)
+    assert sorted(map(tuple, tables.read_export_json(spark, out, "patients").collect())) == sorted(map(tuple, pts.collect()))
+
+
+def test_jdbc_bounds_are_required(spark):
+    with pytest.raises(ValueError):
+        tables.jdbc_snapshot(spark, "jdbc:none", "t", ["a"], partition_column="a")
+
+
+def test_failed_refresh_keeps_the_last_good_rows(spark, tmp_dir):
+    good = frame(spark, "patients", [pt_row(f"PT{i}") for i in range(10)])
+    bad = good.withColumn("name", F.when(F.col("id") == "PT7", F.raise_error(F.lit("x" * 900))).otherwise(F.col("name")))
+    assert tables.bronze_full_refresh(spark, {"patients": good}, tmp_dir).first().success
+    r = tables.bronze_full_refresh(spark, {"patients": bad}, tmp_dir).first()
+    assert not r.success and "x" * 900 in r.error and r.finished_at is not None
+    assert tables.read_bronze(spark, tmp_dir)["patients"].count() == 10
+    for n in (3, 4, 5):  # a good one replaces, and old ones are removed
+        assert tables.bronze_full_refresh(spark, {"patients": good.limit(n)}, tmp_dir).first().success
+        assert tables.read_bronze(spark, tmp_dir)["patients"].count() == n
+    checked = [d for d in os.listdir(f"{tmp_dir}/patients/refresh")
+               if os.path.exists(f"{tmp_dir}/patients/refresh/{d}/{tables.CHECKED}")]
+    assert len(checked) == 2
+
+
+def test_unreadable_bronze_is_an_error(spark, tmp_dir):
+    assert tables.read_bronze(spark, os.path.join(tmp_dir, "none")) == {}
+    os.makedirs(f"{tmp_dir}/patients/load")
+    with open(f"{tmp_dir}/patients/load/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        tables.read_bronze(spark, tmp_dir)["patients"].count()
 
 
 def test_json_export_keeps_nulls(spark, tmp_dir):
@@ -148,6 +191,19 @@ def test_alerts_no_data_and_threshold(spark):
     assert metrics.rules_frame(spark).count() == 3
 
 
+def test_alert_label_filter(spark):
+    """The job's own sample decides; other healthy jobs do not hide it."""
+    samples = spark.createDataFrame([
+        ("up", ts("2024-01-01 00:00:50"), 1.0, {"job": "other"}), ("up", ts("2024-01-01 00:00:40"), 0.0, {"job": "application"}),
+        ("up", ts("2024-01-01 00:00:55"), 1.0, None)], "metric string, ts timestamp, value double, labels map<string,string>")
+    out = {r.rule: (r.state, r.value) for r in metrics.threshold_alerts(
+        samples, metrics.rules_frame(spark), "2024-01-01 00:01:00").collect()}
+    assert out["application down"] == ("Alerting", 0.0)
+    plain = samples.drop("labels")  # samples without labels cannot match a labelled rule
+    assert {r.rule: r.state for r in metrics.threshold_alerts(
+        plain, metrics.rules_frame(spark), "2024-01-01 00:01:00").collect()}["application down"] == "Alerting"
+
+
 def test_scans_api_shape(spark):
     pts = frame(spark, "patients", [pt_row("PT2"), pt_row("PT1")])
     out = tables.scan_patients(pts)

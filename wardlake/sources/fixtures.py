@@ -35,7 +35,7 @@ def _ts(col: str):
 
 def departments(nation: DataFrame) -> DataFrame:
     k = "n_nationkey"
-    return nation.where(F.col(k) < 24).select(
+    return nation.select(
         F.concat(F.lit("DEP_"), F.lpad(F.col(k).cast("string"), 4, "0")).alias("id"),
         F.col("n_name").alias("name"),
         F.expr(f"CAST(15 + ({k}*7) % 46 AS INT)").alias("beds_total"),
@@ -141,7 +141,8 @@ def transactions(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
 
 
 def metric_samples(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_type").alias("metric"), _ts("ts").alias("ts"), F.col("value"))
+    return events.select(F.col("event_type").alias("metric"), _ts("ts").alias("ts"), F.col("value"),
+                         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"))
 
 
 @dataclass
@@ -164,38 +165,16 @@ class Hospital:
             df.createOrReplaceTempView(name)
 
 
-_PLANS: dict[tuple[str, int, str], Hospital] = {}
-
-
-def load_hospital(spark: SparkSession, sf_dir: str, fresh: bool = False, spread: bool = False) -> Hospital:
-    """The hospital tables over ``sf_dir``.  The lazy plans are memoised per
-    session and folder (file listing, schema reads and plan analysis cost the
-    driver about a second per build); ``fresh=True`` re-lists the files.
-    ``spread=True`` gives the two fact inputs at least the session's default
-    parallelism (see ``spread_input``)."""
+def load_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
+    """The hospital tables over ``sf_dir``, as lazy plans over the files that are
+    there now."""
     ensure_utc(spark)
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), spread)
-    if not fresh and key in _PLANS:
-        return _PLANS[key]
-    _PLANS[key] = h = _build_hospital(spark, sf_dir, spread)
-    return h
-
-
-def spread_input(df: DataFrame) -> DataFrame:
-    """A parallelism floor for heavy one-pass jobs (ingestion): when a table
-    comes in fewer files than the session has cores, spread its rows with a
-    round-robin repartition.  Large inputs (many files) pass through untouched,
-    so at scale this adds no shuffle."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if len(df.inputFiles()) < par else df
+    return _build_hospital(spark, sf_dir)
 
 
-def _build_hospital(spark: SparkSession, sf_dir: str, spread: bool = False) -> Hospital:
+def _build_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
     t = {n: read_table(spark, sf_dir, n) for n in
          ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")}
-    if spread:
-        t["lineitem"] = spread_input(t["lineitem"])
-        t["orders"] = spread_input(t["orders"])
     doc_keyed = doctors(t["supplier"], t["nation"], keep_key=True)
     return Hospital(
         departments=departments(t["nation"]),
@@ -215,7 +194,7 @@ def materialize_bronze(spark: SparkSession, sf_dir: str, bronze_dir: str,
     small local runs pass a lower cap to get several files per table.  Returns
     the refresh report (one row per table)."""
     from .tables import bronze_full_refresh
-    h = load_hospital(spark, sf_dir, spread=True)
+    h = load_hospital(spark, sf_dir)
     return bronze_full_refresh(spark, h.as_dict(), bronze_dir, sort_by_time=True,
                                max_records_per_file=max_records_per_file, cluster=cluster)
 
@@ -237,7 +216,7 @@ FIXTURE_CTE = """WITH departments AS (
   CAST(15 + (n_nationkey*7) % 46 AS INT) AS beds_total, CAST(4 + (n_nationkey*5) % 11 AS INT) AS beds_occupied,
   CAST(4.0 + (n_nationkey % 10) * 0.1 AS DECIMAL(2,1)) AS kpi_satisfaction,
   CAST(12 + (n_nationkey*3) % 31 AS INT) AS avg_wait_time
- FROM nation WHERE n_nationkey < 24
+ FROM nation
 ), doctors AS (
  SELECT concat('DR', CAST(s_suppkey AS VARCHAR)) AS id, s_name AS name, n_name AS department,
   CAST(5 + (s_suppkey*11) % 31 AS INT) AS experience, CAST(100 + (s_suppkey*37) % 251 AS INT) AS consultation_fee,
@@ -273,6 +252,6 @@ FIXTURE_CTE = """WITH departments AS (
   n_name AS department
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), metric_samples AS (
- SELECT event_type AS metric, CAST(ts AS TIMESTAMP) AS ts, value FROM events
+ SELECT event_type AS metric, CAST(ts AS TIMESTAMP) AS ts, value, user_id FROM events
 )
 """

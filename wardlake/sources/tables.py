@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +56,24 @@ def scan_transactions(df: DataFrame) -> DataFrame:
 # -- relational snapshot ----------------------------------------------------
 
 def jdbc_snapshot(spark: SparkSession, url: str, table: str, columns: list[str],
-                  partition_column: str | None = None, lower_bound: int | None = None,
-                  upper_bound: int | None = None, num_partitions: int = 8,
+                  partition_column: str | None = None, lower_bound=None, upper_bound=None,
+                  num_partitions: int = 8, predicates: list[str] | None = None,
                   properties: dict | None = None) -> DataFrame:
     """Read one relational table with an explicit column list and no filter.
 
-    ``jdbc:`` URLs use Spark's JDBC source (split into ``num_partitions``
-    parallel range reads on a numeric ``partition_column``); any other URL is
-    read as a Parquet dataset (used in tests: no database server here)."""
+    ``jdbc:`` URLs use Spark's JDBC source.  A large table is read in parallel by a
+    list of ``predicates`` (one partition each; they must cover every row once --
+    the way for text keys) or by ranges of a numeric, date or timestamp
+    ``partition_column`` with both bounds; with neither it is one task.  Any other
+    URL is read as a Parquet dataset (used in tests: no database server here)."""
     if not url.startswith("jdbc:"):
         return spark.read.parquet(url).select(*columns)
-    reader = spark.read.format("jdbc").option("url", url).option(
-        "dbtable", f"(SELECT {', '.join(columns)} FROM {table}) snap")
+    query = f"(SELECT {', '.join(columns)} FROM {table}) snap"
+    if predicates:
+        return spark.read.jdbc(url, query, predicates=predicates, properties=properties or {})
+    if partition_column is not None and (lower_bound is None or upper_bound is None):
+        raise ValueError("partition_column needs lower_bound and upper_bound")
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", query)
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
     if partition_column is not None:
@@ -98,23 +106,26 @@ def csv_text_frame(df: DataFrame, table: str) -> DataFrame:
                             if isinstance(f.dataType, T.DecimalType)})
 
 
-def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, single_file: bool = False,
-               mode: str = "overwrite") -> None:
+#: Text for a missing value, in the one column that has such a mark.
+NULL_MARK = {"transactions": ("appointmentId", "NULL")}
+
+
+def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, mode: str = "overwrite") -> None:
     """CSV with header and fixed column order; values are quoted only when they
     hold a comma, quote or newline, inner quotes doubled; a null appointment id
-    is written as NULL; timestamps as ISO-8601 UTC with milliseconds.
+    is written as NULL, other nulls as nothing, empty text as "" (so all three are
+    read back as they were); timestamps as ISO-8601 UTC with milliseconds.
 
-    ``ordered`` sorts by id (a range-partitioned sort); ``single_file`` writes one
-    part (only for small tables)."""
+    ``ordered`` sorts by id (a range-partitioned sort)."""
     out = csv_text_frame(df, table)
+    if table in NULL_MARK:
+        col, mark = NULL_MARK[table]
+        out = out.withColumn(col, F.coalesce(F.col(col), F.lit(mark)))
     if ordered:
         out = out.orderBy("id")
-    if single_file:
-        out = out.coalesce(1)
-    (out.write.mode(mode).option("header", True).option("nullValue", "NULL")
+    (out.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""')
      .option("quote", '"').option("escape", '"').option("timestampFormat", CSV_TIMESTAMP)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("emptyValue", "")
      .csv(path))
 
 
@@ -126,20 +137,44 @@ def export_json(df: DataFrame, table: str, path: str, ordered: bool = True, mode
     out.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def read_export_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read an exported CSV back with the declared schema (storage names)."""
-    df = (spark.read.schema(S.api_schema(table)).option("header", True).option("nullValue", "NULL")
-          .option("quote", '"').option("escape", '"').option("timestampFormat", CSV_TIMESTAMP)
-          .option("multiLine", True).csv(path))
-    return to_storage_names(df, table)
+#: Stands for a quoted empty text while a file is read (the reader would make it null).
+_EMPTY = "\u0001"
+
+
+def csv_reader_options(multi_line: bool = False) -> dict[str, str]:
+    return {"header": "true", "nullValue": "", "emptyValue": _EMPTY, "quote": '"', "escape": '"', "timestampFormat": CSV_TIMESTAMP,
+            "multiLine": str(multi_line).lower()}
+
+
+def csv_columns(df: DataFrame, table: str) -> DataFrame:
+    """Columns of a read CSV export, empty texts and the null mark turned back."""
+    df = df.withColumns({f.name: F.when(F.col(f.name) == _EMPTY, F.lit("")).otherwise(F.col(f.name))
+                         for f in df.schema.fields if f.dataType == T.StringType()})
+    if table in NULL_MARK and NULL_MARK[table][0] in df.columns:
+        col, mark = NULL_MARK[table]
+        df = df.withColumn(col, F.nullif(F.col(col), F.lit(mark)))
+    return df
+
 
+def read_export_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+    """Read an exported CSV back with the declared schema (storage names).
+    ``multi_line`` reads values with line breaks; a file is then read by one task,
+    so it is off unless asked for."""
+    df = spark.read.schema(S.api_schema(table)).options(**csv_reader_options(multi_line)).csv(path)
+    return to_storage_names(csv_columns(df, table), table)
 
-def load_bronze_csv(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str) -> DataFrame:
+
+def read_export_json(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Read exported JSON lines back with the declared schema (storage names)."""
+    return to_storage_names(spark.read.schema(S.api_schema(table)).json(path), table)
+
+
+def load_bronze_csv(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str,
+                    multi_line: bool = False) -> DataFrame:
     """Read exported CSV for ``table`` and *append* it to Bronze (typed)."""
-    df = read_export_csv(spark, landing_dir, table).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.bronze_schema(table).fields])
-    df.write.mode("append").parquet(f"{bronze_dir.rstrip('/')}/{table}")
-    return spark.read.parquet(f"{bronze_dir.rstrip('/')}/{table}")
+    df = to_bronze(read_export_csv(spark, landing_dir, table, multi_line), table)
+    df.write.mode("append").parquet(f"{bronze_dir.rstrip('/')}/{table}/load")
+    return read_bronze_table(spark, bronze_dir, table)
 
 
 def bronze_schemas() -> dict[str, T.StructType]:
@@ -154,25 +189,34 @@ def to_bronze(df: DataFrame, table: str) -> DataFrame:
 REPORT_SCHEMA = T.StructType([
     T.StructField("table", T.StringType()), T.StructField("success", T.BooleanType()),
     T.StructField("rows", T.LongType()), T.StructField("duration_ms", T.LongType()),
-    T.StructField("error", T.StringType()),
+    T.StructField("error", T.StringType()), T.StructField("finished_at", T.TimestampType()),
 ])
+CHECKED = "_CHECKED"
 
 
 def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_dir: str,
                         parallel: int = 5, partition_by: dict[str, list[str]] | None = None,
                         sort_by_time: bool = False, max_records_per_file: int | None = None,
-                        cluster: str = "sort") -> DataFrame:
+                        cluster: str = "sort", keep: int = 2) -> DataFrame:
     """Truncate-and-reload every Bronze table.  Tables load concurrently; one
-    table's failure does not stop the others.  A table succeeds only when the
-    rows read back from Bronze equal the source rows; the source rows are
-    counted by an ``Observation`` in the same pass that writes them (the source
-    is read once).  ``sort_by_time`` sorts rows of tables with a time column by
-    that column inside each file; ``cluster="range"`` also range-partitions them
-    by it (one time range per file)."""
+    table's failure does not stop the others and leaves its last good rows.
+
+    The new rows go to ``<table>/refresh/v=<start, ms>``.  The rows read back must
+    equal the source rows, which an ``Observation`` counts in the pass that writes
+    them; only then is the folder marked as checked, and readers take the newest
+    checked one.  ``keep`` checked folders stay, older ones are removed.
+    ``sort_by_time`` sorts rows of tables with a time column by that column inside
+    each file; ``cluster="range"`` also range-partitions them by it (one time range
+    per file)."""
     from pyspark.sql import Observation
 
+    from ..streaming import batches
+
     def one(name: str):
         t0 = time.time()
+        table_dir = f"{out_dir.rstrip('/')}/{name}/refresh"
+        path = f"{table_dir}/v={int(t0 * 1000)}"
+        done = lambda: datetime.now(timezone.utc).replace(tzinfo=None)
         try:
             obs = Observation(f"bronze_{name}")
             df = to_bronze(sources[name], name)
@@ -192,14 +236,19 @@ def bronze_full_refresh(spark: SparkSession, sources: dict[str, DataFrame], out_
                 w = w.option("maxRecordsPerFile", max_records_per_file)
             if partition_by and partition_by.get(name):
                 w = w.partitionBy(*partition_by[name])
-            w.parquet(f"{out_dir.rstrip('/')}/{name}")
+            w.parquet(path)
             src_rows = obs.get["rows"]
-            rows = spark.read.parquet(f"{out_dir.rstrip('/')}/{name}").count()
+            rows = spark.read.schema(S.bronze_schema(name)).parquet(path).count()
             ok = rows == src_rows
             err = None if ok else f"wrote {rows} rows, source has {src_rows}"
-            return (f"bronze_{name}", ok, rows, int((time.time() - t0) * 1000), err)
+            if ok:
+                fs, mark = batches._fs(spark, f"{path}/{CHECKED}")
+                fs.create(mark).close()
+                checked = batches.matching(spark, f"{table_dir}/v=*/{CHECKED}")
+                batches.remove(spark, [p[: -len(CHECKED) - 1] for p in checked[:-max(1, keep)]])
+            return (f"bronze_{name}", ok, rows, int((time.time() - t0) * 1000), err, done())
         except Exception as e:  # noqa: BLE001 - the report carries the error
-            return (f"bronze_{name}", False, 0, int((time.time() - t0) * 1000), str(e)[:500])
+            return (f"bronze_{name}", False, 0, int((time.time() - t0) * 1000), str(e), done())
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         rows = list(pool.map(one, list(sources)))
@@ -229,12 +278,30 @@ def write_bronze(df: DataFrame, table: str, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def read_bronze_table(spark: SparkSession, bronze_dir: str, table: str) -> DataFrame | None:
+    """One Bronze table: the newest checked refresh and what batch loads (``load``)
+    and streams (``stream``) have added since; None when nothing was ever written.
+    Each writer has its own folder, because the streaming sink's file log hides
+    whatever others write beside it."""
+    from ..streaming import batches
+    base, schema = f"{bronze_dir.rstrip('/')}/{table}", S.bronze_schema(table)
+    checked = batches.matching(spark, f"{base}/refresh/v=*/{CHECKED}")
+    parts, since = [], None
+    if checked:
+        path = checked[-1][: -len(CHECKED) - 1]
+        since = int(path.rsplit("v=", 1)[1])
+        parts.append(spark.read.schema(schema).parquet(path))
+    for writer in ("load", "stream"):
+        if batches.exists(spark, f"{base}/{writer}"):
+            df = spark.read.schema(schema).parquet(f"{base}/{writer}")
+            if since is not None:  # a refresh replaces what was there when it began
+                df = df.where(F.unix_millis("_metadata.file_modification_time") >= since)
+            parts.append(df.select(*schema.names))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def read_bronze(spark: SparkSession, bronze_dir: str, tables=S.TABLES) -> dict[str, DataFrame]:
-    """The Bronze tables present under ``bronze_dir`` (missing ones are left out)."""
-    out = {}
-    for t in tables:
-        try:
-            out[t] = spark.read.schema(S.bronze_schema(t)).parquet(f"{bronze_dir.rstrip('/')}/{t}")
-        except Exception:  # noqa: BLE001 - table not loaded yet
-            continue
-    return out
+    """The Bronze tables under ``bronze_dir``; those never written are left out, any
+    other failure is raised."""
+    found = {t: read_bronze_table(spark, bronze_dir, t) for t in tables}
+    return {t: df for t, df in found.items() if df is not None}

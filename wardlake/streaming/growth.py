@@ -4,8 +4,9 @@ month, the latest 12 months.
 Batch form: three monthly counts (partial aggregation; at most one row per
 month each) are folded into one table and turned into running totals.  The
 running window sees only the month rows -- a calendar-bounded handful -- never
-the fact rows.  Stream form: ``update_growth_history`` upserts the current
-month's totals into the kept history after each micro-batch.
+the fact rows.  Stream form: every micro-batch stores its own counts, and the
+history is their running sum.  ``update_growth_history`` upserts one month's totals
+into a kept history.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def growth_history(pt: DataFrame, ap: DataFrame, tx: DataFrame, months: int = KE
              _monthly(tx, tx_ts, "transactionsCount")]
     per_month = reduce(DataFrame.unionByName, parts).groupBy("timestamp").agg(
         *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+    return _running(per_month, months)
+
+
+def _running(per_month: DataFrame, months: int) -> DataFrame:
+    """Running totals over month rows; the window sees one row per month."""
     running = Window.orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = per_month.select("timestamp", *[F.sum(c).over(running).cast("bigint").alias(c) for c in COUNT_COLUMNS])
     return cum.orderBy(F.col("timestamp").desc()).limit(months).orderBy("timestamp")
@@ -53,56 +59,44 @@ def update_growth_history(history: DataFrame, month: str, counts: DataFrame,
     return kept.unionByName(cur).orderBy(F.col("timestamp").desc()).limit(months).orderBy("timestamp")
 
 
+HISTORY_SCHEMA = "timestamp string, patientsCount bigint, appointmentsCount bigint, transactionsCount bigint"
+
+
 def stream_growth_history(spark, streams: dict, history_dir: str, checkpoint: str,
                           month: str | None = None, available_now: bool = True):
     """Keep the growth history current as rows arrive.
 
     ``streams`` maps 'patients' / 'appointments' / 'transactions' to streaming
     frames of new rows.  Each micro-batch counts its rows per table (one small
-    aggregate), adds them to the latest totals in the history, upserts the
-    current month and keeps the last 12 months.  The history is written as
-    version ``v=<batch_id>`` with a committed pointer, so a replayed batch
-    rewrites the same version."""
-    from pyspark.sql import types as T
+    aggregate) and writes them, with the month, to a folder of its own; the history
+    is the running sum over all committed batches, so there is no state to lose."""
+    from . import batches
 
-    from .incremental import POINTER, committed_version
-
-    base = history_dir.rstrip("/")
     col_of = {"patients": "patientsCount", "appointments": "appointmentsCount",
               "transactions": "transactionsCount"}
     tagged = None
     for name, df in streams.items():
         t = df.select(F.lit(col_of[name]).alias("counter"))
         tagged = t if tagged is None else tagged.unionByName(t)
-    schema = T.StructType([T.StructField("timestamp", T.StringType())]
-                          + [T.StructField(c, T.LongType()) for c in COUNT_COLUMNS])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        cur = committed_version(s, base)
-        if cur is not None and cur >= batch_id:
-            return
-        hist = (s.read.schema(schema).parquet(f"{base}/v={cur}") if cur is not None
-                else s.createDataFrame([], schema))
-        latest = hist.orderBy(F.col("timestamp").desc()).limit(1)
-        added = batch.groupBy().agg(*[F.count_if(F.col("counter") == c).alias(c) for c in COUNT_COLUMNS])
-        prev = latest.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS])
-        totals = prev.unionByName(added).agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
         month_text = month or datetime.now(timezone.utc).strftime("%Y-%m")
-        new = update_growth_history(hist, month_text, totals)
-        new.coalesce(1).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
-        s.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").json(
-            f"{base}/{POINTER}")
+        added = batch.groupBy().agg(*[F.count_if(F.col("counter") == c).alias(c) for c in COUNT_COLUMNS])
+        batches.write_batch(added.select(F.lit(month_text).alias("timestamp"), *COUNT_COLUMNS), history_dir,
+                            batches.query_id(s, checkpoint), batch_id)
 
     w = tagged.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
-def read_growth_history(spark, history_dir: str) -> DataFrame:
-    from .incremental import committed_version
-    v = committed_version(spark, history_dir)
-    if v is None:
-        return spark.createDataFrame([], "timestamp string, patientsCount long, appointmentsCount long, "
-                                         "transactionsCount long")
-    return spark.read.parquet(f"{history_dir.rstrip('/')}/v={v}").orderBy("timestamp")
+def read_growth_history(spark, history_dir: str, months: int = KEEP_MONTHS) -> DataFrame:
+    """Totals at the end of each month, the last ``months`` months, oldest first."""
+    from . import batches
+    paths = batches.committed(spark, history_dir)
+    if not paths:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    per_month = spark.read.schema(HISTORY_SCHEMA).parquet(*paths).groupBy("timestamp").agg(
+        *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+    return _running(per_month, months)

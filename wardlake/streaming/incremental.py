@@ -1,20 +1,25 @@
 """Incremental Bronze append and Silver upsert on Structured Streaming.
 
-* ``stream_bronze_append``: new landing files -> typed Bronze rows (append).
+* ``stream_bronze_append``: new landing files -> typed Bronze rows, in the
+  table's ``stream`` folder (batch writers have folders of their own).
 * ``stream_silver_upsert``: each micro-batch of Bronze transactions passes the
-  Silver rule, is reduced to its newest row per id and MERGEd into Silver.
-  Silver is bucketed by an id hash; a batch rewrites only the buckets it
-  touches, as version ``v=<batch_id>``, then a manifest and a committed-version
-  pointer: a re-run of a batch (after a failure) rewrites the same folders, so
-  every batch is applied exactly once.  Late data: an older
-  row for a known id loses to the kept one (the merge's date guard); an unseen
-  id is inserted however late it comes.
-* ``stream_pipeline_counts``: running row counts per table (complete mode).
+  Silver rule, is reduced to its newest row per id and written to a folder of its
+  own (see ``batches``).  The current Silver is one aggregate per id over all
+  committed folders: the columns a MERGE never changes come from the earliest
+  arrival, the update columns from the newest date (equal dates: the earlier
+  arrival).  That equals applying the MERGE batch by batch, needs no state besides
+  the folders, and is the same when a batch is replayed or read twice.
+* ``compact_silver`` writes the current rows as one more folder and removes the
+  ones it covers; the aggregate is idempotent, so a crash in between is harmless.
+* ``stream_pipeline_counts`` / ``stream_gold_dept_totals``: running aggregates in
+  complete mode; every batch writes the whole (small) result.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import time
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,23 +27,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators.quality import SILVER_RULES, dedupe_latest
-from ..operators.upsert import dedupe_first, insert_ignore, merge_upsert
-from ..sources.tables import CSV_TIMESTAMP
+from ..operators.upsert import dedupe_first
+from ..sources.tables import csv_columns, csv_reader_options
+from . import batches
 
-POINTER = "_committed"
+UPDATE_COLUMNS = ("amount", "insurance_coverage", "payment_type", "date")
 
 
 def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str = "parquet",
-                  api_names: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of landing files for ``table`` with the declared schema."""
+                  api_names: bool = False, max_files_per_trigger: int | None = None,
+                  multi_line: bool = False) -> DataFrame:
+    """Streaming read of landing files for ``table`` with the declared schema.
+    ``multi_line`` reads CSV values with line breaks (a file is then one task)."""
     schema = S.api_schema(table) if api_names else S.bronze_schema(table)
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        reader = (reader.option("header", True).option("nullValue", "NULL").option("escape", '"')
-                  .option("timestampFormat", CSV_TIMESTAMP).option("multiLine", True))
+        reader = reader.options(**csv_reader_options(multi_line))
     df = reader.load(landing_dir)
+    if fmt == "csv":
+        df = csv_columns(df, table)
     if api_names:
         inv = {v: k for k, v in S.API_NAMES[table].items()}
         df = df.withColumnsRenamed({k: v for k, v in inv.items() if k in df.columns})
@@ -47,155 +56,131 @@ def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str =
 
 def stream_bronze_append(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str,
                          checkpoint: str, fmt: str = "parquet", api_names: bool = False,
-                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                         available_now: bool = True, max_files_per_trigger: int | None = None,
+                         multi_line: bool = False) -> StreamingQuery:
     """Pick up new landing files and append them to Bronze (exactly once through
     the checkpoint's file log)."""
-    df = bronze_stream(spark, landing_dir, table, fmt, api_names, max_files_per_trigger)
+    df = bronze_stream(spark, landing_dir, table, fmt, api_names, max_files_per_trigger, multi_line)
     w = (df.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", f"{bronze_dir.rstrip('/')}/{table}"))
+         .option("checkpointLocation", checkpoint).option("path", f"{bronze_dir.rstrip('/')}/{table}/stream"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
-def committed_version(spark: SparkSession, silver_dir: str) -> int | None:
-    """The committed Silver version (None before the first batch)."""
-    try:
-        row = spark.read.json(f"{silver_dir.rstrip('/')}/{POINTER}").agg(F.max("version")).first()
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return None if row is None or row[0] is None else int(row[0])
-
-
-MANIFEST_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
-
-
-def _manifest(spark: SparkSession, base: str, version: int | None) -> DataFrame:
-    if version is None:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/_manifest/v={version}")
-
+def _stored_schema(table: str) -> T.StructType:
+    return T.StructType([*S.bronze_schema(table).fields, T.StructField("_arrived", T.TimestampType())])
 
-def bucket_of(key_cols, n_buckets: int):
-    """Id-hash bucket of a row (stable across runs and engines' partitioning)."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key_cols]), F.lit(n_buckets)).cast("int")
 
+def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, silver_dir: str,
+                        table: str = "transactions", order_col: str = "date", keys=("id",),
+                        op: str = "merge", apply_rule: bool = True, query: str = "batch") -> None:
+    """Store one batch of changes: Silver rule, one row per key, arrival time.
 
-def _bucket_paths(base: str, manifest_rows) -> list[str]:
-    return [f"{base}/data/v={v}/bucket={b}" for b, v in manifest_rows]
+    The same (query, batch_id) overwrites the same folder.  ``op="merge"`` keeps a
+    key's newest row, ``"insert_ignore"`` its earliest (read with the same op);
+    ``apply_rule=False`` skips the Silver rule (for non-Silver tables)."""
+    rule = SILVER_RULES.get(table) if apply_rule else None
+    clean = (batch.where(rule()) if rule else batch).select(*S.bronze_schema(table).names)
+    one = dedupe_first if op == "insert_ignore" else dedupe_latest
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    arrived = F.lit(now.isoformat(sep=" ")).cast("timestamp")
+    batches.write_batch(one(clean, list(keys), order_col).withColumn("_arrived", arrived), silver_dir, query, batch_id)
 
 
-def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions") -> DataFrame:
-    """The committed Silver table: for every bucket, its latest version."""
-    base = silver_dir.rstrip("/")
-    v = committed_version(spark, silver_dir)
-    schema = S.bronze_schema(table)
-    if v is None:
-        return spark.createDataFrame([], schema)
-    # the manifest has one small row per bucket (bounded by n_buckets, not by data)
-    paths = _bucket_paths(base, [(r.bucket, r.version) for r in _manifest(spark, base, v).collect()])
+def _stored(spark: SparkSession, silver_dir: str, table: str) -> DataFrame:
+    paths = batches.committed(spark, silver_dir)
     if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{base}/data").parquet(*paths).select(*schema.names)
-
-
-def silver_upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, silver_dir: str,
-                        table: str = "transactions", order_col: str = "date", keys=("id",),
-                        update_cols=("amount", "insurance_coverage", "payment_type", "date"),
-                        n_buckets: int = 64, op: str = "merge", apply_rule: bool = True) -> None:
-    """Apply one micro-batch: Silver rule -> newest per id -> MERGE into the
-    committed Silver, rewriting only the id-hash buckets the batch touches.
-
-    Layout: ``data/v=<batch>/bucket=<k>`` parquet folders, a manifest
-    ``_manifest/v=<batch>`` naming each bucket's current version, and the
-    committed-version pointer.  A batch reads the touched buckets' current
-    versions, writes their merged rows as version ``batch_id`` (overwrite:
-    a replay rewrites the same folders), then a new manifest, then moves the
-    pointer.  Cost per batch is proportional to the touched buckets, not to
-    the whole table; untouched buckets are never read or rewritten.  Size
-    ``n_buckets`` so a bucket is about a gigabyte (table bytes / 1 GB): a batch
-    of k new or changed ids rewrites at most k buckets.  The same call serves
-    batch jobs (any increasing ``batch_id``); ``op="insert_ignore"`` applies
-    insert-if-absent instead of the MERGE; ``apply_rule=False`` skips the
-    Silver rule (for non-Silver tables)."""
-    base = silver_dir.rstrip("/")
-    keys = list(keys)
-    current = committed_version(spark, silver_dir)
-    if current is not None and current >= batch_id:
-        return  # already applied (a replayed batch after the pointer moved)
-    rule = SILVER_RULES.get(table) if apply_rule else None
-    clean = batch.where(rule()) if rule else batch
-    if op == "insert_ignore":
-        clean = dedupe_first(clean.select(*S.bronze_schema(table).names), keys, order_col)
-    else:
-        clean = dedupe_latest(clean.select(*S.bronze_schema(table).names), keys, order_col)
-    # the de-duplicated batch feeds both the touched-bucket list and the merge:
-    # keep it (memory, spilling to disk) instead of computing it twice; a lost
-    # executor's blocks are recomputed from the replayable micro-batch
-    clean = clean.withColumn("bucket", bucket_of(keys, n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
-    touched = {r.bucket for r in clean.select("bucket").distinct().collect()}  # <= n_buckets ints
-    if not touched:
-        clean.unpersist()
+        return spark.createDataFrame([], _stored_schema(table))
+    return spark.read.schema(_stored_schema(table)).parquet(*paths)
+
+
+def _current(stored: DataFrame, table: str, order_col: str, keys, update_cols) -> DataFrame:
+    """One row per key, with the arrival of its first row: a min and a max over
+    structs, summed up before the shuffle (a hot key is one row per task)."""
+    fixed = [c for c in S.storage_columns(table) if c not in keys and c not in update_cols]
+    first = F.min(F.struct("_arrived", *fixed)).alias("f")
+    if not update_cols:
+        return stored.groupBy(*keys).agg(first).select(*keys, "f.*")
+    rest = [c for c in update_cols if c != order_col]
+    # of equal dates the earlier arrival is the greater struct
+    newest = F.max(F.struct(F.col(order_col), (-F.unix_micros("_arrived")).alias("_early"), *rest)).alias("u")
+    return stored.groupBy(*keys).agg(first, newest).select(*keys, "f.*", F.col(f"u.{order_col}"),
+                                                           *[F.col(f"u.{c}") for c in rest])
+
+
+def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions", order_col: str = "date",
+                keys=("id",), update_cols=UPDATE_COLUMNS, op: str = "merge") -> DataFrame:
+    """The current Silver table over all committed batches."""
+    cols = () if op == "insert_ignore" else tuple(update_cols)
+    return _current(_stored(spark, silver_dir, table), table, order_col, list(keys), cols).select(
+        *S.storage_columns(table))
+
+
+def compact_silver(spark: SparkSession, silver_dir: str, table: str = "transactions", order_col: str = "date",
+                   keys=("id",), update_cols=UPDATE_COLUMNS, op: str = "merge") -> None:
+    """Write the current rows as one folder and remove the folders they come from.
+    Run it while no batch is being written."""
+    covered = batches.committed(spark, silver_dir)
+    if len(covered) < 2:
         return
-    man = {r.bucket: r.version for r in _manifest(spark, base, current).collect()}  # <= n_buckets rows
-    schema = S.bronze_schema(table)
-    old_paths = _bucket_paths(base, [(b, man[b]) for b in sorted(touched) if b in man])
-    if old_paths:
-        target = (spark.read.schema(T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())]))
-                  .option("basePath", f"{base}/data")
-                  .parquet(*old_paths))
-        target = target.withColumn("bucket", bucket_of(keys, n_buckets)).select(*schema.names, "bucket")
-    else:
-        target = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType())]))
-    if op == "insert_ignore":
-        merged = insert_ignore(target, clean.select(*schema.names, "bucket"), keys, order_col)
-    else:
-        merged = merge_upsert(target, clean.select(*schema.names, "bucket"), keys, order_col, update_cols,
-                              dedupe_source=False)
-    # one writer task per bucket: one file per touched bucket, not one per
-    # (task, bucket) pair -- bucket size is the unit of work by design
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v={batch_id}")
-    new_man = dict(man)
-    new_man.update({b: batch_id for b in touched})
-    clean.unpersist()
-    spark.createDataFrame(sorted(new_man.items()), MANIFEST_SCHEMA).coalesce(1) \
-        .write.mode("overwrite").json(f"{base}/_manifest/v={batch_id}")
-    spark.createDataFrame([(batch_id,)], T.StructType([T.StructField("version", T.LongType())])) \
-        .coalesce(1).write.mode("overwrite").json(f"{base}/{POINTER}")
+    cols = () if op == "insert_ignore" else tuple(update_cols)
+    rows = _current(_stored(spark, silver_dir, table), table, order_col, list(keys), cols)
+    batches.write_batch(rows.select(*_stored_schema(table).names), silver_dir, "compacted", int(time.time() * 1000))
+    batches.remove(spark, covered)
 
 
 def stream_silver_upsert(spark: SparkSession, bronze_source: DataFrame, silver_dir: str, checkpoint: str,
                          table: str = "transactions", available_now: bool = True, **kw) -> StreamingQuery:
-    """foreachBatch MERGE of a streaming Bronze source into versioned Silver."""
+    """foreachBatch upsert of a streaming Bronze source into Silver."""
     def apply(df: DataFrame, batch_id: int) -> None:
-        silver_upsert_batch(df.sparkSession, df, batch_id, silver_dir, table, **kw)
+        s = df.sparkSession
+        silver_upsert_batch(s, df, batch_id, silver_dir, table, query=batches.query_id(s, checkpoint), **kw)
 
     w = bronze_source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
-def stream_pipeline_counts(streams: dict[str, DataFrame], query_name: str = "pipeline_counts",
-                           checkpoint: str | None = None) -> StreamingQuery:
-    """Running row counts per table, refreshed as rows arrive (complete mode,
-    in-memory table ``query_name``)."""
+def _complete_sink(agg: DataFrame, out_dir: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Write the whole result of a running aggregate with every micro-batch and
+    keep the last two."""
+    def apply(df: DataFrame, batch_id: int) -> None:
+        s = df.sparkSession
+        query = batches.query_id(s, checkpoint)
+        batches.write_batch(df.coalesce(1), out_dir, query, batch_id)  # one row per group
+        old = [p for p in batches.committed(s, out_dir) if f"query={query}/" in p
+               and int(p.rsplit("batch=", 1)[1]) < batch_id - 1]
+        batches.remove(s, old)
+
+    w = agg.writeStream.outputMode("complete").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def read_complete(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
+    """The newest result of a running aggregate (empty before the first batch)."""
+    path = batches.latest(spark, out_dir)
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+
+
+COUNTS_SCHEMA = "table string, rows bigint"
+DEPT_TOTALS_SCHEMA = "department string, total_revenue decimal(20,2), transaction_count bigint"
+
+
+def stream_pipeline_counts(streams: dict[str, DataFrame], out_dir: str, checkpoint: str,
+                           available_now: bool = True) -> StreamingQuery:
+    """Running row counts per table (read with ``read_complete``)."""
     tagged = None
     for name, df in streams.items():
         t = df.select(F.lit(name).alias("table"))
         tagged = t if tagged is None else tagged.unionByName(t)
-    agg = tagged.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
-    w = agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    return w.start()
+    return _complete_sink(tagged.groupBy("table").agg(F.count(F.lit(1)).alias("rows")), out_dir, checkpoint, available_now)
 
 
-def stream_gold_dept_totals(bronze_tx: DataFrame, query_name: str = "gold_dept_live",
-                            checkpoint: str | None = None) -> StreamingQuery:
+def stream_gold_dept_totals(bronze_tx: DataFrame, out_dir: str, checkpoint: str,
+                            available_now: bool = True) -> StreamingQuery:
     """The Gold department summary kept current as charges arrive: a stateful
-    streaming aggregation (state = one row per department) in complete mode."""
-    agg = bronze_tx.groupBy("department").agg(F.sum("amount").alias("total_revenue"),
+    streaming aggregation (state = one row per department)."""
+    agg = bronze_tx.groupBy("department").agg(F.sum("amount").cast("decimal(20,2)").alias("total_revenue"),
                                                F.count(F.lit(1)).alias("transaction_count"))
-    w = agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    return w.start()
+    return _complete_sink(agg, out_dir, checkpoint, available_now)
