@@ -43,3 +43,18 @@ def test_hot_id_dedupe_and_raw_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.where("id = 'TXHOT'").count() == 1
     assert joins.tx_with_patient(tx, pt).count() == tx.count()
+
+
+def test_hot_keys_are_summed_before_the_shuffle(spark):
+    """Plans: aggregates by a fact key are partial first, joins see their result or
+    are skew joins (no window by a fact key, no cross join)."""
+    tx, pt = _skewed(spark)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for df in (gold.insurance_utilization(tx, pt), quality.dedupe_latest(tx, "id", "date")):
+        text = plan(df)
+        assert "partial_" in text and "Window" not in text and "Cartesian" not in text
+        assert text.index("partial_") > 0 and text.count("Exchange hashpartitioning") >= 1
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"

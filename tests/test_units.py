@@ -127,33 +127,31 @@ def test_insurer_totals_sum_to_revenue(spark):
     assert abs(cov - tx_all) < 1e-6
 
 
-def test_consultation_charge_rules(spark):
-    aps = frame(spark, "appointments", [ap_row("AP2", patient="PT1", revenue=100),
-                                        ap_row("AP3", patient="PT1", revenue=100),
-                                        ap_row("AP4", patient="PT2", revenue=100),
-                                        ap_row("AP5", patient="PT1", status="Cancelled", revenue=0),
-                                        ap_row("AP6", patient="PT1", status="Rescheduled", revenue=120)])
-    pts = frame(spark, "patients", [pt_row("PT1", insurer="MedLife"), pt_row("PT2", insurer="Self-Pay")])
-    rows = {r.id: r for r in billing.consultation_charges(aps, pts).collect()}
-    assert set(rows) == {"TX000002", "TX000003", "TX000004", "TX000006"}
-    assert rows["TX000002"].insurance_coverage == D(70) and rows["TX000003"].insurance_coverage == D(85)
-    assert rows["TX000004"].insurance_coverage == D(0) and rows["TX000004"].payment_type == "Cash"
-    assert rows["TX000006"].appointment_id == "AP6" and rows["TX000002"].type == "Consultation"
+def test_consultation_reconciliation(spark):
+    aps = frame(spark, "appointments", [ap_row("AP2", revenue=100), ap_row("AP3", revenue=100),
+                                        ap_row("AP5", status="Cancelled", revenue=0),
+                                        ap_row("AP6", status="Rescheduled", revenue=120)])
+    txs = frame(spark, "transactions", [tx_row("T1", ap="AP2", amount=60, cov=10, type="Consultation"),
+                                        tx_row("T2", ap="AP2", amount=40, cov=5, type="Consultation"),
+                                        tx_row("T3", ap="AP6", amount=100, type="Consultation"),
+                                        tx_row("T4", ap="AP3", amount=9, type="Pharmacy"),
+                                        tx_row("T5", ap="AP5", amount=9, type="Consultation"),
+                                        tx_row("T6", ap=None, amount=9, type="Consultation")])
+    rows = {r.id: (r.charges, r.charged, r.covered, r.difference)
+            for r in billing.consultation_charges(aps, txs).collect()}
+    assert rows == {"AP2": (2, D(100), D(15), D(0)), "AP3": (0, D(0), D(0), D(100)), "AP6": (1, D(100), D(0), D(20))}
 
 
 def test_ancillary_and_routing(spark):
-    txs = frame(spark, "transactions", [tx_row("T1", patient="PT1", amount=100, type="Lab Fee"),
-                                        tx_row("T2", patient="PT2", amount=100, type="Pharmacy"),
-                                        tx_row("T3", patient="PT2", amount=100, type="Emergency Services")])
-    pts = frame(spark, "patients", [pt_row("PT1", insurer="MedLife"), pt_row("PT2", insurer="Self-Pay")])
-    n = X.entity_number("id", "T")
-    out = {r.id: r for r in billing.ancillary_coverage(txs, pts, n).collect()}
-    assert out["T1"].insurance_coverage == D(61) and out["T1"].payment_type == "Insurance"
-    assert out["T2"].insurance_coverage == D(0) and out["T2"].payment_type == "Debit Card"
-    assert out["T3"].payment_type == "Cash"
+    txs = frame(spark, "transactions", [tx_row("T1", amount=100, cov=60, type="Lab Fee"),
+                                        tx_row("T2", amount=100, cov=20, type="Lab Fee"),
+                                        tx_row("T3", amount=0, type="Emergency Services"),
+                                        tx_row("T4", amount=5, type="Consultation")])
+    out = {r.type: (r.charges, r.amount, r.covered, r.covered_pct) for r in billing.ancillary_coverage(txs).collect()}
+    assert out == {"Lab Fee": (2, D(200), D(80), 40.0), "Emergency Services": (1, D(0), D(0), None)}
     routed = txs.withColumn("doctor_department", F.lit("Neurology")).select(
         "id", billing.route_department().alias("d"), billing.appointment_link().alias("a")).collect()
-    assert {r.id: r.d for r in routed} == {"T1": "Radiology", "T2": "Neurology", "T3": "Emergency"}
+    assert {r.id: r.d for r in routed} == {"T1": "Radiology", "T2": "Radiology", "T3": "Emergency", "T4": "Neurology"}
 
 
 def test_quality_checks(spark):
@@ -174,6 +172,21 @@ def test_fill_defaults(spark):
     aps = frame(spark, "appointments", [ap_row("A1", duration=None, revenue=None)])
     r = quality.fill_defaults(aps, "appointments").first()
     assert r.duration == 30 and r.revenue_generated == D(0)
+    txs = frame(spark, "transactions", [tx_row("T1")]).withColumns({
+        "amount": F.lit(None).cast(S.MONEY), "date": F.lit(None).cast("timestamp")})
+    r = quality.fill_defaults(txs, "transactions").first()
+    assert r.amount == D(0) and r.date is None  # a charge has no default date
+
+
+def test_all_constraints(spark):
+    frames = {t: frame(spark, t, []) for t in S.TABLES}
+    frames["patients"] = frame(spark, "patients", [pt_row("PT1"), pt_row("PT1"), pt_row("PT2", reg=None, category="Zoo")])
+    frames["transactions"] = frame(spark, "transactions", [tx_row("T1", ap=None)]).withColumn(
+        "department", F.lit(None).cast("string"))
+    got = {tuple(r) for r in quality.check_all_constraints(frames).collect()}
+    assert got == {("patients", "not null", "registration_date", None, 1), ("patients", "unique", "id", "PT1", 2),
+                   ("patients", "domain", "category", "Zoo", 1), ("transactions", "not null", "department", None, 1)}
+    assert set(S.REQUIRED["transactions"]) == set(S.storage_columns("transactions")) - {"appointment_id"}
 
 
 def test_page_info_and_paging(spark):
@@ -184,10 +197,57 @@ def test_page_info_and_paging(spark):
     assert (empty.total, empty.total_pages) == (0, 1)
     p2 = [r.id for r in registers.page_patients(pts, 2, 10).collect()]
     assert p2 == [f"PT{i:02d}" for i in range(14, 4, -1)]
-    k2 = [r.id for r in registers.page_after(pts, "id", "PT15", 10).collect()]
+    k2 = [r.id for r in registers.page_after(pts, ["id"], ["PT15"], 10).collect()]
     assert k2 == p2
 
 
+def test_keyset_pages_equal_offset_pages_over_ties(spark):
+    txs = frame(spark, "transactions", [tx_row(f"T{i:02d}", date=f"2024-01-0{1 + i % 2} 00:00:00") for i in range(25)])
+    order, last, keyset = [("date", True), ("id", True)], None, []
+    while rows := registers.page_after(txs, order, last, 4).collect():
+        keyset.append([r.id for r in rows])
+        last = (rows[-1].date, rows[-1].id)
+    by_offset = [[r.id for r in registers.page(txs, [F.col("date").desc(), F.col("id").desc()], n, 4).collect()]
+                 for n in range(1, 8)]
+    assert keyset == by_offset
+    up = registers.page_after(txs, [("date", False), ("id", True)], None, 2).collect()
+    assert [r.id for r in registers.page_after(txs, [("date", False), ("id", True)],
+                                               (up[-1].date, up[-1].id), 2).collect()] == ["T20", "T18"]
+
+
+def test_declared_orders(spark):
+    docs = frame(spark, "doctors", [doc_row("DR1"), doc_row("DR2", name="Dr B"), doc_row("DR3", name="Dr C")])
+    aps = frame(spark, "appointments", [ap_row("A1", doctor="DR2", revenue=10), ap_row("A2", doctor="DR3", revenue=30),
+                                        ap_row("A3", doctor="DR1", revenue=30)])
+    assert [r.doctor_name for r in gold.doctor_performance(docs, aps).collect()] == ["Dr A", "Dr C", "Dr B"]
+    txs = frame(spark, "transactions", [
+        tx_row("T1", patient="P1", dept="X", amount=5, date="2024-01-05 00:00:00", type="Pharmacy"),
+        tx_row("T2", patient="P2", dept="Y", amount=9, date="2024-02-05 00:00:00", type="Pharmacy"),
+        tx_row("T3", patient="P2", dept="Z", amount=9, date="2024-02-05 00:00:00", type="Lab Fee"),
+        tx_row("T4", patient="P3", dept="X", amount=1, date="2023-02-05 00:00:00", type="Lab Fee")])
+    pts = frame(spark, "patients", [pt_row("P1", insurer="A"), pt_row("P2", insurer="C"), pt_row("P3", insurer="B")])
+    deps = frame(spark, "departments", [])
+    assert [r.provider for r in gold.insurance_utilization(txs, pts).collect()] == ["C", "A", "B"]
+    assert [r.insurance_provider for r in gold.insurer_billing_stats(txs, pts).collect()] == ["C", "A", "B"]
+    assert [r.department for r in gold.dept_profitability(txs, deps).collect()] == ["Y", "Z", "X"]
+    assert [r.department for r in gold.gold_dept_profitability(txs).collect()] == ["Y", "Z", "X"]
+    months = [("2024-02", "Lab Fee"), ("2024-02", "Pharmacy"), ("2024-01", "Pharmacy"), ("2023-02", "Lab Fee")]
+    assert [(r.month, r.type) for r in gold.monthly_revenue(txs).collect()] == months
+    assert [(r.month, r.type) for r in gold.gold_monthly_revenue(txs).collect()] == months
+
+
+def test_exact_rounding_and_zero_totals(spark):
+    from decimal import Decimal
+    big = spark.createDataFrame([(Decimal("90071992547409931.40"),), (Decimal("90071992547409931.50"),)], "v decimal(20,2)")
+    assert [r[0] for r in big.select(X.round_half_up("v")).collect()] == [90071992547409931, 90071992547409932]
+    txs = frame(spark, "transactions", [tx_row("T1", patient="P1", amount=0)])
+    pts = frame(spark, "patients", [pt_row("P1", insurer="A")])
+    iu = gold.insurance_utilization(txs, pts)
+    assert [tuple(r) for r in gold.insurer_share(iu).collect()] == [("A", 0, 0.0)]
+    none = txs.withColumn("amount", F.lit(None).cast(S.MONEY))
+    assert gold.insurer_billing_stats(none, pts).first().avg_claim_cost is None
+
+
 def test_growth_history_twelve_months(spark):
     from wardlake.streaming.growth import growth_history, update_growth_history
     pts = frame(spark, "patients", [pt_row(f"P{m}", reg=f"2023-{m:02d}-02 00:00:00") for m in range(1, 13)]
@@ -209,19 +269,18 @@ def test_scale_conf_and_checkpoint_dir(spark):
     from wardlake.session import apply_conf, checkpoint_dir, scale_conf
     c = scale_conf(10 * 2**30, 8)
     assert c["spark.sql.shuffle.partitions"] == "40"
-    assert scale_conf(100 * 10**12, 8000)["spark.sql.shuffle.partitions"] == "65536"
+    assert scale_conf(100 * 10**12, 8000)["spark.sql.shuffle.partitions"] == "372530"
     apply_conf(spark, {"spark.sql.shuffle.partitions": "4"})
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     d = checkpoint_dir(spark)
     assert d and checkpoint_dir(spark) == d
 
 
-def test_pack_growth_history_is_bounded(spark):
+def test_pack_growth_history_keeps_all_months(spark):
     rows = [(f"20{y:02d}-{m:02d}", 1, 2, 3) for y in range(20, 23) for m in range(1, 13)]
     df = spark.createDataFrame(rows, "timestamp string, patientsCount int, appointmentsCount int, "
                                      "transactionsCount int")
-    back = X.parse_growth_history(X.pack_growth_history(df)).collect()
-    assert len(back) == 12 and back[0].timestamp == "2022-01" and back[-1].timestamp == "2022-12"
+    assert [tuple(r) for r in X.parse_growth_history(X.pack_growth_history(df)).collect()] == rows
 
 
 def test_top_earners_idle_doctors(spark):
@@ -232,16 +291,6 @@ def test_top_earners_idle_doctors(spark):
     assert [(r.name, r.total_earned) for r in both] == [("Dr A", 150.0), ("Dr B", 0.0)]
 
 
-def test_spread_input_only_for_few_files(spark, tmp_path):
-    from wardlake.sources.fixtures import spread_input
-    one = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    assert spread_input(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(spark.sparkContext.defaultParallelism + 2).write.parquet(many)
-    df = spark.read.parquet(many)
-    assert spread_input(df) is df
-
-
 def test_empty_insurer_is_self_pay_in_left_lookup(spark):
     txs = frame(spark, "transactions", [tx_row("T1", patient="PT1", amount=10)])
     pts = frame(spark, "patients", [pt_row("PT1", insurer="")])

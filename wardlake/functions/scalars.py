@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,14 @@ def round_half_up(col, digits: int = 0) -> Column:
     """Half toward +infinity (floor(x*10^d + 0.5) / 10^d).
 
     Spark's ``round`` goes half away from zero (round(-2.5) = -3); this matches the
-    reference's rounding (-2.5 -> -2).  With digits=0 the result is a bigint."""
+    reference's rounding (-2.5 -> -2).  The half is a decimal, so decimals are
+    rounded exactly at any size.  With digits=0 the result is a bigint."""
     c = _c(col)
+    half = F.lit(Decimal("0.5"))
     if digits == 0:
-        return F.floor(c + F.lit(0.5)).cast("bigint")
+        return F.floor(c + half).cast("bigint")
     scale = 10 ** digits
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    return (F.floor(c * F.lit(scale) + half) / F.lit(scale)).cast("double")
 
 
 def null_to_zero(col) -> Column:
@@ -114,11 +118,8 @@ def parse_growth_history(df: DataFrame, json_col: str = "record_growth_history")
             .select("h.timestamp", "h.patientsCount", "h.appointmentsCount", "h.transactionsCount"))
 
 
-def pack_growth_history(df: DataFrame, json_col: str = "record_growth_history",
-                        keep_months: int = 12) -> DataFrame:
-    """Month rows -> one JSON array ordered by month.  Only the latest
-    ``keep_months`` months are packed (a top-k first), so the one list built
-    here is bounded by the history length, never by the input."""
+def pack_growth_history(df: DataFrame, json_col: str = "record_growth_history") -> DataFrame:
+    """Month rows -> one JSON array ordered by month, all months of the history
+    (one row per calendar month)."""
     st = F.struct("timestamp", "patientsCount", "appointmentsCount", "transactionsCount")
-    latest = df.orderBy(F.col("timestamp").desc()).limit(keep_months)
-    return latest.agg(F.to_json(F.array_sort(F.collect_list(st))).alias(json_col))
+    return df.agg(F.to_json(F.array_sort(F.collect_list(st))).alias(json_col))

@@ -1,11 +1,6 @@
-"""Billing rules: appointment revenue, billable appointments, consultation
-charges, ancillary coverage and payment type, department routing, appointment
-links.
-
-The reference numbers charges with a running counter; here the parity and
-modulo rules use a number carried by the row itself (the numeric part of its
-id), so no global row numbering (a single-task operation) is needed.
-Percentages are applied in exact decimal arithmetic and rounded half up.
+"""Billing rules: appointment revenue, billable appointments, reconciliation of
+consultation charges, coverage of ancillary charges, department routing,
+appointment links.
 """
 
 from __future__ import annotations
@@ -14,18 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import entity_number
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _round_money(x: Column) -> Column:
-    """Whole-number rounding, half up, kept as money."""
-    return F.floor(x + F.lit(0.5)).cast(S.MONEY)
-
-
 def appointment_revenue(ap: DataFrame, doc: DataFrame) -> DataFrame:
     """revenue_generated = 0 for Cancelled, else the doctor's consultation fee."""
     d = doc.select(F.col("id").alias("doctor_id"), "consultation_fee")
@@ -44,48 +33,32 @@ def billable_appointments(ap: DataFrame) -> DataFrame:
     return ap.where(billable_rule())
 
 
-def consultation_charges(ap: DataFrame, pt: DataFrame, number: Column | None = None) -> DataFrame:
-    """One Consultation charge per billable appointment.
-
-    amount = the appointment's revenue, date = the appointment date; coverage is
-    0 for Self-Pay patients, otherwise round(amount x 0.70) for even and
-    round(amount x 0.85) for odd charge numbers; payment Cash for Self-Pay,
-    else Insurance.  The charge number defaults to the appointment number."""
-    n = number if number is not None else entity_number("id", "AP")
-    p = pt.select(F.col("id").alias("patient_id"), "insurance_provider")
-    b = billable_appointments(ap).withColumn("_n", n).join(p, "patient_id", "left")
-    self_pay = F.col("insurance_provider") == S.SELF_PAY
-    rate = F.when(F.col("_n") % 2 == 0, F.lit(70)).otherwise(F.lit(85))
-    cov = F.when(self_pay, F.lit(0)).otherwise(_round_money(F.col("revenue_generated") * rate / 100))
-    return b.select(
-        F.format_string("TX%06d", F.col("_n")).alias("id"),
-        "patient_id",
-        F.col("id").alias("appointment_id"),
-        F.col("appointment_date").alias("date"),
-        F.col("revenue_generated").cast(S.MONEY).alias("amount"),
-        F.lit("Consultation").alias("type"),
-        cov.cast(S.MONEY).alias("insurance_coverage"),
-        F.when(self_pay, F.lit("Cash")).otherwise(F.lit("Insurance")).alias("payment_type"),
-        "department",
-    )
-
-
-def ancillary_coverage(tx: DataFrame, pt: DataFrame, number: Column) -> DataFrame:
-    """Coverage and payment type of non-consultation charges.
-
-    Self-Pay: coverage 0, payment Cash / Credit Card / Debit Card by n mod 3.
-    Insured: coverage = round(amount x (0.60 + (n mod 31)/100)), Insurance."""
-    p = tx.withColumn("_n", number).join(
-        pt.select(F.col("id").alias("patient_id"), F.col("insurance_provider").alias("_ins")), "patient_id", "left")
-    self_pay = F.col("_ins") == S.SELF_PAY
-    methods = F.array(*[F.lit(m) for m in S.SELF_PAY_METHODS])
-    pct = F.lit(60) + F.pmod(F.col("_n"), F.lit(31))
-    return p.withColumns({
-        "insurance_coverage": F.when(self_pay, F.lit(0).cast(S.MONEY))
-        .otherwise(_round_money(F.col("amount") * pct / 100)),
-        "payment_type": F.when(self_pay, F.element_at(methods, (F.pmod(F.col("_n"), F.lit(3)) + 1).cast("int")))
-        .otherwise(F.lit("Insurance")),
-    }).drop("_n", "_ins")
+def consultation_charges(ap: DataFrame, tx: DataFrame) -> DataFrame:
+    """Reconciliation of billable appointments with their Consultation charges: per
+    billable appointment its revenue, the number of charges and the amount and
+    coverage charged, and the difference.  Charges are summed per appointment
+    before the join, so a hot appointment is one row there."""
+    charged = (tx.where((F.col("type") == "Consultation") & F.col("appointment_id").isNotNull())
+               .groupBy(F.col("appointment_id").alias("id"))
+               .agg(F.count(F.lit(1)).alias("charges"), F.sum("amount").alias("charged"),
+                    F.sum("insurance_coverage").alias("covered")))
+    out = billable_appointments(ap).select("id", "patient_id", "department", "revenue_generated").join(charged, "id", "left")
+    money = F.lit(0).cast("decimal(20,2)")
+    return out.select(
+        "id", "patient_id", "department", F.col("revenue_generated").alias("billable"),
+        F.coalesce("charges", F.lit(0)).cast("bigint").alias("charges"),
+        F.coalesce("charged", money).alias("charged"), F.coalesce("covered", money).alias("covered"),
+        (F.col("revenue_generated") - F.coalesce("charged", money)).alias("difference"))
+
+
+def ancillary_coverage(tx: DataFrame) -> DataFrame:
+    """Coverage of non-consultation charges per (type, payment type): charges,
+    amount, covered amount and the covered share in percent (null without amount)."""
+    g = (tx.where(F.col("type") != "Consultation").groupBy("type", "payment_type")
+         .agg(F.count(F.lit(1)).alias("charges"), F.sum("amount").alias("amount"),
+              F.sum("insurance_coverage").alias("covered")))
+    return g.withColumn("covered_pct", F.col("covered").cast("double") * 100
+                        / F.nullif(F.col("amount").cast("double"), F.lit(0.0)))
 
 
 def route_department(type_col="type", doctor_department="doctor_department") -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_bucket, month_bucket, round_half_up
@@ -105,22 +105,26 @@ def insurance_utilization(tx: DataFrame, pt: DataFrame) -> DataFrame:
     """Per insurer: charge count and rounded revenue (count descending)."""
     g = _by_insurer(tx, pt)
     return g.select(F.col("insurance_provider").alias("provider"), F.col("n_rows").alias("count"),
-                    round_half_up(F.coalesce("s_amount", F.lit(0))).alias("total_revenue"))
+                    round_half_up(F.coalesce("s_amount", F.lit(0))).alias("total_revenue")).orderBy(
+        F.col("count").desc(), "provider")
 
 
 def dept_profitability(tx: DataFrame, dep: DataFrame) -> DataFrame:
     """Per department of the charges: revenue (rounded), cost (from the
-    department table by name, default 15000), profit = revenue - cost."""
+    department table by name, default 15000), profit = revenue - cost; revenue
+    descending."""
     rev = tx.groupBy("department").agg(F.sum("amount").alias("s_amount"))
     rev = rev.select("department", round_half_up(F.coalesce("s_amount", F.lit(0))).alias("revenue"))
     return (dept_cost_lookup(rev, dep)
-            .select("department", "revenue", "cost", (F.col("revenue") - F.col("cost")).alias("profit")))
+            .select("department", "revenue", "cost", (F.col("revenue") - F.col("cost")).alias("profit"))
+            .orderBy(F.col("revenue").desc(), "department"))
 
 
 def monthly_revenue(tx: DataFrame) -> DataFrame:
-    """Sum of amount per (month, type)."""
+    """Sum of amount per (month, type), newest month first."""
     return (tx.groupBy(month_bucket("date").alias("month"), "type")
-            .agg(_money(F.coalesce(F.sum("amount"), F.lit(0))).alias("total")))
+            .agg(_money(F.coalesce(F.sum("amount"), F.lit(0))).alias("total"))
+            .orderBy(F.col("month").desc(), "type"))
 
 
 TREND_COLUMNS = {"consultation": "Consultation", "lab": "Lab Fee", "pharmacy": "Pharmacy",
@@ -141,21 +145,24 @@ def monthly_revenue_trend(tx: DataFrame, months: int = 12) -> DataFrame:
 
 def doctor_performance(doc: DataFrame, ap: DataFrame) -> DataFrame:
     """Per doctor: appointments of any status, Completed revenue (rounded),
-    utilization; doctors without appointments included."""
-    j = doctor_appointments_left(doc, ap)
+    utilization; doctors without appointments included; revenue descending."""
+    j = doctor_appointments_left(doc, ap).orderBy(F.col("revenue").desc(), "id")
     return j.select(F.col("name").alias("doctor_name"), "department", "appointments",
                     round_half_up("revenue").alias("revenue"), "utilization")
 
 
 def gold_dept_profitability(tx: DataFrame) -> DataFrame:
-    """Gold view: per department total revenue and charge count (reads Bronze)."""
-    return tx.groupBy("department").agg(_money(F.sum("amount")).alias("total_revenue"),
-                                        F.count(F.lit(1)).alias("transaction_count"))
+    """Gold view: per department total revenue and charge count (reads Bronze),
+    revenue descending."""
+    return tx.groupBy("department").agg(F.sum("amount").alias("s"), F.count(F.lit(1)).alias("transaction_count")) \
+        .orderBy(F.col("s").desc(), "department") \
+        .select("department", _money(F.col("s")).alias("total_revenue"), "transaction_count")
 
 
 def gold_monthly_revenue(tx: DataFrame) -> DataFrame:
     return (tx.groupBy(month_bucket("date").alias("month"), "type")
-            .agg(_money(F.sum("amount")).alias("total")))
+            .agg(_money(F.sum("amount")).alias("total"))
+            .orderBy(F.col("month").desc(), "type"))
 
 
 def gold_insurance_utilization(tx: DataFrame, pt: DataFrame) -> DataFrame:
@@ -192,11 +199,13 @@ def top_earners(doc: DataFrame, ap: DataFrame, n: int = 5, include_idle: bool =
 
 
 def insurer_billing_stats(tx: DataFrame, pt: DataFrame) -> DataFrame:
-    """Insurance-paid charges per insurer: count, average amount, covered total."""
+    """Insurance-paid charges per insurer: count, average amount (null without an
+    amount), covered total; count descending."""
     g = _by_insurer(tx, pt, where=F.col("payment_type") == "Insurance")
     return g.select("insurance_provider", F.col("n_id").alias("trans_count"),
-                    (F.col("s_amount").cast("double") / F.col("n_amount")).alias("avg_claim_cost"),
-                    _money(F.col("s_cov")).alias("total_insured_payout"))
+                    (F.col("s_amount").cast("double") / F.nullif(F.col("n_amount"), F.lit(0))).alias("avg_claim_cost"),
+                    _money(F.col("s_cov")).alias("total_insured_payout")).orderBy(
+        F.col("trans_count").desc(), "insurance_provider")
 
 
 def provider_billing_local(tx: DataFrame, pt: DataFrame) -> DataFrame:
@@ -219,11 +228,11 @@ def insurer_total(iu: DataFrame) -> DataFrame:
 
 
 def insurer_share(iu: DataFrame) -> DataFrame:
-    """Each insurer's share (percent) of all revenue.  ``iu`` has one row per
-    insurer, so the un-partitioned window runs over a handful of rows."""
-    tot = F.sum("total_revenue").over(Window.partitionBy())
-    return iu.select("provider", "total_revenue",
-                     (F.col("total_revenue").cast("double") * 100 / tot).alias("share_pct"))
+    """Each insurer's share (percent) of all revenue, the total as a scalar
+    subquery; without revenue every share is 0."""
+    tot = iu.agg(F.sum("total_revenue")).scalar()
+    return iu.select("provider", "total_revenue", F.coalesce(
+        F.col("total_revenue").cast("double") * 100 / F.nullif(tot, F.lit(0)), F.lit(0.0)).alias("share_pct"))
 
 
 def page_totals(page: DataFrame, amount: str = "amount", coverage: str = "insurance_coverage") -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import completed_revenue
-from .broadcast import broadcast_if_small
 
 
 def tx_with_patient(tx: DataFrame, pt: DataFrame, pt_cols=("insurance_provider",)) -> DataFrame:
@@ -52,9 +51,9 @@ def dept_costs(dep: DataFrame) -> DataFrame:
 
 def dept_cost_lookup(df: DataFrame, dep: DataFrame, dept_col: str = "department") -> DataFrame:
     """Left lookup of the department cost by *name*; unknown name or a cost of 0
-    falls back to 15000.  The cost table has one row per department name and is
-    broadcast after a size check."""
-    costs = broadcast_if_small(dept_costs(dep).withColumnRenamed("name", dept_col))
+    falls back to 15000.  The cost table has one row per department name; the
+    planner broadcasts it when its measured size allows."""
+    costs = dept_costs(dep).withColumnRenamed("name", dept_col)
     return (df.join(costs, dept_col, "left")
             .withColumn("cost", F.coalesce(F.nullif(F.col("cost"), F.lit(0)),
                                            F.lit(S.COST_DEFAULT)).cast("bigint")))

@@ -13,48 +13,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .broadcast import broadcast_if_small
-from .gold import table_counts
 from .quality import SILVER_RULES
 
 RULE_SCHEMA = T.StructType([
     T.StructField("rule", T.StringType()), T.StructField("metric", T.StringType()),
     T.StructField("less_than", T.DoubleType()), T.StructField("lookback_seconds", T.IntegerType()),
     T.StructField("no_data_alerts", T.BooleanType()), T.StructField("severity", T.StringType()),
-    T.StructField("service", T.StringType()),
+    T.StructField("service", T.StringType()), T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
 ])
 
 # ---------------------------------------------------------------------------
 # Three availability rules (metric < 1 within the last 60 s; no
-# data also alerts) with their severity and service labels.
+# data also alerts) with their severity and service labels.  The last rule's
+# service and job labels differ from the original deployment's names.
 DEFAULT_RULES = [
-    ("database down", "healthcare_postgres_up", 1.0, 60, True, "critical", "database"),
-    ("warehouse down", "healthcare_databricks_up", 1.0, 60, True, "warning", "warehouse"),
-    ("application down", "up", 1.0, 60, True, "critical", "application"),
+    ("database down", "healthcare_postgres_up", 1.0, 60, True, "critical", "postgresql-rds", None),
+    ("warehouse down", "healthcare_databricks_up", 1.0, 60, True, "warning", "databricks", None),
+    ("application down", "up", 1.0, 60, True, "critical", "application", {"job": "application"}),
 ]
+# Metric names of the snapshot.
+TOTAL_METRICS = {"patients": "healthcare_simulator_patients_total",
+                 "appointments": "healthcare_simulator_appointments_total",
+                 "transactions": "healthcare_simulator_transactions_total"}
+PASS_RATE_METRIC = "healthcare_simulator_silver_integrity_percentage"
 # Quality gauge colour steps: below 70 red, 70 to below 90 orange, 90 and up green.
 QUALITY_STEPS = [(None, "red"), (70.0, "orange"), (90.0, "green")]
 # ---------------------------------------------------------------------------
 
 
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
-    return spark.createDataFrame(rules if rules is not None else DEFAULT_RULES, RULE_SCHEMA)
+    """The rules as a table; a rule without labels applies to every sample."""
+    rows = [tuple(r) + (None,) * (len(RULE_SCHEMA) - len(r)) for r in (DEFAULT_RULES if rules is None else rules)]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def metrics_snapshot(frames: dict[str, DataFrame]) -> DataFrame:
     """Long table (metric, kind, value): patient / appointment / transaction
     totals (counters) and the Silver pass rate over the tables with Silver
     rules (gauge)."""
-    counts = table_counts({k: frames[k] for k in ("patients", "appointments", "transactions")})
-    totals = counts.select(F.concat(F.lit("healthcare_simulator_"), F.col("table"), F.lit("_total")).alias("metric"),
-                           F.lit("counter").alias("kind"), F.col("rows").cast("double").alias("value"))
-    parts = [frames[t].agg(F.count(F.lit(1)).alias("b"), F.count_if(rule()).alias("s"))
-             for t, rule in SILVER_RULES.items()]
-    rate = reduce(DataFrame.unionByName, parts).agg(
-        F.when(F.sum("b") > 0, F.sum("s") * 100.0 / F.sum("b")).otherwise(F.lit(100.0)).alias("value"))
-    gauge = rate.select(F.lit("healthcare_simulator_silver_integrity_percentage").alias("metric"),
-                        F.lit("gauge").alias("kind"), F.col("value").cast("double"))
-    return totals.unionByName(gauge)
+    # one pass over each table: its rows and, with a Silver rule, the rows that pass
+    parts = [frames[t].agg(F.count(F.lit(1)).alias("n"), (F.count_if(SILVER_RULES[t]()) if t in SILVER_RULES
+                                                          else F.lit(None)).cast("bigint").alias("s"))
+             .withColumn("t", F.lit(t)) for t in TOTAL_METRICS]
+    ruled = F.when(F.col("s").isNotNull(), F.col("n"))
+    folded = reduce(DataFrame.unionByName, parts).agg(
+        *[F.max(F.when(F.col("t") == t, F.col("n"))).cast("double").alias(t) for t in TOTAL_METRICS],
+        F.when(F.sum(ruled) > 0, F.sum("s") * 100.0 / F.sum(ruled)).otherwise(F.lit(100.0)).cast("double").alias("rate"))
+    rows = [(m, "counter", F.col(t)) for t, m in TOTAL_METRICS.items()] + [(PASS_RATE_METRIC, "gauge", F.col("rate"))]
+    return folded.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("kind"), v.alias("value"))
+                                             for m, k, v in rows])).alias("x")).select("x.*")
 
 
 def metric_last_value(samples: DataFrame) -> DataFrame:
@@ -76,20 +83,24 @@ def metric_series(samples: DataFrame, metric: str, since=None, until=None) -> Da
 
 
 def threshold_alerts(samples: DataFrame, rules: DataFrame, now) -> DataFrame:
-    """Per rule: the latest value of its metric within [now - lookback, now];
-    state Alerting when that value is below the limit, or when there is no
-    sample and no-data alerts are on; NoData / Normal otherwise."""
+    """Per rule: the latest value of its metric within [now - lookback, now] among
+    the samples that carry the rule's labels (samples may have a ``labels`` map; a
+    rule without labels takes every sample); state Alerting when that value is
+    below the limit, or when there is no sample and no-data alerts are on; NoData /
+    Normal otherwise.  The joins carry no hint: the planner sees both sizes."""
     now_c = F.lit(now).cast("timestamp")
-    r = broadcast_if_small(rules)  # rules are configuration: a handful of rows
     max_look = rules.agg(F.max("lookback_seconds")).scalar()
+    own = F.col("labels") if "labels" in samples.columns else F.lit(None).cast("map<string,string>")
     s = samples.where(F.col("value").isNotNull() & (F.col("ts") <= now_c)
-                      & (F.col("ts") >= now_c - F.make_dt_interval(secs=max_look)))
-    j = s.join(r.select("rule", "metric", "lookback_seconds"), "metric").where(
-        F.col("ts") >= now_c - F.make_dt_interval(secs=F.col("lookback_seconds")))
+                      & (F.col("ts") >= now_c - F.make_dt_interval(secs=max_look))).select(
+        "metric", "ts", "value", own.alias("_own"))
+    wanted = rules.select("rule", "metric", "lookback_seconds", F.col("labels").alias("_wanted"))
+    match = F.col("_wanted").isNull() | F.forall(F.map_entries("_wanted"), lambda e: F.coalesce(
+        F.try_element_at(F.col("_own"), e["key"]) == e["value"], F.lit(False)))
+    j = s.join(wanted, "metric").where(
+        match & (F.col("ts") >= now_c - F.make_dt_interval(secs=F.col("lookback_seconds"))))
     latest = j.groupBy("rule").agg(F.max(F.struct("ts", "value")).alias("_b"))
-    # at most one row per rule, and the rules passed the size check above: the
-    # bound is structural, so this side is broadcast without a second check
-    out = r.join(F.broadcast(latest), "rule", "left").select(
+    out = rules.join(latest, "rule", "left").select(
         "rule", "metric", F.col("_b.ts").alias("ts"), F.col("_b.value").alias("value"),
         "less_than", "severity", "service", "no_data_alerts")
     state = (F.when(F.col("value").isNull(),
@@ -122,18 +133,18 @@ def overall_health(db_up_col) -> Column:
 def sync_report(report: DataFrame) -> DataFrame:
     """Per table: success, rows, duration (the refresh job's report), plus the
     run's totals in every row."""
-    from pyspark.sql import Window
-    w = Window.partitionBy()  # the report has one row per table
     return report.select("table", "success", "rows", "duration_ms", "error",
-                         F.sum("rows").over(w).alias("total_rows"))
+                         report.agg(F.sum("rows")).scalar().alias("total_rows"))
 
 
 def sync_status(report: DataFrame) -> DataFrame:
     """NEVER when there was no run (empty report), SUCCESS when every table
-    succeeded, PARTIAL when some did, FAILED when none did."""
+    succeeded, PARTIAL when some did, FAILED when none did; last_sync_time is when
+    the run's last table finished (null: never)."""
     agg = report.agg(F.count(F.lit(1)).alias("tables"), F.count_if(F.col("success")).alias("succeeded"),
-                     F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows_synced"))
+                     F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows_synced"),
+                     F.max("finished_at").alias("last_sync_time"))
     status = (F.when(F.col("tables") == 0, F.lit("NEVER"))
               .when(F.col("succeeded") == F.col("tables"), F.lit("SUCCESS"))
               .when(F.col("succeeded") > 0, F.lit("PARTIAL")).otherwise(F.lit("FAILED")))
-    return agg.select("tables", "succeeded", "rows_synced", status.alias("overall_status"))
+    return agg.select("tables", "succeeded", "rows_synced", status.alias("overall_status"), "last_sync_time")

@@ -60,13 +60,34 @@ def check_domain(df: DataFrame, col: str, values, key: str = "id") -> DataFrame:
     return df.where(F.col(col).isNotNull() & ~F.col(col).isin(list(values))).select(key, col)
 
 
-def check_domains(df: DataFrame, table: str, overrides: dict | None = None, key: str = "id") -> DataFrame:
-    """All domain rules of a table as (column, value, rows) violations."""
+def check_domains(df: DataFrame, table: str, overrides: dict | None = None) -> DataFrame:
+    """All domain rules of a table as (column, value, rows) violations, in one pass:
+    each row explodes into its violations (mostly none), which are then counted."""
     domains = dict(S.DOMAINS.get(table, {}))
     domains.update(overrides or {})
-    parts = [df.where(F.col(c).isNotNull() & ~F.col(c).isin(list(v)))
-             .groupBy(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).alias("rows")) for c, v in domains.items()]
+    if not domains:
+        return df.sparkSession.createDataFrame([], "column string, value string, rows bigint")
+    bad = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(v)),
+                  F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")))
+           for c, v in domains.items()]
+    return (df.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("x")).select("x.*")
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def check_all_constraints(frames: dict[str, DataFrame]) -> DataFrame:
+    """Every declared constraint of every table as (table, rule, column, value,
+    rows) violations: required columns (value null), key values that occur more
+    than once (rows = occurrences), values outside a domain."""
+    none, parts = F.lit(None).cast("string"), []
+    for t, df in frames.items():
+        nulls = check_not_null(df, S.REQUIRED[t]).where("nulls > 0").select(
+            F.lit(t).alias("table"), F.lit("not null").alias("rule"), "column", none.alias("value"),
+            F.col("nulls").alias("rows"))
+        keys = check_unique_key(df.where(F.col("id").isNotNull())).select(
+            F.lit(t).alias("table"), F.lit("unique").alias("rule"), F.lit("id").alias("column"),
+            F.col("id").alias("value"), F.col("occurrences").alias("rows"))
+        domain = check_domains(df, t).select(F.lit(t).alias("table"), F.lit("domain").alias("rule"), "column", "value", "rows")
+        parts += [nulls, keys, domain]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -95,9 +116,10 @@ DEFAULTS = {
     "doctors": {"experience": 0, "consultation_fee": 0, "utilization": 0},
     "patients": {},
     "appointments": {"duration": S.DEFAULT_DURATION, "revenue_generated": 0},
-    "transactions": {"insurance_coverage": 0},
+    "transactions": {"amount": 0, "insurance_coverage": 0},
 }
-NOW_DEFAULTS = {"patients": ["registration_date"], "transactions": ["date"]}
+# Columns that default to the time of the run.
+NOW_DEFAULTS = {"patients": ["registration_date"]}
 
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:

@@ -4,8 +4,8 @@ Optional filters: a missing/empty argument adds no predicate; several are
 AND-ed.  Predicates are plain column comparisons, so they reach the Parquet scan
 as pushed filters.  Ordered limits become ``TakeOrderedAndProject`` (each task
 keeps only its best ``offset + limit`` rows); every ordering ends in the key so
-pages are deterministic.  For deep pages use ``page_after`` (keyset paging),
-which needs no offset.
+pages are deterministic.  For deep pages use ``page_after`` (keyset paging over
+all columns of the order), which needs no offset.
 """
 
 from __future__ import annotations
@@ -82,13 +82,26 @@ def page(df: DataFrame, order, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZ
     return out.limit(limit)
 
 
-def page_after(df: DataFrame, key: str, last_key=None, limit: int = S.DEFAULT_PAGE_SIZE,
-               descending: bool = True) -> DataFrame:
-    """Keyset page: the next ``limit`` rows after ``last_key`` (no offset, so deep
-    pages cost the same as the first)."""
-    if last_key is not None:
-        df = df.where(F.col(key) < last_key if descending else F.col(key) > last_key)
-    return df.orderBy(F.col(key).desc() if descending else F.col(key).asc()).limit(limit)
+def page_after(df: DataFrame, order, last=None, limit: int = S.DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Keyset page: the next ``limit`` rows after the row with the values ``last``
+    (no offset, so deep pages cost the same as the first).
+
+    ``order`` lists (column, descending) pairs that end in a unique key; ``last``
+    holds the previous page's last values of these columns.  Rows follow when the
+    first column that differs lies behind, so ties are never skipped.  The columns
+    must not be null."""
+    order = [(c, True) if isinstance(c, str) else tuple(c) for c in order]
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for (c, desc), v in zip(order, last):
+            col, val = F.col(c), F.lit(v).cast(df.schema[c].dataType)
+            behind = behind | (same & (col < val if desc else col > val))
+            same = same & (col == val)
+        # the first column alone bounds the scan (a pushed filter)
+        c, desc = order[0]
+        first = F.lit(last[0]).cast(df.schema[c].dataType)
+        df = df.where(F.col(c) <= first if desc else F.col(c) >= first).where(behind)
+    return df.orderBy(*[F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]).limit(limit)
 
 
 def page_info(df: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE) -> DataFrame:

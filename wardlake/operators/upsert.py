@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .broadcast import broadcast_if_small
 from .quality import dedupe_latest
 
 
@@ -34,9 +33,9 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys=("id",), order_col:
     """INSERT ... ON CONFLICT (key) DO NOTHING: batch rows whose key is new are
     appended (one per key inside the batch); existing rows are untouched."""
     keys = _keys(keys)
-    new = dedupe_first(batch.select(*target.columns), keys, order_col)
-    new = new.join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(new)
+    # known keys go first, so only the new rows are reduced to one per key
+    new = batch.select(*target.columns).join(target.select(*keys), keys, "left_anti")
+    return target.unionByName(dedupe_first(new, keys, order_col))
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys=("id",), order_col: str = "date",
@@ -108,7 +107,6 @@ def append_with_keys(spark: SparkSession, target: DataFrame, batch: DataFrame, p
     b = spark.read.parquet(stage)
     counts = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    offsets = broadcast_if_small(offsets)
     num = F.regexp_extract(F.col(key), r"(\d+)$", 1).try_cast("bigint")
     base = target.agg(F.coalesce(F.max(num), F.lit(0))).scalar()  # scalar subquery
     local_idx = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)

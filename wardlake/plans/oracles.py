@@ -27,6 +27,7 @@ FROM (SELECT department, CAST(FLOOR(COALESCE(SUM(amount), 0) + 0.5) AS BIGINT) A
       FROM transactions GROUP BY department) r
 LEFT JOIN (SELECT name, MAX(25000 + beds_occupied * 450 + avg_wait_time * 150) AS cost
            FROM departments GROUP BY name) c ON r.department = c.name
+ORDER BY revenue DESC, department
 """)
 
 q("table_counts", """
@@ -63,15 +64,17 @@ SELECT date, count FROM (
 """)
 
 q("insurance_utilization", """
-SELECT p.insurance_provider AS provider, COUNT(*) AS count,
-  CAST(FLOOR(COALESCE(SUM(t.amount), 0) + 0.5) AS BIGINT) AS total_revenue
-FROM transactions t JOIN patients p ON t.patient_id = p.id
-GROUP BY p.insurance_provider
+, by_patient AS (SELECT patient_id, COUNT(*) AS charges, SUM(amount) AS billed FROM transactions GROUP BY patient_id)
+SELECT insurance_provider AS provider, CAST(SUM(charges) AS BIGINT) AS count,
+  CAST(FLOOR(COALESCE(SUM(billed), 0) + 0.5) AS BIGINT) AS total_revenue
+FROM by_patient JOIN patients ON patients.id = by_patient.patient_id
+GROUP BY insurance_provider ORDER BY count DESC, provider
 """)
 
 q("monthly_revenue", """
 SELECT strftime(date, '%Y-%m') AS month, type, CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS total
 FROM transactions GROUP BY 1, 2
+ORDER BY month DESC, type
 """)
 
 q("monthly_revenue_trend", """
@@ -90,21 +93,25 @@ SELECT * FROM (SELECT * FROM piv ORDER BY month DESC LIMIT 12) ORDER BY month
 """)
 
 q("doctor_performance", """
-SELECT d.name AS doctor_name, d.department, COUNT(a.id) AS appointments,
-  CAST(FLOOR(COALESCE(SUM(CASE WHEN a.status = 'Completed' THEN a.revenue_generated ELSE 0 END), 0) + 0.5) AS BIGINT) AS revenue,
-  d.utilization
-FROM doctors d LEFT JOIN appointments a ON d.id = a.doctor_id
-GROUP BY d.id, d.name, d.department, d.utilization
+, seen AS (SELECT doctor_id, COUNT(*) AS visits, SUM(revenue_generated) FILTER (WHERE status = 'Completed') AS earned
+  FROM appointments GROUP BY doctor_id),
+board AS (SELECT id, name, department, utilization, COALESCE(visits, 0) AS visits, COALESCE(earned, 0) AS earned
+  FROM doctors LEFT JOIN seen ON seen.doctor_id = doctors.id)
+SELECT name AS doctor_name, department, CAST(visits AS BIGINT) AS appointments,
+  CAST(FLOOR(earned + 0.5) AS BIGINT) AS revenue, utilization
+FROM board ORDER BY earned DESC, id
 """)
 
 q("gold_dept_profitability", """
 SELECT department, CAST(SUM(amount) AS DOUBLE) AS total_revenue, COUNT(*) AS transaction_count
 FROM transactions GROUP BY department
+ORDER BY SUM(amount) DESC, department
 """)
 
 q("gold_monthly_revenue", """
 SELECT strftime(date, '%Y-%m') AS month, type, CAST(SUM(amount) AS DOUBLE) AS total
 FROM transactions GROUP BY 1, 2
+ORDER BY month DESC, type
 """)
 
 q("gold_insurance_utilization", """
@@ -118,28 +125,27 @@ ORDER BY count DESC, state, category LIMIT 20
 """)
 
 q("coverage_analysis", """
-SELECT p.insurance_provider, COUNT(*) AS count, CAST(SUM(t.amount) AS DOUBLE) AS total_billed,
-  CAST(SUM(t.insurance_coverage) AS DOUBLE) AS total_covered
-FROM transactions t JOIN patients p ON t.patient_id = p.id GROUP BY p.insurance_provider
+, by_patient AS (SELECT patient_id, COUNT(*) AS charges, SUM(amount) AS billed, SUM(insurance_coverage) AS paid
+  FROM transactions GROUP BY patient_id)
+SELECT insurance_provider, CAST(SUM(charges) AS BIGINT) AS count, CAST(SUM(billed) AS DOUBLE) AS total_billed,
+  CAST(SUM(paid) AS DOUBLE) AS total_covered
+FROM by_patient JOIN patients ON patients.id = by_patient.patient_id GROUP BY insurance_provider
 """)
 
 q("top_earners", """
-SELECT name, department, experience, total_earned FROM (
-  SELECT doc.id, doc.name, doc.department, doc.experience, CAST(SUM(ap.revenue_generated) AS DOUBLE) AS total_earned,
-    SUM(ap.revenue_generated) AS earned
-  FROM doctors doc JOIN appointments ap ON doc.id = ap.doctor_id
-  WHERE ap.status = 'Completed'
-  GROUP BY doc.id, doc.name, doc.department, doc.experience
-  ORDER BY earned DESC, doc.id LIMIT 5)
+, earned AS (SELECT doctor_id, SUM(revenue_generated) AS total FROM appointments WHERE status = 'Completed' GROUP BY doctor_id),
+ranked AS (SELECT doctors.*, total, row_number() OVER (ORDER BY total DESC, id) AS place
+  FROM earned JOIN doctors ON doctors.id = earned.doctor_id)
+SELECT name, department, experience, CAST(total AS DOUBLE) AS total_earned FROM ranked WHERE place <= 5 ORDER BY place
 """)
 
 q("insurer_billing_stats", """
-SELECT pt.insurance_provider, COUNT(tx.id) AS trans_count,
-  CAST(SUM(tx.amount) AS DOUBLE) / COUNT(tx.amount) AS avg_claim_cost,
-  CAST(SUM(tx.insurance_coverage) AS DOUBLE) AS total_insured_payout
-FROM patients pt JOIN transactions tx ON pt.id = tx.patient_id
-WHERE tx.payment_type = 'Insurance'
-GROUP BY pt.insurance_provider
+, by_patient AS (SELECT patient_id, COUNT(*) AS charges, COUNT(amount) AS priced, SUM(amount) AS billed,
+    SUM(insurance_coverage) AS paid FROM transactions WHERE payment_type = 'Insurance' GROUP BY patient_id)
+SELECT insurance_provider, CAST(SUM(charges) AS BIGINT) AS trans_count,
+  CAST(SUM(billed) AS DOUBLE) / NULLIF(SUM(priced), 0) AS avg_claim_cost, CAST(SUM(paid) AS DOUBLE) AS total_insured_payout
+FROM by_patient JOIN patients ON patients.id = by_patient.patient_id
+GROUP BY insurance_provider ORDER BY trans_count DESC, insurance_provider
 """)
 
 q("provider_billing_local", """
@@ -187,7 +193,22 @@ src AS (
   FROM transactions WHERE type IN ('Emergency Services', 'Pharmacy'))
 """
 
-TX_N = ("(CAST(split_part(substr(id, 3), '-', 1) AS BIGINT) * 10 + CAST(split_part(id, '-', 2) AS BIGINT))")
+N = "CAST(regexp_replace(id, '[^0-9]', '', 'g') AS HUGEINT)"
+# The tables with planted violations (registry.planted).
+PLANTED = f"""
+, p0 AS (SELECT * REPLACE (CASE WHEN {N} % 7 = 0 THEN NULL ELSE name END AS name,
+    CASE WHEN {N} % 11 = 0 THEN 'Unknown' ELSE gender END AS gender,
+    CASE WHEN {N} % 13 = 0 THEN 'C+' ELSE blood_group END AS blood_group) FROM patients),
+pp AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE {N} % 37 = 0),
+pa AS (SELECT * REPLACE (CASE WHEN {N} % 17 = 0 THEN 'NONE' || doctor_id ELSE doctor_id END AS doctor_id,
+    CASE WHEN {N} % 19 = 0 THEN NULL ELSE appointment_date END AS appointment_date,
+    CASE WHEN {N} % 23 = 0 THEN 'Lost' ELSE status END AS status) FROM appointments),
+t0 AS (SELECT * REPLACE (CASE WHEN {N} % 29 = 0 THEN NULL ELSE amount END AS amount,
+    CASE WHEN {N} % 31 = 0 THEN 'Gift' ELSE type END AS type) FROM transactions),
+pt AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE {N} % 41 = 0),
+pd AS (SELECT * REPLACE (CASE WHEN {N} % 3 = 0 THEN NULL ELSE department END AS department) FROM doctors),
+pe AS (SELECT * REPLACE (CASE WHEN {N} % 5 = 0 THEN NULL ELSE avg_wait_time END AS avg_wait_time) FROM departments)
+"""
 
 # -- §2.1 -----------------------------------------------------------------------
 
@@ -390,7 +411,7 @@ FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
 """)
 
 q("anti_existing", """
-SELECT id FROM patients p WHERE NOT EXISTS (SELECT 1 FROM appointments a WHERE a.patient_id = p.id)
+SELECT id FROM patients p WHERE NOT EXISTS (SELECT 1 FROM appointments a WHERE a.patient_id = p.id AND a.status = 'Cancelled')
 """)
 
 # -- §2.6 -----------------------------------------------------------------------
@@ -431,8 +452,7 @@ q("recent_rows", f"""
 SELECT id, {iso('date')} AS date FROM transactions ORDER BY date DESC, id DESC LIMIT 250
 """)
 
-q("top_k", _Q["dept_profitability"][len(FIXTURE_CTE):].replace("SELECT r.department", "SELECT * FROM (SELECT r.department", 1)
-  + ") ORDER BY profit DESC, department LIMIT 5")
+q("top_k", "SELECT * FROM (" + _Q["dept_profitability"][len(FIXTURE_CTE):] + ") ORDER BY profit DESC, department LIMIT 5")
 
 q("latest_periods_ascending", """
 SELECT * FROM (SELECT strftime(appointment_date, '%Y-%m') AS month, COUNT(*) AS appointments
@@ -450,29 +470,21 @@ q("billable_appointments", """
 SELECT id, status FROM appointments WHERE status IN ('Completed', 'Rescheduled')
 """)
 
-q("consultation_charges", f"""
-, ch AS (
-  SELECT printf('TX%06d', CAST(substr(a.id, 3) AS BIGINT)) AS id, a.patient_id, a.id AS appointment_id,
-    a.appointment_date AS date, a.revenue_generated AS amount, 'Consultation' AS type,
-    CASE WHEN p.insurance_provider = 'Self-Pay' THEN 0
-      ELSE FLOOR(a.revenue_generated * (CASE WHEN CAST(substr(a.id, 3) AS BIGINT) % 2 = 0 THEN 70 ELSE 85 END) / 100 + 0.5)
-    END AS insurance_coverage,
-    CASE WHEN p.insurance_provider = 'Self-Pay' THEN 'Cash' ELSE 'Insurance' END AS payment_type,
-    a.department
-  FROM appointments a LEFT JOIN patients p ON a.patient_id = p.id
-  WHERE a.status IN ('Completed', 'Rescheduled'))
-SELECT {TX_OUT} FROM ch
-""")
-
-q("ancillary_coverage", f"""
-SELECT t.id,
-  CAST(CASE WHEN p.insurance_provider = 'Self-Pay' THEN 0
-       ELSE FLOOR(t.amount * (60 + {TX_N.replace('id', 't.id')} % 31) / 100 + 0.5) END AS DOUBLE) AS insurance_coverage,
-  CASE WHEN p.insurance_provider = 'Self-Pay' THEN
-    CASE {TX_N.replace('id', 't.id')} % 3 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Credit Card' ELSE 'Debit Card' END
-  ELSE 'Insurance' END AS payment_type
-FROM transactions t LEFT JOIN patients p ON t.patient_id = p.id
-WHERE t.type <> 'Consultation'
+q("consultation_charges", """
+, paid AS (SELECT appointment_id, COUNT(*) AS n, SUM(amount) AS amount, SUM(insurance_coverage) AS cover
+  FROM transactions WHERE type = 'Consultation' AND appointment_id IS NOT NULL GROUP BY appointment_id)
+SELECT id, patient_id, department, CAST(revenue_generated AS DOUBLE) AS billable, COALESCE(n, 0) AS charges,
+  CAST(COALESCE(amount, 0) AS DOUBLE) AS charged, CAST(COALESCE(cover, 0) AS DOUBLE) AS covered,
+  CAST(revenue_generated - COALESCE(amount, 0) AS DOUBLE) AS difference
+FROM appointments LEFT JOIN paid ON paid.appointment_id = appointments.id
+WHERE status IN ('Completed', 'Rescheduled')
+""")
+
+q("ancillary_coverage", """
+SELECT type, payment_type, COUNT(*) AS charges, CAST(SUM(amount) AS DOUBLE) AS amount,
+  CAST(SUM(insurance_coverage) AS DOUBLE) AS covered,
+  CAST(SUM(insurance_coverage) AS DOUBLE) * 100 / NULLIF(CAST(SUM(amount) AS DOUBLE), 0) AS covered_pct
+FROM transactions WHERE type <> 'Consultation' GROUP BY type, payment_type
 """)
 
 q("route_department", """
@@ -488,46 +500,71 @@ FROM transactions
 
 # -- §2.8 -----------------------------------------------------------------------
 
-q("check_unique_key", """
-SELECT id, COUNT(*) AS occurrences FROM transactions GROUP BY id HAVING COUNT(*) > 1
+q("check_unique_key", PLANTED + """
+SELECT id, COUNT(*) AS occurrences FROM pt GROUP BY id HAVING COUNT(*) > 1
 """)
 
-q("check_not_null", "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM transactions"
+q("check_not_null", PLANTED + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM pt"
     for c in ["id", "patient_id", "appointment_id", "date", "amount", "type", "insurance_coverage",
               "payment_type", "department"]))
 
-q("check_domain", """
-SELECT 'gender' AS "column", CAST(gender AS VARCHAR) AS value, COUNT(*) AS "rows" FROM patients
-  WHERE gender IS NOT NULL AND gender NOT IN ('Male', 'Female', 'Other') GROUP BY gender
-UNION ALL SELECT 'category', category, COUNT(*) FROM patients
-  WHERE category IS NOT NULL AND category NOT IN ('Inpatient', 'Outpatient', 'ER') GROUP BY category
-UNION ALL SELECT 'blood_group', blood_group, COUNT(*) FROM patients
-  WHERE blood_group IS NOT NULL AND blood_group NOT IN ('A+', 'A-', 'B+', 'B-', 'AB+', 'AB-', 'O+', 'O-') GROUP BY blood_group
-UNION ALL SELECT 'insurance_provider', insurance_provider, COUNT(*) FROM patients
-  WHERE insurance_provider IS NOT NULL
-    AND insurance_provider NOT IN ('HealthShield', 'AuraCare', 'MedLife', 'ApexPay', 'Self-Pay')
-  GROUP BY insurance_provider
-""")
+_DOMAINS = {
+    ("patients", "pp"): {"gender": "'Male', 'Female', 'Other'", "category": "'Inpatient', 'Outpatient', 'ER'",
+                         "blood_group": "'A+', 'A-', 'B+', 'B-', 'AB+', 'AB-', 'O+', 'O-'",
+                         "insurance_provider": "'HealthShield', 'AuraCare', 'MedLife', 'ApexPay', 'Self-Pay'"},
+    ("appointments", "pa"): {"status": "'Scheduled', 'Completed', 'Cancelled', 'Rescheduled'"},
+    ("transactions", "pt"): {"type": "'Consultation', 'Lab Fee', 'Pharmacy', 'Emergency Services'",
+                             "payment_type": "'Insurance', 'Cash', 'Credit Card', 'Debit Card'"},
+}
+
+
+def _outside(cte: str, column: str, allowed: str) -> str:
+    return (f"SELECT '{column}' AS \"column\", {column} AS value, COUNT(*) AS \"rows\" FROM {cte} "
+            f"WHERE {column} NOT IN ({allowed}) GROUP BY {column}")
+
+
+q("check_domain", PLANTED + "\nUNION ALL ".join(
+    _outside("pp", c, v) for c, v in _DOMAINS["patients", "pp"].items()))
+
+# every column but the charge's appointment is required
+_COLUMNS = {
+    ("departments", "pe"): "id name beds_total beds_occupied kpi_satisfaction avg_wait_time",
+    ("doctors", "pd"): "id name department experience consultation_fee utilization",
+    ("patients", "pp"): "id name age gender blood_group city state registration_date insurance_provider category",
+    ("appointments", "pa"): "id patient_id doctor_id department appointment_date duration status revenue_generated",
+    ("transactions", "pt"): "id patient_id date amount type insurance_coverage payment_type department",
+}
+q("check_constraints", PLANTED + "\nUNION ALL ".join(
+    [f"SELECT '{t}' AS \"table\", 'not null' AS rule, '{c}' AS \"column\", CAST(NULL AS VARCHAR) AS value, "
+     f"COUNT(*) AS \"rows\" FROM {cte} WHERE {c} IS NULL HAVING COUNT(*) > 0"
+     for (t, cte), cols in _COLUMNS.items() for c in cols.split()]
+    + [f"SELECT '{t}', 'unique', 'id', id, COUNT(*) FROM {cte} GROUP BY id HAVING COUNT(*) > 1" for t, cte in _COLUMNS]
+    + [f"SELECT '{t}', 'domain', * FROM ({_outside(cte, c, v)})" for (t, cte), d in _DOMAINS.items() for c, v in d.items()]))
 
 q("check_domain_rows", """
 SELECT id, type FROM transactions WHERE type IS NOT NULL AND type NOT IN ('Consultation', 'Lab Fee', 'Pharmacy')
 """)
 
-q("check_foreign_key", """
-SELECT 'appointments' AS child, 'patient_id' AS fk, 'patients' AS parent, COUNT(*) AS orphans FROM appointments c
-  WHERE c.patient_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM patients p WHERE p.id = c.patient_id)
-UNION ALL SELECT 'appointments', 'doctor_id', 'doctors', COUNT(*) FROM appointments c
-  WHERE c.doctor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM doctors p WHERE p.id = c.doctor_id)
-UNION ALL SELECT 'transactions', 'patient_id', 'patients', COUNT(*) FROM transactions c
-  WHERE c.patient_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM patients p WHERE p.id = c.patient_id)
-UNION ALL SELECT 'transactions', 'appointment_id', 'appointments', COUNT(*) FROM transactions c
-  WHERE c.appointment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM appointments p WHERE p.id = c.appointment_id)
+q("check_foreign_key", PLANTED + f"""
+, fp AS (SELECT id FROM pp WHERE {N} % 5 <> 0), fa AS (SELECT * FROM pa WHERE {N} % 7 <> 0)
+SELECT 'appointments' AS child, 'patient_id' AS fk, 'patients' AS parent, COUNT(*) AS orphans FROM fa
+  WHERE patient_id IS NOT NULL AND patient_id NOT IN (SELECT id FROM fp)
+UNION ALL SELECT 'appointments', 'doctor_id', 'doctors', COUNT(*) FROM fa
+  WHERE doctor_id IS NOT NULL AND doctor_id NOT IN (SELECT id FROM pd)
+UNION ALL SELECT 'transactions', 'patient_id', 'patients', COUNT(*) FROM pt
+  WHERE patient_id IS NOT NULL AND patient_id NOT IN (SELECT id FROM fp)
+UNION ALL SELECT 'transactions', 'appointment_id', 'appointments', COUNT(*) FROM pt
+  WHERE appointment_id IS NOT NULL AND appointment_id NOT IN (SELECT id FROM fa)
 """)
 
-q("fill_defaults", """
-SELECT id, CAST(COALESCE(CASE WHEN status = 'Scheduled' THEN NULL ELSE duration END, 30) AS INT) AS duration
-FROM appointments
+q("fill_defaults", f"""
+SELECT 'appointments' AS "table", id, CAST(CASE WHEN status = 'Scheduled' THEN 30 ELSE duration END AS DOUBLE) AS first,
+  CAST(CASE WHEN {N} % 3 = 0 THEN 0 ELSE revenue_generated END AS DOUBLE) AS second FROM appointments
+UNION ALL SELECT 'transactions', id, CASE WHEN {N} % 5 = 0 THEN 0 ELSE amount END,
+  CASE WHEN {N} % 7 = 0 THEN 0 ELSE insurance_coverage END FROM transactions
+UNION ALL SELECT 'doctors', id, CASE WHEN {N} % 2 = 0 THEN 0 ELSE experience END, utilization FROM doctors
+UNION ALL SELECT 'departments', id, CASE WHEN {N} % 2 = 0 THEN 0 ELSE beds_total END, avg_wait_time FROM departments
 """)
 
 q("dedupe_latest", UPSERT + f"""
@@ -588,11 +625,12 @@ q("threshold_alerts", f"""
   ('click low', 'click', 5.0, 3600, true, 'warning', 'web'),
   ('purchase low', 'purchase', 20.0, 1800, true, 'critical', 'shop'),
   ('heartbeat missing', 'heartbeat', 1.0, 60, true, 'critical', 'app'),
-  ('signup quiet', 'signup', 1.0, 600, false, 'info', 'growth'))
+  ('signup quiet', 'signup', 1.0, 600, false, 'info', 'growth'),
+  ('click low for one user', 'click', 5.0, 86400, true, 'info', 'web'))
   AS v(rule, metric, less_than, lookback_seconds, no_data_alerts, severity, service)),
 s AS (SELECT r.rule, m.ts, m.value FROM metric_samples m JOIN rules r ON m.metric = r.metric
-  WHERE m.value IS NOT NULL AND m.ts <= TIMESTAMP '2024-01-15 12:00:00'
-    AND m.ts >= TIMESTAMP '2024-01-15 12:00:00' - r.lookback_seconds * INTERVAL 1 SECOND),
+  WHERE m.value IS NOT NULL AND (r.rule <> 'click low for one user' OR m.user_id = 7)
+    AND m.ts <= TIMESTAMP '2024-01-15 12:00:00' AND m.ts >= TIMESTAMP '2024-01-15 12:00:00' - r.lookback_seconds * INTERVAL 1 SECOND),
 latest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY rule ORDER BY ts DESC, value DESC) = 1)
 SELECT r.rule, r.metric, {iso('l.ts')} AS ts, l.value, r.less_than, r.severity, r.service,
   CASE WHEN l.value IS NULL THEN (CASE WHEN r.no_data_alerts THEN 'Alerting' ELSE 'NoData' END)
@@ -633,6 +671,8 @@ q("stream_pipeline_counts", """
 SELECT 'patients' AS "table", COUNT(*) AS "rows" FROM patients
 UNION ALL SELECT 'appointments', COUNT(*) FROM appointments
 UNION ALL SELECT 'transactions', COUNT(*) FROM transactions
+UNION ALL SELECT 'doctors', COUNT(*) FROM doctors
+UNION ALL SELECT 'departments', COUNT(*) FROM departments
 """)
 
 
@@ -701,7 +741,42 @@ q("sync_status", """
 SELECT CAST(5 AS BIGINT) AS tables, CAST(5 AS BIGINT) AS succeeded,
   (SELECT COUNT(*) FROM departments) + (SELECT COUNT(*) FROM doctors) + (SELECT COUNT(*) FROM patients)
   + (SELECT COUNT(*) FROM appointments) + (SELECT COUNT(*) FROM transactions) AS rows_synced,
-  'SUCCESS' AS overall_status
+  'SUCCESS' AS overall_status, true AS last_sync_time
+""")
+
+q("sync_report", """
+, r AS (SELECT 'bronze_doctors' AS "table", COUNT(*) AS "rows" FROM doctors
+  UNION ALL SELECT 'bronze_patients', COUNT(*) FROM patients
+  UNION ALL SELECT 'bronze_appointments', COUNT(*) FROM appointments
+  UNION ALL SELECT 'bronze_transactions', COUNT(*) FROM transactions
+  UNION ALL SELECT 'bronze_departments', 0)
+SELECT "table", "table" <> 'bronze_departments' AS success, "rows", true AS timed,
+  CASE WHEN "table" = 'bronze_departments' THEN true END AS failed, CAST(SUM("rows") OVER () AS BIGINT) AS total_rows
+FROM r
+""")
+
+
+def _row_sql(table: str, columns: str) -> str:
+    text = ", ".join(f"coalesce({iso(c) if c in ('date', 'registration_date', 'appointment_date') else f'CAST({c} AS VARCHAR)'}"
+                     ", 'null')" for c in columns.split())
+    return f"""SELECT '{table}' AS "table", id, concat_ws('|', {text}) AS "row" FROM {table}"""
+
+
+_ALL_ROWS = "\nUNION ALL ".join(
+    _row_sql(t, cols.replace("patient_id date", "patient_id appointment_id date") if t == "transactions" else cols)
+    for (t, _), cols in _COLUMNS.items())
+q("export_csv", _ALL_ROWS)
+q("export_json", _ALL_ROWS)
+
+q("page_after", f"""
+, l AS (SELECT id, date, row_number() OVER (ORDER BY date DESC, id DESC) AS n FROM transactions WHERE type = 'Lab Fee')
+SELECT id, {iso('date')} AS date FROM l WHERE n BETWEEN 8 AND 17
+""")
+
+q("patient_register_info", """
+SELECT 'total' AS part, CAST(COUNT(*) AS VARCHAR) AS value FROM patients WHERE category = 'Inpatient'
+UNION ALL SELECT DISTINCT 'state', state FROM patients
+UNION ALL SELECT 'category', unnest(['Inpatient', 'Outpatient', 'ER'])
 """)
 
 

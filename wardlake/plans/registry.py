@@ -7,6 +7,7 @@ Keys follow the operator names of the blueprint.  Every query reads whole tables
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,10 +167,33 @@ def upsert_fixture(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return target, source
 
 
-def _tx_number(id_col: str = "id"):
-    """Charge number of a fixture charge id TX<order>-<line>-...: order*10 + line."""
-    parts = F.split(F.substring(F.col(id_col), 3, 1 << 30), "-")
-    return parts.getItem(0).cast("bigint") * 10 + parts.getItem(1).cast("bigint")
+def _number(col: str = "id"):
+    """Digits of an id of the given tables as a number (TX12-3-4-5: 12345)."""
+    return F.regexp_replace(F.col(col), r"\D", "").cast("decimal(38,0)")
+
+
+def planted(h: Hospital) -> dict[str, DataFrame]:
+    """The hospital tables with constraint violations in them: some patients
+    without a name, with unknown gender or blood group, or twice; appointments of
+    missing doctors and without a date; charges without amount, of an unknown type,
+    or twice; doctors without a department; departments without a cost."""
+    n = _number()
+    null = F.lit(None)
+    pt = h.patients.withColumns({
+        "name": F.when(n % 7 == 0, null).otherwise(F.col("name")),
+        "gender": F.when(n % 11 == 0, F.lit("Unknown")).otherwise(F.col("gender")),
+        "blood_group": F.when(n % 13 == 0, F.lit("C+")).otherwise(F.col("blood_group"))})
+    ap = h.appointments.withColumns({
+        "doctor_id": F.when(n % 17 == 0, F.concat(F.lit("NONE"), F.col("doctor_id"))).otherwise(F.col("doctor_id")),
+        "appointment_date": F.when(n % 19 == 0, null).otherwise(F.col("appointment_date")),
+        "status": F.when(n % 23 == 0, F.lit("Lost")).otherwise(F.col("status"))})
+    tx = h.transactions.withColumns({
+        "amount": F.when(n % 29 == 0, null).otherwise(F.col("amount")),
+        "type": F.when(n % 31 == 0, F.lit("Gift")).otherwise(F.col("type"))})
+    doc = h.doctors.withColumn("department", F.when(n % 3 == 0, null).otherwise(F.col("department")))
+    dep = h.departments.withColumn("avg_wait_time", F.when(n % 5 == 0, null).otherwise(F.col("avg_wait_time")))
+    return {"departments": dep, "doctors": doc, "patients": pt.unionByName(pt.where(n % 37 == 0)),
+            "appointments": ap, "transactions": tx.unionByName(tx.where(n % 41 == 0))}
 
 
 # -- §2.1 scans, sinks, upserts ----------------------------------------------
@@ -398,8 +422,9 @@ def _provider_lookup_default(h: Hospital) -> DataFrame:
 
 @register("anti_existing")
 def _anti_existing(h: Hospital) -> DataFrame:
-    """Patients without any appointment."""
-    return joins.anti_existing(h.patients.select("id"), h.appointments.select(F.col("patient_id").alias("id")), "id")
+    """Patients without any Cancelled appointment."""
+    cancelled = h.appointments.where(F.col("status") == "Cancelled").select(F.col("patient_id").alias("id"))
+    return joins.anti_existing(h.patients.select("id"), cancelled, "id")
 
 
 # -- §2.6 paging and top-k ---------------------------------------------------------
@@ -419,6 +444,16 @@ def _page_transactions(h: Hospital) -> DataFrame:
     return registers.page_transactions(h.transactions, page_no=2, limit=10, type="Lab Fee")
 
 
+@register("page_after")
+def _page_after(h: Hospital) -> DataFrame:
+    """Keyset page: the ten charges after the newest charge of a type that shares
+    its date with others."""
+    order = [("date", True), ("id", True)]
+    df = registers.filter_transactions(h.transactions, type="Lab Fee")
+    last = registers.page_after(df, order, limit=7).select("date", "id").collect()[-1]
+    return registers.page_after(df, order, (last["date"], last["id"])).select("id", X.iso_timestamp("date").alias("date"))
+
+
 @register("page_info")
 def _page_info(h: Hospital) -> DataFrame:
     return registers.page_info(registers.filter_transactions(h.transactions, type="Lab Fee"), page_no=2, limit=10)
@@ -461,16 +496,19 @@ def _billable_appointments(h: Hospital) -> DataFrame:
     return billing.billable_appointments(h.appointments).select("id", "status")
 
 
+def _doubles(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 @register("consultation_charges")
 def _consultation_charges(h: Hospital) -> DataFrame:
-    return _tx_out(billing.consultation_charges(h.appointments, h.patients))
+    return _doubles(billing.consultation_charges(h.appointments, h.transactions),
+                    "billable", "charged", "covered", "difference")
 
 
 @register("ancillary_coverage")
 def _ancillary_coverage(h: Hospital) -> DataFrame:
-    anc = h.transactions.where(F.col("type") != "Consultation")
-    out = billing.ancillary_coverage(anc, h.patients, _tx_number())
-    return out.select("id", F.col("insurance_coverage").cast("double").alias("insurance_coverage"), "payment_type")
+    return _doubles(billing.ancillary_coverage(h.transactions), "amount", "covered")
 
 
 @register("route_department")
@@ -491,17 +529,23 @@ def _appointment_link(h: Hospital) -> DataFrame:
 
 @register("check_unique_key")
 def _check_unique_key(h: Hospital) -> DataFrame:
-    return quality.check_unique_key(h.transactions)
+    return quality.check_unique_key(planted(h)["transactions"])
 
 
 @register("check_not_null")
 def _check_not_null(h: Hospital) -> DataFrame:
-    return quality.check_not_null(h.transactions, S.storage_columns("transactions"))
+    return quality.check_not_null(planted(h)["transactions"], S.storage_columns("transactions"))
 
 
 @register("check_domain")
 def _check_domain(h: Hospital) -> DataFrame:
-    return quality.check_domains(h.patients, "patients")
+    return quality.check_domains(planted(h)["patients"], "patients")
+
+
+@register("check_constraints")
+def _check_constraints(h: Hospital) -> DataFrame:
+    """Every constraint of all five tables, on tables with planted violations."""
+    return quality.check_all_constraints(planted(h))
 
 
 @register("check_domain_rows")
@@ -511,14 +555,31 @@ def _check_domain_rows(h: Hospital) -> DataFrame:
 
 @register("check_foreign_key")
 def _check_foreign_key(h: Hospital) -> DataFrame:
-    return quality.check_all_foreign_keys(h.as_dict())
+    """Orphans of the four links when some doctors are unknown and every fifth
+    patient and every seventh appointment is missing."""
+    frames = planted(h)
+    frames["patients"] = frames["patients"].where(_number() % 5 != 0)
+    frames["appointments"] = frames["appointments"].where(_number() % 7 != 0)
+    return quality.check_all_foreign_keys(frames)
 
 
 @register("fill_defaults")
 def _fill_defaults(h: Hospital) -> DataFrame:
-    ap = h.appointments.withColumn("duration", F.when(F.col("status") == "Scheduled", F.lit(None))
-                                   .otherwise(F.col("duration")).cast("int"))
-    return quality.fill_defaults(ap, "appointments").select("id", "duration")
+    """Columns with a default, emptied in some rows of four tables and filled."""
+    n, null = _number(), F.lit(None)
+    ap = h.appointments.withColumns({
+        "duration": F.when(F.col("status") == "Scheduled", null).otherwise(F.col("duration")),
+        "revenue_generated": F.when(n % 3 == 0, null).otherwise(F.col("revenue_generated"))})
+    tx = h.transactions.withColumns({
+        "amount": F.when(n % 5 == 0, null).otherwise(F.col("amount")),
+        "insurance_coverage": F.when(n % 7 == 0, null).otherwise(F.col("insurance_coverage"))})
+    doc = h.doctors.withColumn("experience", F.when(n % 2 == 0, null).otherwise(F.col("experience")))
+    dep = h.departments.withColumn("beds_total", F.when(n % 2 == 0, null).otherwise(F.col("beds_total")))
+    parts = [("appointments", ap, "duration", "revenue_generated"), ("transactions", tx, "amount", "insurance_coverage"),
+             ("doctors", doc, "experience", "utilization"), ("departments", dep, "beds_total", "avg_wait_time")]
+    out = [quality.fill_defaults(df, t).select(F.lit(t).alias("table"), "id", F.col(a).cast("double").alias("first"),
+                                               F.col(b).cast("double").alias("second")) for t, df, a, b in parts]
+    return reduce(DataFrame.unionByName, out)
 
 
 @register("dedupe_latest")
@@ -561,6 +622,7 @@ ALERT_RULES = [
     ("purchase low", "purchase", 20.0, 1800, True, "critical", "shop"),
     ("heartbeat missing", "heartbeat", 1.0, 60, True, "critical", "app"),
     ("signup quiet", "signup", 1.0, 600, False, "info", "growth"),
+    ("click low for one user", "click", 5.0, 86400, True, "info", "web", {"user": "7"}),
 ]
 
 
@@ -583,7 +645,8 @@ def _metric_series(h: Hospital) -> DataFrame:
 @register("threshold_alerts")
 def _threshold_alerts(h: Hospital) -> DataFrame:
     rules = metrics.rules_frame(h.metric_samples.sparkSession, ALERT_RULES)
-    return metrics.threshold_alerts(h.metric_samples, rules, ALERT_NOW).withColumn("ts", X.iso_timestamp("ts"))
+    return metrics.threshold_alerts(h.metric_samples, rules, ALERT_NOW).drop("labels").withColumn(
+        "ts", X.iso_timestamp("ts"))
 
 
 @register("threshold_band")
@@ -622,7 +685,7 @@ def _q_stream_bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.to_bronze(part, "transactions").write.mode("overwrite").parquet(f"{base}/landing/a{i}")
         inc.stream_bronze_append(spark, f"{base}/landing/*", "transactions", f"{base}/bronze",
                                  f"{base}/ck").awaitTermination()
-    return _tx_out(spark.read.schema(S.bronze_schema("transactions")).parquet(f"{base}/bronze/transactions"))
+    return _tx_out(tables.read_bronze_table(spark, f"{base}/bronze", "transactions"))
 
 
 @_raw("stream_silver_upsert")
@@ -647,15 +710,11 @@ def _q_stream_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = load_hospital(spark, sf_dir)
     base = scratch_path(spark, "stream-counts")
     streams = {}
-    for name in ("patients", "appointments", "transactions"):
+    for name in S.TABLES:
         tables.to_bronze(getattr(h, name), name).write.mode("overwrite").parquet(f"{base}/landing/{name}")
         streams[name] = inc.bronze_stream(spark, f"{base}/landing/{name}", name)
-    view = f"wardlake_counts_{abs(hash(base)) % 10**8}"
-    q = inc.stream_pipeline_counts(streams, view, checkpoint=f"{base}/ck")
-    q.processAllAvailable()
-    q.stop()
-    # the memory sink holds one row per table; copy it out of the session view
-    return spark.sql(f"SELECT `table`, `rows` FROM {view}")
+    inc.stream_pipeline_counts(streams, f"{base}/counts", f"{base}/ck").awaitTermination()
+    return inc.read_complete(spark, f"{base}/counts", inc.COUNTS_SCHEMA)
 
 
 @register("export_csv_text")
@@ -681,17 +740,12 @@ def _q_stream_gold_dept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import incremental as inc
     tx = load_hospital(spark, sf_dir).transactions
     base = scratch_path(spark, "stream-gold")
-    view = f"wardlake_gold_{abs(hash(base)) % 10**8}"
     first = F.col("type").isin("Consultation", "Lab Fee")
-    tables.to_bronze(tx.where(first), "transactions").write.mode("overwrite").parquet(f"{base}/landing/a0")
-    q = inc.stream_gold_dept_totals(inc.bronze_stream(spark, f"{base}/landing/*", "transactions"), view,
-                                    checkpoint=f"{base}/ck")
-    q.processAllAvailable()
-    tables.to_bronze(tx.where(~first), "transactions").write.mode("overwrite").parquet(f"{base}/landing/a1")
-    q.processAllAvailable()
-    q.stop()
-    return spark.sql(f"SELECT department, CAST(total_revenue AS DOUBLE) AS total_revenue, transaction_count "
-                     f"FROM {view}")
+    for i, part in enumerate([tx.where(first), tx.where(~first)]):
+        tables.to_bronze(part, "transactions").write.mode("overwrite").parquet(f"{base}/landing/a{i}")
+        inc.stream_gold_dept_totals(inc.bronze_stream(spark, f"{base}/landing/*", "transactions"), f"{base}/totals",
+                                    f"{base}/ck").awaitTermination()
+    return _doubles(inc.read_complete(spark, f"{base}/totals", inc.DEPT_TOTALS_SCHEMA), "total_revenue")
 
 
 @_raw("stream_growth_history")
@@ -786,4 +840,57 @@ def _q_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import scratch_path
     h = load_hospital(spark, sf_dir)
     rep = tables.bronze_full_refresh(spark, h.as_dict(), scratch_path(spark, "refresh"))
-    return metrics.sync_status(rep)
+    return metrics.sync_status(rep).withColumn("last_sync_time", F.col("last_sync_time").isNotNull())
+
+
+@_raw("sync_report")
+def _q_sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a refresh in which one source fails (departments are read with
+    a column that cannot be computed)."""
+    from ..session import scratch_path
+    h = load_hospital(spark, sf_dir)
+    sources = dict(h.as_dict())
+    sources["departments"] = h.departments.withColumn("beds_total", F.raise_error(F.lit("no source")).cast("int"))
+    rep = tables.bronze_full_refresh(spark, sources, scratch_path(spark, "refresh"))
+    return metrics.sync_report(rep).select("table", "success", "rows", (F.col("duration_ms") >= 0).alias("timed"),
+                                           F.col("error").contains("no source").alias("failed"), "total_rows")
+
+
+def _row_text(df: DataFrame, table: str) -> DataFrame:
+    """(table, id, text of all columns) of rows in the Bronze form."""
+    cols = [X.iso_timestamp(c) if c in S.TIMESTAMP_COLUMNS[table] else F.col(c).cast("string")
+            for c in S.storage_columns(table)]
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in cols])
+    return df.select(F.lit(table).alias("table"), "id", text.alias("row"))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, export, read) -> DataFrame:
+    from ..session import scratch_path
+    base = scratch_path(spark, "export")
+    out = []
+    for name, df in load_hospital(spark, sf_dir).as_dict().items():
+        export(df, name, f"{base}/{name}")
+        out.append(_row_text(tables.to_bronze(read(spark, f"{base}/{name}", name), name), name))
+    return reduce(DataFrame.unionByName, out)
+
+
+@_raw("export_csv")
+def _q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tables exported as CSV files and read back."""
+    return _round_trip(spark, sf_dir, tables.export_csv, tables.read_export_csv)
+
+
+@_raw("export_json")
+def _q_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tables exported as JSON lines and read back."""
+    return _round_trip(spark, sf_dir, tables.export_json, tables.read_export_json)
+
+
+@register("patient_register_info")
+def _patient_register_info(h: Hospital) -> DataFrame:
+    """Total, states and categories that the patient register shows beside a page."""
+    reg = registers.patient_register(h.patients, page_no=1, category="Inpatient")
+    total = reg["info"].select(F.lit("total").alias("part"), F.col("total").cast("string").alias("value"))
+    states = reg["states"].select(F.lit("state").alias("part"), F.col("state").alias("value"))
+    cats = reg["categories"].select(F.lit("category").alias("part"), F.col("category").alias("value"))
+    return total.unionByName(states).unionByName(cats)

@@ -102,8 +102,9 @@ SCHEMAS: dict[str, T.StructType] = {
     ]),
 }
 
-# Required (NOT NULL) columns per table.
-REQUIRED = {name: [f.name for f in s.fields if not f.nullable] for name, s in SCHEMAS.items()}
+# Required (NOT NULL) columns per table: all but the optional appointment link.
+OPTIONAL = {"transactions": ["appointment_id"]}
+REQUIRED = {name: [f.name for f in s.fields if f.name not in OPTIONAL.get(name, [])] for name, s in SCHEMAS.items()}
 
 # snake_case storage name -> camelCase API name (only the ones that differ).
 API_NAMES = {

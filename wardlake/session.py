@@ -77,8 +77,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
-               max_shuffle_partitions: int = 65536) -> dict[str, str]:
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for a run over ``input_bytes`` of Parquet on
     ``total_cores`` executor cores.
 
@@ -88,7 +87,6 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
     ones and splits skewed ones at run time).  The planner's broadcast limit
     stays small: dimensions beyond it are joined by sort-merge."""
     parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
-    parts = min(parts, max_shuffle_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
