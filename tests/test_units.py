@@ -283,6 +283,17 @@ def test_pack_growth_history_keeps_all_months(spark):
     assert [tuple(r) for r in X.parse_growth_history(X.pack_growth_history(df)).collect()] == rows
 
 
+def test_clear_scratch(spark):
+    import os
+    from wardlake.session import clear_scratch, scratch_path
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.exists(local)
+    clear_scratch(spark)
+    assert not os.path.exists(local)
+
+
 def test_top_earners_idle_doctors(spark):
     docs = frame(spark, "doctors", [doc_row("DR1"), doc_row("DR2", name="Dr B")])
     aps = frame(spark, "appointments", [ap_row("AP1", doctor="DR1", revenue=150)])
