@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardlake.llm import chosen_path, decontam, lang_bitmask, mixing, pii_feistel
 from wardlake.llm.common import documents
-from wardlake.session import scratch_path
+from wardlake.session import remove_path, scratch_path
 
 TRAIN_DOCS = 20_000
 #: Key of the pseudonyms; a deployment sets its own.
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage before is no longer read
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -270,8 +270,8 @@ def test_op4_dates_and_ssn_stay_valid(spark):
 def near_groups(rows):
     sets = {}
     for k, (_, t, *_) in enumerate(rows):
-        w = ascii_lower(t).encode().split()
-        sets[k] = frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+        w = re.findall(PLAIN, ascii_lower(t))
+        sets[k] = frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([t]) if t else None
     distinct = [s for s in dict.fromkeys(sets.values()) if s]
     links = {s: [o for o in distinct if o is not s and 10 * len(s & o) >= 8 * len(s | o)] for s in distinct}
     group = {}

@@ -1,8 +1,10 @@
 """N-gram Jaccard join with the chosen-path method.
 
-Texts are sets of 5-word shingles (A-Z lower-cased; a text of fewer words is one
-shingle).  Texts with the same set are one class; the join finds all pairs of
-classes with a Jaccard similarity of at least ``threshold``.
+Texts are sets of 5-word shingles.  Words are runs of letters, digits and bytes
+beyond ASCII, A-Z lower-cased, so punctuation and case do not part copies; a text
+of fewer words is one shingle, and so is the whole text where it has no word.
+Texts with the same set are one class; the join finds all pairs of classes with a
+Jaccard similarity of at least ``threshold``.
 
 * A class is embedded as ``COORDS`` min-hash tokens.  A node of the recursion -- at
   first a run's root -- samples coordinates by a hash of its path, each with
@@ -20,8 +22,7 @@ classes with a Jaccard similarity of at least ``threshold``.
 Output: one row per document with its group (smallest doc_id), the number of
 *other* sets linked to its own, and the number of other documents with its set.
 
-Defined results: null texts and texts without a word are alone, without links;
-null ids come last in a group's order and repeated ids are ordered by their place
+Defined results: null and empty texts are alone, without links; null ids come last in a group's order and repeated ids are ordered by their place
 in the input; an empty table gives an empty result; other columns are not read.
 """
 
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import checkpointed, documents, grouped, mix64, prefix_hash, range_hash, signed, text_bytes, utf8, word_ranges
+from .common import (NORMALISE, checkpointed, documents, grouped, mix64, prefix_hash, range_hash, signed, text_bytes,
+                     utf8, word_ranges)
 from .components import components
 from .pfp_dedup import packed
 
@@ -57,10 +59,11 @@ _B = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint32)
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
-    data = np.frombuffer(text.lower(), np.uint8)
+    data = np.frombuffer(text.translate(NORMALISE), np.uint8)
     start, end = word_ranges(data)
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    if not len(start):  # no word: the text itself, if any
+        data = np.frombuffer(text, np.uint8)
+        return range_hash(prefix_hash(data), np.array([0]), np.array([len(data)])) if text else np.zeros(0, np.uint64)
     words = range_hash(prefix_hash(data), start, end)
     n = max(1, len(words) - width + 1)
     out = np.zeros(n, np.uint64)
@@ -108,7 +111,7 @@ def _children(path: int, value: np.ndarray) -> list[int]:
 
 
 def embedded(texts: DataFrame, roots: list[int], width: int) -> DataFrame:
-    """doc_id, row, key (16 bytes, the set; null without a word), tokens (16 bits
+    """doc_id, row, key (16 bytes, the set; null for an empty text), tokens (16 bits
     each) and the paths of the first level."""
     at = [(np.uint64(r), sampled(r)) for r in roots]
 

@@ -28,13 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, text_bytes, utf8
+from .common import NORMALISE, documents, text_bytes, utf8
 
 WINDOW = 13
-#: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a
-#: space; bytes of other code points (0x80 and up) are word bytes.
-NORMALISE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32
-                  for b in range(256))
 _WORD_AT = re.compile(rb"[^ ]+")
 
 HITS = ("doc_id bigint, row bigint, n_words bigint, hits array<struct<first:bigint,last:bigint>>, "
