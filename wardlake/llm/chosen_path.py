@@ -294,3 +294,27 @@ def firsts(docs: DataFrame) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = join(documents(spark, sf_dir))
     return found.select("doc_id", F.col("group").alias("class_id"), "n_links", "n_copies", F.col("first").alias("kept"))
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, text,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [text] ELSE list_transform(
+  range(1, greatest(len(w) - {WIDTH} + 1, 1) + 1), lambda p: array_to_string(w[p:p + {WIDTH} - 1], ' ')) END) AS g
+  FROM d WHERE text <> ''),
+k AS (SELECT rid, string_agg(g, chr(10) ORDER BY g) AS key, count(*) AS size FROM s GROUP BY rid),
+c AS (SELECT key, min(rid) AS cls, any_value(size) AS size, count(*) AS members FROM k GROUP BY key),
+cs AS (SELECT c.cls, c.size, s.g FROM c JOIN s ON s.rid = c.cls),
+l AS (SELECT a.cls AS x, b.cls AS y FROM cs a JOIN cs b ON a.g = b.g AND a.cls < b.cls
+  GROUP BY a.cls, b.cls, a.size, b.size HAVING 10 * count(*) >= {round(10 * THRESHOLD)} * (a.size + b.size - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT cls, cls FROM c UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+top AS (SELECT x AS cls, min(y) AS top FROM reach GROUP BY x),
+n AS (SELECT x AS cls, count(*) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, CASE WHEN top.top IS NULL THEN d.doc_id ELSE t.doc_id END AS class_id,
+  CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(c.members - 1, 0) AS BIGINT) AS n_copies,
+  top.top IS NULL OR top.top = d.rid AS kept
+FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (key) LEFT JOIN top ON top.cls = c.cls LEFT JOIN n ON n.cls = c.cls
+LEFT JOIN d t ON t.rid = top.top
+"""

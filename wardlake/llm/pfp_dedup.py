@@ -252,3 +252,4 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_frequency
+from . import chosen_path, decontam, line_frequency
 from .chosen_path import op5_ngram_jaccard
 from .decontam import op10_decontaminate
 from .hmm_lm import op3_hmm_score
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": chosen_path.ORACLE,
     "op9_quality_rules": line_frequency.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
 }
