@@ -6,15 +6,16 @@ of fewer words is one shingle, and so is the whole text where it has no word.
 Texts with the same set are one class; the join finds all pairs of classes with a
 Jaccard similarity of at least ``threshold``.
 
-* A class is embedded as ``COORDS`` min-hash tokens.  A node of the recursion -- at
-  first a run's root -- samples coordinates by a hash of its path, each with
-  probability 1 / (LAMBDA * COORDS), and splits its bucket by the token there.
-  Runs are added until a pair at the threshold is missed by all of them with a
-  probability of at most ``1 - recall``.
+* A class is embedded as ``COORDS`` min-hash tokens.  A node of the recursion
+  samples coordinates by a hash of its path and splits its bucket by the tokens
+  there: a run's root each with probability 1 / (LAMBDA * COORDS), a deeper node
+  ``SPLIT`` of them.  Runs are added until a pair at the threshold is missed by all
+  of them with a probability of at most ``1 - recall``.
 * Buckets of one class vanish; those of up to ``BUCKET`` classes are compared by
-  brute force; larger ones are split again, up to ``DEPTH`` times.  A larger bucket
-  that is left (it holds really similar texts) is compared blockwise, each pair of
-  blocks in a task of its own, so no task gets an unbounded group.
+  brute force; larger ones are split again while that shrinks them.  A large bucket
+  that keeps half of its node's classes holds really similar texts: it is compared
+  blockwise, each pair of blocks in a task of its own, so no task gets an unbounded
+  group.
 * A pair belongs to the largest of its common buckets and is checked only there:
   first by the sampled tokens, then exactly on the shingle sets.  Tasks return
   numbers of links and local groups, one row per member, never the pairs.
@@ -47,7 +48,9 @@ THRESHOLD = 0.8
 COORDS = 96
 LAMBDA = 0.7
 BUCKET = 512
-DEPTH = 3
+DEPTH = 12
+#: Coordinates that a node below the root splits on.
+SPLIT = 4
 RECALL = 0.99999
 #: Margin of the sampled similarity below the threshold: four standard deviations.
 MARGIN = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
@@ -90,8 +93,8 @@ def _hash(*parts) -> np.ndarray:
 
 
 def sampled(path: int) -> np.ndarray:
-    """Coordinates that the node with this path splits on."""
-    draw = _hash(np.uint64(path & ((1 << 64) - 1)), np.arange(COORDS))
+    """Coordinates that the root with this number splits on."""
+    draw = _hash(np.uint64(path), np.arange(COORDS))
     return np.flatnonzero(draw < np.uint64((1 << 64) // (LAMBDA * COORDS)))
 
 
@@ -106,8 +109,9 @@ def runs_for(recall: float, threshold: float) -> list[int]:
 
 
 def _children(path: int, value: np.ndarray) -> list[int]:
-    at = sampled(path)
-    return signed(_hash(np.uint64(path & ((1 << 64) - 1)), at, value[at])).tolist() if len(at) else []
+    node = np.uint64(path & ((1 << 64) - 1))
+    at = np.argsort(_hash(node, np.arange(COORDS)), kind="stable")[:SPLIT]
+    return signed(_hash(node, at, value[at])).tolist()
 
 
 def embedded(texts: DataFrame, roots: list[int], width: int) -> DataFrame:
@@ -143,22 +147,22 @@ def buckets(classes: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> Dat
 
     def split(batches):
         for batch in batches:
-            ids, paths, sigs = (batch.column(i).to_pylist() for i in range(3))
-            out = [(c, child) for c, p, s in zip(ids, paths, sigs)
-                   for child in _children(p, np.frombuffer(s, np.uint16))]
-            yield pa.record_batch([pa.array([x for _, x in out], pa.int64()), pa.array([c for c, _ in out], pa.int64())],
-                                  names=["path", "class"])
-
-    level = sized(classes.select(F.explode("paths").alias("path"), "class"))
-    final = level.where(F.col("size") <= bucket)
-    for _ in range(depth):
-        large = level.where(F.col("size") > bucket)
-        if large.isEmpty():
+            columns = (batch.column(i).to_pylist() for i in range(4))
+            out = [(child, c, n) for c, p, s, n in zip(*columns) for child in _children(p, np.frombuffer(s, np.uint16))]
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(3)],
+                                  names=["path", "class", "parent"])
+
+    level = sized(classes.select(F.explode("paths").alias("path"), "class", F.lit(None).cast("bigint").alias("parent")))
+    final = None
+    for left in range(depth, -1, -1):
+        split_on = (F.col("size") > bucket) & (F.col("parent").isNull() | (2 * F.col("size") < F.col("parent")))
+        done = level.where(~split_on if left else F.lit(True)).select("path", "class", "size")
+        final = done if final is None else final.unionByName(done)
+        large = level.where(split_on)
+        if not left or large.isEmpty():
             return final
-        level = sized(large.join(classes.select("class", "tokens"), "class").select("class", "path", "tokens")
-                      .mapInArrow(split, "path bigint, class bigint"))
-        final = final.unionByName(level.where(F.col("size") <= bucket))
-    return final.unionByName(level.where(F.col("size") > bucket))
+        level = sized(large.join(classes.select("class", "tokens"), "class").select("class", "path", "tokens", "size")
+                      .mapInArrow(split, "path bigint, class bigint, parent bigint"))
 
 
 def _blocks(final: DataFrame, bucket: int) -> DataFrame:
