@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, documents, null_safe_key
+from .common import WHITESPACE, checkpointed, documents, null_safe_key
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -139,8 +139,9 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_RE
     body = F.transform(F.arrays_zip("line", "words"), lambda x: F.struct(
         x["line"].alias("line"), x["words"].alias("words"), F.lit(None).cast(_head_type()).alias("head")))
     sent = rows.select("row", "host", F.explode(F.concat(own, body)).alias("x")).select("row", "host", "x.*")
-    frequent = hashed_lines(docs).groupBy("host", "line").agg(
-        F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs").withColumn("frequent", F.lit(True))
+    # a table of its own, so that the join can split the documents of a hot line
+    frequent = checkpointed(hashed_lines(docs).groupBy("host", "line").agg(
+        F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")).withColumn("frequent", F.lit(True))
     marked = sent.join(frequent, ["host", "line"], "left")
     by_doc = marked.groupBy("row").agg(
         F.max("head").alias("head"),
