@@ -142,7 +142,8 @@ def embedded(texts: DataFrame, roots: list[int], width: int) -> DataFrame:
 def buckets(classes: DataFrame, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """(path, class, size) of the final buckets with at least two classes."""
     def sized(rows):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        # the sizes are a table of their own, so that the join can split a hot path
+        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
         return checkpointed(rows.join(sizes, "path"))
 
     def split(batches):

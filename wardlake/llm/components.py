@@ -17,10 +17,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # tables of their own, so that the joins can split the edges of a hub
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large.distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .unionByName(low.select("u", F.col("m").alias("v")))
         e = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
