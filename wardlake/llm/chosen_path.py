@@ -50,7 +50,7 @@ LAMBDA = 0.7
 BUCKET = 512
 DEPTH = 12
 #: Coordinates that a node below the root splits on.
-SPLIT = 4
+SPLIT = 2
 RECALL = 0.99999
 #: Margin of the sampled similarity below the threshold: four standard deviations.
 MARGIN = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
