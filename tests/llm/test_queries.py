@@ -320,6 +320,39 @@ def test_op5_recall_of_runs():
     assert (1 - 0.8) ** len(set(np.concatenate([chosen_path.sampled(r) for r in roots]).tolist())) <= 0.001
 
 
+def test_op5_recall_counts_deeper_splits_and_the_cut():
+    # every bucket split again: the roots alone find the pair, the splits part it
+    n = len(set(np.concatenate([chosen_path.sampled(r) for r in chosen_path.runs_for(0.99999, 0.8)]).tolist()))
+    least, rng = chosen_path.least_equal(0.99999, 0.8), np.random.default_rng(3)
+    few = sum(math.comb(96, m) * 0.8 ** m * 0.2 ** (96 - m) for m in range(least))
+    assert chosen_path.missed(n, 0.8) + few <= 1e-5
+    assert chosen_path.missed(n, 0.8, 0) == pytest.approx(0.2 ** n, rel=1e-3)
+    # the formula against simulated trees, with few coordinates so that misses are frequent
+    def parted(equal, depth):
+        return depth > 0 and all(not equal[c] or parted(equal, depth - 1)
+                                 for c in rng.choice(96, chosen_path.SPLIT, replace=False))
+    lost = 0
+    for _ in range(20_000):
+        equal = rng.random(96) < 0.8
+        lost += all(not equal[c] or parted(equal, 3) for c in rng.choice(96, 2, replace=False))
+    assert lost / 20_000 == pytest.approx(chosen_path.missed(2, 0.8, 3), rel=0.15)
+
+
+def test_op5_pair_with_few_equal_tokens_is_checked(spark):
+    # Jaccard exactly 0.8, 58 to 61 of 96 tokens equal: the former cut at 62 dropped it
+    rng, rows = np.random.default_rng(5), []
+    while len(rows) < 2:
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 31)]  # 27 windows, 3 of them changed: 24 / 30
+        texts = [" ".join(w), " ".join([*w[:28], *(x + "z" for x in w[28:])])]
+        a, b = (chosen_path.shingles(t.encode()) for t in texts)
+        assert len(np.intersect1d(a, b)) * 10 == 8 * len(np.union1d(a, b))
+        x, y = chosen_path.tokens(a) & 0xFFFF, chosen_path.tokens(b) & 0xFFFF
+        if chosen_path.least_equal(0.99999, 0.8) <= (x == y).sum() < 62:
+            rows = [(i, t, "en", "s", 0) + tuple([1] * 9) for i, t in enumerate(texts)]
+    found = chosen_path.join(spark.createDataFrame(rows, data.SCHEMA)).collect()
+    assert [r["n_links"] for r in found] == [1, 1]
+
+
 # ---- 6 language ID -----------------------------------------------------------------------------
 
 def test_op6(spark, small, table):

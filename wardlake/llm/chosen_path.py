@@ -9,8 +9,10 @@ Jaccard similarity of at least ``threshold``.
 * A class is embedded as ``COORDS`` min-hash tokens.  A node of the recursion
   samples coordinates by a hash of its path and splits its bucket by the tokens
   there: a run's root each with probability 1 / (LAMBDA * COORDS), a deeper node
-  ``SPLIT`` of them.  Runs are added until a pair at the threshold is missed by all
-  of them with a probability of at most ``1 - recall``.
+  ``SPLIT`` of them.  A pair at the threshold is lost with a probability of at most
+  ``1 - recall``, taken over all places where it can be: runs are added until the
+  roots and all deeper splits lose it in at most 9/10 of that, and the cut of the
+  sampled tokens is set to lose it in at most 1/10.
 * Buckets of one class vanish; those of up to ``BUCKET`` classes are compared by
   brute force; larger ones are split again while that shrinks them.  A large bucket
   that keeps half of its node's classes holds really similar texts: it is compared
@@ -52,8 +54,8 @@ DEPTH = 12
 #: Coordinates that a node below the root splits on.
 SPLIT = 2
 RECALL = 0.99999
-#: Margin of the sampled similarity below the threshold: four standard deviations.
-MARGIN = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDS)
+#: Share of the misses allowed by the recall that the cut of the sampled tokens may take.
+CUT_SHARE = 0.1
 _LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 32, COORDS, dtype=np.uint32) | np.uint32(1)
@@ -98,16 +100,45 @@ def sampled(path: int) -> np.ndarray:
     return np.flatnonzero(draw < np.uint64((1 << 64) // (LAMBDA * COORDS)))
 
 
-def runs_for(recall: float, threshold: float) -> list[int]:
-    """Roots of as many runs as the target recall needs: a pair at the threshold is
-    missed when it differs on every sampled coordinate."""
+def agreeing(threshold: float) -> list[float]:
+    """Probability that a pair at the threshold agrees on m of the tokens, by m."""
+    return [math.comb(COORDS, m) * threshold ** m * (1 - threshold) ** (COORDS - m) for m in range(COORDS + 1)]
+
+
+def missed(n: int, threshold: float, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold shares no final bucket with n root
+    coordinates, when every bucket is split again ``depth`` times."""
+    total = 0.0
+    for m, weight in enumerate(agreeing(threshold)):
+        p, lost = m / COORDS, 0.0  # lost: a pair that shares a root bucket is parted below it
+        for _ in range(depth):
+            lost = (1 - p + p * lost) ** SPLIT
+        # the root coordinates are different ones: j of them among the m equal tokens
+        total += weight * sum(math.comb(m, j) * math.comb(COORDS - m, n - j) * lost ** j
+                              for j in range(n + 1)) / math.comb(COORDS, n)
+    return total
+
+
+def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> list[int]:
+    """Roots of as many runs as the target recall needs, deeper splits included."""
     roots, seen = [], set()
-    while (1 - threshold) ** len(seen) > 1 - recall:
+    while missed(len(seen), threshold, depth) > (1 - CUT_SHARE) * (1 - recall):
         roots.append(len(roots) + 1)
         seen |= set(sampled(roots[-1]).tolist())
     return roots
 
 
+def least_equal(recall: float, threshold: float) -> int:
+    """Equal tokens that a pair needs to be checked exactly: one at the threshold has
+    fewer in at most CUT_SHARE of the allowed misses."""
+    below, chances = 0.0, agreeing(threshold)
+    for m in range(COORDS + 1):
+        below += chances[m]
+        if below > CUT_SHARE * (1 - recall):
+            return m
+    return COORDS
+
+
 def _children(path: int, value: np.ndarray) -> list[int]:
     node = np.uint64(path & ((1 << 64) - 1))
     at = np.argsort(_hash(node, np.arange(COORDS)), kind="stable")[:SPLIT]
@@ -177,9 +208,9 @@ def _blocks(final: DataFrame, bucket: int) -> DataFrame:
         (F.col("pair.i") == F.col("pair.j")).alias("inner"))
 
 
-def _candidates(cut: float):
+def _candidates(least: int):
     """mapInArrow function over tasks: members with their partners among the pairs
-    that belong to the task's bucket and agree on enough tokens."""
+    that belong to the task's bucket and agree on ``least`` tokens."""
     def run(batches):
         for group in grouped(batches):
             if group.num_rows < 2:
@@ -191,7 +222,7 @@ def _candidates(cut: float):
             sets = [set(x) for x in mine]
             partners: dict[int, list[int]] = {}
             for a in range(len(ids) - 1):
-                near = a + 1 + np.flatnonzero((sig[a + 1:] == sig[a]).mean(1) >= cut)
+                near = a + 1 + np.flatnonzero((sig[a + 1:] == sig[a]).sum(1) >= least)
                 for b in near:
                     if not inner and block[a] == block[b]:
                         continue  # compared within the block
@@ -246,7 +277,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                         utf8(F.col("text")).alias("text"))
     path = scratch_path(spark, "chosen-path")
-    embedded(texts, runs_for(recall, threshold), width).write.option("compression", "zstd").parquet(path)
+    embedded(texts, runs_for(recall, threshold, depth), width).write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema("doc_id bigint, row bigint, key binary, tokens binary, paths array<bigint>").parquet(path)
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("doc"), F.col("row").alias("row"))
     # one row per set; its number is that of its first document
@@ -266,7 +297,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
     members = _blocks(final, bucket).join(lists.join(classes.select("class", "tokens"), "class"), "class")
     candidates = members.select("task", "path", "class", "block", "inner", "tokens", "buckets").repartition("task") \
         .sortWithinPartitions("task", "class").mapInArrow(
-            _candidates(threshold - MARGIN), "task bigint, class bigint, partners array<bigint>")
+            _candidates(least_equal(recall, threshold)), "task bigint, class bigint, partners array<bigint>")
     linked = packed(texts).select(F.col("row").alias("class"), "packed").join(candidates, "class") \
         .select("task", "class", "partners", "packed").repartition("task").sortWithinPartitions("task", "class") \
         .mapInArrow(_verified(threshold, width), "class bigint, links bigint, root bigint")
