@@ -514,6 +514,31 @@ def test_op8_rules_and_suppression(spark):
             assert not re.search(r["regex"], t) or r["keyword"] in t
 
 
+def test_op8_gate_and_keywords_drop_no_rule(spark):
+    lines = ["Released under MIT", "distributed under Apache-2.0.", "available under the terms of MPL-2.0",
+             "published\nunder EPL-2.0", "MIT No Attribution", "mit no\n  attribution", "placed in the public\ndomain",
+             "Permission is\nhereby granted, free of charge", "permission\nto use, copy, modify, and distribute this software",
+             "published by the free software\nfoundation", "creative\ncommons attribution 4.0", "CC\nBY 4.0",
+             "all\nrights\treserved", "without warranty\nof any kind", "confidential and\nproprietary",
+             "redistribution and use in source\nand binary forms", "Copyright\n(c) 2021", "placed into the public\tdomain"]
+    texts = [f"Some words. {x}" for x in lines]
+    for label, ident, name in license_rules.LICENSES:
+        plain = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", name.split("|")[0])).replace(
+            "[sc]", "s").replace("[u*]", "u").replace("[- ]", "-").replace(" ?", " ").replace("\\", "").replace("?", "")
+        texts += [f"provided under the\nterms of {label.upper()}, as is", f"Covered under {label}\n",
+                  f"here {plain.upper()} 1.0", "x " + plain.replace(" ", "\n")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    hits = 0
+    for r in license_rules.scan(df).collect():
+        want = brute_detections(ascii_lower(texts[r["doc_id"]]))
+        assert {(d["start"], d["stop"], d["prio"]) for d in r["found"] or ()} == want, texts[r["doc_id"]]
+        assert want or r["doc_id"] >= len(lines), texts[r["doc_id"]]
+        hits += bool(want)
+    assert hits > 200
+    for x in license_rules.rules():
+        assert " " not in x["keyword"]
+
+
 # ---- 9 quality ----------------------------------------------------------------------------------------
 
 def quality(rows, max_docs, max_removed):

@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 Some hundreds of regexes (a few phrasings for each license) are written over
-lower-cased text.  A text is looked at only when one gate regex finds a keyword;
-of the rules, only those whose own keyword occurs are run.  Detections are
+lower-cased text.  A text is looked at only when a gate made of the rules' own
+parts (a word, then a regex) finds something; of the rules, only those whose own
+keyword (one word, so that line breaks do not matter) occurs are run.  Detections are
 resolved by priority and containment: one whose interval lies inside that of
 another detection of the same or a better priority is suppressed.  DataFrame /
 SQL functions only; nothing is shuffled.
@@ -17,6 +18,8 @@ scanned each for itself; a null id gets its own row; other columns are not read.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,12 +92,13 @@ LICENSES = (
     ("sspl-1.0", r"sspl-1\.0", r"server side public license(?:,? ?(?:version |v\.? ?)?1)?"),
     ("elastic-2.0", r"elastic-2\.0", r"elastic license(?:,? ?(?:version |v\.? ?)?2(?:\.0)?)?"),
 )
+#: How a grant begins.
+GRANTED = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+under\s+"
 #: kind, priority (1 is best), score, keyword, pattern of one license.
 PHRASINGS = (
     ("tag", 1, 1.0, "spdx", r"spdx-license-identifier:\s*(?:{id})(?![\w.+-])"),
     ("field", 1, 0.95, "licen", r"[\"']?licen[sc]e[\"']?\s*[:=]\s*[\"']?(?:{id}|{name})(?![\w+-])"),
-    ("grant", 2, 0.9, "under", r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+under\s+"
-                               r"(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{name}|{id})(?![\w+-])"),
+    ("grant", 2, 0.9, "under", GRANTED + r"(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:{name}|{id})(?![\w+-])"),
     ("terms", 2, 0.85, "terms", r"terms\s+(?:and\s+conditions\s+)?of\s+(?:the\s+)?(?:{name})(?![\w+-])"),
     ("name", 3, 0.7, None, r"(?<![\w-])(?:{name})(?![\w+-])"),
 )
@@ -103,17 +107,25 @@ STATEMENTS = (
     ("reserved", 2, 0.8, "rights", r"all\s+rights\s+reserved"),
     ("copyright", 3, 0.4, "copyright", r"copyright\s+(?:\(c\)\s*|©\s*)?(?:19|20)\d\d"),
     ("copyright", 3, 0.4, "copyright", r"copyright\s+(?:\(c\)|©)"),
-    ("public-domain", 2, 0.7, "public domain", r"(?:dedicated|released|placed)\s+(?:to|into|in)\s+the\s+public\s+domain"),
+    ("public-domain", 2, 0.7, "domain", r"(?:dedicated|released|placed)\s+(?:to|into|in)\s+the\s+public\s+domain"),
     ("proprietary", 2, 0.7, "proprietary", r"(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)"),
     ("no-warranty", 4, 0.3, "warrant", r"without\s+warrant(?:y|ies)\s+(?:or\s+conditions\s+)?of\s+any\s+kind"),
-    ("mit", 2, 0.9, "permission is hereby", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge"),
+    ("mit", 2, 0.9, "hereby", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge"),
     ("bsd", 2, 0.9, "redistribution", r"redistributions?\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
-    ("isc", 2, 0.9, "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software"),
-    ("gpl", 2, 0.8, "free software foundation", r"published\s+by\s+the\s+free\s+software\s+foundation"),
+    ("isc", 2, 0.9, "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software"),
+    ("gpl", 2, 0.8, "foundation", r"published\s+by\s+the\s+free\s+software\s+foundation"),
 )
-#: One look at a text: without any of these no rule and no base phrase applies.
-GATE = (r"(?i)licen[sc]e|spdx|copyright|public\s+domain|proprietary|warrant|permission|redistribution|gpl|cc0"
-        r"|cc" + GAP + r"by|general" + GAP + r"public|all" + GAP + r"rights" + GAP + r"reserved|free\s+software|bsd|commons")
+#: One look at a text: (word, regex) pairs; without any of the regexes no rule and no
+#: base phrase applies, and without its word (lower case) no regex does.  The first
+#: six and the base phrase "cc by" hold for every license name and the kinds tag and field.
+GATE = (("licen", r"licen[sc]e"), ("cc0", r"cc0"), ("commons", r"commons"), ("bsd", r"bsd"), ("gpl", r"gpl"),
+        ("attribution", r"mit\s+no\s+attribution"), ("under", GRANTED), *(x[3:] for x in STATEMENTS),
+        *((max(p.split(" "), key=len), p.replace(" ", GAP)) for p, _ in BASE))
+
+
+def gated(text: Column, low: Column) -> Column:
+    """Whether the text, given in lower case too, is to be looked at."""
+    return reduce(or_, [F.contains(low, F.lit(w)) & (F.lit(True) if w == x else text.rlike("(?i)" + x)) for w, x in GATE])
 
 
 def rules() -> list[dict]:
@@ -129,7 +141,7 @@ def rules() -> list[dict]:
 
 
 #: Words one of which every name holds.
-_NAME_WORDS = ("licen", "cc0", "creative commons", "cc by", "public", "bsd", "gpl", "mit no attribution", "unlicense")
+_NAME_WORDS = ("licen", "cc0", "commons", "public", "bsd", "gpl", "attribution")
 
 
 def _keyword(name: str) -> str:
@@ -183,8 +195,10 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places (array<struct<label, at>>), found (detections)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"),
-                       F.when(text.rlike(GATE), F.translate(text, UPPER, LOWER)).alias("lowered"))
+    # lower() changes more than A-Z, so it serves the gate only
+    step = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    step = step.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"),
+                       F.when(gated(F.col("text"), F.col("low")), F.translate("text", UPPER, LOWER)).alias("lowered"))
     words = F.regexp_extract_all("lowered", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     step = step.select("doc_id", "n_words", "lowered", F.when(F.col("lowered").isNotNull(), words).alias("words"))
 
