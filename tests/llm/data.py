@@ -33,6 +33,17 @@ def edited(text, every, rng=RANDOM):
     return " ".join(w)
 
 
+LABELS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "quality", "toxic", "text", "part", "mask", "first", "good")])
+
+
+def labels(rows):
+    """Labels of two thirds of the documents: nulls, repeated and contradicting rows
+    and ids without a document among them."""
+    out = [(r[0], int(len(r[1] or "") % 5 > 0), int(i % 4 == 0)) for i, r in enumerate(rows) if i % 3]
+    out += out[:4] + [(i, 1 - q, t) for i, q, t in out[4:8]] + [(-5, 1, 1), (None, 1, 1), (3, None, None), (5, None, 1), (8, 7, 9)]
+    return [r + (1,) * 5 for r in out]
+
+
 PASSAGE = prose(60)
 ITEMS = [(1, prose(30), None), (2, prose(14), None), (10, "Short item here", None), (2, prose(20), None), (3, None, None),
          (None, prose(15), None), (5, "", None), (6, " ... ", None)]
@@ -73,4 +84,5 @@ def documents():
 def write(spark, folder, rows, items=None, parts=3):
     spark.createDataFrame(rows, SCHEMA).repartition(parts).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(ITEMS if items is None else items, BENCHMARK).coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels(rows), LABELS).coalesce(2).write.parquet(f"{folder}/labels.parquet")
     return str(folder)

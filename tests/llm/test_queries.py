@@ -43,7 +43,7 @@ def test_empty_table(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_filter_audit"}))  # op11: rows per part
 def test_one_row_per_document(spark, small, table, name):
     got = queries.QUERIES[name](spark, small).select("doc_id").collect()
     assert Counter(r[0] for r in got) == Counter(r[0] for r in table)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chosen_path, decontam, line_frequency
+from . import chosen_path, decontam, filter_audit, line_frequency
 from .chosen_path import op5_ngram_jaccard
 from .decontam import op10_decontaminate
+from .filter_audit import op11_filter_audit
 from .hmm_lm import op3_hmm_score
 from .lang_bitmask import op6_language_id
 from .license_rules import op8_license_scan
 from .line_frequency import op9_quality_rules
 from .mixing import op7_mix_sources
+from .periodic_runs import op12_periodic_runs
 from .pfp_dedup import op2_remove_repeats
 from .pii_feistel import op4_pseudonymise
+from .rff_quality import op13_quality_score
 from .secrets_markov import op1_secret_scan
 
 QUERIES = {
@@ -25,10 +28,14 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_score": op13_quality_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": chosen_path.ORACLE,
     "op9_quality_rules": line_frequency.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
