@@ -127,7 +127,7 @@ def test_uncommitted_batch_is_not_read_and_broken_storage_raises(spark, tmp_dir)
     silver = os.path.join(tmp_dir, "silver")
     inc.silver_upsert_batch(spark, frame(spark, "transactions", [tx_row(f"T{i}") for i in range(200)]), 0, silver)
     inc.silver_upsert_batch(spark, frame(spark, "transactions", [tx_row("T900")]), 1, silver)
-    os.remove(f"{silver}/query=batch/batch=1/_SUCCESS")  # as if it were still being written
+    os.remove(f"{silver}/query=batch/batch=1/{batches.MARK}")  # as if it were still being written
     assert inc.read_silver(spark, silver).count() == 200
     part = next(f for f in os.listdir(f"{silver}/query=batch/batch=0") if f.endswith(".parquet"))
     with open(f"{silver}/query=batch/batch=0/{part}", "w") as f:

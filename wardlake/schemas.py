@@ -21,8 +21,6 @@ BLOOD_GROUPS = ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"]
 INSURERS = ["HealthShield", "AuraCare", "MedLife", "ApexPay", "Self-Pay"]
 PAYMENT_TYPES = ["Insurance", "Cash", "Credit Card", "Debit Card"]
 SELF_PAY = "Self-Pay"
-# Cash / card rotation for self-paying ancillary charges (n mod 3).
-SELF_PAY_METHODS = ["Cash", "Credit Card", "Debit Card"]
 # Department cost model: 25000 + 450 per occupied bed + 150 per wait minute;
 # 15000 when the department is unknown or its cost is 0.
 COST_BASE = 25000

@@ -37,9 +37,7 @@ def growth_history(pt: DataFrame, ap: DataFrame, tx: DataFrame, months: int = KE
     last ``months`` months, oldest first."""
     parts = [_monthly(pt, pt_ts, "patientsCount"), _monthly(ap, ap_ts, "appointmentsCount"),
              _monthly(tx, tx_ts, "transactionsCount")]
-    per_month = reduce(DataFrame.unionByName, parts).groupBy("timestamp").agg(
-        *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
-    return _running(per_month, months)
+    return _running(per_month(reduce(DataFrame.unionByName, parts)), months)
 
 
 def _running(per_month: DataFrame, months: int) -> DataFrame:
@@ -62,14 +60,19 @@ def update_growth_history(history: DataFrame, month: str, counts: DataFrame,
 HISTORY_SCHEMA = "timestamp string, patientsCount bigint, appointmentsCount bigint, transactionsCount bigint"
 
 
+def per_month(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("timestamp").agg(*[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+
+
 def stream_growth_history(spark, streams: dict, history_dir: str, checkpoint: str,
-                          month: str | None = None, available_now: bool = True):
+                          month: str | None = None, available_now: bool = True, fold_every: int = 100):
     """Keep the growth history current as rows arrive.
 
     ``streams`` maps 'patients' / 'appointments' / 'transactions' to streaming
     frames of new rows.  Each micro-batch counts its rows per table (one small
     aggregate) and writes them, with the month, to a folder of its own; the history
-    is the running sum over all committed batches, so there is no state to lose."""
+    is the running sum over all committed batches, so there is no state to lose.
+    Every ``fold_every`` batches the folders are put into one, summed by month."""
     from . import batches
 
     col_of = {"patients": "patientsCount", "appointments": "appointmentsCount",
@@ -85,6 +88,8 @@ def stream_growth_history(spark, streams: dict, history_dir: str, checkpoint: st
         added = batch.groupBy().agg(*[F.count_if(F.col("counter") == c).alias(c) for c in COUNT_COLUMNS])
         batches.write_batch(added.select(F.lit(month_text).alias("timestamp"), *COUNT_COLUMNS), history_dir,
                             batches.query_id(s, checkpoint), batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            batches.fold(s, history_dir, HISTORY_SCHEMA, per_month)
 
     w = tagged.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
@@ -97,6 +102,4 @@ def read_growth_history(spark, history_dir: str, months: int = KEEP_MONTHS) -> D
     paths = batches.committed(spark, history_dir)
     if not paths:
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    per_month = spark.read.schema(HISTORY_SCHEMA).parquet(*paths).groupBy("timestamp").agg(
-        *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
-    return _running(per_month, months)
+    return _running(per_month(spark.read.schema(HISTORY_SCHEMA).parquet(*paths)), months)

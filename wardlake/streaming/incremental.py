@@ -1,14 +1,17 @@
 """Incremental Bronze append and Silver upsert on Structured Streaming.
 
-* ``stream_bronze_append``: new landing files -> typed Bronze rows, in the
-  table's ``stream`` folder (batch writers have folders of their own).
+* ``stream_bronze_append``: new landing files -> typed Bronze rows, one folder per
+  micro-batch (see ``batches``) under the generation of the newest refresh; CSV
+  records that do not parse are set aside; optionally rows that arrive again within
+  a bound are dropped.
 * ``stream_silver_upsert``: each micro-batch of Bronze transactions passes the
   Silver rule, is reduced to its newest row per id and written to a folder of its
-  own (see ``batches``).  The current Silver is one aggregate per id over all
-  committed folders: the columns a MERGE never changes come from the earliest
-  arrival, the update columns from the newest date (equal dates: the earlier
-  arrival).  That equals applying the MERGE batch by batch, needs no state besides
-  the folders, and is the same when a batch is replayed or read twice.
+  own.  The current Silver is one aggregate per id over all committed folders: the
+  columns a MERGE never changes come from the earliest arrival, the update columns
+  from the newest date (equal dates: the earlier arrival; a stored null date is kept,
+  an incoming null date is never newer).  That equals applying the MERGE batch by
+  batch, needs no state besides the folders, and is the same when a batch is
+  replayed or read twice.
 * ``compact_silver`` writes the current rows as one more folder and removes the
   ones it covers; the aggregate is idempotent, so a crash in between is harmless.
 * ``stream_pipeline_counts`` / ``stream_gold_dept_totals``: running aggregates in
@@ -17,7 +20,6 @@
 
 from __future__ import annotations
 
-import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,43 +30,68 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..operators.quality import SILVER_RULES, dedupe_latest
 from ..operators.upsert import dedupe_first
-from ..sources.tables import csv_columns, csv_reader_options
+from ..sources import tables
 from . import batches
 
 UPDATE_COLUMNS = ("amount", "insurance_coverage", "payment_type", "date")
 
 
+#: Micro-batch folders after which a stream puts them into one.
+FOLD_EVERY = 100
+
+
 def bronze_stream(spark: SparkSession, landing_dir: str, table: str, fmt: str = "parquet",
-                  api_names: bool = False, max_files_per_trigger: int | None = None,
-                  multi_line: bool = False) -> DataFrame:
+                  api_names: bool = False, max_files_per_trigger: int | None = None, multi_line: bool = False,
+                  one_line: bool = False, keep_bad: bool = False, arrival: bool = False) -> DataFrame:
     """Streaming read of landing files for ``table`` with the declared schema.
-    ``multi_line`` reads CSV values with line breaks (a file is then one task)."""
-    schema = S.api_schema(table) if api_names else S.bronze_schema(table)
-    reader = spark.readStream.schema(schema).format(fmt)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "csv":
-        reader = reader.options(**csv_reader_options(multi_line))
-    df = reader.load(landing_dir)
+    ``fmt="csv"`` reads exported CSV (see ``tables.parsed_csv``); records that do not
+    parse are left out unless ``keep_bad`` adds the columns file, raw and reason.
+    ``arrival`` adds ``_arrived``, the time of the landing file."""
+    options = {"maxFilesPerTrigger": max_files_per_trigger} if max_files_per_trigger else {}
     if fmt == "csv":
-        df = csv_columns(df, table)
-    if api_names:
-        inv = {v: k for k, v in S.API_NAMES[table].items()}
-        df = df.withColumnsRenamed({k: v for k, v in inv.items() if k in df.columns})
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.bronze_schema(table).fields])
+        df = tables.parsed_csv(spark, table, landing_dir, multi_line, one_line, stream=True, **options)
+        return df if keep_bad else df.where("reason is null").select(*S.bronze_schema(table).names)
+    schema = S.api_schema(table) if api_names else S.bronze_schema(table)
+    df = spark.readStream.schema(schema).format(fmt).options(**options).load(landing_dir)
+    arrived = [F.col("_metadata.file_modification_time").alias("_arrived")] if arrival else []
+    names = S.API_NAMES[table] if api_names else {}
+    return df.select(*[F.col(names.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in S.bronze_schema(table).fields],
+                     *arrived)
+
+
+def _start(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
 def stream_bronze_append(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str,
                          checkpoint: str, fmt: str = "parquet", api_names: bool = False,
                          available_now: bool = True, max_files_per_trigger: int | None = None,
-                         multi_line: bool = False) -> StreamingQuery:
-    """Pick up new landing files and append them to Bronze (exactly once through
-    the checkpoint's file log)."""
-    df = bronze_stream(spark, landing_dir, table, fmt, api_names, max_files_per_trigger, multi_line)
-    w = (df.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", f"{bronze_dir.rstrip('/')}/{table}/stream"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+                         multi_line: bool = False, one_line: bool = False, once_within: str | None = None, keys=("id",),
+                         source: DataFrame | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+    """Pick up new landing files and append them to Bronze, each file once (the
+    checkpoint's log) and each micro-batch once (its folder).
+
+    ``once_within`` ("1 day") also drops rows whose key has arrived before within
+    that time: a landing file that is delivered again adds no row.  The state holds
+    the keys of that time only; arrival is the landing file's time, or ``_arrived``
+    of ``source``, a streaming frame that is then read instead of the folder."""
+    if once_within and fmt == "csv" and source is None:
+        raise ValueError("arrival times are read from Parquet and JSON landing files")
+    df = source if source is not None else bronze_stream(
+        spark, landing_dir, table, fmt, api_names, max_files_per_trigger, multi_line, one_line, keep_bad=fmt == "csv",
+        arrival=bool(once_within))
+    if once_within:
+        df = df.withWatermark("_arrived", once_within).dropDuplicatesWithinWatermark(list(keys))
+    df = tables.sorted_out(df, table)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        tables.add_batch(batch, table, bronze_dir, "stream", batches.query_id(s, checkpoint), batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            gen = tables.generation(s, bronze_dir, table)
+            batches.fold(s, f"{bronze_dir.rstrip('/')}/{table}/stream/gen={gen}", tables.batch_schema(table), partition_by=["part"])
+
+    return _start(df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
 
 
 def _stored_schema(table: str) -> T.StructType:
@@ -103,9 +130,13 @@ def _current(stored: DataFrame, table: str, order_col: str, keys, update_cols) -
         return stored.groupBy(*keys).agg(first).select(*keys, "f.*")
     rest = [c for c in update_cols if c != order_col]
     # of equal dates the earlier arrival is the greater struct
-    newest = F.max(F.struct(F.col(order_col), (-F.unix_micros("_arrived")).alias("_early"), *rest)).alias("u")
-    return stored.groupBy(*keys).agg(first, newest).select(*keys, "f.*", F.col(f"u.{order_col}"),
-                                                           *[F.col(f"u.{c}") for c in rest])
+    early = (-F.unix_micros("_arrived")).alias("_early")
+    newest = F.max(F.struct(F.col(order_col), early, *rest)).alias("u")
+    # a MERGE compares dates: a row that was stored without one is never older
+    stays = F.min(F.struct(F.col("_arrived"), F.col(order_col), *rest)).alias("s")
+    undated = F.col(f"s.{order_col}").isNull()
+    return stored.groupBy(*keys).agg(first, newest, stays).select(*keys, "f.*", *[
+        F.when(undated, F.col(f"s.{c}")).otherwise(F.col(f"u.{c}")).alias(c) for c in (order_col, *rest)])
 
 
 def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions", order_col: str = "date",
@@ -118,15 +149,10 @@ def read_silver(spark: SparkSession, silver_dir: str, table: str = "transactions
 
 def compact_silver(spark: SparkSession, silver_dir: str, table: str = "transactions", order_col: str = "date",
                    keys=("id",), update_cols=UPDATE_COLUMNS, op: str = "merge") -> None:
-    """Write the current rows as one folder and remove the folders they come from.
-    Run it while no batch is being written."""
-    covered = batches.committed(spark, silver_dir)
-    if len(covered) < 2:
-        return
+    """Write the current rows as one folder in place of those they come from."""
     cols = () if op == "insert_ignore" else tuple(update_cols)
-    rows = _current(_stored(spark, silver_dir, table), table, order_col, list(keys), cols)
-    batches.write_batch(rows.select(*_stored_schema(table).names), silver_dir, "compacted", int(time.time() * 1000))
-    batches.remove(spark, covered)
+    batches.fold(spark, silver_dir, _stored_schema(table), lambda stored: _current(
+        stored, table, order_col, list(keys), cols).select(*_stored_schema(table).names), keep_last=False)
 
 
 def stream_silver_upsert(spark: SparkSession, bronze_source: DataFrame, silver_dir: str, checkpoint: str,
@@ -136,9 +162,7 @@ def stream_silver_upsert(spark: SparkSession, bronze_source: DataFrame, silver_d
         s = df.sparkSession
         silver_upsert_batch(s, df, batch_id, silver_dir, table, query=batches.query_id(s, checkpoint), **kw)
 
-    w = bronze_source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+    return _start(bronze_source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
 
 
 def _complete_sink(agg: DataFrame, out_dir: str, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -147,14 +171,12 @@ def _complete_sink(agg: DataFrame, out_dir: str, checkpoint: str, available_now:
     def apply(df: DataFrame, batch_id: int) -> None:
         s = df.sparkSession
         query = batches.query_id(s, checkpoint)
-        batches.write_batch(df.coalesce(1), out_dir, query, batch_id)  # one row per group
+        batches.write_batch(df, out_dir, query, batch_id)
         old = [p for p in batches.committed(s, out_dir) if f"query={query}/" in p
                and int(p.rsplit("batch=", 1)[1]) < batch_id - 1]
         batches.remove(s, old)
 
-    w = agg.writeStream.outputMode("complete").foreachBatch(apply).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+    return _start(agg.writeStream.outputMode("complete").foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
 
 
 def read_complete(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
