@@ -11,7 +11,7 @@ from tests.oracle_compare import compare, duck
 from wardlake.plans.oracles import oracle_sql
 from wardlake.plans.registry import QUERIES
 
-MID = {"merge_upsert", "merge_stats", "insert_ignore", "dedupe_latest", "stream_silver_upsert"}
+MID = {"merge_upsert", "merge_stats", "insert_ignore", "dedupe_latest", "stream_silver_upsert", "merge_upsert_by_month", "stream_dedupe"}
 ORACLES = oracle_sql()
 
 

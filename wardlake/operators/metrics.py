@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,48 @@ def metric_series(samples: DataFrame, metric: str, since=None, until=None) -> Da
     return s.select("ts", "value").orderBy("ts", "value")
 
 
+#: Grid points that one task fills; a metric's points are dealt out by time.
+GRID_CHUNK = 4096
+
+
+def metric_grid(samples: DataFrame, since, until, step: int, carry: int | None = None, metrics=None) -> DataFrame:
+    """Every metric on a time grid: metric, ts (``since``, then every ``step`` seconds
+    up to ``until``), value and age (seconds since the sample).  A point shows the last
+    non-null sample at or before it (of equal times the greatest value), carried
+    forward for at most ``carry`` seconds (none: without end) and only from samples
+    in [``since``, ``until``]; value and age are null where there is none.
+
+    Samples are first reduced to one per metric and step (summed up before the
+    shuffle); the grid is then filled in chunks of time: what a chunk inherits is the
+    last value of the chunks before it, one row each, so that a metric with very many
+    points is no hot key."""
+    a, b = F.unix_micros(F.lit(since).cast("timestamp")), F.unix_micros(F.lit(until).cast("timestamp"))
+    width = F.lit(step * 1_000_000)
+    at = F.unix_micros("ts")
+    s = samples.where(F.col("value").isNotNull() & (at >= a) & (at <= b))
+    if metrics is not None:
+        s = s.where(F.col("metric").isin(list(metrics)))
+    # the point at which a sample is first seen
+    point = F.ceil((at - a) / width).cast("bigint")
+    last = s.groupBy("metric", point.alias("point")).agg(F.max(F.struct(at.alias("us"), F.col("value").alias("value"))).alias("own"))
+    names = s.select("metric").distinct()
+    chunks = names.select("metric", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((b - a) / width / GRID_CHUNK))).alias("chunk"))
+    grid = chunks.select("metric", "chunk", F.explode(F.sequence(F.col("chunk") * GRID_CHUNK, F.least(
+        F.col("chunk") * GRID_CHUNK + GRID_CHUNK - 1, F.floor((b - a) / width)))).alias("point"))
+    last = last.withColumn("chunk", F.floor(F.col("point") / GRID_CHUNK))
+    ends = last.groupBy("metric", "chunk").agg(F.max_by("own", "point").alias("end"))
+    before = Window.partitionBy("metric").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = chunks.join(ends, ["metric", "chunk"], "left").select(
+        "metric", "chunk", F.last("end", ignorenulls=True).over(before).alias("inherited"))
+    inside = Window.partitionBy("metric", "chunk").orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(last, ["metric", "chunk", "point"], "left").join(inherited, ["metric", "chunk"]).withColumn(
+        "seen", F.coalesce(F.last("own", ignorenulls=True).over(inside), F.col("inherited")))
+    now = a + F.col("point") * width
+    fresh = F.col("seen").isNotNull() & ((now - F.col("seen.us") <= carry * 1_000_000) if carry is not None else F.lit(True))
+    return filled.select("metric", F.timestamp_micros(now).alias("ts"), F.when(fresh, F.col("seen.value")).alias("value"),
+                         F.when(fresh, (now - F.col("seen.us")) / 1_000_000).alias("age"))
+
+
 def threshold_alerts(samples: DataFrame, rules: DataFrame, now) -> DataFrame:
     """Per rule: the latest value of its metric within [now - lookback, now] among
     the samples that carry the rule's labels (samples may have a ``labels`` map; a

@@ -10,7 +10,7 @@ all columns of the order), which needs no offset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -82,6 +82,27 @@ def page(df: DataFrame, order, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZ
     return out.limit(limit)
 
 
+def _pairs(order) -> list[tuple[str, bool]]:
+    return [(c, True) if isinstance(c, str) else tuple(c) for c in order]
+
+
+def _behind(df: DataFrame, order, last) -> Column:
+    """Whether a row comes after the one with the values ``last``."""
+    behind, same = F.lit(False), F.lit(True)
+    for (c, desc), v in zip(order, last):
+        col, val = F.col(c), F.lit(v).cast(df.schema[c].dataType)
+        behind = behind | (same & (col < val if desc else col > val))
+        same = same & (col == val)
+    return behind
+
+
+def _bound(df: DataFrame, order, last) -> Column:
+    """The first column alone bounds the scan (a pushed filter)."""
+    c, desc = order[0]
+    first = F.lit(last[0]).cast(df.schema[c].dataType)
+    return F.col(c) <= first if desc else F.col(c) >= first
+
+
 def page_after(df: DataFrame, order, last=None, limit: int = S.DEFAULT_PAGE_SIZE) -> DataFrame:
     """Keyset page: the next ``limit`` rows after the row with the values ``last``
     (no offset, so deep pages cost the same as the first).
@@ -90,17 +111,9 @@ def page_after(df: DataFrame, order, last=None, limit: int = S.DEFAULT_PAGE_SIZE
     holds the previous page's last values of these columns.  Rows follow when the
     first column that differs lies behind, so ties are never skipped.  The columns
     must not be null."""
-    order = [(c, True) if isinstance(c, str) else tuple(c) for c in order]
+    order = _pairs(order)
     if last is not None:
-        behind, same = F.lit(False), F.lit(True)
-        for (c, desc), v in zip(order, last):
-            col, val = F.col(c), F.lit(v).cast(df.schema[c].dataType)
-            behind = behind | (same & (col < val if desc else col > val))
-            same = same & (col == val)
-        # the first column alone bounds the scan (a pushed filter)
-        c, desc = order[0]
-        first = F.lit(last[0]).cast(df.schema[c].dataType)
-        df = df.where(F.col(c) <= first if desc else F.col(c) >= first).where(behind)
+        df = df.where(_bound(df, order, last)).where(_behind(df, order, last))
     return df.orderBy(*[F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]).limit(limit)
 
 
@@ -170,3 +183,46 @@ def top_k(df: DataFrame, by, k: int, tie_break=()) -> DataFrame:
 def latest_periods_ascending(df: DataFrame, period: str, n: int) -> DataFrame:
     """Keep the ``n`` latest periods (one row per period), oldest first."""
     return df.orderBy(F.col(period).desc()).limit(n).orderBy(period)
+
+
+# -- pages by number without an offset ------------------------------------------
+
+def page_index(df: DataFrame, order, path: str, limit: int = S.DEFAULT_PAGE_SIZE) -> None:
+    """Write a rank index of ``df`` to ``path``: for every page the values of the order
+    columns in its first row.  ``order`` lists (column, descending) pairs that end in
+    a unique key, as in ``page_after``.
+
+    The order columns are range-partitioned and numbered inside each partition; the
+    partitions' row counts give each its offset, and rows at a page's start are kept.
+    The index belongs to the rows as they are now; build it anew when they change."""
+    from ..session import remove_path, scratch_path
+    spark, order = df.sparkSession, _pairs(order)
+    by = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+    stage = scratch_path(spark, "page-index")
+    # stored once, so that both passes see the same numbers
+    (df.select(*[c for c, _ in order]).orderBy(*by).withColumn("_part", F.spark_partition_id())
+     .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(stage))
+    rows = spark.read.parquet(stage)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.col("_before") + F.col("_at")
+    (rows.join(offsets, "_part").where(rank % limit == 0).select((rank / limit + 1).cast("bigint").alias("page"), *[c for c, _ in order])
+     .repartitionByRange("page").sortWithinPartitions("page").write.mode("overwrite").parquet(path))
+    remove_path(spark, stage)
+
+
+def page_by_number(df: DataFrame, order, index: DataFrame, page_no: int, limit: int = S.DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Page ``page_no`` of ``df`` through its rank index (of the same order and page
+    size): the rows from the page's first row on, so no task keeps more than a page,
+    however deep it lies.  Empty beyond the last page."""
+    order = _pairs(order)
+    first = index.where(F.col("page") == max(int(page_no), 1)).first()
+    if first is None:
+        return df.limit(0)
+    last = [first[c] for c, _ in order]
+    same = F.lit(True)
+    for (c, _), v in zip(order, last):
+        same = same & (F.col(c) == F.lit(v).cast(df.schema[c].dataType))
+    by = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+    return df.where(same | _behind(df, order, last)).where(_bound(df, order, last)).orderBy(*by).limit(limit)

@@ -9,9 +9,12 @@ de-duplication, so the join cannot fan out or skew on a key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import key_blocks
 from .quality import dedupe_latest
 
 
@@ -82,7 +85,8 @@ def merge_stats(target: DataFrame, source: DataFrame, keys=("id",), order_col: s
 
 
 def append_with_keys(spark: SparkSession, target: DataFrame, batch: DataFrame, prefix: str,
-                     width: int = 6, key: str = "id", order_by=None) -> DataFrame:
+                     width: int = 6, key: str = "id", order_by=None, numbers: str | None = None,
+                     batch_id: str | None = None) -> DataFrame:
     """Number a new batch after the existing rows: key = prefix + (max existing
     number + position in batch), zero-padded to at least ``width`` digits.
 
@@ -108,7 +112,12 @@ def append_with_keys(spark: SparkSession, target: DataFrame, batch: DataFrame, p
     counts = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     num = F.regexp_extract(F.col(key), r"(\d+)$", 1).try_cast("bigint")
-    base = target.agg(F.coalesce(F.max(num), F.lit(0))).scalar()  # scalar subquery
+    base = target.agg(F.coalesce(F.max(num), F.lit(0)).alias("base"))
+    if numbers is not None:
+        base = F.lit(key_blocks.reserve(spark, numbers, batch_id or uuid.uuid4().hex, b.count(),
+                                        lambda: base.first()["base"]) - 1)
+    else:
+        base = base.scalar()  # scalar subquery
     local_idx = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     numbered = b.join(offsets, "_pid").withColumn("_n", base + F.col("_off") + local_idx + 1)
     out = numbered.withColumn(key, F.format_string(f"{prefix}%0{width}d", F.col("_n")))

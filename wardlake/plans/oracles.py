@@ -780,5 +780,90 @@ UNION ALL SELECT 'category', unnest(['Inpatient', 'Outpatient', 'ER'])
 """)
 
 
+# -- operators that keep state (plans/mechanisms.py) --------------------------------
+
+# Times of the rules in whole seconds: a sample is seen at the next multiple of 10 s
+# after it and has left the look-back at the first multiple above ts + lookback.
+q("stream_threshold_alerts", f"""
+, rules AS (SELECT * FROM (VALUES
+  ('click low', 'click', 5.0, 3600, true, 'warning', 'web'),
+  ('purchase low', 'purchase', 20.0, 1800, true, 'critical', 'shop'),
+  ('heartbeat missing', 'heartbeat', 1.0, 60, true, 'critical', 'app'),
+  ('signup quiet', 'signup', 1.0, 600, false, 'info', 'growth'),
+  ('click low for one user', 'click', 5.0, 86400, true, 'info', 'web'))
+  AS v(rule, metric, less_than, lookback, no_data, severity, service)),
+s AS (SELECT r.rule, lookback, epoch_us(m.ts) AS us, m.value, (epoch_us(m.ts) // 10000000 + 1) * 10 AS tick
+  FROM metric_samples m JOIN rules r ON m.metric = r.metric
+  WHERE m.value IS NOT NULL AND (r.rule <> 'click low for one user' OR m.user_id = 7)),
+l AS (SELECT rule, tick, value, ((us + CAST(lookback AS BIGINT) * 1000000) // 10000000 + 1) * 10 AS gone FROM s
+  QUALIFY row_number() OVER (PARTITION BY rule, tick ORDER BY us DESC, value DESC) = 1),
+t0 AS (SELECT CAST(epoch(TIMESTAMP '2024-01-10 00:00:00') AS BIGINT) AS t),
+e AS (SELECT rule, tick AS t FROM l UNION SELECT rule, gone FROM l UNION SELECT rule, t FROM rules, t0),
+st AS (SELECT e.rule, e.t, CASE WHEN l.gone > e.t THEN l.value END AS value
+  FROM e ASOF LEFT JOIN l ON e.rule = l.rule AND e.t >= l.tick WHERE e.t >= (SELECT t FROM t0)),
+x AS (SELECT r.service, st.rule, r.severity, st.t, st.value, CASE WHEN st.value IS NULL THEN 'no data' ELSE 'value' END AS reason,
+  CASE WHEN st.value IS NULL THEN (CASE WHEN r.no_data THEN 'Alerting' ELSE 'NoData' END)
+       WHEN st.value < r.less_than THEN 'Alerting' ELSE 'Normal' END AS state FROM st JOIN rules r ON st.rule = r.rule),
+c AS (SELECT * FROM x QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY rule ORDER BY t))
+SELECT service, rule, severity, {iso("make_timestamp(t * 1000000)")} AS "at", state, reason, value FROM c
+""")
+
+q("stream_check_foreign_key", PLANTED + f"""
+SELECT id, patient_id FROM pt WHERE patient_id IS NOT NULL AND patient_id NOT IN (SELECT id FROM pp WHERE {N} % 5 <> 0)
+""")
+
+q("stream_check_unique_key", f"""
+SELECT id, COUNT(*) AS occurrences FROM (SELECT id FROM transactions UNION ALL SELECT id FROM transactions WHERE {N} % 41 = 0)
+GROUP BY id HAVING COUNT(*) > 1
+""")
+
+q("stream_dedupe", f"SELECT {TX_OUT} FROM transactions")
+
+q("stream_gold_insurance_utilization", _Q["gold_insurance_utilization"][len(FIXTURE_CTE):])
+
+q("load_bronze_csv_rejects", f"""
+SELECT reason, COUNT(*) AS records FROM (
+  SELECT CASE WHEN {N} % 13 = 0 THEN 'wrong number of fields'
+    WHEN {N} % 11 = 0 AND {N} % 7 = 0 THEN 'date is no timestamp; amount is no decimal(10,2)'
+    WHEN {N} % 11 = 0 THEN 'date is no timestamp' WHEN {N} % 7 = 0 THEN 'amount is no decimal(10,2)' END AS reason FROM transactions)
+GROUP BY reason
+""")
+
+q("merge_upsert_by_month", _Q["merge_upsert"][len(FIXTURE_CTE):])
+
+q("jdbc_snapshot_split", " SELECT c_custkey, c_name, c_mktsegment FROM customer")
+
+q("append_with_keys_blocks", rf"""
+, b AS (SELECT id, name, CAST({N} % 2 AS INT) AS batch FROM patients)
+SELECT printf('PT%06d', (SELECT MAX(CAST(regexp_extract(id, '(\d+)$', 1) AS BIGINT)) FROM patients)
+    + row_number() OVER (ORDER BY batch, name, id)) AS id, name FROM b
+""")
+
+q("page_by_number", f"""
+, l AS (SELECT id, date, row_number() OVER (ORDER BY date DESC, id DESC) AS n FROM transactions WHERE type = 'Lab Fee'),
+z AS (SELECT GREATEST(1, (COUNT(*) + 9) // 10) AS last FROM l)
+SELECT CAST((n - 1) // 10 + 1 AS BIGINT) AS page, id, {iso('date')} AS date FROM l, z
+WHERE (n - 1) // 10 + 1 IN (1, last // 2 + 1, last)
+""")
+
+q("metric_grid", f"""
+, g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-15 00:00:00', INTERVAL 1 HOUR)) AS g),
+w AS (SELECT metric, ts, MAX(value) AS value FROM metric_samples WHERE value IS NOT NULL
+  AND ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' GROUP BY metric, ts),
+m AS (SELECT metric, g FROM (SELECT DISTINCT metric FROM w), g),
+a AS (SELECT m.metric, m.g, w.ts, w.value FROM m ASOF LEFT JOIN w ON m.metric = w.metric AND m.g >= w.ts)
+SELECT metric, {iso('g')} AS ts, CASE WHEN epoch_us(g) - epoch_us(ts) <= 1800000000 THEN value END AS value,
+  CASE WHEN epoch_us(g) - epoch_us(ts) <= 1800000000 THEN round((epoch_us(g) - epoch_us(ts)) / 1000000, 3) END AS age FROM a
+""")
+
+q("adhoc_status", """
+, c AS (SELECT 'count' AS name, COUNT(*) AS n FROM transactions WHERE amount > 1000
+  UNION ALL SELECT 'with', COUNT(*) FROM (SELECT patient_id FROM transactions GROUP BY patient_id HAVING SUM(amount) > 5000))
+SELECT name, 'SUCCEEDED' AS status, n AS row_count, LEAST(n, 50) AS returned, true AS timed FROM c
+UNION ALL SELECT name, 'REFUSED', NULL, NULL, NULL FROM (VALUES ('write'), ('drop'), ('java'), ('file')) AS v(name)
+UNION ALL SELECT 'error', 'FAILED', 0, 0, true
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_Q)

@@ -894,3 +894,6 @@ def _patient_register_info(h: Hospital) -> DataFrame:
     states = reg["states"].select(F.lit("state").alias("part"), F.col("state").alias("value"))
     cats = reg["categories"].select(F.lit("category").alias("part"), F.col("category").alias("value"))
     return total.unionByName(states).unionByName(cats)
+
+
+from . import mechanisms  # noqa: E402, F401 - registers its queries
