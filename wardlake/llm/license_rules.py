@@ -192,6 +192,9 @@ def phrase_starts(words: Column, phrase: str) -> Column:
         F.array().cast("array<int>"))
 
 
+PLACES = "array<struct<label:string,at:bigint>>"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places (array<struct<label, at>>), found (detections)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -216,7 +219,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.coalesce(F.sort_array(F.array_distinct(F.col("places.label"))), none)
     more = F.coalesce(F.col("found.label"), none)
     return found.select(
-        "doc_id", "n_words", F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_base"),
+        "doc_id", "n_words", F.size(F.coalesce("places", F.array().cast(PLACES))).cast("bigint").alias("n_base"),
         F.array_min(F.col("places.at")).alias("first_word"), F.array_max(F.col("places.at")).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
