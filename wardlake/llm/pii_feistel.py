@@ -39,6 +39,13 @@ PATTERNS = {
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)",
 }
 ANY = "|".join([PATTERNS[k] for k in KINDS])
+#: What is put into a candidate that does not validate while its inside is searched
+#: (with a private-use character; texts that hold the pair are searched once), and
+#: the token it is put behind.
+MARK = "_\ue000"
+FIRST_TOKEN = r"^\W*\w+"
+#: Most tokens of a candidate (an IBAN in groups has up to 9).
+MAX_TOKENS = 10
 #: First day and the parts of the number of days: 487 * 150 days from 1900-01-01 to 2100-01-01.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (487, 150)
 
@@ -229,6 +236,25 @@ def rewritten(text: Column, found: Column, secret: str, reverse: bool = False) -
         gap, F.when(v.isNull(), F.lit("")).otherwise(_replacement(v["val"], v["kind"], secret, reverse)))), "")
 
 
+def opened(text: Column) -> Column:
+    """The text with MARK behind the first token of every candidate that does not
+    validate, again and again until all do: a valid value that such a candidate
+    covers, or overlaps, is then a candidate of its own.  The mark ends in no word
+    character and begins with one, so the token itself is no candidate any more."""
+    def round_(acc, _):
+        t = acc["t"]
+        found = values(t)
+        broken = F.array_join(F.zip_with(F.split(t, ANY, -1), found, lambda gap, v: F.concat(
+            gap, F.when(v.isNull(), F.lit("")).when(v["kind"].isNull(), F.regexp_replace(
+                v["val"], FIRST_TOKEN, "$0" + MARK)).otherwise(v["val"]))), "")
+        more = acc["more"] & F.exists(found, lambda v: v["kind"].isNull())
+        return F.when(more, F.struct(broken.alias("t"), F.lit(True).alias("more"))).otherwise(
+            F.struct(t.alias("t"), F.lit(False).alias("more")))
+
+    start = F.struct(text.alias("t"), F.lit(True).alias("more"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_TOKENS)), start, round_, lambda acc: acc["t"])
+
+
 def pseudonymise(docs: DataFrame, secret: str, reverse: bool = False) -> DataFrame:
     """The rows of ``docs`` as a struct ``doc``, with the rewritten text and found,
     the array of (kind, val) of its candidates."""
@@ -237,8 +263,14 @@ def pseudonymise(docs: DataFrame, secret: str, reverse: bool = False) -> DataFra
     step = docs.select(doc, text.cast("string").alias("text"))
     step = step.withColumn("found", F.when(text.rlike(ANY), values(text)).otherwise(
         F.array().cast("array<struct<kind:string,val:string>>")))
+    # only texts with a candidate that does not validate are looked at again
+    again = F.exists("found", lambda v: v["kind"].isNull()) & ~F.contains(text, F.lit(MARK))
+    step = step.select("doc", "text", "found", F.when(again, opened(text)).alias("opened"))
+    step = step.select("doc", F.coalesce("opened", "text").alias("text"), F.col("opened").isNotNull().alias("again"), F.when(
+        F.col("opened").isNotNull(), values(F.col("opened"))).otherwise(F.col("found")).alias("found"))
     some = F.exists("found", lambda v: v["kind"].isNotNull())
-    return step.withColumn("text", F.when(some, rewritten(text, F.col("found"), secret, reverse)).otherwise(text))
+    new = F.when(some, rewritten(text, F.col("found"), secret, reverse)).otherwise(text)
+    return step.select("doc", F.when(F.col("again"), F.replace(new, F.lit(MARK), F.lit(""))).otherwise(new).alias("text"), "found")
 
 
 def replaced(docs: DataFrame, secret: str, reverse: bool = False) -> DataFrame:
