@@ -248,3 +248,45 @@ def test_rising_is_isotonic_regression():
     total, weight = np.concatenate(([0], np.cumsum(y * n))), np.concatenate(([0], np.cumsum(n)))
     want = [max(min((total[b + 1] - total[a]) / (weight[b + 1] - weight[a]) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
     assert sorted(set(np.round(want, 12))) == sorted(set(np.round(level, 12)))
+
+
+# ---- mended: settings, values inside other candidates, long texts ----------------------
+
+def test_licenses_without_ansi(spark, small):
+    want = sorted(map(tuple, queries.QUERIES["op8_license_scan"](spark, small).collect()), key=str)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = sorted(map(tuple, queries.QUERIES["op8_license_scan"](spark, small).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got == want and all(r[2] >= 0 for r in got)
+
+
+def test_values_covered_by_invalid_candidates(spark):
+    texts = ["pay ID42 4111 1111 1111 1111 now", "NR12 4041 8949 7460 8795", "1234 4111 1111 1111 1111 end",
+             "bad 4041894974608796 and 0000 1111 2222 3333 4444 5555 4111 1111 1111 1111", "ip 300.1.2.3 then 42.144.35.254",
+             "_ ID42 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from wardlake.llm import pii_feistel
+    got = {r.doc_id: r.text for r in pii_feistel.replaced(df, "k").collect()}
+    assert all("4111 1111 1111 1111" not in got[i] and "8949 7460 8795" not in got[i] and len(got[i]) == len(texts[i]) for i in range(5))
+    assert got[0].startswith("pay ID42 ") and got[3].startswith("bad 4041894974608796 and 0000 1111 2222 3333 4444 5555 ")
+    assert got[4].startswith("ip 300.1.2.3 then ") and "42.144.35.254" not in got[4]
+    assert not any("" in got[i] for i in range(5)) and got[5] == texts[5]
+    back = {r.doc_id: r.text for r in pii_feistel.restore(spark.createDataFrame(list(got.items()), "doc_id long, text string"), "k").collect()}
+    assert back == dict(enumerate(texts))
+
+
+def test_long_lists_of_spans(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from wardlake.llm.common import matched_spans
+    texts = ["", "none", "x1", "a1é2b" * 700 + "z", "12 " * 256, "7" * 257, " 5" * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    keep = lambda m: m != "2"
+    rows = df.select("text", matched_spans(F.col("text"), "[0-9]", keep).alias("s")).collect()
+    assert {r.text: [tuple(x) for x in r.s] for r in rows} == {
+        t: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]", t) if m.group() != "2"] for t in texts}

@@ -55,17 +55,37 @@ def matched_spans(text: Column, pattern: Column | str, keep=None, extra=None) ->
     pat = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts = F.zip_with(F.split(text, pat, -1), F.regexp_extract_all(text, pat, F.lit(0)),
                        lambda g, m: F.struct(F.length(g).cast("bigint").alias("g"), m.alias("m")))
-    kept_type = "array<struct<start:bigint,end:bigint,val:string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(kept_type).alias("kept"))
+    spans_type, zero = "array<struct<start:bigint,end:bigint,val:string>>", F.lit(0).cast("bigint")
+
+    def width(x):
+        return x["g"] + F.coalesce(F.length(x["m"]), F.lit(0)).cast("bigint")
 
     def step(acc, x):
         m, start = x["m"], acc["pos"] + x["g"]
-        end = start + F.coalesce(F.length(m), F.lit(0)).cast("bigint")
         ok = m.isNotNull() if keep is None else m.isNotNull() & keep(m)
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("val")))
-        return F.struct(end.alias("pos"), F.when(ok, F.concat(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"))
+        one = F.array(F.struct(start.alias("start"), (acc["pos"] + width(x)).alias("end"), m.alias("val")))
+        return F.struct((acc["pos"] + width(x)).alias("pos"),
+                        F.when(ok, F.concat(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"))
+
+    def block(p, pos):
+        begin = F.struct(pos.alias("pos"), F.array().cast(spans_type).alias("kept"))
+        return F.aggregate(p, begin, step, lambda acc: acc["kept"])
+
+    # appending copies a list, so long lists are put together from blocks: with the
+    # start of each block first
+    def blocks(p):
+        cuts = F.sequence(F.lit(1), F.size(p), F.lit(SPAN_BLOCK))
+        sizes = F.transform(cuts, lambda i: F.aggregate(F.slice(p, i, F.lit(SPAN_BLOCK)), zero, lambda s, x: s + width(x)))
+        begins = F.aggregate(sizes, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(cuts, F.slice(begins, F.lit(1), F.size(cuts)), lambda i, pos: block(
+            F.slice(p, i, F.lit(SPAN_BLOCK)), pos)))
+
+    return F.element_at(F.transform(F.array(parts), lambda p: F.when(
+        F.size(p) <= SPAN_BLOCK, block(p, zero)).otherwise(blocks(p))), 1)
+
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["kept"])
+#: Matches that are put together at once.
+SPAN_BLOCK = 256
 
 
 def empty_spans() -> Column:
