@@ -6,10 +6,12 @@ lines in more than ``max_docs`` documents of the host are removed, and a documen
 that loses more than ``max_removed`` of its words is rejected.  Rules on the text
 alone (too few words, too many repeated 3-word windows) reject first.
 
-A document's lines and its own figures travel through one shuffle by (host,
-line), so a text is read once; a line is sent once per document, and the counts
-are summed before they are shuffled.  A line that fills a third of all documents
-is one skewed join key, which AQE splits (the other side has one row per line).
+Texts are read twice: once to count lines (the counts are summed before they are
+shuffled), once for a document's own figures, which travel with its lines, each once
+per document, through one shuffle by (host, line).  A line that fills a third of all
+documents is one skewed join key, which AQE splits (the other side has one row per
+line).  ``judge`` tells what the removal leaves over; ``cleaned`` carries it out and
+returns the texts, which then take part in the shuffle by document.
 
 Defined results: null and empty texts have no words and fail the base rules; the
 null source is a host of its own; repeated rows count as documents of their own;
@@ -127,6 +129,69 @@ def measured(docs: DataFrame) -> DataFrame:
         run, f"doc_id bigint, host string, {kinds}, line array<bigint>, words array<bigint>")
 
 
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host and line (hash) of the lines in more than ``max_docs`` documents of a host."""
+    # a table of its own, so that a join can split the documents of a hot line
+    return checkpointed(hashed_lines(docs).groupBy("host", "line").agg(
+        F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs"))
+
+
+def without_lines(text: str, lines: set[int]) -> tuple[str, list[tuple[int, int]], int]:
+    """The text without the lines of these hashes, the removed ranges (code points,
+    each with its line break), and the number of removed words."""
+    kept, spans, at, words = [], [], 0, 0
+    for line in text.split("\n"):
+        norm = normalised_line(line) if line.strip(_SPACES) else ""
+        if norm and line_hash(norm) in lines:
+            end = min(at + len(line) + 1, len(text))
+            if spans and spans[-1][1] == at:
+                spans[-1] = (spans[-1][0], end)
+            else:
+                spans.append((at, end))
+            words += norm.count(" ") + 1
+        else:
+            kept.append(line)
+        at += len(line) + 1
+    return "\n".join(kept), spans, words
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """One row per input row: doc_id, text (without the frequent lines of its host),
+    spans (what was removed, as ranges of the old text), removed_words, and kept: what
+    ``judge`` says, here from the texts themselves."""
+    def lines_of(batches):
+        for batch in batches:
+            found = [{line_hash(normalised_line(x)) for x in (t or "").split("\n") if x.strip(_SPACES)}
+                     for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array([list(x) for x in found], pa.list_(pa.int64()))],
+                                  names=["doc_id", "host", "text", "line"])
+
+    base = "doc_id bigint, host string, text string"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), null_safe_key(F.col("source")).alias("host"),
+                       F.col("text").cast("string").alias("text")).mapInArrow(lines_of, f"{base}, line array<bigint>")
+    # the row's number decides which rows come together, so it is stored before it is used
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = rows.select("row", "host", F.explode("line").alias("line")).join(
+        frequent_lines(docs, max_docs), ["host", "line"]).groupBy("row").agg(F.collect_set("line").alias("frequent"))
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for t, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = figures(t or "")[0]
+                left, spans, words = without_lines(t, set(lines or ())) if t is not None else (None, [], 0)
+                failed = own[0] < MIN_WORDS or 100 * own[4] > MAX_REPEATED_PERCENT * own[0]
+                out.append((left, [{"start": a, "end": b} for a, b in spans], words, not failed and words <= max_removed * own[0]))
+            yield pa.record_batch([
+                batch.column(0), pa.array([r[0] for r in out], pa.string()),
+                pa.array([r[1] for r in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.bool_())],
+                names=["doc_id", "text", "spans", "removed_words", "kept"])
+
+    return rows.join(found, "row", "left").select("doc_id", "text", "frequent").mapInArrow(
+        cut, "doc_id bigint, text string, spans array<struct<start:bigint,end:bigint>>, removed_words bigint, kept boolean")
+
+
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row per input row: doc_id, figures, removed_words, base_failed, kept."""
     rows = measured(docs)
@@ -139,10 +204,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_RE
     body = F.transform(F.arrays_zip("line", "words"), lambda x: F.struct(
         x["line"].alias("line"), x["words"].alias("words"), F.lit(None).cast(_head_type()).alias("head")))
     sent = rows.select("row", "host", F.explode(F.concat(own, body)).alias("x")).select("row", "host", "x.*")
-    # a table of its own, so that the join can split the documents of a hot line
-    frequent = checkpointed(hashed_lines(docs).groupBy("host", "line").agg(
-        F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")).withColumn("frequent", F.lit(True))
-    marked = sent.join(frequent, ["host", "line"], "left")
+    marked = sent.join(frequent_lines(docs, max_docs).withColumn("frequent", F.lit(True)), ["host", "line"], "left")
     by_doc = marked.groupBy("row").agg(
         F.max("head").alias("head"),
         F.coalesce(F.sum(F.when(F.col("frequent"), F.col("words"))), F.lit(0)).cast("bigint").alias("removed_words"))
