@@ -290,3 +290,42 @@ def test_long_lists_of_spans(spark):
     rows = df.select("text", matched_spans(F.col("text"), "[0-9]", keep).alias("s")).collect()
     assert {r.text: [tuple(x) for x in r.s] for r in rows} == {
         t: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]", t) if m.group() != "2"] for t in texts}
+
+
+# ---- cleaned texts, many automata --------------------------------------------------------
+
+def test_frequent_lines_are_cut_out(spark, small, table):
+    from wardlake.llm import line_frequency as lf
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    rows = lf.cleaned(df, 2, 0.4).collect()
+    judged = Counter((r.doc_id, r.removed_words, r.kept) for r in lf.judge(df, 2, 0.4).collect())
+    assert Counter((r.doc_id, r.removed_words, r.kept) for r in rows) == judged
+    texts = defaultdict(list)
+    for i, t, *_ in table:
+        texts[i].append(t)
+    assert sum(r.removed_words > 0 for r in rows) > 5
+    for r in rows:
+        def cut(t):
+            for x in reversed(r.spans):
+                t = t[:x.start] + t[x.end:]
+            return t
+        if r.text is None:
+            assert None in texts[r.doc_id] and not r.spans
+        else:  # a last line that goes takes the line break before it along
+            assert r.text in [x for t in texts[r.doc_id] if t is not None for x in (cut(t), cut(t)[:-1])]
+    assert lf.without_lines("a b\nc\n\nA  b", {lf.line_hash("a b")}) == ("c\n", [(0, 4), (7, 11)], 4)
+
+
+def test_automata_are_built_once_for_many_batches(spark, small, monkeypatch):
+    from wardlake.llm import decontam
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = sorted(map(str, decontam.scan(docs.coalesce(1), items).drop("row").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, decontam.scan(docs.coalesce(1), items, automaton_words=20).drop("row").collect())) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import pyarrow as pa
+    batches = [pa.record_batch([pa.array(range(100))], names=["x"])] * 10
+    assert [len(c) for c in decontam._chunks(iter(batches), 0)] == [1] * 10
+    assert [len(c) for c in decontam._chunks(iter(batches), 2400)] == [3, 3, 3, 1]

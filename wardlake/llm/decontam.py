@@ -6,11 +6,14 @@ words -- an item of fewer words is one window -- is a pattern over word numbers
 of a single automaton; each text is scanned once, and the hit words are mapped
 back to byte offsets of the original text.
 
-The automaton holds about 13 nodes per benchmark word, so patterns are built in
-groups of at most ``automaton_words`` item words, one at a time in a task, and
-the broadcast benchmark is checked against ``max_broadcast_bytes``: beyond it
-the benchmark is dealt into parts by a hash of the item, each part is scanned in
-its own pass, and the parts' hits are merged per document.
+The automaton holds about 13 nodes per benchmark word, so the memory of a task bounds
+it: patterns are built in groups of at most ``automaton_words`` item words.  One group
+is built once per task; of several, one is in memory at a time, and a task scans
+``CHUNK_BYTES`` of text with each before it goes on to the next, so that building
+them does not count.  The broadcast benchmark is checked against
+``max_broadcast_bytes``: beyond it the benchmark is dealt into parts by a hash of the
+item, each part is fetched, sent out and scanned in its own pass (the driver holds one
+part at a time), and the parts' hits are merged per document.
 
 Defined results: a null or empty text, or one without words, has no hit; a null
 or empty item has no window; windows of an item without an id count as hits but
@@ -23,6 +26,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ from pyspark.sql import types as T
 from .common import NORMALISE, documents, text_bytes, utf8
 
 WINDOW = 13
+#: Text that a task scans with each of several automata before it builds them again.
+CHUNK_BYTES = 256 << 20
 _WORD_AT = re.compile(rb"[^ ]+")
 
 HITS = ("doc_id bigint, row bigint, n_words bigint, hits array<struct<first:bigint,last:bigint>>, "
@@ -84,19 +90,36 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan_batch(texts: list[bytes], number: dict[bytes, int], automata) -> list[tuple[list, set]]:
-    """Per text: merged hit ranges of word positions, and item ids."""
+def _numbered(texts: list[bytes], number: dict[bytes, int]) -> list[np.ndarray]:
+    """The words of each text as numbers (0: none of the benchmark's)."""
     get = number.get
-    rows = [tuple([get(w, 0) for w in normalised(t)]) for t in texts]
+    return [np.array([get(w, 0) for w in normalised(t)], np.int32) for t in texts]
+
+
+def _scan_rows(rows: list[np.ndarray], automata) -> list[tuple[int, list, set]]:
+    """Per text: number of words, merged hit ranges of word positions, item ids."""
     found: list[tuple[list, set]] = [([], set()) for _ in rows]
     for a in automata:
         for (ranges, ids), row in zip(found, rows):
-            for end, (n, items) in a.iter(row):
+            for end, (n, items) in a.iter(tuple(row.tolist())):
                 ranges.append((end - n + 1, end))
                 ids |= items
     return [(len(row), _merged(ranges), ids) for row, (ranges, ids) in zip(rows, found)]
 
 
+def _chunks(batches, limit: int):
+    """Lists of successive batches of about ``limit`` bytes (0: each on its own)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
          max_broadcast_bytes: int = 32 << 20, carry: bool = False) -> DataFrame:
     """doc_id, row (number of the input row), n_words, hits (ranges of word
@@ -119,11 +142,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
         def find(batches, shared=shared):
             patterns = Patterns(shared.value, automaton_words)
             kept = list(patterns.automata()) if len(patterns.groups) == 1 else None
-            for batch in batches:
-                data = text_bytes(batch)
-                got = _scan_batch(data, patterns.number, kept if kept is not None else patterns.automata())
+
+            def scanned(chunk):
+                rows = [_numbered(text_bytes(b), patterns.number) for b in chunk]
+                got = iter(_scan_rows([r for b in rows for r in b], kept if kept is not None else patterns.automata()))
+                for b in chunk:
+                    yield b, [next(got) for _ in range(b.num_rows)]
+
+            for batch, got in (x for chunk in _chunks(batches, 0 if kept is not None else CHUNK_BYTES) for x in scanned(chunk)):
                 spans = []
-                for t, (_, ranges, _ids) in zip(data, got):
+                for t, (_, ranges, _ids) in zip(text_bytes(batch), got):
                     at = [m.span() for m in _WORD_AT.finditer(t.translate(NORMALISE))] if ranges else []
                     spans.append([{"start": at[a][0], "end": at[b][1]} for a, b in ranges])
                 yield pa.record_batch([
