@@ -77,7 +77,7 @@ def test_group_equals_evaluating_every_tick():
             if v is not None:
                 for r in rules:
                     if r[1] == m:
-                        rows.setdefault(int(ts // 10 * 10 + 10), {})[r[0]] = (int(ts * 1e6), v)
+                        rows.setdefault(int(ts // 10 * 10 + 10), {})[r[0]] = (round(ts * 1e6), v)
         got = []
         for tick in sorted(rows):
             got += group.samples(tick, [(n, *x) for n, x in rows[tick].items()])
@@ -118,6 +118,26 @@ def test_alert_stream_over_three_arrivals(spark, tmp_dir):
     assert last == batch
 
 
+def test_errors_fire_in_both_forms(spark):
+    from wardlake.operators.metrics import threshold_alerts
+    rows = [("a", at(10), 5.0, None), ("a", at(20), None, "connection refused"), ("b", at(20), None, "timeout"), ("b", at(31), 2.0, None),
+            ("c", at(20), 9.0, "both"), ("d", at(20), None, None)]
+    df = spark.createDataFrame(rows, "metric string, ts timestamp, value double, error string")
+    rules = [(m, m, 1.0, 60, False, "x", "s") for m in "abcd"]
+    got = {r.rule: (r.state, r.value) for r in threshold_alerts(df, metrics.rules_frame(spark, rules), at(40)).collect()}
+    assert got == {"a": ("Alerting", None), "b": ("Normal", 2.0), "c": ("Alerting", None), "d": ("NoData", None)}
+    group = alerts.Group(0)
+    for r in rules:
+        group.add(*[r[i] for i in (0, 2, 3, 4, 5)])
+    last = alerts.last_per_interval(df, metrics.rules_frame(spark, rules)).collect()
+    base = int(T0.replace(tzinfo=timezone.utc).timestamp())
+    out = []
+    for tick in sorted({r.tick for r in last}):
+        out += group.samples(tick, [(r.rule, r.ts, r.value, r.error) for r in last if r.tick == tick])
+    states = {x[2]: (x[4], x[5]) for x in out if x[1] == "change" and x[0] <= base + 40}
+    assert states == {"a": ("Alerting", "error"), "b": ("Normal", "value"), "c": ("Alerting", "error"), "d": ("NoData", "no data")}
+
+
 def _arrive(spark, folder, rows, schema, hour):
     spark.createDataFrame(rows, schema).withColumn("_arrived", F.lit(str(T0 + timedelta(hours=hour))).cast("timestamp")) \
         .coalesce(1).write.mode("append").parquet(folder)

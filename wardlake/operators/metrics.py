@@ -129,26 +129,35 @@ def threshold_alerts(samples: DataFrame, rules: DataFrame, now) -> DataFrame:
     the samples that carry the rule's labels (samples may have a ``labels`` map; a
     rule without labels takes every sample); state Alerting when that value is
     below the limit, or when there is no sample and no-data alerts are on; NoData /
-    Normal otherwise.  The joins carry no hint: the planner sees both sizes."""
+    Normal otherwise.  Samples may have a text ``error``: the metric could not be read
+    then, and a rule whose latest row is such a one is Alerting too (without a value).
+    The joins carry no hint: the planner sees both sizes."""
     now_c = F.lit(now).cast("timestamp")
     max_look = rules.agg(F.max("lookback_seconds")).scalar()
     own = F.col("labels") if "labels" in samples.columns else F.lit(None).cast("map<string,string>")
-    s = samples.where(F.col("value").isNotNull() & (F.col("ts") <= now_c)
-                      & (F.col("ts") >= now_c - F.make_dt_interval(secs=max_look))).select(
-        "metric", "ts", "value", own.alias("_own"))
+    s = samples.withColumn("_error", read_error(samples)).where(
+        (F.col("value").isNotNull() | F.col("_error")) & (F.col("ts") <= now_c)
+        & (F.col("ts") >= now_c - F.make_dt_interval(secs=max_look))).select(
+        "metric", "ts", F.when(~F.col("_error"), F.col("value")).alias("value"), "_error", own.alias("_own"))
     wanted = rules.select("rule", "metric", "lookback_seconds", F.col("labels").alias("_wanted"))
     match = F.col("_wanted").isNull() | F.forall(F.map_entries("_wanted"), lambda e: F.coalesce(
         F.try_element_at(F.col("_own"), e["key"]) == e["value"], F.lit(False)))
     j = s.join(wanted, "metric").where(
         match & (F.col("ts") >= now_c - F.make_dt_interval(secs=F.col("lookback_seconds"))))
-    latest = j.groupBy("rule").agg(F.max(F.struct("ts", "value")).alias("_b"))
+    # of equal times an error counts, else the greatest value
+    latest = j.groupBy("rule").agg(F.max(F.struct("ts", "_error", "value")).alias("_b"))
     out = rules.join(latest, "rule", "left").select(
         "rule", "metric", F.col("_b.ts").alias("ts"), F.col("_b.value").alias("value"),
-        "less_than", "severity", "service", "no_data_alerts")
-    state = (F.when(F.col("value").isNull(),
+        "less_than", "severity", "service", "no_data_alerts", F.col("_b._error").alias("_error"))
+    state = (F.when(F.col("ts").isNull(),
                     F.when(F.col("no_data_alerts"), F.lit("Alerting")).otherwise(F.lit("NoData")))
-             .when(F.col("value") < F.col("less_than"), F.lit("Alerting")).otherwise(F.lit("Normal")))
-    return out.withColumn("state", state).drop("no_data_alerts")
+             .when(F.col("_error") | (F.col("value") < F.col("less_than")), F.lit("Alerting")).otherwise(F.lit("Normal")))
+    return out.withColumn("state", state).drop("no_data_alerts", "_error")
+
+
+def read_error(samples: DataFrame) -> Column:
+    """Whether a row tells of an error instead of a value (column ``error``, if any)."""
+    return F.col("error").isNotNull() if "error" in samples.columns else F.lit(False)
 
 
 def threshold_band(col, steps=QUALITY_STEPS) -> Column:

@@ -78,16 +78,19 @@ def check_all_constraints(frames: dict[str, DataFrame]) -> DataFrame:
     """Every declared constraint of every table as (table, rule, column, value,
     rows) violations: required columns (value null), key values that occur more
     than once (rows = occurrences), values outside a domain."""
-    none, parts = F.lit(None).cast("string"), []
+    parts = []
     for t, df in frames.items():
-        nulls = check_not_null(df, S.REQUIRED[t]).where("nulls > 0").select(
-            F.lit(t).alias("table"), F.lit("not null").alias("rule"), "column", none.alias("value"),
-            F.col("nulls").alias("rows"))
+        def found(rule, c, value, wrong):
+            return F.when(wrong, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), value.cast("string").alias("value")))
+
+        # one pass: each row explodes into its violations (mostly none)
+        bad = [found("not null", c, F.lit(None), F.col(c).isNull()) for c in S.REQUIRED[t]] + [
+            found("domain", c, F.col(c), F.col(c).isNotNull() & ~F.col(c).isin(list(v))) for c, v in S.DOMAINS.get(t, {}).items()]
+        rows = df.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("x")).groupBy(
+            "x.rule", "x.column", "x.value").agg(F.count(F.lit(1)).alias("rows"))
         keys = check_unique_key(df.where(F.col("id").isNotNull())).select(
-            F.lit(t).alias("table"), F.lit("unique").alias("rule"), F.lit("id").alias("column"),
-            F.col("id").alias("value"), F.col("occurrences").alias("rows"))
-        domain = check_domains(df, t).select(F.lit(t).alias("table"), F.lit("domain").alias("rule"), "column", "value", "rows")
-        parts += [nulls, keys, domain]
+            F.lit("unique").alias("rule"), F.lit("id").alias("column"), F.col("id").alias("value"), F.col("occurrences").alias("rows"))
+        parts.append(rows.unionByName(keys).select(F.lit(t).alias("table"), "rule", "column", "value", "rows"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,7 +11,8 @@ here they are evaluated every ``every`` seconds of event time, as samples arrive
    event-time timer for the next thing that happens *without* a row: a sample grows
    too old, a notification is due, a firing group must be repeated.
 
-Between two rows or timers nothing can change, so that equals evaluating at every
+A row whose metric could not be read (``error``) makes its rules fire, as in the batch
+form.  Between two rows or timers nothing can change, so that equals evaluating at every
 tick.  Event time moves with the samples of all metrics, those without a rule too.
 
 Rows: ``change`` (a rule's state changed), ``notify`` (what fires in the group
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators import metrics
 from . import batches
 from .incremental import _start
 
@@ -69,7 +71,7 @@ class Group:
 
     def add(self, name: str, limit: float, lookback: int, no_data_alerts: bool, severity: str | None) -> None:
         self.rules[name] = {"limit": limit, "lookback": lookback, "no_data": no_data_alerts, "severity": severity,
-                            "ts": None, "value": None, "state": None}
+                            "ts": None, "value": None, "error": False, "state": None}
 
     def dump(self) -> str:
         return json.dumps([self.rules, self.begun, self.sent, self.last, self.due])
@@ -96,12 +98,13 @@ class Group:
             at.append(self._tick(self.last + self.repeat))
         return min(at, default=0)
 
-    def samples(self, tick: int, found: list[tuple[str, int, float]]) -> Iterator[tuple]:
-        """The samples (rule, time, value) of the interval that ends at ``tick``."""
+    def samples(self, tick: int, found: list[tuple]) -> Iterator[tuple]:
+        """The samples (rule, time, value, perhaps whether it is an error instead) of the
+        interval that ends at ``tick``."""
         yield from self.advance(tick - 1)
-        for name, ts, value in found:
+        for name, ts, value, *error in found:
             if name in self.rules:
-                self.rules[name].update(ts=ts, value=value)
+                self.rules[name].update(ts=ts, value=value, error=any(error))
         if tick >= self.start:
             yield from self._evaluate(tick)
 
@@ -117,9 +120,11 @@ class Group:
         self.begun = True
         for name, r in self.rules.items():
             if r["ts"] is not None and self._too_old(r) <= tick:
-                r.update(ts=None, value=None)
+                r.update(ts=None, value=None, error=False)
             if r["ts"] is None:
                 state, reason = "Alerting" if r["no_data"] else "NoData", "no data"
+            elif r["error"]:
+                state, reason = "Alerting", "error"
             else:
                 state, reason = "Alerting" if r["value"] < r["limit"] else "Normal", "value"
             if state != r["state"]:
@@ -181,10 +186,10 @@ class _Alerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         group, timer = self._get()
-        ticks: dict[int, list[tuple[str, int, float]]] = {}
+        ticks: dict[int, list[tuple]] = {}
         for r in rows:  # at most one per rule and interval
-            ticks.setdefault(r.tick, []).append((r.rule, r.ts, r.value))
-        out = [x for tick in sorted(ticks) for x in group.samples(tick, sorted(ticks[tick]))]
+            ticks.setdefault(r.tick, []).append((r.rule, r.ts, r.value, r.error))
+        out = [x for tick in sorted(ticks) for x in group.samples(tick, ticks[tick])]
         self._keep(group, timer)
         return self._rows(key, out)
 
@@ -201,16 +206,19 @@ class _Alerts(StatefulProcessor):
 
 
 def last_per_interval(samples: DataFrame, rules: DataFrame, every: int = EVERY) -> DataFrame:
-    """service, rule, tick (seconds), ts (microseconds) and value: the last sample of
-    each rule in each interval; of equal times the greatest value."""
+    """service, rule, tick (seconds), ts (microseconds), value and error: the last sample
+    of each rule in each interval; of equal times an error, else the greatest value."""
     own = F.col("labels") if "labels" in samples.columns else F.lit(None).cast("map<string,string>")
-    s = samples.where("value is not null and ts is not null").select("metric", "ts", "value", own.alias("_own"))
+    error = metrics.read_error(samples)
+    s = samples.where((F.col("value").isNotNull() | error) & F.col("ts").isNotNull()).select(
+        "metric", "ts", F.when(~error, F.col("value")).alias("value"), error.alias("error"), own.alias("_own"))
     wanted = rules.select("rule", "metric", F.coalesce("service", F.lit("")).alias("service"), F.col("labels").alias("_wanted"))
     match = F.col("_wanted").isNull() | F.forall(F.map_entries("_wanted"), lambda e: F.coalesce(
         F.try_element_at(F.col("_own"), e["key"]) == e["value"], F.lit(False)))
-    last = F.max(F.struct(F.unix_micros("ts").alias("ts"), F.col("value").alias("value"))).alias("last")
+    last = F.max(F.struct(F.unix_micros("ts").alias("ts"), "error", "value")).alias("last")
     return s.join(wanted, "metric").where(match).groupBy("service", "rule", F.window("ts", f"{every} seconds").alias("interval")).agg(
-        last).select("service", "rule", "interval", F.unix_seconds("interval.end").alias("tick"), "last.ts", "last.value")
+        last).select("service", "rule", "interval", F.unix_seconds("interval.end").alias("tick"), "last.ts", "last.value",
+               "last.error")
 
 
 def alert_stream(samples: DataFrame, rules: DataFrame, start, delay: str = "1 minute", every: int = EVERY,
