@@ -220,6 +220,11 @@ def test_page_by_number_equals_offset_over_ties(spark, tmp_dir):
     plan = got._jdf.queryExecution().toString()
     assert "Offset" not in plan and "TakeOrderedAndProject(limit=20" in plan
     assert registers.page_by_number(df, order, index, 51, 20).count() == 0
+    kind = df.where("type = 'Pharmacy'")
+    registers.page_index(kind, registers.REGISTER_ORDER["transactions"], f"{tmp_dir}/register")
+    index = spark.read.parquet(f"{tmp_dir}/register")
+    pages = [registers.page_transactions(df, 70, type="Pharmacy", index=i).collect() for i in (index, None)]
+    assert pages[0] == pages[1] and len(pages[0]) == 10
 
 
 # ---- metric grid -----------------------------------------------------------------------

@@ -129,11 +129,24 @@ def page_info(df: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE)
         F.least(F.lit(page_no * limit).cast("bigint"), F.col("total")).alias("last_row"))
 
 
+#: Orders of the registers, all descending and ending in the key.
+REGISTER_ORDER = {"patients": ["id"], "appointments": ["appointment_date", "id"], "transactions": ["date", "id"]}
+
+
+def _register_page(df: DataFrame, table: str, page_no: int, limit: int, index: DataFrame | None) -> DataFrame:
+    if index is not None:
+        return page_by_number(df, REGISTER_ORDER[table], index, page_no, limit)
+    return page(df, [F.col(c).desc() for c in REGISTER_ORDER[table]], page_no, limit)
+
+
 def page_patients(pt: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE,
-                  state: str | None = None, category: str | None = None, search: str | None = None) -> DataFrame:
-    """Patient register page: filters + search, id descending, API shape."""
+                  state: str | None = None, category: str | None = None, search: str | None = None,
+                  index: DataFrame | None = None) -> DataFrame:
+    """Patient register page: filters + search, id descending, API shape.  With the
+    rank ``index`` of the filtered rows (``page_index`` by REGISTER_ORDER), also of the
+    other registers, deep pages need no offset."""
     df = search_patients(filter_patients(pt, state, category), search)
-    out = page(df, [F.col("id").desc()], page_no, limit)
+    out = _register_page(df, "patients", page_no, limit, index)
     return to_api_types(to_api_names(out.select(*S.storage_columns("patients")), "patients"), "patients")
 
 
@@ -153,17 +166,19 @@ def patient_register(pt: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAG
 
 
 def page_appointments(ap: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE,
-                      status: str | None = None, department: str | None = None) -> DataFrame:
+                      status: str | None = None, department: str | None = None,
+                      index: DataFrame | None = None) -> DataFrame:
     df = filter_appointments(ap, status, department)
-    out = page(df, [F.col("appointment_date").desc(), F.col("id").desc()], page_no, limit)
+    out = _register_page(df, "appointments", page_no, limit, index)
     return to_api_types(to_api_names(out.select(*S.storage_columns("appointments")), "appointments"),
                         "appointments")
 
 
 def page_transactions(tx: DataFrame, page_no: int = 1, limit: int = S.DEFAULT_PAGE_SIZE,
-                      type: str | None = None, payment_type: str | None = None) -> DataFrame:
+                      type: str | None = None, payment_type: str | None = None,
+                      index: DataFrame | None = None) -> DataFrame:
     df = filter_transactions(tx, type, payment_type)
-    out = page(df, [F.col("date").desc(), F.col("id").desc()], page_no, limit)
+    out = _register_page(df, "transactions", page_no, limit, index)
     return to_api_types(to_api_names(out.select(*S.storage_columns("transactions")), "transactions"),
                         "transactions")
 
