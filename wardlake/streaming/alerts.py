@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import metrics
+from ..session import setting
 from . import batches
 from .incremental import _start
 
@@ -239,13 +240,9 @@ def alert_stream(samples: DataFrame, rules: DataFrame, start, delay: str = "1 mi
 def with_state_store(spark: SparkSession, start):
     """Start a query whose state needs the RocksDB store; the session's own setting
     stays as it is."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         return start()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def stream_threshold_alerts(samples: DataFrame, rules: DataFrame, out_dir: str, checkpoint: str, start,

@@ -21,6 +21,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import setting
+
 MARK = "_COMMITTED"
 COVERS = "_COVERS"
 FOLDED = "query=folded"
@@ -84,7 +86,11 @@ def _name(path: str) -> str:
 
 def _write(df: DataFrame, path: str, partition_by) -> None:
     w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    if not partition_by:
+        return w.parquet(path)
+    # a few partitions are written side by side; else every task would sort its rows first
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "4"):
+        w.partitionBy(*partition_by).parquet(path)
 
 
 def write_batch(df: DataFrame, base: str, query: str, batch: int, partition_by=(), anywhere: str | None = None) -> bool:
