@@ -106,7 +106,7 @@ def metric_grid(samples: DataFrame, since, until, step: int, carry: int | None =
     # the point at which a sample is first seen
     point = F.ceil((at - a) / width).cast("bigint")
     last = s.groupBy("metric", point.alias("point")).agg(F.max(F.struct(at.alias("us"), F.col("value").alias("value"))).alias("own"))
-    names = s.select("metric").distinct()
+    names = last.select("metric").distinct()  # from the reduced samples: they are read once
     chunks = names.select("metric", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((b - a) / width / GRID_CHUNK))).alias("chunk"))
     grid = chunks.select("metric", "chunk", F.explode(F.sequence(F.col("chunk") * GRID_CHUNK, F.least(
         F.col("chunk") * GRID_CHUNK + GRID_CHUNK - 1, F.floor((b - a) / width)))).alias("point"))

@@ -79,7 +79,8 @@ def touched_months(target: DataFrame, source: DataFrame, key: str = "id", bloom_
     rows = target.where(F.col(key).between(low, high)).select(key, MONTH)
     blocks = -(-n * BITS_PER_KEY // BLOCK_BITS)
     if blocks * BLOCK_BITS // 8 <= bloom_limit:
-        rows = may_contain(rows, key, bloom(source, key, blocks), blocks)
+        # a row number keeps the optimiser from joining exactly before it filters
+        rows = may_contain(rows, key, bloom(source, key, blocks), blocks).where(F.monotonically_increasing_id() >= 0)
     found = rows.join(source.select(key).distinct(), key, "left_semi").select(MONTH).distinct()
     return sorted(r[0] for r in found.collect())  # months: as many as the calendar has
 
