@@ -249,3 +249,21 @@ def test_medallion_bundles_and_sync(spark, tmp_dir):
     assert out["status"].first().overall_status == "SUCCESS"
     assert {"silver_patients", "gold_dept_profitability"} <= {r.view for r in out["views"].collect()}
     assert spark.sql("SELECT COUNT(*) FROM silver_transactions").first()[0] > 0
+
+
+def test_csv_line_is_parsed_once(spark, tmp_dir):
+    """The check of a record is a filter; pushed into the parse it parsed a line dozens of times."""
+    df = frame(spark, "transactions", [tx_row("T1"), tx_row("T2")])
+    path = os.path.join(tmp_dir, "csv-once")
+    tables.export_csv(df, "transactions", path)
+    back = tables.read_export_csv(spark, path, "transactions")
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_export_json_compressed(spark, tmp_dir):
+    df = frame(spark, "transactions", [tx_row(f"T{i}") for i in range(20)])
+    path = os.path.join(tmp_dir, "json-gz")
+    tables.export_json(df, "transactions", path, compression="gzip")
+    assert {f.rsplit(".", 1)[1] for f in os.listdir(path) if f.startswith("part-")} == {"gz"}
+    assert sorted(map(tuple, tables.read_export_json(spark, path, "transactions").collect())) == sorted(map(tuple, df.collect()))

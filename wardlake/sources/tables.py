@@ -165,14 +165,13 @@ def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, mode:
     ``ordered`` sorts by id (a range-partitioned sort).  ``one_line`` writes line
     breaks as \\n and \\r (and a backslash as \\_), so that every record is a line and
     large files can be read in splits; without it they stay inside the quotes."""
-    out = csv_text_frame(df, table)
+    # sorted before the texts are made: the sort's sample pass then reads plain columns
+    out = csv_text_frame(df.select(*S.storage_columns(table)).orderBy("id") if ordered else df, table)
     if one_line:
         out = out.withColumns({f.name: _one_line(F.col(f.name)) for f in out.schema.fields if isinstance(f.dataType, T.StringType)})
     if table in NULL_MARK:
         col, mark = NULL_MARK[table]
         out = out.withColumn(col, F.coalesce(F.col(col), F.lit(mark)))
-    if ordered:
-        out = out.orderBy("id")
     (out.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", '""')
      .option("quote", '"').option("escape", '"').option("timestampFormat", CSV_TIMESTAMP)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -234,21 +233,24 @@ def parsed_csv(spark: SparkSession, table: str, path: str, multi_line: bool = Fa
         df = reader.text(path).where(F.col("value") != ",".join(names)).select(row.alias("_row"), F.col("value").alias("raw"), file)
         df = df.withColumn("_corrupt", F.when(F.trim("raw") == "", F.lit("")).otherwise(F.col("_row._corrupt")))
     back = dict(zip(names, S.storage_columns(table)))
-    out, bad = [], []
+    texts, values, bad = {}, {}, []
     for f in S.api_schema(table).fields:
-        text = F.col(f"_row.{f.name}")
+        text, value = F.col(f"_row.{f.name}"), f"_text_{f.name}"
         text = F.when(text == _EMPTY, F.lit("")).otherwise(text)
         if table in NULL_MARK and NULL_MARK[table][0] == f.name:
             text = F.nullif(text, F.lit(NULL_MARK[table][1]))
         if isinstance(f.dataType, T.StringType):
-            value = _many_lines(text) if one_line else text
+            values[back[f.name]] = _many_lines(text) if one_line else text
+        texts[value], text = text, F.col(value)
         else:
-            value = F.try_to_timestamp(text, F.lit(CSV_TIMESTAMP)) if isinstance(f.dataType, T.TimestampType) else text.try_cast(f.dataType)
-            bad.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")))
-        out.append(value.alias(back[f.name]))
+            values[back[f.name]] = F.try_to_timestamp(text, F.lit(CSV_TIMESTAMP)) if isinstance(f.dataType, T.TimestampType) else text.try_cast(f.dataType)
+            bad.append(F.when(text.isNotNull() & F.col(back[f.name]).isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")))
     fields = F.when(F.col("_corrupt") == "", F.lit("empty line")).when(F.col("_corrupt").isNotNull(), F.lit("wrong number of fields"))
     wrong = F.nullif(F.concat_ws("; ", *bad), F.lit("")) if bad else F.lit(None).cast("string")
-    return df.select(*out, "file", "raw", F.coalesce(fields, wrong).alias("reason"))
+    # a list of one row: filters on the result stay behind it, else each would parse the line again
+    df = df.select(F.inline(F.array(F.struct(*[x.alias(c) for c, x in texts.items()], "file", "raw", "_corrupt"))))
+    df = df.select("*", *[x.alias(c) for c, x in values.items()])
+    return df.select(F.inline(F.array(F.struct(*values, "file", "raw", F.coalesce(fields, wrong).alias("reason")))))
 
 
 def read_export_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False, one_line: bool = False) -> DataFrame:
