@@ -864,12 +864,12 @@ def _row_text(df: DataFrame, table: str) -> DataFrame:
     return df.select(F.lit(table).alias("table"), "id", text.alias("row"))
 
 
-def _round_trip(spark: SparkSession, sf_dir: str, export, read) -> DataFrame:
+def _round_trip(spark: SparkSession, sf_dir: str, export, read, **options) -> DataFrame:
     from ..session import scratch_path
     base = scratch_path(spark, "export")
     out = []
     for name, df in load_hospital(spark, sf_dir).as_dict().items():
-        export(df, name, f"{base}/{name}")
+        export(df, name, f"{base}/{name}", **options)
         out.append(_row_text(tables.to_bronze(read(spark, f"{base}/{name}", name), name), name))
     return reduce(DataFrame.unionByName, out)
 
@@ -882,8 +882,8 @@ def _q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_raw("export_json")
 def _q_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five tables exported as JSON lines and read back."""
-    return _round_trip(spark, sf_dir, tables.export_json, tables.read_export_json)
+    """All five tables exported as JSON lines (files compressed) and read back."""
+    return _round_trip(spark, sf_dir, tables.export_json, tables.read_export_json, compression="gzip")
 
 
 @register("patient_register_info")

@@ -178,12 +178,14 @@ def export_csv(df: DataFrame, table: str, path: str, ordered: bool = True, mode:
      .csv(path))
 
 
-def export_json(df: DataFrame, table: str, path: str, ordered: bool = True, mode: str = "overwrite") -> None:
-    """JSON lines with every column, explicit nulls included."""
+def export_json(df: DataFrame, table: str, path: str, ordered: bool = True, mode: str = "overwrite",
+                compression: str = "none") -> None:
+    """JSON lines with every column, explicit nulls included.  ``compression`` ("gzip")
+    writes compressed files, of which each is read by one task."""
     out = to_api_types(to_api_names(df.select(*S.storage_columns(table)), table), table)
     if ordered:
         out = out.orderBy("id")
-    out.write.mode(mode).option("ignoreNullFields", False).json(path)
+    out.write.mode(mode).option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 #: Stands for a quoted empty text while a file is read (the reader would make it
@@ -239,9 +241,9 @@ def parsed_csv(spark: SparkSession, table: str, path: str, multi_line: bool = Fa
         text = F.when(text == _EMPTY, F.lit("")).otherwise(text)
         if table in NULL_MARK and NULL_MARK[table][0] == f.name:
             text = F.nullif(text, F.lit(NULL_MARK[table][1]))
+        texts[value], text = text, F.col(value)
         if isinstance(f.dataType, T.StringType):
             values[back[f.name]] = _many_lines(text) if one_line else text
-        texts[value], text = text, F.col(value)
         else:
             values[back[f.name]] = F.try_to_timestamp(text, F.lit(CSV_TIMESTAMP)) if isinstance(f.dataType, T.TimestampType) else text.try_cast(f.dataType)
             bad.append(F.when(text.isNotNull() & F.col(back[f.name]).isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")))
