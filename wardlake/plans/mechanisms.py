@@ -34,6 +34,12 @@ def _arrive(df: DataFrame, folder: str, hour: float) -> str:
     return folder
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table: arrivals cut from it do not build them again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _arriving(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
@@ -94,7 +100,7 @@ def _q_stream_check_unique_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of charges that arrive twice, some in the same file, some half an hour apart."""
     h, n = load_hospital(spark, sf_dir), _number()
     base = scratch_path(spark, "stream-keys")
-    ids = h.transactions.select("id")
+    ids = _staged(h.transactions.select("id"), f"{base}/all")
     again = ids.where(n % 41 == 0)
     arrivals = [(0, ids.unionByName(again.where(n % 2 == 0))), (0.5, again.where(n % 2 == 1)), (9, spark.sql("SELECT 'TX-end' AS id"))]
     for hour, df in arrivals:
