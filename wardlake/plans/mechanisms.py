@@ -73,7 +73,7 @@ def _q_stream_check_foreign_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     a third an hour later, a third have been there before, some never come."""
     frames, n = planted(load_hospital(spark, sf_dir)), _number()
     base = scratch_path(spark, "stream-orphans")
-    link = frames["transactions"].select("id", "patient_id")
+    link = _staged(frames["transactions"].select("id", "patient_id"), f"{base}/all")
     people = frames["patients"].where(n % 5 != 0).select("id").distinct()
     known = f"{base}/known"
     people.where(n % 3 == 2).write.parquet(known)
