@@ -347,3 +347,20 @@ def test_reservation_races(spark, tmp_dir):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert sorted(got) == list(range(101, 101 + 300, 10))
+
+
+def test_merge_by_month_reads_its_source_once(spark, tmp_dir):
+    from wardlake.operators import partitioned
+    path, seen = os.path.join(tmp_dir, "table"), spark.sparkContext.accumulator(0)
+    partitioned.write_by_month(frame(spark, "transactions", [tx_row(f"T{i}") for i in range(6)]), path)
+    src = frame(spark, "transactions", [tx_row(f"T{i}") for i in range(4, 9)])
+
+    def counted(parts):
+        for b in parts:
+            seen.add(b.num_rows)
+            yield b
+
+    partitioned.merge_by_month(spark, path, src.mapInArrow(counted, src.schema))
+    assert seen.value == 5
+    assert partitioned.read_by_month(spark, path).count() == 9
+    assert not [f for f in os.listdir(path) if f.startswith("_source")]

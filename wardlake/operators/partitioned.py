@@ -122,14 +122,19 @@ def merge_by_month(spark: SparkSession, path: str, source: DataFrame, table: str
     path, names = path.rstrip("/"), S.bronze_schema(table).names
     finish_merge(spark, path, table, key)
     target = read_by_month(spark, path, table)
-    src = dedupe_latest(source.select(*names), [key], order_col)
+    # reduced once: the months, the keys and the merge all read it
+    reduced = f"{path}/_source-{uuid.uuid4().hex[:12]}"
+    dedupe_latest(source.select(*names), [key], order_col).write.option("compression", "zstd").parquet(reduced)
+    src = spark.read.schema(S.bronze_schema(table)).parquet(reduced)
     own = [r[0] for r in src.select(month_of(order_col)).distinct().collect()]
     months = sorted({*touched_months(target, src, key, bloom_limit), *own})
     if not months:
+        remove_path(spark, reduced)
         return []
     merged = merge_upsert(target.where(F.col(MONTH).isin(months)).select(*names), src, key, order_col, update_cols, dedupe_source=False)
     stage = f"{path}/_stage-{uuid.uuid4().hex[:12]}"
     write_by_month(merged, stage, order_col)
+    remove_path(spark, reduced)
     batches.put(spark, f"{path}/{_MERGING}", "\n".join([stage, *months]).encode())
     _publish(spark, path, stage, months, table, key)
     return months

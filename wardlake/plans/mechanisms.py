@@ -166,10 +166,10 @@ def _q_load_bronze_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_raw("merge_upsert_by_month")
 def _q_merge_upsert_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, source = upsert_fixture(load_hospital(spark, sf_dir).transactions)
     base = scratch_path(spark, "merge-by-month")
     partitioned.write_by_month(tables.to_bronze(target, "transactions"), f"{base}/table")
     tables.to_bronze(source, "transactions").write.parquet(f"{base}/source")
+    target, source = upsert_fixture(_staged(load_hospital(spark, sf_dir).transactions, f"{base}/all"))
     partitioned.merge_by_month(spark, f"{base}/table", spark.read.parquet(f"{base}/source"))
     return _tx_out(partitioned.read_by_month(spark, f"{base}/table"))
 
