@@ -131,12 +131,13 @@ def _q_stream_gold_insurance(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, n = load_hospital(spark, sf_dir), _number()
     base = scratch_path(spark, "stream-insurers")
     before = h.patients.withColumn("insurance_provider", F.when(n % 3 == 0, F.lit("Before")).otherwise(F.col("insurance_provider")))
+    tx = _staged(h.transactions, f"{base}/all")
     people = [before.where(n % 2 == 0), before.where(n % 2 == 1), h.patients.where(n % 3 == 0)]
     kinds = [["Consultation", "Lab Fee"], ["Pharmacy"], ["Emergency Services"]]
     schema = S.bronze_schema("patients").add("version", "integer")
     for i, (pt, kind) in enumerate(zip(people, kinds)):
         tables.to_bronze(pt, "patients").withColumn("version", F.lit(i)).write.mode("append").parquet(f"{base}/patients")
-        tables.to_bronze(h.transactions.where(F.col("type").isin(kind)), "transactions").write.mode("append").parquet(f"{base}/charges")
+        tables.to_bronze(tx.where(F.col("type").isin(kind)), "transactions").write.mode("append").parquet(f"{base}/charges")
         insurers.stream_insurance_utilization(
             spark.readStream.schema(S.bronze_schema("transactions")).parquet(f"{base}/charges"),
             spark.readStream.schema(schema).parquet(f"{base}/patients"), f"{base}/view", f"{base}/ck").awaitTermination()

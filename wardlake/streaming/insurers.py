@@ -1,11 +1,13 @@
 """The Gold insurance view kept current as charges and patient rows arrive.
 
-State per patient: the insurer, and the number and sum of the charges so far.  A
+Known per patient: the insurer, and the number and sum of the charges so far.  A
 charge adds to its patient's insurer; a patient row with another insurer takes the
 patient's whole sum from the old insurer and gives it to the new one; charges whose
-patient has not come yet wait in the state.  What leaves the state are differences
-per insurer, so a micro-batch costs what arrives in it, and the view is the sum of
-all differences (folded now and then).
+patient has not come yet wait.  A micro-batch stores what it adds per patient in a
+folder of its own beside the checkpoint; what is known is one aggregate per patient
+over these folders (folded now and then), formed only for the patients that the
+micro-batch names.  What changes for them goes out as differences per insurer, and
+the view is the sum of all differences (folded too).
 
 A patient with very many charges is no hot key: each task first sums up the charges
 of a patient, and only the sums are shuffled.
@@ -13,57 +15,36 @@ of a patient, and only the sums are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from . import batches
-from .alerts import with_state_store
 from .incremental import _start
 
 DELTA_SCHEMA = "insurance_provider string, n bigint, cents bigint"
-_Delta = Row("insurance_provider", "n", "cents")
-
-
-class _Patients(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("patient", "insurer string, version bigint, n bigint, cents bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old, version, n, cents = self.state.get() if self.state.exists() else (None, None, 0, 0)
-        insurer, more, added = old, 0, 0
-        for r in rows:
-            if r.version is None:
-                more, added = more + r.n, added + r.cents
-            elif version is None or (r.version, r.insurer) > (version, insurer):
-                insurer, version = r.insurer, r.version
-        self.state.update((insurer, version, n + more, cents + added))
-        if insurer == old:
-            if old is not None and more:
-                yield _Delta(old, more, added)
-            return
-        if old is not None and n:
-            yield _Delta(old, -n, -cents)
-        if n + more:
-            yield _Delta(insurer, n + more, cents + added)
-
-    def close(self) -> None:
-        pass
-
-
-def summed_per_task(charges: DataFrame) -> DataFrame:
-    """patient_id, n and cents: the charges of a patient within a part of the input."""
-    def run(batches_):
-        for batch in batches_:
-            t = pa.Table.from_batches([batch]).group_by("patient_id").aggregate([("n", "sum"), ("cents", "sum")])
-            yield from t.select(["patient_id", "n_sum", "cents_sum"]).rename_columns(["patient_id", "n", "cents"]).to_batches()
-
-    cents = (F.coalesce("amount", F.lit(0)) * 100).cast("bigint").alias("cents")
-    return charges.where("patient_id is not null").select("patient_id", F.lit(1).cast("bigint").alias("n"), cents).mapInArrow(
-        run, "patient_id string, n bigint, cents bigint")
+PATIENT_SCHEMA = "patient_id string, insurer string, version bigint, n bigint, cents bigint"
+
+
+def per_patient(rows: DataFrame, of=lambda c: c, name: str = "") -> tuple:
+    """Aggregates of ``rows`` (as PATIENT_SCHEMA): the newest (version, insurer), count and cents."""
+    last = F.max(of(F.when(F.col("version").isNotNull(), F.struct("version", "insurer"))))
+    return (last.alias(f"{name}last"), F.coalesce(F.sum(of(F.col("n"))), F.lit(0)).alias(f"{name}n"),
+            F.coalesce(F.sum(of(F.col("cents"))), F.lit(0)).alias(f"{name}cents"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("patient_id").agg(*per_patient(rows)).select("patient_id", "last.insurer", "last.version", "n", "cents")
+
+
+def differences(known: DataFrame, added: DataFrame) -> DataFrame:
+    """Differences per insurer when ``added`` (one row per patient) comes to ``known``."""
+    old = known.join(added.select("patient_id"), "patient_id", "left_semi")
+    rows = old.withColumn("_old", F.lit(True)).unionByName(added.withColumn("_old", F.lit(False)))
+    both = rows.groupBy("patient_id").agg(*per_patient(rows, lambda c: F.when(F.col("_old"), c), "was_"), *per_patient(rows))
+    one = lambda p, sign: F.struct(F.col(f"{p}last.insurer").alias("insurance_provider"), (F.col(f"{p}n") * sign).alias("n"),
+                                   (F.col(f"{p}cents") * sign).alias("cents"))
+    return _total(both.select(F.inline(F.array(one("was_", -1), one("", 1)))).where("insurance_provider is not null"))
 
 
 def stream_insurance_utilization(charges: DataFrame, patients: DataFrame, out_dir: str, checkpoint: str,
@@ -72,22 +53,28 @@ def stream_insurance_utilization(charges: DataFrame, patients: DataFrame, out_di
     once.  ``patients``: a stream of patient rows (id, insurance_provider and a number
     ``version`` that grows with every change; of equal numbers the greater name
     counts)."""
-    none = F.lit(None)
-    rows = summed_per_task(charges).select("patient_id", none.cast("string").alias("insurer"), none.cast("bigint").alias("version"),
-                                           "n", "cents").unionByName(
+    none, cents = F.lit(None), (F.coalesce("amount", F.lit(0)) * 100).cast("bigint").alias("cents")
+    rows = charges.where("patient_id is not null").select(
+        "patient_id", none.cast("string").alias("insurer"), none.cast("bigint").alias("version"),
+        F.lit(1).cast("bigint").alias("n"), cents).unionByName(
         patients.where("id is not null and insurance_provider is not null").select(
             F.col("id").alias("patient_id"), F.col("insurance_provider").alias("insurer"),
             F.col(version).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("cents")))
-    deltas = rows.groupBy("patient_id").transformWithState(_Patients(), DELTA_SCHEMA, "Update", "None")
+    store = f"{checkpoint.rstrip('/')}/patients"
 
     def apply(df: DataFrame, batch_id: int) -> None:
-        s = df.sparkSession
-        batches.write_batch(_total(df), out_dir, batches.query_id(s, checkpoint), batch_id)
+        s, query = df.sparkSession, batches.query_id(df.sparkSession, checkpoint)
+        batches.write_batch(_summed(df), store, query, batch_id)
+        own = f"query={query}/batch={batch_id}"
+        read = s.read.schema(PATIENT_SCHEMA)
+        before = [p for p in batches.committed(s, store) if not p.rstrip("/").endswith(own)]
+        known = read.parquet(*before) if before else s.createDataFrame([], PATIENT_SCHEMA)
+        batches.write_batch(differences(known, read.parquet(f"{store}/{own}")), out_dir, query, batch_id)
         if batch_id % fold_every == fold_every - 1:
             batches.fold(s, out_dir, DELTA_SCHEMA, _total)
+            batches.fold(s, store, PATIENT_SCHEMA, _summed)
 
-    return with_state_store(charges.sparkSession, lambda: _start(
-        deltas.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint), available_now))
+    return _start(rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
 
 
 def _total(deltas: DataFrame) -> DataFrame:
