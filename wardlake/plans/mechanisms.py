@@ -113,14 +113,15 @@ def _q_stream_check_unique_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_raw("stream_dedupe")
 def _q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze after three arrivals, of which the second holds the first once more."""
-    tx = load_hospital(spark, sf_dir).transactions
     base = scratch_path(spark, "stream-once")
+    tx = _staged(load_hospital(spark, sf_dir).transactions, f"{base}/all")
     first = F.col("type").isin("Consultation", "Lab Fee")
     schema = S.bronze_schema("transactions").add("_arrived", "timestamp")
     for hour, part in enumerate([tx.where(first), tx.where(first), tx.where(~first)]):
         _arrive(tables.to_bronze(part, "transactions"), f"{base}/landing", hour)
         inc.stream_bronze_append(spark, f"{base}/landing", "transactions", f"{base}/bronze", f"{base}/ck",
-                                 source=_arriving(spark, f"{base}/landing", schema), once_within="6 hours").awaitTermination()
+                                 source=_arriving(spark, f"{base}/landing", schema), once_within="6 hours",
+                                 count_state=False).awaitTermination()
     return _tx_out(tables.read_bronze_table(spark, f"{base}/bronze", "transactions"))
 
 
@@ -130,8 +131,8 @@ def _q_stream_gold_insurance(spark: SparkSession, sf_dir: str) -> DataFrame:
     another insurer, and half of them come after their first charges."""
     h, n = load_hospital(spark, sf_dir), _number()
     base = scratch_path(spark, "stream-insurers")
-    before = h.patients.withColumn("insurance_provider", F.when(n % 3 == 0, F.lit("Before")).otherwise(F.col("insurance_provider")))
     tx = _staged(h.transactions, f"{base}/all")
+    before = h.patients.withColumn("insurance_provider", F.when(n % 3 == 0, F.lit("Before")).otherwise(F.col("insurance_provider")))
     people = [before.where(n % 2 == 0), before.where(n % 2 == 1), h.patients.where(n % 3 == 0)]
     kinds = [["Consultation", "Lab Fee"], ["Pharmacy"], ["Emergency Services"]]
     schema = S.bronze_schema("patients").add("version", "integer")
@@ -168,9 +169,9 @@ def _q_load_bronze_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_raw("merge_upsert_by_month")
 def _q_merge_upsert_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "merge-by-month")
+    target, source = upsert_fixture(_staged(load_hospital(spark, sf_dir).transactions, f"{base}/all"))
     partitioned.write_by_month(tables.to_bronze(target, "transactions"), f"{base}/table")
     tables.to_bronze(source, "transactions").write.parquet(f"{base}/source")
-    target, source = upsert_fixture(_staged(load_hospital(spark, sf_dir).transactions, f"{base}/all"))
     partitioned.merge_by_month(spark, f"{base}/table", spark.read.parquet(f"{base}/source"))
     return _tx_out(partitioned.read_by_month(spark, f"{base}/table"))
 

@@ -33,9 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import metrics
-from ..session import setting
 from . import batches
-from .incremental import _start
+from .incremental import _start, with_state_store
 
 # ---------------------------------------------------------------------------
 # Fixed values, in seconds: how often rules are evaluated, how long a new group
@@ -237,14 +236,6 @@ def alert_stream(samples: DataFrame, rules: DataFrame, start, delay: str = "1 mi
         _Alerts(first, (every, group_wait, group_interval, repeat_interval)), ALERT_SCHEMA, "Append", "EventTime", known)
 
 
-def with_state_store(spark: SparkSession, start):
-    """Start a query whose state needs the RocksDB store; the session's own setting
-    stays as it is."""
-    with setting(spark, "spark.sql.streaming.stateStore.providerClass",
-                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        return start()
-
-
 def stream_threshold_alerts(samples: DataFrame, rules: DataFrame, out_dir: str, checkpoint: str, start,
                             available_now: bool = True, fold_every: int = 100, **options) -> StreamingQuery:
     """Write the alert rows as they come up (read with ``read_alerts``)."""

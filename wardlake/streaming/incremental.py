@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..operators.quality import SILVER_RULES, dedupe_latest
 from ..operators.upsert import dedupe_first
+from ..session import setting
 from ..sources import tables
 from . import batches
 
@@ -63,18 +65,37 @@ def _start(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+#: State on local disk with a bounded cache, not on the heap: keys grow with the input.
+STATE_STORE = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "rocksdb.boundedMemoryUsage": "true", "rocksdb.changelogCheckpointing.enabled": "true",
+               "rocksdb.trackTotalNumberOfRows": "false"}
+
+
+def with_state_store(spark: SparkSession, start, counted: bool = True):
+    """Start a query on the RocksDB state store; the session's own settings stay as
+    they are.  Without ``counted`` rows of the state are not counted, which saves a
+    lookup for every write."""
+    with ExitStack() as settings:
+        for name, value in STATE_STORE.items():
+            if not (counted and name.endswith("NumberOfRows")):
+                settings.enter_context(setting(spark, f"spark.sql.streaming.stateStore.{name}", value))
+        return start()
+
+
 def stream_bronze_append(spark: SparkSession, landing_dir: str, table: str, bronze_dir: str,
                          checkpoint: str, fmt: str = "parquet", api_names: bool = False,
                          available_now: bool = True, max_files_per_trigger: int | None = None,
                          multi_line: bool = False, one_line: bool = False, once_within: str | None = None, keys=("id",),
-                         source: DataFrame | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+                         source: DataFrame | None = None, fold_every: int = FOLD_EVERY, count_state: bool = True) -> StreamingQuery:
     """Pick up new landing files and append them to Bronze, each file once (the
     checkpoint's log) and each micro-batch once (its folder).
 
     ``once_within`` ("1 day") also drops rows whose key has arrived before within
     that time: a landing file that is delivered again adds no row.  The state holds
     the keys of that time only; arrival is the landing file's time, or ``_arrived``
-    of ``source``, a streaming frame that is then read instead of the folder."""
+    of ``source``, a streaming frame that is then read instead of the folder.  The
+    query's progress tells the rows of the state, unless ``count_state`` is off, which
+    saves a lookup for every key."""
     if once_within and fmt == "csv" and source is None:
         raise ValueError("arrival times are read from Parquet and JSON landing files")
     df = source if source is not None else bronze_stream(
@@ -91,7 +112,10 @@ def stream_bronze_append(spark: SparkSession, landing_dir: str, table: str, bron
             gen = tables.generation(s, bronze_dir, table)
             batches.fold(s, f"{bronze_dir.rstrip('/')}/{table}/stream/gen={gen}", tables.batch_schema(table), partition_by=["part"])
 
-    return _start(df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
+    def start() -> StreamingQuery:
+        return _start(df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), available_now)
+
+    return with_state_store(spark, start, count_state) if once_within else start()
 
 
 def _stored_schema(table: str) -> T.StructType:
