@@ -291,3 +291,58 @@ def test_stored_null_date_stays_as_in_a_merge(spark, tmp_dir):
         if i == 1:
             inc.compact_silver(spark, silver)
     assert {r.id: float(r.amount) for r in inc.read_silver(spark, silver).collect()} == {"T1": 1.0, "T2": 1.0}
+
+
+# ---- state that does not sit on the heap ------------------------------------------------
+
+def test_repeated_keys_keep_no_state_and_folds_keep_open_sessions(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    for hour, keys in [(0, "AABN"), (0.8, "AC"), (1.6, "AD"), (3, "BD"), (9, "EE"), (20, "F")]:
+        _arrive(spark, src, [(None if k == "N" else k,) for k in keys] + [(None,)] * (hour == 0.8), "id string", hour)
+        df = spark.readStream.schema("id string, _arrived timestamp").parquet(src)
+        q = integrity.stream_repeated_keys(df, out, ck, fold_every=1)
+        q.awaitTermination()
+        assert not q.recentProgress[-1]["stateOperators"]
+    got = {tuple(r) for r in integrity.read_found(spark, out, "id string, occurrences bigint").collect()}
+    assert got == {("A", 4), (None, 2), ("E", 2)}
+
+
+def test_orphans_keep_no_state_and_folds_keep_what_waits(spark, tmp_dir):
+    c, p, out, ck = (os.path.join(tmp_dir, x) for x in ("c", "p", "out", "ck"))
+    child, parent = "id string, patient_id string", "id string"
+    for hour, charges, people in [(0, "ab", "a"), (1, "cd", "x"), (2.5, "ax", "c"), (5, "a", "b"), (20, "z", "z")]:
+        _arrive(spark, c, [(f"T{hour}{x}", x) for x in charges], child, hour)
+        _arrive(spark, p, [(x,) for x in people], parent, hour)
+        streams = [spark.readStream.schema(s + ", _arrived timestamp").parquet(d) for s, d in ((child, c), (parent, p))]
+        q = integrity.stream_orphans(*streams, "patient_id", out, ck, lambda s: None, bound="2 hours", fold_every=1)
+        q.awaitTermination()
+        assert not q.recentProgress[-1]["stateOperators"]
+    assert sorted(r[0] for r in integrity.read_found(spark, out, child).collect()) == ["T0b", "T1d", "T2.5a", "T5a"]
+
+
+def test_insurer_differences_need_no_state_store(spark, tmp_dir):
+    known = spark.createDataFrame([("P1", "A", 0, 2, 300), ("P1", None, None, 1, 50), ("P2", None, None, 1, 10), ("P3", "A", 0, 1, 5)],
+                                  insurers.PATIENT_SCHEMA)
+    added = spark.createDataFrame([("P1", "B", 1, 1, 7), ("P2", "A", 0, 0, 0)], insurers.PATIENT_SCHEMA)
+    assert sorted(map(tuple, insurers.differences(known, added).collect())) == [("A", -2, -340), ("B", 4, 357)]
+
+
+def test_keys_of_repeated_files_are_kept_off_the_heap(spark, tmp_dir):
+    landing, bronze, ck = (os.path.join(tmp_dir, x) for x in ("landing", "bronze", "ck"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    frame(spark, "transactions", [tx_row("T1"), tx_row("T1")]).write.parquet(f"{landing}/a")
+    q = inc.stream_bronze_append(spark, f"{landing}/*", "transactions", bronze, ck, once_within="1 day", count_state=False)
+    q.awaitTermination()
+    assert any(k.startswith("rocksdb") for k in q.recentProgress[0]["stateOperators"][0]["customMetrics"])
+    assert tables.read_bronze_table(spark, bronze, "transactions").count() == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_silver_rows_are_dealt_once(spark, tmp_dir):
+    for i in range(2):
+        inc.silver_upsert_batch(spark, frame(spark, "transactions", [tx_row("T1", amount=10 + i), tx_row(f"T{i + 2}")]), i, tmp_dir)
+    df = inc.read_silver(spark, tmp_dir)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("Exchange" if "Exchange" in plan else "Repartition"):] if "Exchange" in plan or "Repartition" in plan else plan
+    assert "Aggregate" not in below  # no struct is built before the shuffle
+    assert df.count() == 3

@@ -694,10 +694,11 @@ def _q_stream_silver_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     Silver after both micro-batches."""
     from ..session import scratch_path
     from ..streaming import incremental as inc
-    target, source = upsert_fixture(load_hospital(spark, sf_dir).transactions)
-    base = scratch_path(spark, "stream-silver")
+    base, tx = scratch_path(spark, "stream-silver"), load_hospital(spark, sf_dir).transactions
+    tx.write.option("compression", "zstd").parquet(f"{base}/all")  # both arrivals are cut from it
+    target, source = upsert_fixture(spark.read.schema(tx.schema).parquet(f"{base}/all"))
     for i, part in enumerate([target, source]):
-        tables.to_bronze(part, "transactions").write.mode("overwrite").parquet(f"{base}/landing/a{i}")
+        tables.to_bronze(part, "transactions").write.option("compression", "zstd").mode("overwrite").parquet(f"{base}/landing/a{i}")
         src = inc.bronze_stream(spark, f"{base}/landing/*", "transactions")
         inc.stream_silver_upsert(spark, src, f"{base}/silver", f"{base}/ck").awaitTermination()
     return _tx_out(inc.read_silver(spark, f"{base}/silver"))

@@ -85,7 +85,7 @@ def _name(path: str) -> str:
 
 
 def _write(df: DataFrame, path: str, partition_by) -> None:
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if not partition_by:
         return w.parquet(path)
     # a few partitions are written side by side; else every task would sort its rows first

@@ -147,7 +147,9 @@ def _stored(spark: SparkSession, silver_dir: str, table: str) -> DataFrame:
 
 def _current(stored: DataFrame, table: str, order_col: str, keys, update_cols) -> DataFrame:
     """One row per key, with the arrival of its first row: a min and a max over
-    structs, summed up before the shuffle (a hot key is one row per task)."""
+    structs.  A folder holds a key once, so nothing could be summed up before the
+    shuffle: the rows are dealt as they are, not as three structs."""
+    stored = stored.repartition(*keys)
     fixed = [c for c in S.storage_columns(table) if c not in keys and c not in update_cols]
     first = F.min(F.struct("_arrived", *fixed)).alias("f")
     if not update_cols:
