@@ -177,6 +177,23 @@ def test_forward_and_expected_counts_are_exact():
     assert hmm_lm.forward(texts, *new)[0].sum() >= loglik
 
 
+def test_warm_up_counts_every_neighbour_of_every_text(spark):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in [1, 2, *rng.integers(1, 40, 3000)]]
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in texts], "seq binary").repartition(3)
+    want = Counter((int(a), int(b)) for x in texts for a, b in zip(x[:-1], x[1:]))
+    found = hmm_lm.pairs(df, 6)
+    assert {(r.a, r.b): r.n for r in found.collect()} == want
+    # a warm-up pass covers all of them, and raises their likelihood
+    k = hmm_lm.STATES
+    start, trans, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(6), k)
+    (starts, moves, emitted), before = hmm_lm.baum_welch_pass(found, (start, trans, emit), 6, hmm_lm._pair_counts)
+    total = sum(want.values())
+    assert starts.sum() == pytest.approx(total) and moves.sum() == pytest.approx(total) and emitted.sum() == pytest.approx(2 * total)
+    new = (starts / starts.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(1, keepdims=True))
+    assert hmm_lm.baum_welch_pass(found, new, 6, hmm_lm._pair_counts)[1] >= before
+
+
 def test_op3_beats_unigrams_on_held_out_text(spark):
     r = queries.QUERIES["op3_hmm_score"](spark, SF_MID).where("held_out").selectExpr(
         "sum(score) as s", "sum(base_score) as b").first()

@@ -9,10 +9,11 @@ distribution over texts; one unseen word per class is allowed for.
 
 Training is Baum-Welch.  Expected counts are formed per partition and summed by
 Spark; the driver holds only the parameters (states x symbols, bounded because at
-most ``1 / SYMBOL_RATE`` words are symbols).  The first ``warm_up`` passes run over
-about ``warm_docs`` documents to separate the states, then ``passes`` passes over
-every training document; word counts always cover the whole training part.  The
-scaled forward recursion gives the exact likelihood of each whole text.
+most ``1 / SYMBOL_RATE`` words are symbols).  The first ``warm_up`` passes separate the
+states by expectation maximisation over the counts of neighbouring symbols (a, b) of
+*all* training texts, a table of at most symbols x symbols rows; then ``passes`` full
+passes run over every training text.  Nothing is learnt from a sample.  The scaled
+forward recursion gives the exact likelihood of each whole text.
 
 Counts of words below ``LOCAL_RATE`` (the vocabulary's unbounded part) come from a
 shuffle join of (document, word) with the counts; a more frequent word -- at most
@@ -225,17 +226,40 @@ def reestimated(sums, vocab: Vocabulary):
     return start / start.sum(), trans / trans.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
 
 
-def baum_welch_pass(sequences: DataFrame, model, symbols: int):
+def _text_counts(batch, model):
+    """Sums of ``expected_counts`` over a batch of encoded texts (column seq)."""
+    texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column(0).to_pylist()]
+    for g in groups(np.array([len(x) for x in texts], np.int64)):
+        yield expected_counts([texts[j] for j in g], *model)
+
+
+def _pair_counts(batch, model):
+    """Expected counts over neighbouring symbols a, b that occur n times (columns a, b,
+    n): of the first state, of moves, of emissions, and the log10 likelihood."""
+    start, trans, emit = model
+    a, b, n = (batch.column(i).to_numpy() for i in range(3))
+    if not len(a):
+        return
+    by_symbol = np.ascontiguousarray(emit.T)
+    left, right = by_symbol[a] * start, by_symbol[b]
+    ahead = left @ trans
+    p = (ahead * right).sum(1)
+    w = (n / p)[:, None]
+    first, second = left * (right @ trans.T) * w, ahead * right * w
+    emitted = np.stack([np.bincount(a, weights=first[:, s], minlength=emit.shape[1])
+                        + np.bincount(b, weights=second[:, s], minlength=emit.shape[1]) for s in range(len(start))])
+    yield first.sum(0), (left * w).T @ right * trans, emitted, float((n * np.log10(p)).sum())
+
+
+def baum_welch_pass(rows: DataFrame, model, symbols: int, counts=_text_counts):
     """Expected counts summed over all partitions: (starts, moves, emissions), log10 likelihood."""
-    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        start, trans, emit = shared.value
         sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, symbols)), 0.0]
         for batch in batches:
-            texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column(0).to_pylist()]
-            for g in groups(np.array([len(x) for x in texts], np.int64)):
-                for i, x in enumerate(expected_counts([texts[j] for j in g], start, trans, emit)):
+            for found in counts(batch, shared.value):
+                for i, x in enumerate(found):
                     sums[i] = sums[i] + x
         kind, state, symbol, value = [], [], [], []
         for i, x in enumerate(sums):
@@ -248,16 +272,39 @@ def baum_welch_pass(sequences: DataFrame, model, symbols: int):
         yield pa.record_batch([pa.array(np.concatenate(c)) for c in (kind, state, symbol, value)],
                               names=["kind", "state", "symbol", "value"])
 
-    rows = sequences.select("seq").mapInArrow(run, "kind bigint, state bigint, symbol bigint, value double") \
+    found = rows.mapInArrow(run, "kind bigint, state bigint, symbol bigint, value double") \
         .groupBy("kind", "state", "symbol").agg(F.sum("value").alias("value")).toArrow()
     out = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, symbols)), np.zeros((1, 1))]
-    kinds, state, symbol, value = (rows[c].to_numpy() for c in ("kind", "state", "symbol", "value"))
+    kinds, state, symbol, value = (found[c].to_numpy() for c in ("kind", "state", "symbol", "value"))
     for i, x in enumerate(out):
         mine = kinds == i
         x[state[mine], symbol[mine]] = value[mine]
     return (out[0][0], out[1], out[2]), float(out[3][0, 0])
 
 
+def pairs(sequences: DataFrame, symbols: int) -> DataFrame:
+    """(a, b, n): how often symbol b follows symbol a in a text, over all texts."""
+    def run(batches):
+        def flushed(codes):
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            return pa.record_batch([pa.array(code // symbols), pa.array(code % symbols), pa.array(n.astype(np.int64))],
+                                   names=["a", "b", "n"])
+
+        codes, held = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                x = np.frombuffer(x, np.uint16).astype(np.int64)
+                codes.append(x[:-1] * symbols + x[1:])
+                held += len(x)
+                if held > 4 * TOKENS_AT_ONCE:
+                    yield flushed(codes)
+                    codes, held = [], 0
+        if codes:
+            yield flushed(codes)
+
+    return sequences.select("seq").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def encode(texts: DataFrame, parts: tuple) -> DataFrame:
     """row and seq (symbols as unsigned 16-bit numbers) of each text."""
     shared = texts.sparkSession.sparkContext.broadcast(parts)
@@ -271,19 +318,17 @@ def encode(texts: DataFrame, parts: tuple) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row bigint, seq binary")
 
 
-def train(texts: DataFrame, parts: tuple, warm_docs: int = 2000, warm_up: int = 10, passes: int = 2):
+def train(texts: DataFrame, parts: tuple, warm_up: int = 20, passes: int = 2):
     """HMM parameters from the training texts (columns row, text)."""
     spark = texts.sparkSession
     vocab = Vocabulary(*parts)
     path = scratch_path(spark, "hmm-sequences")
     encode(texts, parts).write.option("compression", "zstd").parquet(path)
-    sequences = spark.read.parquet(path)
+    sequences = spark.read.parquet(path).select("seq")
     model = initial(vocab)
-    n = max(sequences.count(), 1)
-    few = sequences.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, warm_docs / n) * (1 << 30)))
-    few = checkpointed(few.select("seq").coalesce(4))
+    neighbours = checkpointed(pairs(sequences, vocab.symbols))
     for _ in range(warm_up):
-        model = reestimated(baum_welch_pass(few, model, vocab.symbols)[0], vocab)
+        model = reestimated(baum_welch_pass(neighbours, model, vocab.symbols, _pair_counts)[0], vocab)
     for _ in range(passes):
         model = reestimated(baum_welch_pass(sequences, model, vocab.symbols)[0], vocab)
     remove_path(spark, path)
