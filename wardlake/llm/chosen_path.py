@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, setting
 from .common import (NORMALISE, checkpointed, documents, grouped, mix64, prefix_hash, range_hash, signed, text_bytes,
                      utf8, word_ranges)
 from .components import components
@@ -56,6 +56,8 @@ SPLIT = 2
 RECALL = 0.99999
 #: Share of the misses allowed by the recall that the cut of the sampled tokens may take.
 CUT_SHARE = 0.1
+#: Rows of candidate pairs that a batch brings to a task's Python.
+PAIR_ROWS = 1000
 _LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 32, COORDS, dtype=np.uint32) | np.uint32(1)
@@ -301,7 +303,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
     linked = packed(texts).select(F.col("row").alias("class"), "packed").join(candidates, "class") \
         .select("task", "class", "partners", "packed").repartition("task").sortWithinPartitions("task", "class") \
         .mapInArrow(_verified(threshold, width), "class bigint, links bigint, root bigint")
-    linked = checkpointed(linked)
+    # a row may hold a text and hundreds of partners: fewer of them are sent to Python at once
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_ROWS)):
+        linked = checkpointed(linked)
     links = linked.groupBy("class").agg(F.sum("links").alias("n_links"))
     parts = components(linked.select(F.col("class").alias("a"), F.col("root").alias("b")))
     member = links.join(parts, links["class"] == parts["node"], "left").select(
