@@ -227,6 +227,24 @@ def test_page_by_number_equals_offset_over_ties(spark, tmp_dir):
     assert pages[0] == pages[1] and len(pages[0]) == 10
 
 
+def test_page_index_sorts_bounded_parts(spark, tmp_dir, monkeypatch):
+    from wardlake import session
+    monkeypatch.setattr(registers, "INDEX_ROWS", 100)
+    kept = []
+    monkeypatch.setattr(session, "remove_path", lambda s, p: kept.append(p))
+    rng = random.Random(3)
+    df = frame(spark, "transactions", [tx_row(f"T{i:05d}", date=f"2024-01-0{rng.randint(1, 3)} 00:00:00") for i in range(997)]).repartition(3)
+    order = registers.REGISTER_ORDER["transactions"]
+    registers.page_index(df, order, f"{tmp_dir}/index", limit=20)
+    index = spark.read.parquet(f"{tmp_dir}/index")
+    parts = spark.read.parquet(next(p for p in kept if "page-index" in p)).groupBy("_part").count().collect()
+    # more parts than the session's four shuffle partitions, none much larger than the bound
+    assert len(parts) == 10 and max(r["count"] for r in parts) < 200 and sum(r["count"] for r in parts) == 997
+    for n in (1, 6, 31, 50):
+        want = registers.page(df, [F.col("date").desc(), F.col("id").desc()], n, 20).collect()
+        assert [r.id for r in registers.page_by_number(df, [(c, True) for c in order], index, n, 20).collect()] == [r.id for r in want]
+
+
 # ---- metric grid -----------------------------------------------------------------------
 
 def test_metric_grid_by_hand(spark, monkeypatch):

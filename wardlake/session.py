@@ -107,6 +107,12 @@ def clear_scratch(spark: SparkSession) -> None:
         remove_path(spark, _SCRATCH.pop())
 
 
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes of files and folders on any file system that Spark reads."""
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in found)
+
+
 def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for a run over ``input_bytes`` of Parquet on
     ``total_cores`` executor cores.

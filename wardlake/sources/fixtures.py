@@ -11,6 +11,9 @@ size check allows), x nation (25 rows, always under the broadcast threshold).
 The supplier is joined alone, not pre-joined with nation: a pre-joined pair
 gets a join-product size estimate that defeats the planner's broadcast check.
 Nothing here carries an explicit broadcast hint for a table that grows.
+From ``LARGE_BYTES`` of lineitem and orders on, both are dealt by order key into
+parts of about ``PART_BYTES``, whatever the session's shuffle partitions are: what
+a task of the join sorts does not grow with the tables.
 """
 
 from __future__ import annotations
@@ -20,7 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_utc
+from ..session import ensure_utc, input_bytes
+
+#: Bytes of lineitem and orders files for one task of their join, and from which on
+#: they are dealt out so; smaller ones (orders may be broadcast) are left to Spark.
+PART_BYTES = 8 << 20
+LARGE_BYTES = 128 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,11 +117,19 @@ def appointments(orders: DataFrame, supplier: DataFrame, doctors_keyed: DataFram
     )
 
 
+def join_parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for the join of lineitem and orders; None for small tables."""
+    size = input_bytes(spark, *[f"{sf_dir.rstrip('/')}/{n}.parquet" for n in ("lineitem", "orders")])
+    return None if size < LARGE_BYTES else max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism)
+
+
 def transactions(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
-                 nation: DataFrame) -> DataFrame:
+                 nation: DataFrame, parts: int | None = None) -> DataFrame:
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                          "l_extendedprice", "l_discount", "l_shipdate")
     o = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    if parts:
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "l_orderkey")
     s = supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     n = nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     zero_line = F.col("l_linenumber") == 7
@@ -147,7 +163,8 @@ def metric_samples(events: DataFrame) -> DataFrame:
 
 @dataclass
 class Hospital:
-    """The five hospital tables (lazy DataFrames) plus metric samples."""
+    """The five hospital tables (lazy DataFrames) plus metric samples; ``parts`` is the
+    number of tasks that large charges are dealt to (``join_parts``)."""
 
     departments: DataFrame
     doctors: DataFrame
@@ -155,6 +172,7 @@ class Hospital:
     appointments: DataFrame
     transactions: DataFrame
     metric_samples: DataFrame
+    parts: int | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {"departments": self.departments, "doctors": self.doctors, "patients": self.patients,
@@ -176,13 +194,15 @@ def _build_hospital(spark: SparkSession, sf_dir: str) -> Hospital:
     t = {n: read_table(spark, sf_dir, n) for n in
          ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")}
     doc_keyed = doctors(t["supplier"], t["nation"], keep_key=True)
+    parts = join_parts(spark, sf_dir)
     return Hospital(
         departments=departments(t["nation"]),
         doctors=doc_keyed.drop("s_suppkey"),
         patients=patients(t["customer"], t["nation"], t["region"]),
         appointments=appointments(t["orders"], t["supplier"], doc_keyed),
-        transactions=transactions(t["lineitem"], t["orders"], t["supplier"], t["nation"]),
+        transactions=transactions(t["lineitem"], t["orders"], t["supplier"], t["nation"], parts),
         metric_samples=metric_samples(t["events"]),
+        parts=parts,
     )
 
 
