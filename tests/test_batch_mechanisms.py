@@ -4,6 +4,7 @@ by number, the metric grid, guarded ad hoc SQL, key blocks."""
 import glob
 import os
 import random
+import re
 import shutil
 import threading
 from collections import Counter
@@ -245,6 +246,23 @@ def test_page_index_sorts_bounded_parts(spark, tmp_dir, monkeypatch):
         assert [r.id for r in registers.page_by_number(df, [(c, True) for c in order], index, n, 20).collect()] == [r.id for r in want]
 
 
+def test_large_charges_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    from wardlake.plans import registry
+    from wardlake.sources import fixtures
+    small = {n: sorted(registry.QUERIES[n](spark, SF_SMALL).collect()) for n in ("check_unique_key", "check_constraints", "page_by_number")}
+    assert fixtures.load_hospital(spark, SF_SMALL).parts is None
+    monkeypatch.setattr(fixtures, "LARGE_BYTES", 1)
+    monkeypatch.setattr(fixtures, "PART_BYTES", 12_000)
+    h = fixtures.load_hospital(spark, SF_SMALL)
+    assert h.parts > 4
+    plan = h.transactions._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"hashpartitioning\(l_orderkey#\d+L, {h.parts}\)", plan)) == 2
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, want in small.items():
+        assert sorted(registry.QUERIES[n](spark, SF_SMALL).collect()) == want, n
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 # ---- metric grid -----------------------------------------------------------------------
 
 def test_metric_grid_by_hand(spark, monkeypatch):
