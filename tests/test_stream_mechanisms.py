@@ -138,6 +138,12 @@ def test_errors_fire_in_both_forms(spark):
     assert states == {"a": ("Alerting", "error"), "b": ("Normal", "value"), "c": ("Alerting", "error"), "d": ("NoData", "no data")}
 
 
+def test_samples_of_a_hot_metric_are_not_dealt_by_metric(spark):
+    df = spark.createDataFrame([("a", at(10), 5.0)], "metric string, ts timestamp, value double")
+    plan = alerts.last_per_interval(df, metrics.rules_frame(spark, RULES))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(metric" not in plan
+
+
 def _arrive(spark, folder, rows, schema, hour):
     spark.createDataFrame(rows, schema).withColumn("_arrived", F.lit(str(T0 + timedelta(hours=hour))).cast("timestamp")) \
         .coalesce(1).write.mode("append").parquet(folder)

@@ -5,7 +5,9 @@ here they are evaluated every ``every`` seconds of event time, as samples arrive
 
 1. Samples are joined with the rules (a small table) and reduced to the last one
    per rule and evaluation interval, a windowed aggregate that sums up before the
-   shuffle: a hot metric sends one row per interval on.
+   shuffle: a hot metric sends one row per interval on.  The rules are broadcast, as a
+   join by metric would deal all samples of a metric to one task, and a stream has no
+   adaptive execution that would see how few rules there are.
 2. ``transformWithState`` keeps the rules of one service.  It starts with the rules
    as initial state, so a rule whose metric never arrives is known too, and sets an
    event-time timer for the next thing that happens *without* a row: a sample grows
@@ -216,7 +218,7 @@ def last_per_interval(samples: DataFrame, rules: DataFrame, every: int = EVERY)
     match = F.col("_wanted").isNull() | F.forall(F.map_entries("_wanted"), lambda e: F.coalesce(
         F.try_element_at(F.col("_own"), e["key"]) == e["value"], F.lit(False)))
     last = F.max(F.struct(F.unix_micros("ts").alias("ts"), "error", "value")).alias("last")
-    return s.join(wanted, "metric").where(match).groupBy("service", "rule", F.window("ts", f"{every} seconds").alias("interval")).agg(
+    return s.join(F.broadcast(wanted), "metric").where(match).groupBy("service", "rule", F.window("ts", f"{every} seconds").alias("interval")).agg(
         last).select("service", "rule", "interval", F.unix_seconds("interval.end").alias("tick"), "last.ts", "last.value",
                "last.error")
 
