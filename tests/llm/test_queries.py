@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm import data
 from tests.oracle_compare import compare, duck
-from wardlake.llm import (chosen_path, decontam, hmm_lm, lang_bitmask, license_rules, line_frequency, mixing, pfp_dedup,
+from wardlake.llm import (chosen_path, common, decontam, hmm_lm, lang_bitmask, license_rules, line_frequency, mixing, pfp_dedup,
                           pii_feistel, queries, secrets_markov)
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -408,6 +409,83 @@ def test_op6_more_languages_than_bits_and_long_pieces(monkeypatch):
     assert Counter(np.concatenate(list(lang_bitmask.ngrams(lang_bitmask.letters(text)))).tolist()) == whole
 
 
+def test_op6_counts_within_a_long_text_are_given_out_in_parts(monkeypatch):
+    """A task's n-grams are summed up within a text, not only after it."""
+    text, found = " ".join(data.prose(500) for _ in range(4)), []
+    monkeypatch.setattr(lang_bitmask, "COUNTED_AT_ONCE", 4_000)
+    monkeypatch.setattr(lang_bitmask, "PIECE", 512)
+
+    class Samples:
+        def mapInArrow(self, f, schema):
+            found.append(f)
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        lang_bitmask.fit(Samples())
+    got = list(found[0]([pa.record_batch([["x", "x"], [text, text]], names=["lang", "text"])]))
+    assert max(sum(b.column(2).to_pylist()) for b in got) <= 4_000 + 512
+    assert {x for b in got for x in b.column(0).to_pylist()} == {"x"}
+    total = Counter()
+    for b in got:
+        total.update(dict(zip(b.column(1).to_numpy().view(np.uint64).tolist(), b.column(2).to_pylist())))
+    grams = np.concatenate(list(lang_bitmask.ngrams(lang_bitmask.letters(text)))).tolist()
+    assert total == Counter(grams + grams)
+
+
+# ---- the pipeline's tasks: whole batches are not held at once ---------------------------------------
+
+def test_pieces_hold_all_rows_in_order():
+    doc = pa.StructArray.from_arrays([pa.array(range(1000)), pa.array([None if i % 7 == 0 else "é" * (i % 90) for i in range(1000)])],
+                                     names=["doc_id", "text"])
+    batch = pa.record_batch([doc], names=["doc"])
+    for size in (1, 700, 1 << 30):
+        got = list(common.pieces([batch.slice(0, 0), batch, batch.slice(3, 5)], size))
+        assert [x for b in got for x in b.column(0).to_pylist()] == doc.to_pylist() + doc.to_pylist()[3:8]
+        assert [x for b in got for x in b.column(0).field(1).to_pylist()] == [
+            x["text"] for x in doc.to_pylist() + doc.to_pylist()[3:8]]
+    assert len(list(common.pieces([batch], 1))) == 1000
+
+
+TASKS = {
+    "language_id": lambda docs, bench: lang_bitmask.predict(docs, lang_bitmask.Filters(
+        ["x"], np.ones((lang_bitmask.SLOTS, 1), np.uint64), 0)),
+    "near_duplicates": lambda docs, bench: chosen_path.embedded(docs, [1], chosen_path.WIDTH),
+    "decontamination": lambda docs, bench: decontam.scan(docs, bench, carry=True),
+    "mixing": lambda docs, bench: mixing.count_words(docs)}
+INPUTS = {"language_id": [["doc_id", "text"]], "near_duplicates": ["doc_id", "row", "text"],
+          "decontamination": ["doc_id", "row", "text", ["doc_id", "text"]], "mixing": ["doc_id", "source", "text"]}
+
+
+@pytest.mark.parametrize("stage", sorted(TASKS))
+def test_a_task_takes_up_a_large_batch_in_pieces(spark, monkeypatch, stage):
+    """Its results come in batches of a few MB of texts, so neither Python nor the
+    reading side holds those of 10,000 rows."""
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string").selectExpr(
+        "doc_id", "doc_id as row", "'s' as source", "text")
+    bench = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    found, kept = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a: (found.append(f), kept(self, f, *a))[1])
+    if stage == "language_id":
+        docs = docs.select("doc_id", "text")
+    TASKS[stage](docs, bench)
+    n, word = 1200, data.prose(60)
+    texts = [f"{i} {word * 20}" for i in range(n)]
+    whole = {"doc_id": pa.array(range(n)), "row": pa.array(range(n)), "source": pa.array(["s"] * n),
+             "text": pa.array(texts) if stage == "language_id" else pa.array([t.encode() for t in texts])}
+    column = lambda c: whole[c] if isinstance(c, str) else pa.StructArray.from_arrays([whole[x] for x in c], names=c)
+    batch = pa.record_batch([column(c) for c in INPUTS[stage]], names=["doc" if isinstance(c, list) else c for c in INPUTS[stage]])
+    assert batch.nbytes > 3 * common.PIECE_BYTES
+    got = list(found[-1](iter([batch])))
+    assert max(b.num_rows for b in got) <= 1 + n * common.PIECE_BYTES // batch.nbytes
+    assert [x for b in got for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_mixing_starts_no_other_kind_of_python_worker(spark, small):
+    """The few targets come as an Arrow table, not as a job of pickled Python rows."""
+    plan = mixing.mix(corpus_pipeline.documents(spark, small))._jdf.queryExecution().toString()
+    assert "LogicalRDD [source_key" not in plan and "LocalRelation [source_key" in plan
+
+
 # ---- 7 mixing -------------------------------------------------------------------------------------
 
 def reshared(sizes):

@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, setting
-from .common import (NORMALISE, checkpointed, documents, grouped, mix64, prefix_hash, range_hash, signed, text_bytes,
-                     utf8, word_ranges)
+from .common import (NORMALISE, checkpointed, documents, grouped, mix64, pieces, prefix_hash, range_hash, signed,
+                     text_bytes, utf8, word_ranges)
 from .components import components
 from .pfp_dedup import packed
 
@@ -153,7 +153,7 @@ def embedded(texts: DataFrame, roots: list[int], width: int) -> DataFrame:
     at = [(np.uint64(r), sampled(r)) for r in roots]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, sigs, paths = [], [], []
             for text in text_bytes(batch):
                 s = shingles(text, width)

@@ -156,6 +156,20 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 # ---- Arrow ---------------------------------------------------------------------
 
+#: Bytes of rows that a task's Python takes up at once.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batches, size: int | None = None):
+    """The batches' rows, in order, in batches of about ``size`` bytes.  Python objects
+    and results are then held for a piece only, not for Spark's 10,000 rows."""
+    size = size or PIECE_BYTES
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(batch, name: str = "text") -> list[bytes]:
     """The column's texts as bytes; null is empty.  The column is binary
     (``utf8(col)``), so no text is decoded."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NORMALISE, documents, text_bytes, utf8
+from .common import NORMALISE, documents, pieces, text_bytes, utf8
 
 WINDOW = 13
 #: Text that a task scans with each of several automata before it builds them again.
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, automaton_words: int = 200_000,
                 for b in chunk:
                     yield b, [next(got) for _ in range(b.num_rows)]
 
-            for batch, got in (x for chunk in _chunks(batches, 0 if kept is not None else CHUNK_BYTES) for x in scanned(chunk)):
+            for batch, got in (x for chunk in _chunks(pieces(batches), 0 if kept is not None else CHUNK_BYTES) for x in scanned(chunk)):
                 spans = []
                 for t, (_, ranges, _ids) in zip(text_bytes(batch), got):
                     at = [m.span() for m in _WORD_AT.finditer(t.translate(NORMALISE))] if ranges else []

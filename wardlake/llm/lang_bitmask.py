@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, documents, mix64
+from .common import crc_bucket, documents, mix64, pieces
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -40,7 +40,7 @@ RATIO = 0.5
 #: Code points handled at once; the n-grams across a cut are those of the overlap.
 PIECE = 1 << 18
 #: N-grams that a task holds before it sums them up.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 1_000_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -129,18 +129,18 @@ def fit(samples: DataFrame) -> Filters:
         def counted():
             for lang, arrays in parts.items():
                 grams, n = np.unique(np.concatenate(arrays), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)),
+                yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), pa.array(grams.view(np.int64)),
                                        pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
             parts.clear()
 
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for grams in ngrams(s) if (s := letters(text)) else ():
                     parts.setdefault(lang, []).append(grams)
                     held += len(grams)
-                if held > COUNTED_AT_ONCE:
-                    yield from counted()
-                    held = 0
+                    if held > COUNTED_AT_ONCE:
+                        yield from counted()
+                        held = 0
         yield from counted()
 
     counts = samples.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches):
         model = Filters(*shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             got = [model.predict(t) for t in batch.column(0).field(at).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in got], pa.string()),
                                    pa.array([x for _, x in got], pa.float64())], names=["doc", "lang_pred", "score"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, null_safe_key, text_bytes, utf8, word_ranges
+from .common import checkpointed, documents, null_safe_key, pieces, text_bytes, utf8, word_ranges
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -41,7 +41,7 @@ DP_WORDS = 16384
 def count_words(docs: DataFrame) -> DataFrame:
     """doc_id, source, source_key, size, draw (seeded hash) of every row."""
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sizes = [len(word_ranges(np.frombuffer(x, np.uint8))[0]) for x in text_bytes(batch)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())],
                                   names=["doc_id", "source", "size"])
@@ -149,8 +149,11 @@ def mix(docs: DataFrame, seed: int = 17, dp_words: int = DP_WORDS) -> DataFrame:
     sums = hist.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()
     name = lambda key: None if key == "n" else key[1:]
     goal = targets([(name(r["source_key"]), int(r["words"])) for r in sums])
-    goals = spark.createDataFrame([(r["source_key"], int(r["words"]), goal[name(r["source_key"])]) for r in sums],
-                                  "source_key string, source_size bigint, target double")
+    # an Arrow table: rows of Python objects would start Python workers of another kind beside those of the tasks
+    goals = spark.createDataFrame(pa.table({
+        "source_key": pa.array([r["source_key"] for r in sums], pa.string()),
+        "source_size": pa.array([int(r["words"]) for r in sums], pa.int64()),
+        "target": pa.array([goal[name(r["source_key"])] for r in sums], pa.float64())}))
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
