@@ -7,6 +7,7 @@ import random
 import re
 import shutil
 import threading
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -181,6 +182,86 @@ def test_bloom_filter_loses_no_key(spark):
     assert found >= set(range(0, 30_000, 3)) and len(found) < 10_000 + 0.04 * 20_000
 
 
+def month_tables(spark):
+    """A target with keys that come twice and rows without key or date, and a source
+    that moves, changes and adds rows and empties months."""
+    at = lambda i: f"2024-{1 + i % 6:02d}-{1 + i % 28:02d} 00:00:00"
+    target = frame(spark, "transactions", [
+        *[tx_row(f"T{i:03d}", date=at(i), amount=i) for i in range(240)], *[tx_row(f"T{i:03d}", date=at(i + 1), amount=i) for i in range(0, 240, 40)],
+        tx_row(None, date=at(2)), tx_row(None, date=at(3)), tx_row("ALONE", date="2019-05-05 00:00:00"),
+        tx_row("A0", date="2018-05-05 00:00:00"), ("T9", "P", None, None) + tx_row("x")[4:]])
+    source = frame(spark, "transactions", [
+        *[tx_row(f"T{i:03d}", date="2024-08-02 00:00:00", amount=7, pay="Cash") for i in range(0, 240, 7)],
+        *[tx_row(f"T{i:03d}", date="2020-01-01 00:00:00", amount=8) for i in range(0, 240, 11)],
+        *[tx_row(f"N{i:02d}", date=at(i)) for i in range(12)], tx_row(None, date=at(4), amount=9),
+        tx_row("ALONE", date="2024-03-03 00:00:00"), tx_row("A0", date="2024-03-04 00:00:00"), tx_row("T9", date="2024-04-01 00:00:00")])
+    return target, source
+
+
+def test_merge_by_month_in_ranges_of_keys(spark, tmp_dir, monkeypatch):
+    path, (target, source), ends = f"{tmp_dir}/t", month_tables(spark), []
+    write = partitioned._write
+    monkeypatch.setattr(partitioned, "SLICE_BYTES", 1)
+    monkeypatch.setattr(partitioned, "_write", lambda df, *rest: (ends.append(df.agg(F.min("id"), F.max("id")).first()), write(df, *rest)))
+    partitioned.write_by_month(target, path, slices=partitioned.slices_of(1 << 40))
+    assert len(ends) == 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert rows(partitioned.read_by_month(spark, path).drop("month")) == rows(target)
+    assert not glob.glob(f"{path}/_*stage*")
+    ends.clear()
+    partitioned.merge_by_month(spark, path, source)
+    assert len(ends) > 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert rows(partitioned.read_by_month(spark, path).drop("month")) == rows(upsert.merge_upsert(target, source))
+
+
+def test_merged_months_are_moved_not_copied(spark, tmp_dir, monkeypatch):
+    path, (target, source), staged = f"{tmp_dir}/t", month_tables(spark), []
+    partitioned.write_by_month(target, path)
+    publish = partitioned._publish
+    monkeypatch.setattr(partitioned, "_publish", lambda s, p, stage, *rest: (staged.extend(files(stage)), publish(s, p, stage, *rest)))
+    done = partitioned.merge_by_month(spark, path, source)
+    names = lambda fs: sorted(f.split("month=")[1] for f in fs)
+    assert names(f for f in files(path) if f.split("month=")[1].split("/")[0] in done) == names(staged)
+    assert not glob.glob(f"{path}/month=2018-05") and not glob.glob(f"{path}/month=2019-05")
+
+
+@pytest.mark.parametrize("calls", [1, 5, 9])
+def test_merge_cut_off_among_the_months_is_completed(spark, tmp_dir, monkeypatch, calls):
+    path, (target, source) = f"{tmp_dir}/t", month_tables(spark)
+    partitioned.write_by_month(target, path)
+    remove, publish, left = partitioned.remove_path, partitioned._publish, [calls]
+
+    def cut(s, p):  # the driver is lost before a removal
+        if not left[0]:
+            raise RuntimeError("lost")
+        left[0] -= 1
+        remove(s, p)
+
+    def lossy(*args):
+        monkeypatch.setattr(partitioned, "remove_path", cut)
+        publish(*args)
+
+    monkeypatch.setattr(partitioned, "_publish", lossy)
+    with pytest.raises(RuntimeError, match="lost"):
+        partitioned.merge_by_month(spark, path, source)
+    monkeypatch.undo()
+    if os.path.exists(f"{path}/_merging"):
+        assert partitioned.finish_merge(spark, path)
+    assert rows(partitioned.read_by_month(spark, path).drop("month")) == rows(upsert.merge_upsert(target, source))
+
+
+def test_merge_by_month_drops_its_shuffles(spark, tmp_dir):
+    path, (target, source) = f"{tmp_dir}/t", month_tables(spark)
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in dirs for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    partitioned.write_by_month(target, path)
+    before, end = shuffles(), time.time() + 10
+    partitioned.merge_by_month(spark, path, source)
+    while shuffles() - before and time.time() < end:  # removed in the background
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 # ---- split reads -----------------------------------------------------------------------
 
 def test_split_read_of_text_keys_with_hot_prefixes(spark, tmp_dir):

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..session import remove_path
+from ..session import dropping_shuffles, input_bytes, remove_path
+from ..sources.tables import split_bounds
 from ..streaming import batches
 from .upsert import dedupe_latest, merge_upsert
 
@@ -29,18 +30,69 @@ BITS_PER_KEY = 10
 PROBES = 4
 #: The filter is broadcast up to this size; beyond it the keys are joined directly.
 BLOOM_LIMIT = 32 << 20
+#: Bytes of Parquet files for one range of keys, and how many ranges there are at most
+#: (each makes a file in every month): a merge finds them sorted by key, but holds the
+#: table twice; a first write passes over all its rows for each.
+SLICE_BYTES = 32 << 20
+MERGE_SLICES, WRITE_SLICES = 16, 4
 
 
 def month_of(col: str = "date") -> Column:
     return F.coalesce(F.date_format(col, "yyyy-MM"), F.lit(NO_MONTH)).alias(MONTH)
 
 
-def write_by_month(df: DataFrame, path: str, date_col: str = "date", mode: str = "overwrite") -> None:
+def slices_of(size: int, most: int = WRITE_SLICES) -> int:
+    """Ranges of keys for ``size`` bytes of files."""
+    return min(max(-(-size // SLICE_BYTES), 1), most)
+
+
+def key_slices(keys: DataFrame, key: str, n: int) -> list[Column]:
+    """Conditions for at most ``n`` ranges of keys of about equal size; every row meets
+    one of them, rows without the key the first."""
+    cuts, k = split_bounds(keys, key, n) if n > 1 else [], F.col(key)
+    if not cuts:
+        return [F.lit(True)]
+    return [(k < F.lit(cuts[0])) | k.isNull(), *[(k >= F.lit(a)) & (k < F.lit(b)) for a, b in zip(cuts, cuts[1:])], k >= F.lit(cuts[-1])]
+
+
+def _write(df: DataFrame, path: str, date_col: str, mode: str) -> None:
+    (df.withColumn(MONTH, month_of(date_col)).repartitionByRange(MONTH, "id").sortWithinPartitions(MONTH, "id").write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(MONTH).parquet(path))
+
+
+def write_by_month(df: DataFrame, path: str, date_col: str = "date", mode: str = "overwrite", slices: int = 1) -> None:
     """Write a table with one folder per month; rows sorted by key inside a file, so
     that key filters skip row groups.  Range partitions of (month, key) give few files
-    a month and split a month that is too large for one task."""
-    (df.withColumn(MONTH, month_of(date_col)).repartitionByRange(MONTH, "id").sortWithinPartitions(MONTH, "id").write.mode(mode)
-     .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path))
+    a month and split a month that is too large for one task.
+
+    With ``slices`` the rows of so many ranges of keys are shuffled one after the other
+    (each evaluates ``df``) and staged beside the months, which are replaced at the end;
+    ``append`` takes one pass."""
+    if slices < 2 or mode != "overwrite":
+        return _write(df, path, date_col, mode)
+    spark, stage = df.sparkSession, f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex[:12]}"
+    with dropping_shuffles(spark):
+        for part in key_slices(df, "id", slices):
+            _write(df.where(part), stage, date_col, "append")
+    _move_months(spark, path.rstrip("/"), stage)
+    remove_path(spark, stage)
+
+
+def _month_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the month folders at ``path``."""
+    fs, p = batches._fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{MONTH}="))
+
+
+def _move_months(spark: SparkSession, path: str, stage: str) -> None:
+    """Put the staged months in the place of those at ``path``.  What has been moved is
+    gone from the stage, so a run that was cut off can be done again."""
+    for name in _month_folders(spark, stage):
+        remove_path(spark, f"{path}/{name}")
+        fs, old = batches._fs(spark, f"{stage}/{name}")
+        if not fs.rename(old, batches._fs(spark, f"{path}/{name}")[1]):
+            raise RuntimeError(f"{stage}/{name} could not be moved to {path}")
+    spark.catalog.refreshByPath(path)
 
 
 def read_by_month(spark: SparkSession, path: str, table: str = "transactions") -> DataFrame:
@@ -86,16 +138,18 @@ def touched_months(target: DataFrame, source: DataFrame, key: str = "id", bloom_
 
 
 _MERGING = "_merging"
+_EMPTIED = "_emptied"
 
 
 def _publish(spark: SparkSession, path: str, stage: str, months: list[str], table: str, key: str) -> None:
     """Replace ``months`` by the staged rows (again, if need be)."""
-    staged = read_by_month(spark, stage, table)
-    left = {r[0] for r in staged.select(MONTH).distinct().collect()}
-    (staged.sortWithinPartitions(MONTH, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(MONTH).parquet(path))
-    for month in set(months) - left:  # all rows have moved to other months
+    emptied = f"{stage}/{_EMPTIED}"
+    if not batches.exists(spark, emptied):  # before the first month leaves the stage
+        left = set(_month_folders(spark, stage))
+        batches.put(spark, emptied, "\n".join(m for m in months if f"{MONTH}={m}" not in left).encode())
+    for month in filter(None, batches.get(spark, emptied).decode().split("\n")):  # all rows have moved to other months
         remove_path(spark, f"{path}/{MONTH}={month}")
+    _move_months(spark, path, stage)
     remove_path(spark, f"{path}/{_MERGING}")
     remove_path(spark, stage)
 
@@ -114,7 +168,7 @@ def merge_by_month(spark: SparkSession, path: str, source: DataFrame, table: str
                    order_col: str = "date", update_cols=("amount", "insurance_coverage", "payment_type", "date"),
                    bloom_limit: int = BLOOM_LIMIT) -> list[str]:
     """``upsert.merge_upsert`` of ``source`` into the table at ``path``; returns the
-    months that were rewritten.  The source is read several times: let it be a table.
+    months that were rewritten.  The source is read once and stored while the merge runs.
 
     One merge at a time.  The merged rows are staged beside the months (in a folder
     that readers skip) and a note is left before any month is replaced; a run that
@@ -123,17 +177,22 @@ def merge_by_month(spark: SparkSession, path: str, source: DataFrame, table: str
     finish_merge(spark, path, table, key)
     target = read_by_month(spark, path, table)
     # reduced once: the months, the keys and the merge all read it
-    reduced = f"{path}/_source-{uuid.uuid4().hex[:12]}"
-    dedupe_latest(source.select(*names), [key], order_col).write.option("compression", "zstd").parquet(reduced)
-    src = spark.read.schema(S.bronze_schema(table)).parquet(reduced)
-    own = [r[0] for r in src.select(month_of(order_col)).distinct().collect()]
-    months = sorted({*touched_months(target, src, key, bloom_limit), *own})
-    if not months:
-        remove_path(spark, reduced)
-        return []
-    merged = merge_upsert(target.where(F.col(MONTH).isin(months)).select(*names), src, key, order_col, update_cols, dedupe_source=False)
-    stage = f"{path}/_stage-{uuid.uuid4().hex[:12]}"
-    write_by_month(merged, stage, order_col)
+    reduced, stage = [f"{path}/_{n}-{uuid.uuid4().hex[:12]}" for n in ("source", "stage")]
+    with dropping_shuffles(spark):
+        (dedupe_latest(source.select(*names), [key], order_col).sortWithinPartitions(key).write.option("compression", "zstd").parquet(reduced))
+        src = spark.read.schema(S.bronze_schema(table)).parquet(reduced)
+        own = [r[0] for r in src.select(month_of(order_col)).distinct().collect()]
+        others = {n.partition("=")[2] for n in _month_folders(spark, path)} - set(own)
+        touched = touched_months(target.where(F.col(MONTH).isin(sorted(others))), src, key, bloom_limit) if others else []
+        months = sorted({*touched, *own})
+        if not months:
+            remove_path(spark, reduced)
+            return []
+        old = target.where(F.col(MONTH).isin(months)).select(*names)
+        size = input_bytes(spark, reduced, *[f"{path}/{n}" for n in _month_folders(spark, path) if n.partition("=")[2] in months])
+        for part in key_slices(old.select(key).unionByName(src.select(key)), key, slices_of(size, MERGE_SLICES)):
+            merged = merge_upsert(old.where(part), src.where(part), key, order_col, update_cols, dedupe_source=False)
+            _write(merged, stage, order_col, "append")
     remove_path(spark, reduced)
     batches.put(spark, f"{path}/{_MERGING}", "\n".join([stage, *months]).encode())
     _publish(spark, path, stage, months, table, key)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import scalars as X
 from ..operators import metrics, partitioned, registers, upsert
-from ..session import scratch_path
+from ..session import dropping_shuffles, input_bytes, remove_path, scratch_path
 from ..sources import tables
 from ..sources.fixtures import Hospital, load_hospital
 from ..streaming import alerts, insurers, integrity
@@ -169,10 +169,14 @@ def _q_load_bronze_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_raw("merge_upsert_by_month")
 def _q_merge_upsert_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "merge-by-month")
-    target, source = upsert_fixture(_staged(load_hospital(spark, sf_dir).transactions, f"{base}/all"))
-    partitioned.write_by_month(tables.to_bronze(target, "transactions"), f"{base}/table")
-    tables.to_bronze(source, "transactions").write.parquet(f"{base}/source")
-    partitioned.merge_by_month(spark, f"{base}/table", spark.read.parquet(f"{base}/source"))
+    with dropping_shuffles(spark):
+        target, source = upsert_fixture(_staged(load_hospital(spark, sf_dir).transactions, f"{base}/all"))
+        partitioned.write_by_month(tables.to_bronze(target, "transactions"), f"{base}/table",
+                                   slices=partitioned.slices_of(input_bytes(spark, f"{base}/all")))
+        source = _staged(tables.to_bronze(source, "transactions"), f"{base}/source")
+    remove_path(spark, f"{base}/all")
+    partitioned.merge_by_month(spark, f"{base}/table", source)
+    remove_path(spark, f"{base}/source")
     return _tx_out(partitioned.read_by_month(spark, f"{base}/table"))
 
 

@@ -63,6 +63,14 @@ def setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """The shuffle files of a query that is planned in the block go as it ends; else
+    they stay until the driver happens to collect its garbage."""
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
